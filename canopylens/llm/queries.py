@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from canopylens.llm import line_dedup, mixing, secret_scan, url_filter
+import public_tokenizers
+
+from canopylens.llm import line_dedup, mixing, packing, quality, secret_scan, toxicity, url_filter
 from canopylens.llm.common import table
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": lambda spark, d: line_dedup.dedup_report(table(spark, d, "documents")),
+        "op2_best_fit_packing": lambda spark, d: packing.report(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
+        "op3_quality_rules": lambda spark, d: quality.verdicts(table(spark, d, "documents")),
         "op7_entropy_mixing": lambda spark, d: mixing.mixture(table(spark, d, "documents")),
         "op8_url_filter": lambda spark, d: url_filter.judge_urls(table(spark, d, "pages")).select("page_id", "host", "path", "rule", "verdict", "pattern_id"),
         "op9_secret_scan": lambda spark, d: secret_scan.secret_report(table(spark, d, "documents")),
+        "op10_toxicity": lambda spark, d: toxicity.report(table(spark, d, "documents"), table(spark, d, "labels")),
     }
 
 
 def oracle_sql() -> dict:
-    return {"op8_url_filter": url_filter.oracle()}
+    return {"op3_quality_rules": quality.oracle(), "op8_url_filter": url_filter.oracle()}
