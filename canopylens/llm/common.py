@@ -45,3 +45,12 @@ def n_words(text: Column) -> Column:
 
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
+
+
+#: Rows up to which a table of a few numbers a row is sent to all executors; beyond, it is joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def sent_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows; it is counted for that."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from canopylens.llm import language_model, line_dedup, mixing, neighbours, packing, quality, secret_scan, toxicity, url_filter
+from canopylens.llm import jaccard_join, language_model, line_dedup, mixing, neighbours, packing, quality, secret_scan, toxicity, url_filter
 from canopylens.llm.common import table
 
 
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op1_line_dedup": lambda spark, d: line_dedup.dedup_report(table(spark, d, "documents")),
         "op2_best_fit_packing": lambda spark, d: packing.report(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
         "op3_quality_rules": lambda spark, d: quality.verdicts(table(spark, d, "documents")),
+        "op4_ngram_jaccard_join": lambda spark, d: jaccard_join.report(table(spark, d, "documents")),
         "op5_nearest_neighbours": lambda spark, d: neighbours.report(table(spark, d, "embeddings")),
         "op6_language_model": lambda spark, d: language_model.score(table(spark, d, "documents")),
         "op7_entropy_mixing": lambda spark, d: mixing.mixture(table(spark, d, "documents")),
