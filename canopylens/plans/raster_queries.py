@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from canopylens.functions import geometry as G
+from canopylens.functions.tables import register
 from canopylens.operators import align, colour, raster as R
 from canopylens.plans.fixtures import Inputs
 
 C = F.col
+GRID = "select cast(j * 11 + i as bigint) as tile_id, i * 1040e0 / 11 as xmin, j * 90e0 as ymin, (i + 1) * 1040e0 / 11 as xmax, (j + 1) * 90e0 as ymax from (select unnest(range(11)) as i), (select unnest(range(6)) as j)"
 ZONE = ["zone", "yr"]
 ZSQL = "select *, (row_no // 10) * 10 + col // 10 as zone from {pixels}"
 MED = "select yr, median(h) as median from {pixels} where h <> 0 group by yr"
@@ -48,6 +50,12 @@ def similarity(f: Inputs):
     return colour.histogram_similarity(h, h.where("yr = 1996"), ["yr"])
 
 
+def tiles_by_sql(f: Inputs):
+    """Crown corners in each tile, with the tiles from the SQL table function."""
+    register(f.spark)
+    return f.spark.sql("select tile_id, count(*) as n from tile_grid(0, 0, 1040, 540, 100) t join {shapes} s on s.x0 >= t.xmin and s.x0 < t.xmax and s.y0 >= t.ymin and s.y0 < t.ymax group by tile_id", shapes=f.shapes)
+
+
 def small_crowns(f: Inputs):
     s = f.shape_obs.where("id < 400").withColumns({"x0": C("x0") % 90, "y0": C("y0") % 90})
     return s.select("id", "yr", G.bbox(G.l_shape(C("x0"), C("y0"), C("arm"), C("width"))).alias("bounds"))
@@ -64,7 +72,8 @@ QUERIES = {
     "op_r6_five_bands": (lambda f: with_terrain(f).select("yr", "row_no", "col", "r", "g", "b", "h", "t"), f"select yr, p.row_no, p.col, r, g, b, h, t {NEAREST}"),
     "op_r7_canopy_height": (lambda f: R.canopy_height(with_terrain(f), "h", "t", 50).select("yr", "row_no", "col", F.round("chm", 4).alias("chm")), f"select yr, p.row_no, p.col, round(case when h - t > 50 or h - t < 0 then 0 else h - t end, 4) as chm {NEAREST}"),
     "op_r8_mosaic": (lambda f: R.mosaic(R.mask_nodata(f.pixels, ["b"], 0), "yr", ["b"]), "select row_no, col, min_by(b, yr) filter (b <> 0) as b from {pixels} group by row_no, col"),
-    "op_r9_tile_grid": (lambda f: R.tile_grid(f.spark, 0, 0, 1040, 540, 100), "select j * 11 + i as tile_id, i * 1040.0 / 11 as xmin, j * 90.0 as ymin, (i + 1) * 1040.0 / 11 as xmax, (j + 1) * 90.0 as ymax from (select unnest(range(11)) as i), (select unnest(range(6)) as j)"),
+    "op_r9_tile_grid": (lambda f: R.tile_grid(f.spark, 0, 0, 1040, 540, 100), GRID),
+    "op_x4_tiles_per_crown": (tiles_by_sql, "select cast((y0 // 90) * 11 + cast(floor(x0 * 11 / 1040e0) as bigint) as bigint) as tile_id, count(*) as n from {shapes} group by 1"),
     "op_r10_cut_tiles": (lambda f: R.cut_tiles(f.pixels, 25, 5, 4).select("yr", "row_no", "col", "tile_row", "tile_col"), TILES),
     "op_r11_tiles_by_date": (lambda f: R.cut_tiles(f.pixels, 25, 5, 4).groupBy("tile_row", "tile_col", "yr").agg(F.count("*").alias("n"), F.sum("r").alias("r")), "select tile_row, tile_col, t.yr, count(*) as n, cast(sum(r) as bigint) as r from (" + TILES + ") t join {pixels} p on t.yr = p.yr and t.row_no = p.row_no and t.col = p.col group by 1, 2, 3"),
     "op_r12_shift": (lambda f: R.shift_transform(f.pixels.select("yr").distinct().select(C("yr").alias("pair"), F.lit(100.0).alias("c"), F.lit(900.0).alias("f")), align.mean_shift(f.tie_points).select((C("pair") + 1990).alias("pair"), "xs", "ys"), "pair"), "select y.yr as pair, 100 + coalesce(s.xs, 0) as c, 900 + coalesce(s.ys, 0) as f from (select distinct yr from {pixels}) y left join (select pair, round(avg(x_shift), 4) as xs, round(avg(y_shift), 4) as ys from (select *, row_number() over (partition by pair order by reliability desc, event_id) as n from {tie_points}) where n <= 10 group by pair) s on y.yr = s.pair + 1990"),
