@@ -65,14 +65,17 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit(x: np.ndarray, y: np.ndarray, steps: int = STEPS, l2: float = L2) -> np.ndarray:
     """Logistic regression by accelerated gradient steps; the last weight is the intercept."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    step = 1 / (0.25 * float((x * x).sum(1).mean()) + l2) * 2
-    w = v = np.zeros(x.shape[1])
-    rare = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3))
+    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
+    y = y.astype(np.float32)
+    step = np.float32(2 / (0.25 * float((x * x).sum(1).mean()) + l2))
+    w = v = np.zeros(x.shape[1], np.float32)
+    rate = float(y.mean())
+    weight = np.where(y == 1, 0.5 / max(rate, 1e-3), 0.5 / max(1 - rate, 1e-3)).astype(np.float32) / len(x)
+    shrink = np.append(np.full(x.shape[1] - 1, l2, np.float32), np.float32(0))
     for k in range(steps):
-        slope = x.T @ ((sigmoid(x @ v) - y) * rare) / len(x) + l2 * np.append(v[:-1], 0)
+        slope = ((sigmoid(x @ v) - y) * weight) @ x + shrink * v
         new = v - step * slope
-        w, v = new, new + k / (k + 3) * (new - w)
+        w, v = new, new + np.float32(k / (k + 3)) * (new - w)
     return w
 
 
