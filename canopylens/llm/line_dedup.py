@@ -25,7 +25,7 @@ def chunk_lines(docs: DataFrame, text: str = "text", divisor: int = DIVISOR, lon
     docs = docs.withColumn("_starts", F.filter(F.transform(m, lambda x, i: F.when(begins(x, i), i)), lambda i: i.isNotNull()))
     size = lambda s, k: F.coalesce(F.get(F.col("_starts"), k + 1), F.size("_lines")) - s
     body = lambda s, k: F.array_join(F.slice("_lines", s + 1, size(s, k)), "\n")
-    chunk = lambda s, k: F.struct(s.alias("from"), size(s, k).alias("n"), F.xxhash64(body(s, k)).alias("hash"), (((size(s, k) > 1) | F.get(m, s)["long"]) & (F.trim(body(s, k)) != "")).alias("whole"))
+    chunk = lambda s, k: F.struct(s.alias("from"), size(s, k).alias("n"), F.xxhash64(body(s, k)).alias("hash"), (((size(s, k) > 1) | F.get(m, s)["long"]) & body(s, k).rlike(r"[^\x00-\x20]")).alias("whole"))
     return docs.withColumn("_chunks", F.transform("_starts", chunk)).drop("_marks", "_starts")
 
 
@@ -33,7 +33,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """docs with text without its repeated chunks, and n_chunks, n_removed, removed (the texts taken out, in order).
 
     Of equal chunks the one of the smallest (doc_id, row, place) stays. Null texts stay null and empty ones empty;
-    a document may come out empty. Repeated rows count as separate documents: all but the first lose their chunks.
+    a document may come out empty. Blank chunks always stay. Repeated rows count as separate documents: all but the first lose their chunks.
     Ties and copies of any number are settled by the same order. Columns of docs with these names are replaced.
     """
     new = ["n_chunks", "n_removed", "removed"]
@@ -69,4 +69,4 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 def stage(docs: DataFrame) -> DataFrame:
     """Documents with their clean text; those of which nothing is left go."""
     out = dedup_lines(docs)
-    return out.where((F.col("n_removed") == 0) | (F.trim("text") != "")).select(*docs.columns)
+    return out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x00-\x20]")).select(*docs.columns)

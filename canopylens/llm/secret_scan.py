@@ -20,7 +20,7 @@ KINDS = [k for k, *_ in PATTERNS] + ["markov"]
 #: What the models judge: runs of these characters, of this length at least.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Mean log-likelihood ratio for each pair of characters (natural log) from which a run counts as random.
-THRESHOLD = 0.75
+THRESHOLD = 0.3
 
 
 def _spans(text: Column, pattern: str, hits: Column, values: Column, least: int) -> Column:
