@@ -1,9 +1,9 @@
 """Best-fit packing of token sequences with certified bin counts.
 
 Pieces are dealt to partitions and packed there by best-fit decreasing. A lower bound from dual feasible functions tells
-how many bins a partition needs at least; one that reached it is certified and final. Partitions with a gap keep their
-full bins, hand the documents of the others to an exchange, and those are dealt anew, to fewer partitions, and packed
-again.
+how many bins a partition needs at least; one that reached it is certified, and all its bins but the emptiest are final.
+Partitions with a gap keep their full bins only. The documents of the other bins go to an exchange, are dealt anew, to
+fewer partitions, and packed again.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import math
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -28,38 +29,98 @@ ROUNDS = 3
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class _Ids(dict):
-    """Ids of a word as bytes, tokenised once; emptied at most words."""
+class WordIds:
+    """Ids of words as bytes, each word tokenised once for as long as it is remembered.
 
-    def __init__(self, tokenizer, most: int = 300_000):
-        self.tokenizer, self.most = tokenizer, most
+    The tokenizer drops white space, never joins across it, and splits letters from punctuation; the last token of each
+    such part ends in END_OF_WORD. So all new words of letters are tokenised in one call and told apart by that mark.
+    """
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) < 40:
-            self[word] = ids
-        return ids
+    END_OF_WORD = "</w>"
+    MOST = 1_000_000
+    #: What may follow the letters of a word and then is a part of its own.
+    TAIL = ".,;:!?*#$%&|()"
+    _known: dict[str, WordIds] = {}
+
+    def __init__(self, vocabulary: str):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith(self.END_OF_WORD)]] = True
+        self.ids: dict[str, bytes] = {"": b""}
+        # for words of ASCII letters in lower case the same model needs no normalizer and only white space to split at
+        self.light = Tokenizer.from_file(vocabulary)
+        self.light.normalizer, self.light.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        probe = " ".join(sorted({w.removesuffix(self.END_OF_WORD) for w in vocab if w.removesuffix(self.END_OF_WORD).isalpha() and w.isascii() and w.islower()})[:5000])
+        if self._encode(probe).tolist() != self.light.encode(probe, add_special_tokens=False).ids:
+            self.light = self.tokenizer
+
+    @classmethod
+    def of(cls, vocabulary: str) -> WordIds:
+        """One for each worker process."""
+        if vocabulary not in cls._known:
+            cls._known[vocabulary] = cls(vocabulary)
+        return cls._known[vocabulary]
+
+    def _encode(self, text: str, light: bool = False) -> np.ndarray:
+        tokenizer = self.light if light else self.tokenizer
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _encode_words(self, words: list[str], light: bool) -> None:
+        """Remember the ids of words of letters, some thousand in a call."""
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            found = self._encode(" ".join(some), light)
+            cuts = [0, *((np.flatnonzero(self.ends[found]) + 1) * 4).tolist()]
+            if len(cuts) == len(some) + 1:
+                raw = found.tobytes()
+                self.ids.update((w, raw[a:b]) for w, a, b in zip(some, cuts, cuts[1:], strict=False))
+            else:
+                self.ids.update((w, self._encode(w).tobytes()) for w in some)
+
+    def _split(self, word: str) -> tuple[str, str]:
+        """The letters of a word and the punctuation after them; none for words of another form."""
+        base = word.rstrip(self.TAIL)
+        if base.isascii():
+            return (base.lower(), word[len(base) :]) if base.isalpha() else ("", "")
+        return (base, word[len(base) :]) if base.isalpha() and is_normalized("NFC", base) else ("", "")
+
+    def learn(self, words: set[str]) -> None:
+        """Remember the ids of words; of those, words of letters are tokenised together."""
+        if len(self.ids) > self.MOST:
+            self.ids = {"": b""}
+        ids = self.ids
+        new = {w: self._split(w) for w in words.difference(ids)}
+        bases = {base for base, _ in new.values()}.difference(ids)
+        for w in {tail for _, tail in new.values()}.difference(ids):
+            ids[w] = self._encode(w).tobytes()
+        self._encode_words([w for w in bases if w.isascii()], True)
+        self._encode_words([w for w in bases if w and not w.isascii()], False)
+        for w, (base, tail) in new.items():
+            ids[w] = ids[base] + ids[tail] if base else self._encode(w).tobytes()
+
+    def streams(self, texts: list[str | None]) -> list[bytes]:
+        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        self.learn(set().union(*split))
+        return [b"".join(map(self.ids.__getitem__, words)) for words in split]
 
 
 def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The pieces of each document: its ids and a final id 0, cut every capacity tokens.
 
-    The tokenizer drops white space and never joins across it, so that words are tokenised one by one and kept.
     A null text is empty: one piece of the id 0. Null ids and repeated rows are documents of their own.
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        ids = _Ids(Tokenizer.from_file(vocabulary))
+        ids = WordIds.of(vocabulary)
         end = np.array([0], "<u4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch, out = whole.slice(at, 500), []
-                for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    stream = b"".join([ids[w] for w in (body or "").replace("\n", " ").split(" ")]) + end
+                for key, stream in zip(batch.column(0).to_pylist(), ids.streams(batch.column(1).to_pylist()), strict=True):
+                    stream += end
                     for k, start in enumerate(range(0, len(stream), capacity * 4)):
                         part = stream[start : start + capacity * 4]
                         out.append((key, k, start // 4, len(part) // 4, zlib.crc32(part)))
@@ -126,8 +187,9 @@ def _round(todo: DataFrame, number: int, rows: int, last: bool, capacity: int) -
         lengths = pdf["length"].to_numpy()
         bins, offsets, n_bins = best_fit_decreasing(lengths, capacity)
         bound = lower_bound(lengths, capacity)
-        full = np.bincount(bins, lengths, n_bins)[bins] == capacity
-        return pdf.assign(sequence_id=(number << 56) + pdf["part"].astype("int64") * (1 << 24) + bins, offset=offsets, final=full | last | (n_bins == bound), part_bins=n_bins, part_bound=bound)
+        fill = np.bincount(bins, lengths, n_bins)
+        stays = fill[bins] == capacity if n_bins > bound else bins != fill.argmin()
+        return pdf.assign(sequence_id=(number << 56) + pdf["part"].astype("int64") * (1 << 24) + bins, offset=offsets, final=stays | last, part_bins=n_bins, part_bound=bound)
 
     schema = f"{PIECES}, part int, sequence_id long, offset long, final boolean, part_bins long, part_bound long"
     return dealt.groupBy("part").applyInPandas(pack, schema)
