@@ -12,8 +12,8 @@ import numpy as np
 
 #: For each byte value and k, the place of its k-th set bit; 8 where there is none.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
-_ONES = _BITS.sum(1).astype(np.int64)
-_SELECT = np.full((256, 8), 8, np.int64)
+_ONES = _BITS.sum(1).astype(np.uint8)
+_SELECT = np.full((256, 8), 8, np.uint8)
 for _k in range(8):
     _rows, _at = np.nonzero((np.cumsum(_BITS, 1) == _k + 1) & (_BITS == 1))
     _SELECT[_rows, _k] = _at
@@ -41,13 +41,13 @@ class EliasFano:
         marks = np.zeros(words * 64, np.uint8)
         marks[first + np.arange(n)] = 1
         high = np.packbits(marks, bitorder="little")
-        ones = np.concatenate([[0], np.cumsum(_ONES[high].reshape(-1, 8).sum(1))])
-        if bits:
-            last = values & np.uint64((1 << bits) - 1)
-            shown = np.unpackbits(last.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")[:, :bits]
-            low = np.concatenate([np.packbits(shown.ravel(), bitorder="little"), np.zeros(9, np.uint8)])
-        else:
-            low = np.zeros(9, np.uint8)
+        ones = np.concatenate([[0], np.cumsum(_ONES[high].reshape(-1, 8).sum(1, dtype=np.int64))])
+        low = np.zeros((n * bits + 7) // 8 + 9, np.uint8)
+        for at in range(0, n if bits else 0, 1 << 16):  # as many numbers as give whole bytes
+            last = values[at : at + (1 << 16)] & np.uint64((1 << bits) - 1)
+            shown = np.unpackbits(last.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :bits]
+            packed = np.packbits(shown.ravel(), bitorder="little")
+            low[at * bits // 8 : at * bits // 8 + len(packed)] = packed
         return cls(n, bits, low, high, ones.astype(np.int64))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
@@ -66,17 +66,13 @@ class EliasFano:
         before = self.ones_before if ones else self.zeros_before
         word = np.searchsorted(before, k, "right") - 1
         left = k - before[word]
-        place, found = word * 64, np.zeros(len(k), bool)
-        out = np.zeros(len(k), np.int64)
-        for j in range(8):
-            byte = self.high[np.minimum(word * 8 + j, len(self.high) - 1)]
-            byte = byte if ones else ~byte
-            n = _ONES[byte]
-            here = ~found & (left < n)
-            out[here] = place[here] + 8 * j + _SELECT[byte[here], left[here]]
-            found |= here
-            left = np.where(found, left, left - n)
-        return out
+        bytes_ = self.high.reshape(-1, 8)[np.minimum(word, len(self.high) // 8 - 1)]
+        if not ones:
+            bytes_ = ~bytes_
+        upto = np.cumsum(_ONES[bytes_], 1, dtype=np.int64)
+        at = np.minimum((upto <= left[:, None]).sum(1), 7)
+        each = np.arange(len(k))
+        return word * 64 + 8 * at + _SELECT[bytes_[each, at], np.minimum(left - np.where(at > 0, upto[each, at - 1], 0), 7)]
 
     def access(self, i: np.ndarray) -> np.ndarray:
         i = i.astype(np.int64)
@@ -165,8 +161,14 @@ class Trie:
         return cls({k: EliasFano.of(v) for k, v in levels.items()}, quantise((n - discount) / total[of]), quantise(discount * kinds / np.maximum(total, 1)))
 
     def query(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the share of each word after its context (255: unseen) and of the context's rest (0: unseen)."""
-        c, w = self.levels["contexts"].find(context), self.levels["words"].find(word)
+        """Codes of the share of each word after its context (255: unseen) and of the context's rest (0: unseen).
+
+        Queries are ordered by context, so that each context is looked up once; so is each word.
+        """
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
+        c = np.repeat(self.levels["contexts"].find(context[first]), np.diff(np.append(first, len(context))))
+        words, of = np.unique(word, return_inverse=True)
+        w = self.levels["words"].find(words)[of]
         shares, rests = np.full(len(c), 255, np.uint8), np.zeros(len(c), np.uint8)
         seen = c >= 0
         rests[seen] = self.rests[c[seen]]

@@ -24,8 +24,8 @@ from canopylens.llm.elias_fano import Trie, dequantise
 
 DISCOUNT = 0.75
 #: Characters of a block and of the text whose n-grams make up a shard.
-BLOCK_CHARS = 6_000_000
-SHARD_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
+SHARD_CHARS = 8_000_000
 #: The end of a text is a token; its hash stands for no word. The start is a context only.
 END, START = 1, 2
 HELD_OUT = (5, 1)
@@ -137,20 +137,22 @@ def lookups(blocks: DataFrame, shards: int, discount: float) -> DataFrame:
         context = np.concatenate([np.frombuffer(c, np.uint64) for _, c, _, _ in asked])
         word = np.concatenate([np.frombuffer(w, np.uint32) for _, _, w, _ in asked])
         n = np.concatenate([np.frombuffer(c, np.uint32) for _, _, _, c in asked]).astype(np.int64)
-        use = n > 0
-        order = np.lexsort((word[use], context[use])) if level > 1 else np.argsort(context[use], kind="stable")
-        c, w, m = context[use][order], word[use][order], n[use][order]
-        new = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])])) if len(c) else np.zeros(0, np.int64)
-        c, w, m = c[new], w[new], np.add.reduceat(m, new) if len(new) else m
-        ends = np.cumsum([len(x[2]) // 4 for x in asked])
+        order = np.lexsort((word, context)) if level > 1 else np.argsort(context, kind="stable")
+        c, w, m = context[order], word[order], n[order]
+        new = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])]))
+        times = np.diff(np.append(new, len(c)))
+        c, w, m = c[new], w[new], np.add.reduceat(m, new)
+        seen = m > 0
         if level == 1:
-            at = np.minimum(np.searchsorted(c, context), max(0, len(c) - 1))
-            got = np.where(c[at] == context, m[at], 0) if len(c) else np.zeros(len(context), np.int64)
-            a, b = got.astype(np.int64), np.zeros(len(got), np.uint8)
+            a, b = m, np.zeros(len(m), np.uint8)
         else:
-            a, b = Trie.load(Trie.of(c, w, m, discount).save()).query(context, word)
+            a, b = Trie.load(Trie.of(c[seen], w[seen], m[seen], discount).save()).query(c, w)
+        of = np.empty(len(order), np.int64)
+        of[order] = np.repeat(np.arange(len(new)), times)
+        a, b, m = a[of], b[of], m[seen]
+        ends = np.cumsum([len(x[2]) // 4 for x in asked])
         out = [(blk, level, shard, x.tobytes(), y.tobytes(), 0, 0) for (blk, *_), x, y in zip(asked, np.split(a, ends[:-1]), np.split(b, ends[:-1]), strict=True)]
-        out.append((-1, level, shard, b"", b"", int(m.sum()) if level == 1 else 0, len(c) if level == 1 else 0))
+        out.append((-1, level, shard, b"", b"", int(m.sum()) if level == 1 else 0, len(m) if level == 1 else 0))
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
         return pa.table([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "level", "shard", "a", "b", "total", "kinds"])
 
