@@ -54,3 +54,11 @@ BROADCAST_ROWS = 1_000_000
 def sent_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has at most so many rows; it is counted for that."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def fenced(df: DataFrame) -> DataFrame:
+    """df behind a column that is not deterministic: filters on df's columns stay above it.
+
+    Moved below, a filter would take the columns' expressions with it, and inside a lambda compute them for each element.
+    """
+    return df.withColumn("_fence", F.monotonically_increasing_id()).where("_fence >= 0").drop("_fence")

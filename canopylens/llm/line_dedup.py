@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canopylens.llm.common import fenced
+
 #: One boundary in so many places; words of a line that is a chunk of its own.
 DIVISOR = 2
 LONG_WORDS = 50
@@ -53,11 +55,11 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     out = chunk_lines(marked.join(gone, F.col("_row") == F.col("_g"), "left").withColumn("_gone", F.coalesce("_gone", F.expr("cast(array() as array<int>)"))), text)
     piece = lambda c: F.array_join(F.slice("_lines", c["from"] + 1, c["n"]), "\n")
     stays = F.array_join(F.transform(F.filter("_chunks", lambda c: ~F.array_contains("_gone", c["from"])), piece), "\n")
-    return out.select(
+    return fenced(out.select(
         *[F.when(F.size("_gone") > 0, stays).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in docs.columns if c not in new],
         F.size("_chunks").alias("n_chunks"), F.size("_gone").alias("n_removed"),
         F.transform(F.filter("_chunks", lambda c: F.array_contains("_gone", c["from"])), piece).alias("removed"),
-    )
+    ))
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
