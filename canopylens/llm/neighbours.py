@@ -127,7 +127,7 @@ def build_index(rows: DataFrame, k: int = K, shard_vectors: int = SHARD_VECTORS)
     distinct = rows.distinct().withColumn("r", rank).where(F.col("r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     distinct = cut(distinct.withColumn("dim", F.size("v")), "vectors")
     parts = distinct.groupBy("dim").agg(F.ceil(F.count("*") / shard_vectors).cast("int").alias("parts"))
-    dealt = distinct.join(F.broadcast(parts), "dim").withColumn("shard", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
+    dealt = distinct.join(parts, "dim").withColumn("shard", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ids", key=lambda s: s.map(lambda i: i[0]), ignore_index=True)
@@ -147,7 +147,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM) -
     """
     blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     shards = index.groupBy("dim").agg(F.max("parts").alias("parts"))
-    asked = queries.withColumn("dim", F.size("v")).join(F.broadcast(shards), "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    asked = queries.withColumn("dim", F.size("v")).join(shards, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     asked = asked.select("dim", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("shard"), "block", "vec_id", "v")
     graph = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
