@@ -4,14 +4,15 @@ Documents are sets of shingles. Equal sets are one node. Similar nodes are put i
 hash are compared with one of them, and those found similar form clusters, dealt into groups of bounded size. The matrix
 says which tokens a group holds; it keeps those tokens that decide: of each node the first ones in hash order, so many
 that similar nodes share a known number of them. A group is opened for another one only where enough of these tokens
-are shared and where a query's overlap with the union of all tokens of the group reaches what similarity asks for.
+are shared by their clusters, the smaller asking the groups of the larger, and where a query's overlap with the union of all tokens of the group reaches what similarity asks for.
 
 Why no link is lost. Let p(n) = n - ceil(t n) + 1 and L(n) >= p(n) the tokens kept of a node of n tokens. Nodes a and b
 of similarity t or more overlap in at least t max(|a|, |b|) tokens, so that they share at least
 min(L(a) - p(a), L(b) - p(b)) + 1 of the kept ones. Tokens in more than COMMON clusters are not followed; a node with h
 such tokens shares at least extra(a) - h others with each partner, where extra is the least shared number over all
 partner sizes. Nodes for which that is not positive ("deep") can only be missed by other deep nodes with which they
-share extra(a) common tokens; these are found by the first h - extra(a) + 1 of their common tokens.
+share extra(a) common tokens; these are found by the h - extra(a) + 1 of their common tokens that the fewest deep nodes
+have.
 """
 
 from __future__ import annotations
@@ -37,7 +38,11 @@ COMMON = 16
 GROUP = 48
 QUERIES = 256
 #: Kept tokens of all nodes that one task counts.
-RANGE_TOKENS = 2_000_000
+RANGE_TOKENS = 500_000
+#: Nodes whose tokens a task holds at once.
+NODES = 2_000
+#: Common tokens by which a deep node is first compared with one other each.
+FIRST_COMMON = 6
 _M = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 
@@ -51,14 +56,13 @@ def mix(h: np.ndarray) -> np.ndarray:
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """Ordered distinct 64-bit hashes of each text's shingles; of all its words as one if there are fewer."""
     ids: dict[bytes, int] = {}
-    local: list[int] = []
-    lengths = []
+    local: list[np.ndarray] = []
     for t in texts:
         own = (t or "").encode().lower().split()
-        local += [ids.setdefault(w, len(ids)) for w in own]
-        lengths.append(len(own))
+        local.append(np.fromiter((ids.setdefault(w, len(ids)) for w in own), np.int32, len(own)))
+    lengths = [len(x) for x in local]
     hashes = np.array([xxhash.xxh64_intdigest(w) for w in ids] or [0], np.uint64)
-    h = hashes[np.array(local, np.int64)] if local else np.zeros(0, np.uint64)
+    h = hashes[np.concatenate(local)] if local else np.zeros(0, np.uint64)
     rolled = np.zeros(max(0, len(h) - words + 1), np.uint64)
     for k in range(words):
         rolled = mix(rolled * _M[0] + h[k : k + len(rolled)])
@@ -103,6 +107,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, k1, k2, n, set, mins): of each row the hashes of its text, its set's size, digest and minimum hashes."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()
         seeds = [mix(np.array([k + 1], np.uint64))[0] for k in range(MIN_HASHES)]
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
@@ -120,6 +125,8 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def open_groups(members: DataFrame, asks: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """Links (a, b) between queries and members of the groups that they open.
 
+    Of the links of a task only those come out that connect what others have not: they reach the same nodes.
+
     members, asks: (gid, node). Queries of a group are dealt to tasks of QUERIES each, which all get the group's texts.
     """
     parts = asks.groupBy("gid").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
@@ -131,6 +138,13 @@ def open_groups(members: DataFrame, asks: DataFrame, nodes: DataFrame, docs: Dat
 
     def compare(t: pa.Table) -> pa.Table:
         query, names, a, b = t.column("query").to_pylist(), t.column("node").to_pylist(), [], []
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
         sets = shingle_sets(t.column("_text").to_pylist())
         held = [i for i, q in enumerate(query) if not q]
         union = np.unique(np.concatenate([sets[i] for i in held])) if held else np.zeros(0, np.uint64)
@@ -143,39 +157,63 @@ def open_groups(members: DataFrame, asks: DataFrame, nodes: DataFrame, docs: Dat
                 continue
             for j in held:
                 m = sets[j]
-                if names[i] != names[j] and 100 * min(len(s), len(m)) >= SIMILAR * max(len(s), len(m)):
+                if root(names[i]) != root(names[j]) and 100 * min(len(s), len(m)) >= SIMILAR * max(len(s), len(m)):
                     both = len(np.intersect1d(s, m, assume_unique=True))
                     if 100 * both >= SIMILAR * (len(s) + len(m) - both):
                         a.append(names[i])
                         b.append(names[j])
+                        parent[root(names[i])] = root(names[j])
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return cut(rows.join(texts, ["k1", "k2"]).select("gid", "part", "node", "query", "_text").groupBy("gid", "part").applyInArrow(compare, "a long, b long"), "links")
 
 
+def stars(keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """(gid, node): each node (node, n, keys) with the first one of the same keys, if their sizes allow a link."""
+    heads = keyed.groupBy(*keys).agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", *keys).alias("h"), "node", "n")).alias("head")).where("c > 1")
+    heads = heads.select(*keys, F.col("head.node").alias("gid"), F.col("head.n").alias("head_n"))
+    return cut(keyed.join(heads, keys).where(f"node <> gid and 100 * least(n, head_n) >= {SIMILAR} * greatest(n, head_n)").select("gid", "node").distinct(), "stars")
+
+
+def deep_links(deep: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Links between deep nodes that share a probe token and are not in one component yet.
+
+    deep: (node, n, tokens). Each node is in one group, of nodes with an equal minimum hash of their tokens. A node asks
+    those groups once that hold one of its tokens, itself or through a later group, unless all there are of its component.
+    """
+    of = deep.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"), "tokens", F.array_min(F.transform("tokens", lambda t: F.xxhash64(t))).alias("h")).where("size(tokens) > 0")
+    parts = of.groupBy("h").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    of = cut(of.join(parts, "h").select("node", "cluster", "tokens", F.xxhash64("h", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("own")), "deep-groups")
+    each = of.select("node", "own", "cluster", F.explode("tokens").alias("token"))
+    holds = each.select("token", F.col("own").alias("gid")).distinct()
+    asks = each.join(holds, "token").where("gid >= own").select("gid", "node", "cluster").distinct()
+    clusters = of.groupBy(F.col("own").alias("gid")).agg(F.min("cluster").alias("c0"), F.max("cluster").alias("c1"))
+    asks = cut(asks.join(clusters, "gid").where("c0 <> cluster or c1 <> cluster").select("gid", "node"), "deep-asks")
+    held = of.select(F.col("own").alias("gid"), "node").join(asks.select("gid").distinct(), "gid")
+    return open_groups(held, asks, nodes, docs, text)
+
+
 def first_links(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """Links to one node of each set of nodes with an equal minimum hash."""
-    hashed = nodes.select("node", "n", F.posexplode("mins").alias("k", "m"))
-    heads = hashed.groupBy("k", "m").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("head")).where("c > 1").select("k", "m", F.col("head.node").alias("gid"), F.col("head.n").alias("head_n"))
-    asks = hashed.join(heads, ["k", "m"]).where(f"node <> gid and 100 * least(n, head_n) >= {SIMILAR} * greatest(n, head_n)").select("gid", "node").distinct()
-    asks = cut(asks, "stars")
+    asks = stars(nodes.select("node", "n", F.posexplode("mins").alias("k", "m")), ["k", "m"])
     return open_groups(asks.select("gid").distinct().withColumn("node", F.col("gid")), asks, nodes, docs, text)
 
 
 def matrix(grouped: DataFrame, docs: DataFrame, text: str, tokens: int) -> DataFrame:
-    """(kind, a, b, shared): group pairs with the kept tokens that they share (kind 0), and common tokens of nodes (1).
+    """(kind, a, b, shared): cluster pairs with the kept tokens that they share (kind 0), and common tokens of nodes (1).
 
-    grouped: (k1, k2, node, n, cluster, gid), one row for each node. A token goes to the task of its range of hashes;
+    grouped: (k1, k2, node, n, cluster), one row for each node. A token goes to the task of its range of hashes;
     of a token that is common within one batch of nodes, only as many entries as show that go there.
     """
     ranges = max(1, math.ceil(tokens / RANGE_TOKENS))
-    node_type = [("node", "<i8"), ("cluster", "<i8"), ("gid", "<i8"), ("n", "<i8")]
+    node_type = [("node", "<i8"), ("cluster", "<i8"), ("n", "<i8")]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()
         done: set[int] = set()
-        for number, whole in enumerate(batches):
+        for number, whole in enumerate(b.slice(at, NODES) for b in batches for at in range(0, b.num_rows, NODES)):
             low, of = [], []
-            about = np.rec.fromarrays([whole.column(c).to_numpy() for c in ("node", "cluster", "gid", "n")], dtype=node_type)
+            about = np.rec.fromarrays([whole.column(c).to_numpy() for c in ("node", "cluster", "n")], dtype=node_type)
             for at in range(0, whole.num_rows, 500):
                 for k, s in enumerate(shingle_sets(whole.column("_text").slice(at, 500).to_pylist()), at):
                     if int(about["node"][k]) in done:  # copies of a text
@@ -210,7 +248,7 @@ def matrix(grouped: DataFrame, docs: DataFrame, text: str, tokens: int) -> DataF
         about = np.concatenate([np.frombuffer(x, node_type) for x in t.column("nodes").to_pylist()])
         if t.column("range")[0].as_py() < 0:
             return _found([], about["node"], token)
-        order = np.lexsort((about["gid"], about["cluster"], token))
+        order = np.lexsort((about["cluster"], token))
         token, about = token[order], about[order]
         new_token = np.concatenate([[True], token[1:] != token[:-1]])
         new_cluster = new_token | np.concatenate([[True], about["cluster"][1:] != about["cluster"][:-1]])
@@ -221,18 +259,17 @@ def matrix(grouped: DataFrame, docs: DataFrame, text: str, tokens: int) -> DataF
         pairs: dict[tuple[int, int], int] = {}
         for i in np.flatnonzero((clusters > 1) & (clusters <= COMMON)):
             part = about[starts[i] : starts[i] + sizes[i]]
-            first = np.flatnonzero(np.concatenate([[True], part["gid"][1:] != part["gid"][:-1]]))
+            first = np.flatnonzero(np.concatenate([[True], part["cluster"][1:] != part["cluster"][:-1]]))
             least, most = np.minimum.reduceat(part["n"], first).tolist(), np.maximum.reduceat(part["n"], first).tolist()
-            gid, cluster = part["gid"][first].tolist(), part["cluster"][first].tolist()
-            for x in range(len(gid)):
-                for y in range(x + 1, len(gid)):
-                    if cluster[x] != cluster[y] and 100 * most[x] >= SIMILAR * least[y] and 100 * most[y] >= SIMILAR * least[x]:
-                        key = (gid[x], gid[y]) if gid[x] < gid[y] else (gid[y], gid[x])
-                        pairs[key] = pairs.get(key, 0) + 1
+            cluster = part["cluster"][first].tolist()
+            for x in range(len(cluster)):
+                for y in range(x + 1, len(cluster)):
+                    if 100 * most[x] >= SIMILAR * least[y] and 100 * most[y] >= SIMILAR * least[x]:
+                        pairs[cluster[x], cluster[y]] = pairs.get((cluster[x], cluster[y]), 0) + 1
         return _found([(a, b, n) for (a, b), n in pairs.items()], about["node"][common], token[common])
 
-    rows = keys(docs.select(F.col(text).alias("_text")), "_text").join(sent_if_small(grouped), ["k1", "k2"]).select("node", "cluster", "gid", "n", "_text")
-    return cut(rows.mapInArrow(spread, "range long, tokens binary, nodes binary").groupBy("range").applyInArrow(count, "kind int, a long, b long, shared long"), "matrix")
+    rows = keys(docs.select(F.col(text).alias("_text")), "_text").join(sent_if_small(grouped), ["k1", "k2"]).select("node", "cluster", "n", "_text")
+    return cut(rows.mapInArrow(spread, "range long, tokens binary, nodes binary").repartition(max(2, ranges), "range").groupBy("range").applyInArrow(count, "kind int, a long, b long, shared long"), "matrix")
 
 
 def _found(pairs: list[tuple[int, int, int]], node: np.ndarray, token: np.ndarray) -> pa.Table:
@@ -256,31 +293,33 @@ def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     links = first_links(nodes, docs, text)
 
     clusters = components(links).withColumnRenamed("component", "cluster")
-    grouped = nodes.join(clusters, "node", "left").select("node", "n", "k1", "k2", F.coalesce("cluster", "node").alias("cluster"))
+    grouped = cut(nodes.join(clusters, "node", "left").select("node", "n", "k1", "k2", F.coalesce("cluster", "node").alias("cluster")), "clustered")
     sizes = grouped.groupBy("cluster").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
-    grouped = cut(grouped.join(sizes, "cluster").select("*", F.xxhash64("cluster", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("gid")).drop("parts"), "groups")
+    grouped = cut(grouped.join(sizes, "cluster").select("*", F.when(F.col("parts") > 1, F.xxhash64("cluster", F.pmod(F.xxhash64("node"), F.col("parts")))).otherwise(F.col("cluster")).alias("gid")).drop("parts"), "groups")
     total = grouped.agg(F.sum(F.col("n") * 0.3 + 8)).first()[0] or 0
     found = matrix(grouped, docs, text, int(total))
 
     common = found.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.sort_array(F.collect_set("b")).alias("tokens"))
     weighed = cut(grouped.join(common, "node", "left").withColumn("extra", _extra(F.col("n"))).withColumn("spare", F.col("extra") - F.coalesce(F.size("tokens"), F.lit(0))), "weighed")
-    asked = weighed.groupBy("gid").agg(F.min("spare").alias("spare"))
+    asked = weighed.groupBy("cluster").agg(F.min("spare").alias("spare"), F.count("*").alias("c"))
     pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     for side in ("a", "b"):
-        pairs = pairs.join(asked.select(F.col("gid").alias(side), F.col("spare").alias(f"spare_{side}")), side)
-    pairs = cut(pairs.where("shared >= greatest(spare_a, spare_b)").select("a", "b"), "group-pairs")
-    members = grouped.select("gid", "node")
-    opened = open_groups(members.join(pairs.select(F.col("a").alias("gid")).distinct(), "gid"), pairs.join(members.withColumnRenamed("gid", "b"), "b").select(F.col("a").alias("gid"), "node").distinct(), nodes, docs, text)
-
-    deep = weighed.where("spare <= 0").select("node", "cluster", F.explode(F.expr("slice(tokens, 1, size(tokens) - extra + 1)")).alias("token"))
-    many = deep.groupBy("token").agg(F.count("*").alias("c"), F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x <> y").select("token", F.ceil(F.col("c") / GROUP).cast("int").alias("parts"))
-    dealt = cut(deep.join(many, "token").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "deep")
-    held = dealt.select(F.xxhash64("token", "part").alias("gid"), "node")
-    asks = dealt.select("token", "node", F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("part")).select(F.xxhash64("token", "part").alias("gid"), "node")
-    opened_deep = open_groups(held, asks, nodes, docs, text)
-
-    final = components(links.union(opened).union(opened_deep))
-    of = nodes.join(final, "node", "left").select("set", "least_id", F.coalesce("component", "node").alias("component"))
+        pairs = pairs.join(asked.select(F.col("cluster").alias(side), F.col("spare").alias(f"spare_{side}"), F.col("c").alias(f"c_{side}")), side)
+    first = (F.col("c_a") < F.col("c_b")) | (F.col("c_a") == F.col("c_b")) & (F.col("a") < F.col("b"))
+    pairs = cut(pairs.where("shared >= greatest(spare_a, spare_b)").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("small"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("large")), "cluster-pairs")
+    queries = pairs.join(grouped.select(F.col("cluster").alias("small"), "node"), "small")
+    asks = queries.join(grouped.select(F.col("cluster").alias("large"), "gid").distinct(), "large").select("gid", "node").distinct()
+    members = grouped.join(pairs.select(F.col("large").alias("cluster")).distinct(), "cluster").select("gid", "node")
+    opened = open_groups(members, asks, nodes, docs, text)
+
+    deep = weighed.where("spare <= 0").select("node", "n", "extra", F.explode("tokens").alias("token"))
+    deep = deep.join(deep.groupBy("token").agg(F.count("*").alias("df")), "token").groupBy("node", "n").agg(F.first("extra").alias("extra"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    probes = F.filter(F.slice("t", 1, F.size("t") - F.col("extra") + 1), lambda t: t["df"] > 1)
+    deep = cut(deep.select("node", "n", F.transform(probes, lambda t: t["token"]).alias("tokens")), "deep")
+    starred = stars(deep.select("node", "n", F.posexplode(F.slice("tokens", 1, FIRST_COMMON)).alias("k", "m")), ["m"])
+    near = links.union(opened).union(open_groups(starred.select("gid").distinct().withColumn("node", F.col("gid")), starred, nodes, docs, text))
+    final = components(near.union(deep_links(deep, components(near), nodes, docs, text)))
+    of = cut(nodes.join(final, "node", "left").select("set", "least_id", F.coalesce("component", "node").alias("component")), "placed")
     least = of.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = of.join(least, "component").select("set", "component_id")
     out = signed.join(named, "set", "left")
@@ -301,3 +340,18 @@ def stage(docs: DataFrame) -> DataFrame:
     once = out.where("c = 1").select(*docs.columns)
     again = out.where("c > 1").dropDuplicates(["doc_id"]).select(*docs.columns)
     return once.union(again)
+
+
+def oracle() -> str:
+    """DuckDB SQL for report(): all pairs with a common shingle, then the smallest id that links reach."""
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+with recursive w as (select doc_id, regexp_extract_all({low}, '[^\x20\x09-\x0D]+') as words from documents),
+s as (select distinct doc_id, array_to_string(words[i : i + {WORDS - 1}], ' ') as g
+    from (select doc_id, words, unnest(range(1, greatest(2, len(words) - {WORDS - 2}))) as i from w where len(words) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+link as (select a, b from shared join n x on a = x.doc_id join n y on b = y.doc_id where 100 * c >= {SIMILAR} * (x.n + y.n - c)),
+reach(doc_id, r) as (select doc_id, doc_id from documents union select doc_id, b from reach join link on r = a)
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id
+from documents d left join n using (doc_id) join (select doc_id, min(r) as component_id from reach group by doc_id) using (doc_id)"""

@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op3_quality_rules": quality.oracle(), "op8_url_filter": url_filter.oracle()}
+    return {"op4_ngram_jaccard_join": jaccard_join.oracle(), "op3_quality_rules": quality.oracle(), "op8_url_filter": url_filter.oracle()}
