@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopylens.llm.common import cut, sent_if_small
+from canopylens.llm.common import cut, n_words, sent_if_small
 from canopylens.llm.components import components
 
 WORDS = 5
@@ -281,9 +281,9 @@ def _found(pairs: list[tuple[int, int, int]], node: np.ndarray, token: np.ndarra
 
 
 def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, k1, k2, n_shingles, component_id) of every row.
+    """(doc_id, k1, k2, n_shingles, component_id, component) of every row.
 
-    component_id is the smallest doc_id that links reach. A text without words and a null one are linked with nothing,
+    component tells components apart whose ids are equal or null; it is null for a text without words. component_id is the smallest doc_id that links reach. A text without words and a null one are linked with nothing,
     and so are null ids counted as larger than all. Repeated rows are copies; any number of copies is one node. Other
     columns are left out. An empty table gives an empty table. Sets are compared by 64-bit hashes of their shingles.
     """
@@ -321,9 +321,9 @@ def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     final = components(near.union(deep_links(deep, components(near), nodes, docs, text)))
     of = cut(nodes.join(final, "node", "left").select("set", "least_id", F.coalesce("component", "node").alias("component")), "placed")
     least = of.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = of.join(least, "component").select("set", "component_id")
+    named = of.join(least, "component").select("set", "component_id", "component")
     out = signed.join(named, "set", "left")
-    return out.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -331,15 +331,16 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one of the smallest id; documents without words stay."""
+    """One row of each component, the one of the smallest (doc_id, k1, k2), null ids last; all rows without words stay."""
     found = cut(join_similar(docs), "similar")
-    stay = found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("k"), F.count("*").alias("c"))
+    rows = found.where("n_shingles > 0").groupBy("component", "doc_id", "k1", "k2").agg(F.count("*").alias("c"))
+    stay = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2", "c")).alias("k"))
     keyed = keys(docs, "text")
-    few = stay.select(F.col("doc_id").alias("s_id"), F.col("k.k1").alias("s1"), F.col("k.k2").alias("s2"), "c")
+    few = stay.select(F.col("k.doc_id").alias("s_id"), F.col("k.k1").alias("s1"), F.col("k.k2").alias("s2"), F.col("k.c").alias("c"))
     out = keyed.join(sent_if_small(few), keyed["doc_id"].eqNullSafe(F.col("s_id")) & (keyed["k1"] == F.col("s1")) & (keyed["k2"] == F.col("s2")))
     once = out.where("c = 1").select(*docs.columns)
-    again = out.where("c > 1").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return once.union(again)
+    again = out.where("c > 1").dropDuplicates(["doc_id", "k1", "k2"]).select(*docs.columns)
+    return once.union(again).union(docs.where(n_words(F.col("text")) == 0))
 
 
 def oracle() -> str:

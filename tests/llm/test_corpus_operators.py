@@ -66,6 +66,15 @@ def test_jaccard_stage_keeps_one(docs, nothing):
     assert jaccard_join.report(nothing).count() == 0 and jaccard_join.stage(nothing).columns == nothing.columns
 
 
+def test_jaccard_stage_keeps_one_row_of_each_component(spark):
+    a, b, c, d = (prose(900 + i, 80) for i in range(4))
+    near = a.replace("w7 ", "changed ", 1)
+    rows = [(None, a), (None, b), (None, None), (None, ""), (None, ""), (1, c), (1, d), (1, " "), (2, near), (3, c), (3, c)]
+    kept = jaccard_join.stage(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, b), (None, None), (None, ""), (None, ""), (1, c), (1, d), (1, " "), (2, near)]
+    assert Counter(map(tuple, kept)) == Counter(want)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (5, 9), (20, 20)] + [(100 + i, 101 + i) for i in range(30)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
