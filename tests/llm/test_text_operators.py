@@ -67,6 +67,19 @@ def test_line_dedup_removes_what_is_repeated(spark, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_line_dedup_removes_whole_passages_of_short_lines(spark):
+    passages = [prose(3000 + k, 50 + 3 * k, 2 + k % 9).split("\n") for k in range(40)]
+    passages[7].insert(1, "")
+    rows = [(2 * k + d, "\n".join([f"{d} before {k}", *p, f"{d} after {k}"])) for k, p in enumerate(passages) for d in (0, 1)]
+    rows += [(100, "\n".join(["x y z"] * 100)), (101, "\n" * 30 + prose(4000, 45, 9)), (102, "\n" * 30 + prose(4000, 45, 9).replace("\n", "\nz\n"))]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows[:80]:
+        assert got[i].text == (t if i % 2 == 0 else f"1 before {i // 2}\n1 after {i // 2}")
+        assert "\n".join(got[i].removed) == ("" if i % 2 == 0 else "\n".join(passages[i // 2]))
+    assert got[100].text.startswith("\n".join(["x y z"] * 17)) and len(got[100].text) < len(rows[80][1])
+    assert (got[101].text, got[102].text) == (rows[81][1], rows[82][1])
+
+
 def test_line_dedup_against_brute_force(docs):
     chunked = line_dedup.chunk_lines(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), "text").select("doc_id", "_lines", "_chunks").collect()
     places = defaultdict(list)
