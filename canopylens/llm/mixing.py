@@ -9,7 +9,7 @@ all documents. Rates are then rounded into whole copies, so that each source's t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopylens.llm.common import cut, n_words
@@ -40,21 +40,31 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
 
 
 def solve(docs: DataFrame, wanted: DataFrame, cap: float = CAP, steps: int = NEWTON_STEPS) -> DataFrame:
-    """wanted with its multiplier: damped Newton steps on the dual, all sources at once.
+    """wanted with its multiplier: safeguarded Newton steps on the dual, all sources at once.
 
     docs: (source, size, tilt). Tokens are summed over all documents by tilt, in 64 classes between the least and the
     greatest of a source, so that a source of any size comes down to 64 sums; a document is given its class's tilt.
+    The multiplier stays between one that takes too little and one that takes enough; where a Newton step would leave
+    this interval, has no slope or did not halve the residual, the interval is halved instead.
     """
     cells = docs.groupBy("source", F.round(F.col("tilt"), 2).alias("tilt")).agg(F.sum("size").cast("double").alias("tokens"))
-    cells = cells.groupBy("source").agg(F.collect_list(F.struct("tilt", "tokens")).alias("cells"))
+    cells = cells.groupBy("source").agg(F.collect_list(F.struct("tilt", "tokens")).alias("cells"), F.min(F.when(F.col("tilt") > 0, F.col("tilt"))).alias("_least"))
     rate = lambda lam, c: F.least(F.lit(cap), F.exp(lam * c["tilt"]))
-    taken = lambda lam: F.aggregate("cells", F.lit(0.0), lambda a, c: a + rate(lam, c) * c["tokens"])
+    lacks = lambda lam: F.col("target") - F.aggregate("cells", F.lit(0.0), lambda a, c: a + rate(lam, c) * c["tokens"])
     slope = lambda lam: F.aggregate("cells", F.lit(0.0), lambda a, c: a + F.when(lam * c["tilt"] < F.log(F.lit(cap)), F.exp(lam * c["tilt"]) * c["tilt"] * c["tokens"]).otherwise(0.0))
-    limit = F.lit(2.0)
-    step = lambda lam, _: lam + F.greatest(-limit, F.least(limit, F.coalesce((F.col("target") - taken(lam)) / F.nullif(slope(lam), F.lit(0.0)), F.lit(0.0))))
+    at = lambda lam, low, high, before: F.struct(lam.alias("lam"), low.alias("low"), high.alias("high"), before.alias("before"), lacks(lam).alias("lacks"), slope(lam).alias("slope"))
+
+    def step(s: Column, _: Column) -> Column:
+        low, high = F.when(s["lacks"] >= 0, s["lam"]).otherwise(s["low"]), F.when(s["lacks"] >= 0, s["high"]).otherwise(s["lam"])
+        newton = s["lam"] + s["lacks"] / F.nullif(s["slope"], F.lit(0.0))
+        good = (newton >= low) & (newton <= high) & (F.abs(s["lacks"]) <= s["before"] / 2)
+        to = F.when(F.abs(s["lacks"]) <= F.col("target") * 1e-12, s["lam"]).when(good, newton).otherwise((low + high) / 2)
+        return at(to, low, high, F.abs(s["lacks"]))
+
     joined = wanted.join(cells, wanted["source"].eqNullSafe(cells["source"]), "left").drop(cells["source"])
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step)
-    return joined.withColumn("multiplier", F.when((F.col("target") > 0) & F.col("cells").isNotNull(), solved).otherwise(F.lit(0.0))).drop("cells")
+    low, high = F.least(F.lit(0.0), F.log(F.col("target") / F.col("source_size")) / F.col("_least")), F.log(F.lit(cap)) / F.col("_least")
+    solved = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), at(F.lit(0.0), low, high, F.lit(float("inf"))), step)["lam"]
+    return joined.withColumn("multiplier", F.when((F.col("target") > 0) & F.col("_least").isNotNull(), solved).otherwise(F.lit(0.0))).drop("cells", "_least")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, text: str = "text", source: str = "source", tilt=None) -> DataFrame:

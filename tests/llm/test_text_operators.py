@@ -1,5 +1,6 @@
 """Quality rules, line dedup, packing, mixing, URL filter and secret scan on small and odd tables."""
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -180,6 +181,18 @@ def test_newton_meets_targets_with_a_tilt(spark):
     assert sum(min(3, np.exp(lam * r.tilt)) * r.size for r in docs.collect()) == pytest.approx(9000, rel=1e-6)
 
 
+def test_newton_meets_targets_below_the_cap(spark):
+    shares = [0.001, 0.5, 1.0, 2.05, 2.1, 2.14, 2.19, 2.5, 2.9, 2.99, 3.0]
+    docs = spark.createDataFrame([(f"s{k}", 10 * i, t) for k in range(len(shares)) for i in range(1, 30) for t in (1.0,)], "source string, size long, tilt double")
+    wanted = spark.createDataFrame([(f"s{k}", 29, 4350, 4350 * x) for k, x in enumerate(shares)], "source string, n_docs long, source_size long, target double")
+    got = {r.source: math.exp(r.multiplier) for r in mixing.solve(docs, wanted).collect()}
+    assert got == {f"s{k}": pytest.approx(x, rel=1e-6) for k, x in enumerate(shares)}
+    tilted = docs.withColumn("tilt", 1.0 + F.col("size") % 3)
+    sizes = [(10 * i, 1.0 + 10 * i % 3) for i in range(1, 30)]
+    for r in mixing.solve(tilted, wanted).collect():
+        assert sum(min(3, math.exp(r.multiplier * t)) * n for n, t in sizes) == pytest.approx(r.target, rel=1e-6)
+
+
 def test_url_filter(spark):
     urls = ["https://a.EXAMPLE.net/en/x?q#f", "http://example.net/de/", "http://x.org/fr/a", "http://x.org/de/a", "http://notexample.com/de/", "http://example.com/de/x", "no scheme", None, "", "http://net/", "http://a.b/?page=3&ref=x", "http://shop.b/casino/", "http://net", "http://b.c/LOGIN?x", "://a.net/"]
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate([*urls, urls[0]])], "page_id long, url string, rule string")
