@@ -9,9 +9,10 @@ from canopylens.llm.common import ascii_lower
 
 #: Host rules: a host with all its subdomains, and a prefix of the path.
 HOST_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: Pattern rules: a regular expression over the lower-cased url, and the tokens that each of its matches holds whole.
+#: Pattern rules: a regular expression over the lower-cased url, and the tokens that each of its matches holds whole;
+#: of tokens joined by | each match holds one at least.
 PATTERN_RULES = [
-    ("session", r"[?&](sid|session)=[0-9a-f]+", ["session"]),
+    ("session", r"[?&](sid|session)=[0-9a-f]+", ["sid|session"]),
     ("feed", r"[?&]utm_source=feed(&|#|$)", ["utm", "source", "feed"]),
     ("paging", r"\?page=[0-9]+&ref=", ["page", "ref"]),
     ("mobile-es", r"://m\.[^/]+/es/", ["m", "es"]),
@@ -19,8 +20,8 @@ PATTERN_RULES = [
     ("cart", r"/cart/(add|checkout)", ["cart"]),
     ("casino", r"[./-]casino[./-]", ["casino"]),
     ("adult", r"[./-]xxx[./-]", ["xxx"]),
-    ("admin", r"/wp-admin/[a-z-]+\.php", ["wp", "admin", "php"]),
-    ("print", r"/print/[0-9]+\.html", ["print", "html"]),
+    ("admin", r"/wp-admin/[a-z-]+\.php", ["wp", "admin"]),
+    ("print", r"/print/[0-9]+\.html", ["print"]),
 ]
 
 
@@ -35,11 +36,15 @@ def url_tokens(url: Column) -> Column:
 
 
 def index_rules(url_token: DataFrame, rules: DataFrame) -> DataFrame:
-    """Each pattern rule under that of its tokens which the fewest urls hold; ties go to the smaller token."""
-    of_rules = rules.select("pattern_id", "pattern", F.explode("tokens").alias("token"))
+    """Each pattern rule under that of its tokens which the fewest urls hold; ties go to the smaller token.
+
+    Alternatives count together, and the rule is listed under each of them.
+    """
+    of_rules = rules.select("pattern_id", "pattern", F.explode("tokens").alias("any")).withColumn("token", F.explode(F.split("any", r"\|")))
     seen = url_token.join(of_rules.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    rare = of_rules.join(seen, "token", "left").fillna(0, ["n"])
-    return rare.groupBy("pattern_id", "pattern").agg(F.min(F.struct("n", "token"))["token"].alias("token"))
+    rare = of_rules.join(seen, "token", "left").fillna(0, ["n"]).groupBy("pattern_id", "pattern", "any").agg(F.sum("n").alias("n"))
+    rare = rare.groupBy("pattern_id", "pattern").agg(F.min(F.struct("n", "any"))["any"].alias("any"))
+    return rare.select("pattern_id", "pattern", F.explode(F.split("any", r"\|")).alias("token"))
 
 
 def judge_urls(pages: DataFrame, host_rules=None, pattern_rules=None, url: str = "url") -> DataFrame:

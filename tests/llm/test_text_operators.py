@@ -193,6 +193,17 @@ def test_newton_meets_targets_below_the_cap(spark):
         assert sum(min(3, math.exp(r.multiplier * t)) * n for n, t in sizes) == pytest.approx(r.target, rel=1e-6)
 
 
+def test_url_patterns_are_found_by_every_branch(spark):
+    urls = [f"http://a.b/{x}" for x in (
+        "?sid=ab12", "x?y&sid=0", "?session=ab", "?sid=zz", "?session_id=1", "wp-admin/x.php5", "wp-admin/x.php", "print/1.htmlx", "print/1.html", "?utm_source=feed", "?utm_source=feed&x", "?utm_source=feed#a",
+        "?page=3&ref=x", "user/login", "login/", "login?x", "loginx", "cart/add", "cart/checkout", "cart/addx", "x-casino-y", "x.casino.y", "-xxx/", "php html session", "php", "html 1")] + ["http://m.b/es/x", "http://m.b/de/x"]
+    urls += [f"http://a.b/{w}/{i}" for i in range(9) for w in ("wp/admin", "print", "session")]  # the other tokens are rarer
+    pages = spark.createDataFrame([*enumerate(urls)], "page_id long, url string")
+    want = {i: min((k for k, p, _ in url_filter.PATTERN_RULES if re.search(p, u)), default=None) for i, u in enumerate(urls)}
+    assert {k for k in want.values() if k} == {k for k, _, _ in url_filter.PATTERN_RULES}
+    assert {r.page_id: r.pattern_id for r in url_filter.judge_urls(pages).collect()} == want
+
+
 def test_url_filter(spark):
     urls = ["https://a.EXAMPLE.net/en/x?q#f", "http://example.net/de/", "http://x.org/fr/a", "http://x.org/de/a", "http://notexample.com/de/", "http://example.com/de/x", "no scheme", None, "", "http://net/", "http://a.b/?page=3&ref=x", "http://shop.b/casino/", "http://net", "http://b.c/LOGIN?x", "://a.net/"]
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate([*urls, urls[0]])], "page_id long, url string, rule string")
