@@ -1,7 +1,8 @@
 """Language model scores from an n-gram trie over the whole corpus.
 
-The model is interpolated with absolute discounting: p(w | v) = share(v, w) + rest(v) * p(w), where share is the
-discounted relative count and rest what the discount left; p(w) is the unigram estimate with half a count added. Counts
+The model is interpolated with absolute discounting: p(w | u v) = share(u v, w) + rest(u v) * p(w | v), and so on down,
+where share is the discounted relative count and rest what the discount left; p(w) is the unigram estimate with half a
+count added. A context that begins a text is the start and what follows it. Counts
 are gathered over all training documents. Documents are handled in blocks: a block sends each of its distinct n-grams,
 with its training count, to the shard of the n-gram's context; the shard adds the counts, builds its trie, and answers
 the n-grams of every block from it. So neither counts nor trie ever need to fit one machine.
@@ -21,8 +22,11 @@ from pyspark.sql import functions as F
 
 from canopylens.llm.common import cut
 from canopylens.llm.elias_fano import Trie, dequantise
+from canopylens.llm.jaccard_join import mix
 
 DISCOUNT = 0.75
+#: Words of the longest n-grams in production.
+ORDER = 3
 #: Characters of a block and of the text whose n-grams make up a shard.
 BLOCK_CHARS = 4_000_000
 SHARD_CHARS = 8_000_000
@@ -39,7 +43,7 @@ def held_out(doc_id: Column) -> Column:
 class Block:
     """Tokens of some documents and their distinct n-grams, in an order that the rows' order doesn't change."""
 
-    def __init__(self, texts: list[str | None], learn: np.ndarray):
+    def __init__(self, texts: list[str | None], learn: np.ndarray, length: int):
         ids: dict[bytes, int] = {}
         words: list[int] = []
         self.lengths = np.empty(len(texts), np.int64)
@@ -56,18 +60,23 @@ class Block:
         self.hashes = hashes[order]
         self.token = rank[local]
         begins = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        before = np.concatenate([[0], self.token[:-1] + 1])
-        before[begins] = 0
         learnt = np.repeat(learn, self.lengths)
-        pair, self.pair_of = np.unique(before * len(order) + self.token, return_inverse=True)
-        self.pair_n = np.bincount(self.pair_of, learnt, len(pair)).astype(np.int64)
-        self.before, self.after = pair // max(1, len(order)), pair % max(1, len(order))
         self.token_n = np.bincount(self.token, learnt, len(order)).astype(np.int64)
+        #: Of each level from 2: the n-gram of each token, and of each n-gram the hash of its context and of its word, and its count.
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        shorter, names = self.token, self.hashes
+        for _ in range(length - 1):
+            before = np.concatenate([[0], shorter[:-1] + 1])
+            before[begins] = 0
+            gram, of = np.unique(before * len(order) + self.token, return_inverse=True)
+            context, word = np.concatenate([np.array([START], np.uint64), names])[gram // max(1, len(order))], self.hashes[gram % max(1, len(order))]
+            self.levels.append((of, context, word, np.bincount(of, learnt, len(gram)).astype(np.int64)))
+            shorter, names = of, mix(context * np.uint64(0x9E3779B97F4A7C15) + word)
 
     def grams(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(level, context hashes, 32 bits of the words' hashes, training counts)."""
-        words, contexts = self.hashes, np.concatenate([np.array([START], np.uint64), self.hashes])
-        return [(1, words, np.zeros(len(words), np.uint32), self.token_n), (2, contexts[self.before], (words[self.after] & np.uint64(0xFFFFFFFF)).astype(np.uint32), self.pair_n)]
+        longer = [(k, context, (word & np.uint64(0xFFFFFFFF)).astype(np.uint32), n) for k, (_, context, word, n) in enumerate(self.levels, 2)]
+        return [(1, self.hashes, np.zeros(len(self.hashes), np.uint32), self.token_n), *longer]
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -109,10 +118,10 @@ def in_blocks(docs: DataFrame, blocks: int, doc_id: str, text: str) -> DataFrame
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), block).mapInArrow(pack, "block long, blob binary")
 
 
-def lookups(blocks: DataFrame, shards: int, discount: float) -> DataFrame:
+def lookups(blocks: DataFrame, shards: int, discount: float, order: int) -> DataFrame:
     """(block, level, shard, a, b): what the shards answer each block, one byte or number for each n-gram sent.
 
-    Level 1: a has the training counts of the words. Level 2: a and b have the codes of share and rest. Rows of block -1
+    Level 1: a has the training counts of the words. From level 2: a and b have the codes of share and rest. Rows of block -1
     have in total the training tokens of a shard and in kinds its distinct ones.
     """
     sent = "block long, level int, shard long, contexts binary, words binary, counts binary"
@@ -120,10 +129,11 @@ def lookups(blocks: DataFrame, shards: int, discount: float) -> DataFrame:
     def send(rows: pa.Table) -> pa.Table:
         ids, texts = _texts(rows)
         out = []
-        for level, context, word, n in Block(texts, _learn(ids)).grams():
+        for level, context, word, n in Block(texts, _learn(ids), order).grams():
             to = shard_of(context, shards)
+            by_shard = np.argsort(to, kind="stable")
+            to, context, word, n = to[by_shard], context[by_shard], word[by_shard], n[by_shard]
             edges = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])) if len(to) else []
-            # contexts are ordered by hash but for the start, which is first and of the first shard
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 out.append((rows.column("block")[0].as_py(), level, int(to[a]), context[a:b].tobytes(), word[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()))
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
@@ -159,24 +169,24 @@ def lookups(blocks: DataFrame, shards: int, discount: float) -> DataFrame:
     return blocks.groupBy("block").applyInArrow(send, sent).groupBy("level", "shard").applyInArrow(answer, answered)
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", discount: float = DISCOUNT) -> DataFrame:
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", discount: float = DISCOUNT, order: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Training documents are those that held_out() lets through; all documents are scored, from their whole texts. A null
     or empty text is one token, the end. Repeated rows each count and are each scored. Words unseen in training get half
-    a count. Other columns are left out. An empty table gives an empty table.
+    a count. order is the number of words of the longest n-grams. Other columns are left out. An empty table gives an empty table.
     """
     chars = docs.agg(F.sum(F.length(text) + 1)).first()[0] or 0
     blocks, shards = max(1, math.ceil(chars / BLOCK_CHARS)), max(1, math.ceil(chars / SHARD_CHARS))
     packed = in_blocks(docs, blocks, doc_id, text)
-    answers = cut(lookups(packed, shards, discount), "lm-answers")
+    answers = cut(lookups(packed, shards, discount, order), "lm-answers")
     known = answers.where("block = -1").agg(F.sum("total").alias("n"), F.sum("kinds").alias("v")).first()
     n_train, z = known.n or 0, (known.n or 0) + 0.5 * ((known.v or 0) + 1)
 
     def scored(rows: pa.Table, got: pa.Table) -> pa.Table:
         ids, texts = _texts(rows)
         learn = _learn(ids)
-        block = Block(texts, learn)
+        block = Block(texts, learn, order)
         back = {(lv, s): (a, b) for lv, s, a, b in zip(*(got.column(c).to_pylist() for c in ("level", "shard", "a", "b")), strict=True)}
         found = []
         for level, context, _, _ in block.grams():
@@ -187,12 +197,16 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", discount:
                 x, y = back[(level, int(s))]
                 a[ours], b[ours] = np.frombuffer(x, a.dtype), np.frombuffer(y, np.uint8)
             found.append((a, b))
-        (count, _), (share, rest) = found
+        count = found[0][0]
         unigram = (count + 0.5) / z
-        pair = dequantise(share) + dequantise(rest) * unigram[block.after]
+        p, of = unigram, block.token
+        for (share, rest), (gram_of, *_) in zip(found[1:], block.levels, strict=True):
+            shorter = np.empty(len(share), np.int64)
+            shorter[gram_of] = of
+            p, of = dequantise(share) + dequantise(rest) * p[shorter], gram_of
         edges = np.concatenate([[0], np.cumsum(block.lengths)[:-1]])
         add = lambda per_token: np.add.reduceat(per_token, edges)
-        columns = [pa.array(ids, pa.int64()), pa.array(~learn), pa.array(block.lengths), pa.array(add((count[block.token] > 0).astype(np.int64))), pa.array(np.full(len(ids), n_train, np.int64)), pa.array(add(np.log10(unigram)[block.token])), pa.array(add(np.log10(pair)[block.pair_of]))]
+        columns = [pa.array(ids, pa.int64()), pa.array(~learn), pa.array(block.lengths), pa.array(add((count[block.token] > 0).astype(np.int64))), pa.array(np.full(len(ids), n_train, np.int64)), pa.array(add(np.log10(unigram)[block.token])), pa.array(add(np.log10(p)[of]))]
         return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

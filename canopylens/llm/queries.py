@@ -15,7 +15,7 @@ def queries() -> dict:
         "op3_quality_rules": lambda spark, d: quality.verdicts(table(spark, d, "documents")),
         "op4_ngram_jaccard_join": lambda spark, d: jaccard_join.report(table(spark, d, "documents")),
         "op5_nearest_neighbours": lambda spark, d: neighbours.report(table(spark, d, "embeddings")),
-        "op6_language_model": lambda spark, d: language_model.score(table(spark, d, "documents")),
+        "op6_language_model": lambda spark, d: language_model.score(table(spark, d, "documents"), order=language_model.ORDER),
         "op7_entropy_mixing": lambda spark, d: mixing.mixture(table(spark, d, "documents")),
         "op8_url_filter": lambda spark, d: url_filter.judge_urls(table(spark, d, "pages")).select("page_id", "host", "path", "rule", "verdict", "pattern_id"),
         "op9_secret_scan": lambda spark, d: secret_scan.secret_report(table(spark, d, "documents")),

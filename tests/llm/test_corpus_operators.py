@@ -172,6 +172,35 @@ def test_language_model(spark, docs, nothing, monkeypatch):
     assert language_model.score(nothing).count() == 0
 
 
+def test_language_model_of_order_three(docs, nothing, monkeypatch):
+    monkeypatch.setattr(language_model, "BLOCK_CHARS", 9000)
+    monkeypatch.setattr(language_model, "SHARD_CHARS", 7000)
+    monkeypatch.setattr(queries, "table", lambda spark, d, name: spark)
+    docs = docs.where("text is null or length(text) < 50000")
+    by = {r.doc_id: [*(r.text or "").encode().lower().split(), b"</s>"] for r in docs.collect()}
+    count, after = Counter(), defaultdict(Counter)
+    for r in docs.collect():
+        if r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 != 1:
+            t = by[r.doc_id]
+            count.update(t)
+            for u, v, w in zip([b"<s>", b"<s>", *t], [b"<s>", *t], t, strict=False):
+                after[v][w] += 1
+                after[u, v][w] += 1
+    z = sum(count.values()) + 0.5 * (len(count) + 1)
+    got = queries.queries()["op6_language_model"](docs, "").collect()
+    assert len(got) == docs.count() and queries.queries()["op6_language_model"](nothing, "").count() == 0
+    for r in got:
+        t, exact = by[r.doc_id], 0.0
+        for u, v, w in zip([b"<s>", b"<s>", *t], [b"<s>", *t], t, strict=False):
+            p = (count[w] + 0.5) / z
+            for c in (v, (u, v)):
+                if c in after:
+                    total = sum(after[c].values())
+                    p = max(after[c][w] - 0.75, 0) / total + 0.75 * len(after[c]) / total * p
+            exact += math.log10(p)
+        assert r.score == pytest.approx(exact, abs=0.02 * r.n_tokens)
+
+
 def test_held_out_texts_score_better_than_unigrams(spark):
     rows = language_model.score(table(spark, "/root/testdata/sf0.01", "documents")).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert rows.s > rows.b
