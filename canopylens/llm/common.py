@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
+from collections.abc import Callable
+from tempfile import mkdtemp
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,10 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where it is unset (tests) an own one."""
+    """The folder that all executors share, from spark.checkpoint.dir.
+
+    Where that is unset, a local session (tests) makes one; on a cluster it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -62,3 +69,13 @@ def fenced(df: DataFrame) -> DataFrame:
     Moved below, a filter would take the columns' expressions with it, and inside a lambda compute them for each element.
     """
     return df.withColumn("_fence", F.monotonically_increasing_id()).where("_fence >= 0").drop("_fence")
+
+
+def shielded(docs: DataFrame, used: tuple[str, ...], work: Callable[[DataFrame], DataFrame], new: list[str] | None = None) -> DataFrame:
+    """The columns of docs, and those that are new, from work(docs).
+
+    Meanwhile all columns but those used are named _user_0, _user_1, ..., so that they meet no name of work's own.
+    """
+    names = {c: f"_user_{k}" for k, c in enumerate(docs.columns) if c not in used}
+    out = work(docs.withColumnsRenamed(names))
+    return out.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns], *(new or []))

@@ -10,9 +10,11 @@ Why no link is lost. Let p(n) = n - ceil(t n) + 1 and L(n) >= p(n) the tokens ke
 of similarity t or more overlap in at least t max(|a|, |b|) tokens, so that they share at least
 min(L(a) - p(a), L(b) - p(b)) + 1 of the kept ones. Tokens in more than COMMON clusters are not followed; a node with h
 such tokens shares at least extra(a) - h others with each partner, where extra is the least shared number over all
-partner sizes. Nodes for which that is not positive ("deep") can only be missed by other deep nodes with which they
-share extra(a) common tokens; these are found by the h - extra(a) + 1 of their common tokens that the fewest deep nodes
-have.
+partner sizes. Nodes for which that is not positive ("deep") can only be missed by other deep nodes of another component.
+Of those all tokens are counted: a deep node stays in question if t of its tokens or more occur in another component of
+deep nodes, and of two linked ones each has a shared token among its first p(n), when tokens are ordered by how many
+deep nodes hold them, rarest first. Deep nodes form groups by their most common token, and only groups that have such a
+token in common are opened for one another.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopylens.llm.common import cut, n_words, sent_if_small
+from canopylens.llm.common import cut, n_words, sent_if_small, shielded
 from canopylens.llm.components import components
 
 WORDS = 5
@@ -41,8 +43,10 @@ QUERIES = 256
 RANGE_TOKENS = 500_000
 #: Nodes whose tokens a task holds at once.
 NODES = 2_000
-#: Common tokens by which a deep node is first compared with one other each.
-FIRST_COMMON = 6
+#: Texts that a task remembers, so as not to write the tokens of each of many copies.
+MET = 200_000
+#: Nodes of a group of deep nodes.
+DEEP_GROUP = 256
 _M = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 
@@ -104,22 +108,35 @@ def keys(docs: DataFrame, text: str) -> DataFrame:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, k1, k2, n, set, mins): of each row the hashes of its text, its set's size, digest and minimum hashes."""
+    """(doc_id, k1, k2, n, set, mins, low): of each row the hashes of its text, its set's size, digest, minimum hashes and
+    kept tokens. A row of a text that the task has met before has no tokens."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.default_memory_pool().release_unused()
         seeds = [mix(np.array([k + 1], np.uint64))[0] for k in range(MIN_HASHES)]
+        met: set[int] = set()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 sets = shingle_sets(b.column(3).to_pylist())
                 mins = [[int(mix(s ^ k).min().astype(np.int64)) for k in seeds] if len(s) else [] for s in sets]
+                low = []
+                for key, s in zip(b.column(1).to_pylist(), sets, strict=True):
+                    low.append(None if key in met or not len(s) else s[: kept(len(s))].tobytes())
+                    if len(met) < MET:
+                        met.add(key)
                 yield pa.RecordBatch.from_arrays(
-                    [*b.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array(mins, pa.list_(pa.int64()))],
-                    names=["doc_id", "k1", "k2", "n", "set", "mins"])
+                    [*b.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array(mins, pa.list_(pa.int64())), pa.array(low, pa.binary())],
+                    names=["doc_id", "k1", "k2", "n", "set", "mins", "low"])
 
     rows = keys(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")), "_text")
-    return rows.select("doc_id", "k1", "k2", "_text").mapInArrow(sign, "doc_id long, k1 long, k2 long, n long, set binary, mins array<long>")
+    return rows.select("doc_id", "k1", "k2", "_text").mapInArrow(sign, "doc_id long, k1 long, k2 long, n long, set binary, mins array<long>, low binary")
+
+
+def texts_of(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(k1, k2, _text): the text of each of the keys of rows, once."""
+    needed = rows.select("k1", "k2").distinct()
+    return keys(docs.select(F.col(text).alias("_text")), "_text").join(sent_if_small(needed), ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("_text").alias("_text"))
 
 
 def open_groups(members: DataFrame, asks: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
@@ -133,8 +150,6 @@ def open_groups(members: DataFrame, asks: DataFrame, nodes: DataFrame, docs: Dat
     asked = asks.join(parts, "gid").select("gid", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", F.lit(True).alias("query"))
     held = members.join(parts, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", F.lit(False).alias("query"))
     rows = cut(asked.unionByName(held).join(nodes.select("node", "k1", "k2"), "node"), "asked")
-    needed = rows.select("k1", "k2").distinct()
-    texts = keys(docs.select(F.col(text).alias("_text")), "_text").join(sent_if_small(needed), ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("_text").alias("_text"))
 
     def compare(t: pa.Table) -> pa.Table:
         query, names, a, b = t.column("query").to_pylist(), t.column("node").to_pylist(), [], []
@@ -147,25 +162,29 @@ def open_groups(members: DataFrame, asks: DataFrame, nodes: DataFrame, docs: Dat
 
         sets = shingle_sets(t.column("_text").to_pylist())
         held = [i for i, q in enumerate(query) if not q]
-        union = np.unique(np.concatenate([sets[i] for i in held])) if held else np.zeros(0, np.uint64)
+        sizes = np.array([len(sets[i]) for i in held], np.int64)
+        token = np.concatenate([sets[i] for i in held]) if held else np.zeros(0, np.uint64)
+        order = np.argsort(token, kind="stable")
+        token, of = token[order], np.repeat(np.arange(len(held)), sizes)[order]
         for i, q in enumerate(query):
-            if not q or not len(union):
+            if not q or not len(token):
                 continue
             s = sets[i]
-            at = np.minimum(np.searchsorted(union, s), len(union) - 1)
-            if 100 * int((union[at] == s).sum()) < SIMILAR * len(s):
+            first = np.searchsorted(token, s)
+            times = np.searchsorted(token, s, "right") - first
+            if 100 * int((times > 0).sum()) < SIMILAR * len(s):  # the overlap with the union of all tokens of the group
                 continue
-            for j in held:
-                m = sets[j]
-                if root(names[i]) != root(names[j]) and 100 * min(len(s), len(m)) >= SIMILAR * max(len(s), len(m)):
-                    both = len(np.intersect1d(s, m, assume_unique=True))
-                    if 100 * both >= SIMILAR * (len(s) + len(m) - both):
-                        a.append(names[i])
-                        b.append(names[j])
-                        parent[root(names[i])] = root(names[j])
+            at = np.repeat(first - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+            both = np.bincount(of[at], minlength=len(held))
+            for j in np.flatnonzero(100 * both >= SIMILAR * (len(s) + sizes - both)):
+                if (x := root(names[i])) != (y := root(names[held[j]])):
+                    a.append(names[i])
+                    b.append(names[held[j]])
+                    parent[x] = y
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return cut(rows.join(texts, ["k1", "k2"]).select("gid", "part", "node", "query", "_text").groupBy("gid", "part").applyInArrow(compare, "a long, b long"), "links")
+    texts = rows.join(texts_of(rows, docs, text), ["k1", "k2"]).select("gid", "part", "node", "query", "_text")
+    return cut(texts.groupBy("gid", "part").applyInArrow(compare, "a long, b long"), "links")
 
 
 def stars(keyed: DataFrame, keys: list[str]) -> DataFrame:
@@ -175,21 +194,46 @@ def stars(keyed: DataFrame, keys: list[str]) -> DataFrame:
     return cut(keyed.join(heads, keys).where(f"node <> gid and 100 * least(n, head_n) >= {SIMILAR} * greatest(n, head_n)").select("gid", "node").distinct(), "stars")
 
 
-def deep_links(deep: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Links between deep nodes that share a probe token and are not in one component yet.
+def deep_tokens(deep: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(node, n, cluster, tokens) of the deep nodes (node, n, cluster, k1, k2): all their tokens."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                tokens = [s.astype(np.int64) for s in shingle_sets(b.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(tokens, pa.list_(pa.int64()))], names=["node", "n", "cluster", "tokens"])
+
+    rows = deep.join(texts_of(deep, docs, text), ["k1", "k2"]).select("node", "n", "cluster", "_text")
+    return cut(rows.mapInArrow(sets, "node long, n long, cluster long, tokens array<long>"), "deep-tokens")
+
+
+def deep_links(deep: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Links between deep nodes (node, n, cluster, k1, k2) of different clusters.
 
-    deep: (node, n, tokens). Each node is in one group, of nodes with an equal minimum hash of their tokens. A node asks
-    those groups once that hold one of its tokens, itself or through a later group, unless all there are of its component.
+    A node stays in question if enough of its tokens occur in another cluster; its probes are those of them that come
+    first, by how many nodes hold them. Groups hold nodes with the same most common token; those of one large cluster
+    have groups of their own. The nodes of a group ask each group that has a probe in common with it, unless both are
+    one cluster. So the rows that joins make grow with the number of groups that share a token, not of nodes.
     """
-    of = deep.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"), "tokens", F.array_min(F.transform("tokens", lambda t: F.xxhash64(t))).alias("h")).where("size(tokens) > 0")
-    parts = of.groupBy("h").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
-    of = cut(of.join(parts, "h").select("node", "cluster", "tokens", F.xxhash64("h", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("own")), "deep-groups")
-    each = of.select("node", "own", "cluster", F.explode("tokens").alias("token"))
-    holds = each.select("token", F.col("own").alias("gid")).distinct()
-    asks = each.join(holds, "token").where("gid >= own").select("gid", "node", "cluster").distinct()
-    clusters = of.groupBy(F.col("own").alias("gid")).agg(F.min("cluster").alias("c0"), F.max("cluster").alias("c1"))
-    asks = cut(asks.join(clusters, "gid").where("c0 <> cluster or c1 <> cluster").select("gid", "node"), "deep-asks")
-    held = of.select(F.col("own").alias("gid"), "node").join(asks.select("gid").distinct(), "gid")
+    own = deep_tokens(deep, docs, text)
+    each = own.select("node", "cluster", F.explode("tokens").alias("token"))
+    shared = each.groupBy("token").agg(F.count("*").alias("df"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi").select("token", "df")
+    ranked = each.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    known = own.select("node", "n", "cluster").join(ranked, "node").where(f"100 * size(t) >= {SIMILAR} * n")
+    prefix = F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1
+    probes = F.transform(F.slice("t", F.lit(1), (prefix - F.col("n") + F.size("t")).cast("int")), lambda x: x["token"])
+    of = cut(known.select("node", "cluster", probes.alias("probes"), F.element_at("t", -1)["token"].alias("h")), "deep-probes")
+
+    many = of.groupBy("h", "cluster").agg(F.count("*").alias("c")).withColumn("own", F.when(F.col("c") >= DEEP_GROUP, F.col("cluster")))
+    parts = many.groupBy("h", "own").agg(F.ceil(F.sum("c") / DEEP_GROUP).alias("parts")).withColumnsRenamed({"h": "ph", "own": "po"})
+    dealt = of.join(many.select("h", "cluster", "own"), ["h", "cluster"]).join(parts, F.col("h").eqNullSafe(F.col("ph")) & F.col("own").eqNullSafe(F.col("po")))
+    dealt = cut(dealt.select("node", "cluster", "probes", F.xxhash64("h", "own", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("gid")), "deep-groups")
+    groups = dealt.groupBy("gid").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
+    holds = dealt.select("gid", F.explode("probes").alias("token")).distinct()
+    pairs = cut(holds.withColumnRenamed("gid", "by").join(holds, "token").where("by <= gid").select("by", "gid").distinct(), "deep-pairs")
+    asks = pairs.join(groups, "gid").join(dealt.select(F.col("gid").alias("by"), "node", "cluster"), "by").where("lo <> cluster or hi <> cluster").select("gid", "node")
+    held = dealt.select("gid", "node").join(pairs.select("gid").distinct(), "gid")
     return open_groups(held, asks, nodes, docs, text)
 
 
@@ -199,8 +243,9 @@ def first_links(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     return open_groups(asks.select("gid").distinct().withColumn("node", F.col("gid")), asks, nodes, docs, text)
 
 
-def matrix(grouped: DataFrame, docs: DataFrame, text: str, tokens: int) -> DataFrame:
-    """(kind, a, b, shared): cluster pairs with the kept tokens that they share (kind 0), and common tokens of nodes (1).
+def matrix(grouped: DataFrame, signed: DataFrame, tokens: int) -> DataFrame:
+    """(kind, a, b, shared): cluster pairs with the kept tokens that they share (kind 0), and nodes a with the number of
+    their common tokens, or more (1).
 
     grouped: (k1, k2, node, n, cluster), one row for each node. A token goes to the task of its range of hashes;
     of a token that is common within one batch of nodes, only as many entries as show that go there.
@@ -214,12 +259,10 @@ def matrix(grouped: DataFrame, docs: DataFrame, text: str, tokens: int) -> DataF
         for number, whole in enumerate(b.slice(at, NODES) for b in batches for at in range(0, b.num_rows, NODES)):
             low, of = [], []
             about = np.rec.fromarrays([whole.column(c).to_numpy() for c in ("node", "cluster", "n")], dtype=node_type)
-            for at in range(0, whole.num_rows, 500):
-                for k, s in enumerate(shingle_sets(whole.column("_text").slice(at, 500).to_pylist()), at):
-                    if int(about["node"][k]) in done:  # copies of a text
-                        continue
-                    done.add(int(about["node"][k]))
-                    low.append(s[: kept(len(s))])
+            for k, (node, s) in enumerate(zip(about["node"].tolist(), whole.column("low").to_pylist(), strict=True)):
+                if node not in done:  # copies of a text
+                    done.add(node)
+                    low.append(np.frombuffer(s, np.uint64))
                     of.append(np.full(len(low[-1]), k))
             if not low:
                 continue
@@ -247,7 +290,7 @@ def matrix(grouped: DataFrame, docs: DataFrame, text: str, tokens: int) -> DataF
         token = np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("tokens").to_pylist()])
         about = np.concatenate([np.frombuffer(x, node_type) for x in t.column("nodes").to_pylist()])
         if t.column("range")[0].as_py() < 0:
-            return _found([], about["node"], token)
+            return _found([], about["node"])
         order = np.lexsort((about["cluster"], token))
         token, about = token[order], about[order]
         new_token = np.concatenate([[True], token[1:] != token[:-1]])
@@ -266,16 +309,17 @@ def matrix(grouped: DataFrame, docs: DataFrame, text: str, tokens: int) -> DataF
                 for y in range(x + 1, len(cluster)):
                     if 100 * most[x] >= SIMILAR * least[y] and 100 * most[y] >= SIMILAR * least[x]:
                         pairs[cluster[x], cluster[y]] = pairs.get((cluster[x], cluster[y]), 0) + 1
-        return _found([(a, b, n) for (a, b), n in pairs.items()], about["node"][common], token[common])
+        return _found([(a, b, n) for (a, b), n in pairs.items()], about["node"][common])
 
-    rows = keys(docs.select(F.col(text).alias("_text")), "_text").join(sent_if_small(grouped), ["k1", "k2"]).select("node", "cluster", "n", "_text")
+    rows = signed.where("low is not null").select("k1", "k2", "low").join(sent_if_small(grouped.select("k1", "k2", "node", "cluster", "n")), ["k1", "k2"]).select("node", "cluster", "n", "low")
     return cut(rows.mapInArrow(spread, "range long, tokens binary, nodes binary").repartition(max(2, ranges), "range").groupBy("range").applyInArrow(count, "kind int, a long, b long, shared long"), "matrix")
 
 
-def _found(pairs: list[tuple[int, int, int]], node: np.ndarray, token: np.ndarray) -> pa.Table:
+def _found(pairs: list[tuple[int, int, int]], common: np.ndarray) -> pa.Table:
+    node, times = np.unique(common, return_counts=True)
     a = np.concatenate([np.array([p[0] for p in pairs], np.int64), node.astype(np.int64)])
-    b = np.concatenate([np.array([p[1] for p in pairs], np.int64), token.astype(np.int64)])
-    shared = np.concatenate([np.array([p[2] for p in pairs], np.int64), np.zeros(len(node), np.int64)])
+    b = np.concatenate([np.array([p[1] for p in pairs], np.int64), np.zeros(len(node), np.int64)])
+    shared = np.concatenate([np.array([p[2] for p in pairs], np.int64), times.astype(np.int64)])
     kind = np.concatenate([np.zeros(len(pairs), np.int32), np.ones(len(node), np.int32)])
     return pa.table([kind, a, b, shared], names=["kind", "a", "b", "shared"])
 
@@ -283,9 +327,12 @@ def _found(pairs: list[tuple[int, int, int]], node: np.ndarray, token: np.ndarra
 def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, k1, k2, n_shingles, component_id, component) of every row.
 
-    component tells components apart whose ids are equal or null; it is null for a text without words. component_id is the smallest doc_id that links reach. A text without words and a null one are linked with nothing,
-    and so are null ids counted as larger than all. Repeated rows are copies; any number of copies is one node. Other
-    columns are left out. An empty table gives an empty table. Sets are compared by 64-bit hashes of their shingles.
+    component tells components apart whose ids are equal or null; it is null for a text without words. component_id is
+    the smallest doc_id that links reach; null ids are left out of this choice, and it is null where all are. A text
+    without words and a null one are linked with nothing and keep their own doc_id. Repeated rows are copies; any number
+    of copies is one node. A text of any length is one set, held by one task. Ties don't occur: ids are compared, not
+    rows. Other columns are left out, whatever their names. An empty table gives an empty table. Sets are compared by
+    64-bit hashes of their shingles.
     """
     signed = cut(signatures(docs, doc_id, text), "signed")
     nodes = signed.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.min("doc_id").alias("least_id"), F.min(F.struct("k1", "k2")).alias("k"), F.first("mins").alias("mins"))
@@ -297,10 +344,10 @@ def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     sizes = grouped.groupBy("cluster").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
     grouped = cut(grouped.join(sizes, "cluster").select("*", F.when(F.col("parts") > 1, F.xxhash64("cluster", F.pmod(F.xxhash64("node"), F.col("parts")))).otherwise(F.col("cluster")).alias("gid")).drop("parts"), "groups")
     total = grouped.agg(F.sum(F.col("n") * 0.3 + 8)).first()[0] or 0
-    found = matrix(grouped, docs, text, int(total))
+    found = matrix(grouped, signed, int(total))
 
-    common = found.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.sort_array(F.collect_set("b")).alias("tokens"))
-    weighed = cut(grouped.join(common, "node", "left").withColumn("extra", _extra(F.col("n"))).withColumn("spare", F.col("extra") - F.coalesce(F.size("tokens"), F.lit(0))), "weighed")
+    common = found.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.sum("shared").alias("common"))
+    weighed = cut(grouped.join(common, "node", "left").withColumn("spare", _extra(F.col("n")) - F.coalesce("common", F.lit(0))), "weighed")
     asked = weighed.groupBy("cluster").agg(F.min("spare").alias("spare"), F.count("*").alias("c"))
     pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     for side in ("a", "b"):
@@ -312,13 +359,10 @@ def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     members = grouped.join(pairs.select(F.col("large").alias("cluster")).distinct(), "cluster").select("gid", "node")
     opened = open_groups(members, asks, nodes, docs, text)
 
-    deep = weighed.where("spare <= 0").select("node", "n", "extra", F.explode("tokens").alias("token"))
-    deep = deep.join(deep.groupBy("token").agg(F.count("*").alias("df")), "token").groupBy("node", "n").agg(F.first("extra").alias("extra"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    probes = F.filter(F.slice("t", 1, F.size("t") - F.col("extra") + 1), lambda t: t["df"] > 1)
-    deep = cut(deep.select("node", "n", F.transform(probes, lambda t: t["token"]).alias("tokens")), "deep")
-    starred = stars(deep.select("node", "n", F.posexplode(F.slice("tokens", 1, FIRST_COMMON)).alias("k", "m")), ["m"])
-    near = links.union(opened).union(open_groups(starred.select("gid").distinct().withColumn("node", F.col("gid")), starred, nodes, docs, text))
-    final = components(near.union(deep_links(deep, components(near), nodes, docs, text)))
+    near = links.union(opened)
+    deep = weighed.where("spare <= 0").select("node", "n", "k1", "k2").join(components(near), "node", "left")
+    deep = cut(deep.select("node", "n", "k1", "k2", F.coalesce("component", "node").alias("cluster")), "deep")
+    final = components(near.union(deep_links(deep, nodes, docs, text)))
     of = cut(nodes.join(final, "node", "left").select("set", "least_id", F.coalesce("component", "node").alias("component")), "placed")
     least = of.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = of.join(least, "component").select("set", "component_id", "component")
@@ -330,8 +374,7 @@ def report(docs: DataFrame) -> DataFrame:
     return join_similar(docs).select("doc_id", "n_shingles", "component_id")
 
 
-def stage(docs: DataFrame) -> DataFrame:
-    """One row of each component, the one of the smallest (doc_id, k1, k2), null ids last; all rows without words stay."""
+def one_of_each(docs: DataFrame) -> DataFrame:
     found = cut(join_similar(docs), "similar")
     rows = found.where("n_shingles > 0").groupBy("component", "doc_id", "k1", "k2").agg(F.count("*").alias("c"))
     stay = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2", "c")).alias("k"))
@@ -343,6 +386,15 @@ def stage(docs: DataFrame) -> DataFrame:
     return once.union(again).union(docs.where(n_words(F.col("text")) == 0))
 
 
+def stage(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component, the one of the smallest (doc_id, k1, k2), null ids last.
+
+    All rows with a null text, an empty one or one without words stay. Of repeated rows one stays. Columns of any name
+    come through as they are. An empty table gives an empty table.
+    """
+    return shielded(docs, ("doc_id", "text"), one_of_each)
+
+
 def oracle() -> str:
     """DuckDB SQL for report(): all pairs with a common shingle, then the smallest id that links reach."""
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

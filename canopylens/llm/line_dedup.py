@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopylens.llm.common import fenced
+from canopylens.llm.common import fenced, shielded
 
 #: One boundary in so many places; words of a line that is a chunk of its own, and of a window.
 DIVISOR = 2
@@ -116,6 +116,14 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """Documents with their clean text; those of which nothing is left go."""
-    out = dedup_lines(docs)
-    return out.where((F.size("removed") == 0) | F.col("text").rlike(r"[^\x00-\x20]")).select(*docs.columns)
+    """Documents with their clean text, in the columns of docs; those of which nothing is left go.
+
+    Null and empty texts, in which nothing is removed, stay. Of repeated rows and equal passages the first keeps its
+    text, in the order of dedup_lines(). Columns of any name come through as they are. An empty table gives an empty one.
+    """
+
+    def left(rows: DataFrame) -> DataFrame:
+        out = dedup_lines(rows)
+        return out.where((F.size("removed") == 0) | F.col("text").rlike(r"[^\x00-\x20]"))
+
+    return shielded(docs, ("doc_id", "text"), left)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from canopylens.llm.common import shielded
+
 #: ASCII white space, characters that count as symbols, separators of menus, ends of sentences.
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -99,9 +101,17 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The documents kept, with their failed lines removed, in the columns of docs."""
-    out = clean(docs).where("kept")
-    return out.select(*[out["clean_text"].alias("text") if c == "text" else out[c] for c in docs.columns])
+    """The documents kept, with their failed lines removed, in the columns of docs.
+
+    Null and empty texts go. Columns of any name come through as they are; repeated rows are each judged alike, and a
+    text of any length as a whole. An empty table gives an empty table.
+    """
+
+    def kept(rows: DataFrame) -> DataFrame:
+        out = clean(rows).where("kept")
+        return out.select(*[out["clean_text"].alias("text") if c == "text" else out[c] for c in rows.columns])
+
+    return shielded(docs, ("text",), kept)
 
 
 def oracle() -> str:

@@ -59,6 +59,37 @@ def test_jaccard_join_of_drifting_copies(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_components(rows).items()}
 
 
+@pytest.mark.parametrize("group", [256, 16])
+def test_jaccard_join_of_a_common_passage_and_many_near_copies(spark, monkeypatch, group):
+    monkeypatch.setattr(jaccard_join, "DEEP_GROUP", group)
+    passage, base, rows = prose(70, 60), prose(71, 140).split(), []
+    for i in range(250):  # two fifths to all of the text are the passage
+        rows.append((i, f"{prose(2000 + i, 1 + 90 * (i % 7) // 6, vocabulary=5000)} {passage}"))
+    for i in range(250, 450):  # copies of one text that drift, so that some are linked by others only
+        w = list(base)
+        for k in range(i % 9):
+            w[(i * 7 + k * 31) % 140] = f"z{i % 40}{k}"
+        rows.append((i, " ".join(w[: 140 - i % 5])))
+    got = {r.doc_id: r.component_id for r in jaccard_join.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(rows).items()}
+
+
+CLASHING = ("c", "k1", "k2", "s1", "kept", "n_words", "clean_text", "n_chunks", "removed", "_row", "size", "target", "rate", "copies", "component", "_n")
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_pass_odd_tables_and_clashing_columns_through(spark, docs, nothing, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    assert stage(spark, nothing, DIR).collect() == []
+    odd = docs.where("doc_id is null or doc_id not in (5, 6)").withColumns({c: F.concat(F.lit(f"{c}="), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASHING})
+    out = stage(spark, odd, DIR)
+    assert out.columns == odd.columns and out.dtypes == odd.dtypes
+    found = out.collect()
+    assert found
+    for r in found:
+        assert all(r[c] == f"{c}={'none' if r.doc_id is None else r.doc_id}" for c in CLASHING)
+
+
 def test_jaccard_stage_keeps_one(docs, nothing):
     kept = jaccard_join.stage(docs).collect()
     report = jaccard_join.report(docs).collect()
@@ -117,6 +148,15 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     assert [i for i, _ in got[200]] == [7, 201, 202, 203, 204, 205, 206, 207, 208, 209]
 
 
+def test_neighbours_of_an_id_with_several_vectors_and_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD_VECTORS", 40)
+    v = vectors(spark, extra=[(7, [9.0] * 8, 0), (100, [9.5] * 8, 0)])
+    got = neighbours.report(v).collect()
+    assert Counter(r.query_id for r in got) == dict.fromkeys((0, 100, 200, 300, 400, 500), 10)
+    assert len({(r.query_id, r.vec_id) for r in got}) == 60
+    assert {r.vec_id: r.score for r in got if r.query_id == 100}[7] == pytest.approx(2**0.5)
+
+
 def test_neighbours_of_few_and_none(spark):
     assert neighbours.report(vectors(spark).where("false")).count() == 0
     few = neighbours.report(vectors(spark).where("vec_id in (0, 5, 100)")).collect()
@@ -237,6 +277,30 @@ def test_toxicity_chain_uses_the_earlier_category(spark):
     assert [len(m["weights"]) - len(model["words"]) for m in model["chain"]] == [1, 2]
 
 
+def test_toxicity_of_repeated_ids_and_folds(spark):
+    docs, labels = toxic_docs(spark)
+    few = labels.where("doc_id % 5 = 0 and doc_id < 40")  # one fold by id would hold all
+    assert toxicity.report(docs, few).count() == 303
+    twice = docs.union(docs.where("doc_id < 50")).union(spark.createDataFrame([(7, prose(7, 30_000) + " vile1, you")], docs.schema))
+    assert toxicity.report(twice, labels.union(labels)).count() == 354
+    known = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    sample = toxicity.labelled_words(twice, known, ["low_quality", "toxic"])
+    assert sample.count() == sample.select("doc_id").distinct().count() == 200
+
+
+def test_toxicity_against_plain_evaluation(spark):
+    docs, labels = toxic_docs(spark)
+    model = toxicity.train(docs, labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic"), ["low_quality", "toxic"])
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.predict(docs, model).collect():
+        words, earlier = {w.strip(toxicity.PUNCTUATION) for w in (texts[r.doc_id] or "").lower().split()}, []
+        for m in model["chain"]:
+            n = len(model["words"])
+            z = m["weights"][-1] + sum(w for w, v in zip(m["weights"], model["words"], strict=False) if v in words) + sum(w * p for w, p in zip(m["weights"][n:-1], earlier, strict=True))
+            earlier.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+        assert [r.p_low_quality, r.p_toxic] == pytest.approx(earlier, abs=1e-4) and r.toxic == (r.p_toxic >= model["chain"][1]["threshold"])
+
+
 def test_pipeline_stages(spark):
     docs = table(spark, DIR, "documents")
     columns, before = docs.columns, docs
