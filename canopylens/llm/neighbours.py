@@ -117,6 +117,12 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     return rows.where(whole & F.exists("v", lambda c: c != 0))
 
 
+def partitions(groups: int | None) -> int:
+    """How many partitions so many groups are dealt to by hash: few groups to four times as many, so that few meet."""
+    groups = max(1, groups or 0)
+    return max(groups, min(4 * groups, 1000))
+
+
 def build_index(rows: DataFrame, k: int = K, shard_vectors: int = SHARD_VECTORS) -> DataFrame:
     """(dim, shard, parts, place, v, ids, near): the graph's rows, as Parquet in the shared folder.
 
@@ -134,15 +140,18 @@ def build_index(rows: DataFrame, k: int = K, shard_vectors: int = SHARD_VECTORS)
         graph, entry = build_graph(np.stack(pdf["v"].to_list()).astype(np.float32))
         return pdf.assign(place=np.arange(len(pdf)), near=[g[g >= 0].tolist() for g in graph], entry=entry)[["dim", "parts", "shard", "place", "entry", "v", "ids", "near"]]
 
+    # shards are small in bytes and large in work: each gets a partition, which Spark doesn't put together again
+    n = partitions(parts.agg(F.sum("parts")).first()[0])
     kind = rows.schema["v"].dataType.simpleString()
     schema = f"dim int, parts int, shard int, place int, entry int, v {kind}, ids array<long>, near array<int>"
-    return cut(dealt.select("dim", "parts", "shard", "v", "ids").groupBy("dim", "shard").applyInPandas(build, schema), "graph")
+    return cut(dealt.select("dim", "parts", "shard", "v", "ids").repartition(n, "dim", "shard").groupBy("dim", "shard").applyInPandas(build, schema), "graph")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query (vec_id, v), itself left out.
 
-    Nearest first, ties to the smaller id. score: the Euclidean distance in double precision. Fewer rows where the index
+    Nearest first, ties to the smaller id. An id with several vectors is a neighbour by the nearest of them, and a query
+    of its own for each, of which the nearest found together count. score: the Euclidean distance in double precision. Fewer rows where the index
     has fewer. Queries go to the shards of their length in blocks; no task holds more than one block and one shard.
     """
     blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
@@ -174,9 +183,11 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM) -
         return pd.DataFrame(out)
 
     keys = ["dim", "shard", "block"]
-    found = graph.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(answer, "query_id long, vec_id long, score double")
+    n = partitions((shards.agg(F.sum("parts")).first()[0] or 0) * blocks)
+    found = graph.repartition(n, *keys).groupBy(*keys).cogroup(asked.repartition(n, *keys).groupBy(*keys)).applyInPandas(answer, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def report(vectors: DataFrame, every: int = 100, k: int = K) -> DataFrame:
