@@ -6,6 +6,7 @@ Those are out-of-fold in training: each labelled document's comes from models th
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canopylens.llm.common import cut
 
 #: Labelled documents that the models are fitted on at most (those of the smallest hashes), words for each category, folds.
 MAX_LABELLED = 12_000
@@ -30,7 +32,11 @@ def words_in(text: str | None) -> set[str]:
 
 
 def labelled_words(docs: DataFrame, labels: DataFrame, categories: list[str], most: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, the categories, words) of at most so many labelled documents; the ids that are sent out are as few."""
+    """(doc_id, the categories, words) of at most so many labelled documents; the ids that are sent out are as few.
+
+    An id has one row: of several labels the largest count, of several texts the smallest that isn't null. Words are
+    those of the whole text.
+    """
     ids = labels.where(" and ".join(f"{c} is not null" for c in [*categories, "doc_id"])).groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories])
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
@@ -41,8 +47,8 @@ def labelled_words(docs: DataFrame, labels: DataFrame, categories: list[str], mo
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([sorted(words_in(t)) for t in b.columns[-1].to_pylist()], pa.list_(pa.string()))], names=[*b.schema.names[:-1], "words"])
 
     schema = "doc_id long, " + ", ".join(f"{c} int" for c in categories) + ", words array<string>"
-    some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.col("doc_id").cast("long"), *[F.col(c).cast("int") for c in categories], "text")
-    return some.mapInArrow(split, schema)
+    some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", *categories).agg(F.min("text").alias("text"))
+    return some.select(F.col("doc_id").cast("long"), *[F.col(c).cast("int") for c in categories], "text").mapInArrow(split, schema)
 
 
 def choose_words(sample: DataFrame, categories: list[str], n: int = WORDS, least: int = MIN_DOCS) -> list[str]:
@@ -88,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str]) -> dict:
 
     A category without both kinds of labels gets no model; its probability is its rate and nothing is flagged.
     """
-    sample = labelled_words(docs, labels, categories)
+    sample = cut(labelled_words(docs, labels, categories), "labelled")
     words = choose_words(sample, categories)
     known = F.array(*[F.lit(w) for w in words]) if words else F.expr("cast(array() as array<string>)")
     rows = sample.select("doc_id", *categories, F.array_intersect("words", known).alias("words")).orderBy("doc_id").collect()
@@ -96,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str]) -> dict:
     x = np.zeros((len(rows), len(words)), np.float32)
     for i, r in enumerate(rows):
         x[i, [at[w] for w in r.words]] = 1
-    fold = np.array([r.doc_id for r in rows], np.int64) % FOLDS
+    fold = np.array([zlib.crc32(str(r.doc_id).encode()) % FOLDS for r in rows], np.int64)
     chain = []
     for c in categories:
         y = np.array([r[c] for r in rows], float)
@@ -107,8 +113,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str]) -> dict:
             p = np.empty(len(rows))
             for f in range(FOLDS):
                 out = fold == f
-                if out.any():
-                    p[out] = apply(x[out], fit(x[~out], y[~out])) if y[~out].min() < y[~out].max() else y[~out].mean()
+                rest = y[~out]
+                if out.any() and len(rest) and rest.min() < rest.max():
+                    p[out] = apply(x[out], fit(x[~out], rest))
+                else:  # nothing to tell the kinds apart by
+                    p[out] = rest.mean() if len(rest) else y.mean()
             cuts = np.unique(np.round(p, 3))
             f1 = [2 * y[p >= t].sum() / ((p >= t).sum() + y.sum()) for t in cuts]
             best = int(np.argmax(f1))
@@ -121,8 +130,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str]) -> dict:
 def predict(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, p_ and flag of each category) of every row, from its whole text.
 
-    A null or empty text has no words and gets what the intercepts say. Repeated rows are each judged; other columns
-    are left out. An empty table gives an empty table.
+    A null or empty text has no words and gets what the intercepts say. Repeated rows and ids are each judged, and so is
+    a text of any length as a whole. Other columns are left out, whatever their names. An empty table gives an empty
+    table.
     """
     names = [m["category"] for m in model["chain"]]
     schema = "doc_id long, " + ", ".join(f"p_{c} double, {c} boolean" for c in names)
