@@ -174,23 +174,40 @@ def test_mixing(spark, docs, nothing):
     assert mixing.stage(docs).columns == docs.columns
 
 
-def test_newton_meets_targets_with_a_tilt(spark):
-    docs = spark.createDataFrame([("a", 10 * i, 1.0 + i % 3) for i in range(1, 60)], "source string, size long, tilt double")
-    wanted = spark.createDataFrame([("a", 59, 17700, 9000.0)], "source string, n_docs long, source_size long, target double")
-    lam = mixing.solve(docs, wanted).first().multiplier
-    assert sum(min(3, np.exp(lam * r.tilt)) * r.size for r in docs.collect()) == pytest.approx(9000, rel=1e-6)
+def exact_rates(sizes, target, cap=3.0):
+    """Rates min(cap, exp(x * size / mean)) that meet the target, by halving."""
+    t = np.array(sizes, float) / np.mean(sizes)
+    low, high = -1e4, 1e4
+    for _ in range(300):
+        x = (low + high) / 2
+        low, high = (x, high) if (np.minimum(cap, np.exp(np.minimum(x * t, 50))) * sizes).sum() < target else (low, x)
+    return np.minimum(cap, np.exp(np.minimum(low * t, 50)))
+
+
+def test_newton_meets_targets(spark):
+    shares = [0.001, 0.5, 1.0, 2.05, 2.14, 2.5, 2.9, 2.99, 3.0]
+    sizes = [10 * i + i % 7 for i in range(1, 30)] + [900, 5000]
+    cells = spark.createDataFrame([(None if k == 3 else f"s{k}", s, 1) for k in range(len(shares)) for s in sizes], "source string, size long, n long")
+    wanted = spark.createDataFrame([(None if k == 3 else f"s{k}", len(sizes), sum(sizes), sum(sizes) * x) for k, x in enumerate(shares)], "source string, n_docs long, source_size long, target double")
+    got = mixing.solve(cells, wanted).collect()
+    assert len(got) == len(shares)
+    for r in got:
+        rates = np.minimum(3, np.exp(np.minimum(r.multiplier * np.array(sizes) / r.mean, 50)))
+        assert (rates * sizes).sum() == pytest.approx(r.target, rel=1e-6)
+        assert rates == pytest.approx(exact_rates(sizes, r.target), rel=1e-4, abs=1e-9)
 
 
-def test_newton_meets_targets_below_the_cap(spark):
-    shares = [0.001, 0.5, 1.0, 2.05, 2.1, 2.14, 2.19, 2.5, 2.9, 2.99, 3.0]
-    docs = spark.createDataFrame([(f"s{k}", 10 * i, t) for k in range(len(shares)) for i in range(1, 30) for t in (1.0,)], "source string, size long, tilt double")
-    wanted = spark.createDataFrame([(f"s{k}", 29, 4350, 4350 * x) for k, x in enumerate(shares)], "source string, n_docs long, source_size long, target double")
-    got = {r.source: math.exp(r.multiplier) for r in mixing.solve(docs, wanted).collect()}
-    assert got == {f"s{k}": pytest.approx(x, rel=1e-6) for k, x in enumerate(shares)}
-    tilted = docs.withColumn("tilt", 1.0 + F.col("size") % 3)
-    sizes = [(10 * i, 1.0 + 10 * i % 3) for i in range(1, 30)]
-    for r in mixing.solve(tilted, wanted).collect():
-        assert sum(min(3, math.exp(r.multiplier * t)) * n for n, t in sizes) == pytest.approx(r.target, rel=1e-6)
+def test_mixing_rates_are_those_of_an_independent_solver(spark, docs):
+    got = defaultdict(list)
+    for r in mixing.mixture(docs.where("text is null or length(text) < 50000")).collect():
+        got[r.source_size].append(r)
+    for rows in got.values():
+        full = [r for r in rows if r["size"]]
+        want = dict(zip([r["size"] for r in full], exact_rates([r["size"] for r in full], rows[0].target) if rows[0].target < 2.999 * rows[0].source_size else [3.0] * len(full), strict=True))
+        mean = rows[0].source_size / len(rows)
+        assert len({round(r.rate, 9) for r in full}) > 1 or rows[0].target >= 2.999 * rows[0].source_size
+        for r in full:
+            assert r.rate == pytest.approx(want[r["size"]], rel=1e-4), (mean, r)
 
 
 def test_url_patterns_are_found_by_every_branch(spark):
@@ -199,11 +216,30 @@ def test_url_patterns_are_found_by_every_branch(spark):
         "?page=3&ref=x", "user/login", "login/", "login?x", "loginx", "cart/add", "cart/checkout", "cart/addx", "x-casino-y", "x.casino.y", "-xxx/", "php html session", "php", "html 1")] + ["http://m.b/es/x", "http://m.b/de/x"]
     urls += [f"http://a.b/{w}/{i}" for i in range(9) for w in ("wp/admin", "print", "session")]  # the other tokens are rarer
     pages = spark.createDataFrame([*enumerate(urls)], "page_id long, url string")
-    want = {i: min((k for k, p, _ in url_filter.PATTERN_RULES if re.search(p, u)), default=None) for i, u in enumerate(urls)}
-    assert {k for k in want.values() if k} == {k for k, _, _ in url_filter.PATTERN_RULES}
+    want = {i: min((k for k, p in url_filter.PATTERN_RULES if re.search(p, u)), default=None) for i, u in enumerate(urls)}
+    assert {k for k in want.values() if k} == {k for k, _ in url_filter.PATTERN_RULES}
     assert {r.page_id: r.pattern_id for r in url_filter.judge_urls(pages).collect()} == want
 
 
+def test_some_thousand_url_rules(spark):
+    r = np.random.default_rng(4)
+    word = lambda: "".join(r.choice(list("abcdefgh123"), r.integers(2, 5)))
+    forms = [lambda: f"/{word()}/{word()}[.-]", lambda: f"[?&]({word()}|{word()})=", lambda: f"/{word()}{word()}+x", lambda: f"{word()}", lambda: rf"\\.{word()}/({word()}/)?{word()}/", lambda: f"/{word()}(/|$)", lambda: f"/{word()}[^/]*/{word()}-"]
+    rules = [(f"r{k}", forms[k % len(forms)]()) for k in range(3000)]
+    assert sum(not url_filter.literal_tokens(p) for _, p in rules) < 1500
+    urls = [f"http://{word()}.{word()}/{word()}/{word()}-{word()}.{word()}/?{word()}={word()}&{word()}" for _ in range(300)]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, u string")
+    got = {x.page_id: x.pattern_id for x in url_filter.judge_urls(pages, pattern_rules=url_filter.pattern_table(spark, rules)).collect()}
+    assert got == {i: min((k for k, p in rules if re.search(p, u)), default=None) for i, u in enumerate(urls)}
+
+
+def test_tokens_of_patterns():
+    t = url_filter.literal_tokens
+    assert t(r"[?&](sid|session)=[0-9a-f]+") == ["sid|session"] and t(r"/print/[0-9]+\.html") == ["print"]
+    assert t("/wp-admin/[a-z-]+\\.php") == ["wp", "admin"] and t("/(user/)?login(/|\\?|$)") == []
+    assert t("casino") == t("/a|/b/") == t("/ab?/") == t("/a./") == t("/((a|b)/)/") == t("(?i)/a/") == []
+
+
 def test_url_filter(spark):
     urls = ["https://a.EXAMPLE.net/en/x?q#f", "http://example.net/de/", "http://x.org/fr/a", "http://x.org/de/a", "http://notexample.com/de/", "http://example.com/de/x", "no scheme", None, "", "http://net/", "http://a.b/?page=3&ref=x", "http://shop.b/casino/", "http://net", "http://b.c/LOGIN?x", "://a.net/"]
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate([*urls, urls[0]])], "page_id long, url string, rule string")
