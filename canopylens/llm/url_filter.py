@@ -2,27 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopylens.llm.common import ascii_lower
+from canopylens.llm.common import ascii_lower, shielded
 
 #: Host rules: a host with all its subdomains, and a prefix of the path.
 HOST_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: Pattern rules: a regular expression over the lower-cased url, and the tokens that each of its matches holds whole;
-#: of tokens joined by | each match holds one at least.
+#: Pattern rules: regular expressions over the lower-cased url.
 PATTERN_RULES = [
-    ("session", r"[?&](sid|session)=[0-9a-f]+", ["sid|session"]),
-    ("feed", r"[?&]utm_source=feed(&|#|$)", ["utm", "source", "feed"]),
-    ("paging", r"\?page=[0-9]+&ref=", ["page", "ref"]),
-    ("mobile-es", r"://m\.[^/]+/es/", ["m", "es"]),
-    ("login", r"/(user/)?login(/|\?|$)", ["login"]),
-    ("cart", r"/cart/(add|checkout)", ["cart"]),
-    ("casino", r"[./-]casino[./-]", ["casino"]),
-    ("adult", r"[./-]xxx[./-]", ["xxx"]),
-    ("admin", r"/wp-admin/[a-z-]+\.php", ["wp", "admin"]),
-    ("print", r"/print/[0-9]+\.html", ["print"]),
+    ("session", r"[?&](sid|session)=[0-9a-f]+"),
+    ("feed", r"[?&]utm_source=feed(&|#|$)"),
+    ("paging", r"\?page=[0-9]+&ref="),
+    ("mobile-es", r"://m\.[^/]+/es/"),
+    ("login", r"/login(/|\?|$)"),
+    ("cart", r"/cart/(add|checkout)"),
+    ("casino", r"[./-]casino[./-]"),
+    ("adult", r"[./-]xxx[./-]"),
+    ("admin", r"/wp-admin/[a-z-]+\.php"),
+    ("print", r"/print/[0-9]+\.html"),
 ]
+#: What a pattern is read as: a class or a group with the sign that may follow it, an escape, or one character.
+_PIECE = re.compile(r"(\[[^\]]*\]|\([^()]*\)|\\.|.)([?*+]|\{[^}]*\})?")
+
+
+def literal_tokens(pattern: str) -> list[str]:
+    """The tokens that every match of pattern holds whole, alternatives joined by |; none where that isn't certain.
+
+    A token is a run of literal letters and digits, or a group of such runs, between two pieces that can't be letters or
+    digits: other literals, classes without letters, digits and ranges, or a group of such. What may be missing or
+    repeated is no boundary. Patterns with | outside groups, with nested groups or with flags have no tokens.
+    """
+    if re.search(r"\([^()]*\(|\(\?|[A-Z]", pattern) or "|" in re.sub(r"\([^()]*\)|\[[^\]]*\]|\\.", "", pattern):
+        return []
+    kinds: list[tuple[str, str]] = []
+    for piece, sign in _PIECE.findall(pattern):
+        inner = piece[1:-1]
+        if sign:
+            kinds.append(("unknown", ""))
+        elif piece.startswith("["):
+            kinds.append(("edge" if not inner.startswith("^") and not re.search(r"[a-z0-9\\]|.-.", inner) else "unknown", ""))
+        elif piece.startswith("("):
+            options = inner.split("|")
+            plain = all(re.fullmatch("[a-z0-9]+", x) for x in options)
+            edge = all(re.fullmatch(r"\\[?.]|[&#/$=-]", x) for x in options)
+            kinds.append(("word", inner) if plain else ("edge" if edge else "unknown", ""))
+        elif re.fullmatch("[a-z0-9]", piece):
+            kinds.append(("letter", piece))
+        else:
+            kinds.append(("edge" if re.fullmatch(r"\\[^a-z0-9]|[^a-z0-9.()\[\]]", piece) else "unknown", ""))
+    out, at = [], 0
+    while at < len(kinds):
+        end = at
+        while end < len(kinds) and kinds[end][0] == "letter":
+            end += 1
+        if end == at and kinds[at][0] == "word":
+            end = at + 1
+        if end > at and 0 < at and end < len(kinds) and kinds[at - 1][0] == kinds[end][0] == "edge":
+            out.append("".join(x for _, x in kinds[at:end]))
+        at = max(end, at + 1)
+    return list(dict.fromkeys(out))
+
+
+def as_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rules as a table that no Python process has to make."""
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    kinds = ", ".join(c.replace(" ", ": ", 1) for c in schema.split(", "))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kinds}>>")))
+
+
+def pattern_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
+    """(pattern_id, pattern, tokens) of some thousand rules; larger sets are given as such a table."""
+    return as_table(spark, [(i, p, literal_tokens(p)) for i, p in rules], "pattern_id string, pattern string, tokens array<string>")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -35,28 +90,41 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(F.split(ascii_lower(url), "[^a-z0-9]+"), lambda t: t != ""))
 
 
+#: The token of all urls, under which rules without a token are listed.
+ANY = ""
+
+
 def index_rules(url_token: DataFrame, rules: DataFrame) -> DataFrame:
     """Each pattern rule under that of its tokens which the fewest urls hold; ties go to the smaller token.
 
-    Alternatives count together, and the rule is listed under each of them.
+    Alternatives count together, and the rule is listed under each of them. A rule without tokens is tried on all urls.
     """
-    of_rules = rules.select("pattern_id", "pattern", F.explode("tokens").alias("any")).withColumn("token", F.explode(F.split("any", r"\|")))
+    known = F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit(ANY)))
+    of_rules = rules.select("pattern_id", "pattern", F.explode(known).alias("any")).withColumn("token", F.explode(F.split("any", r"\|")))
     seen = url_token.join(of_rules.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     rare = of_rules.join(seen, "token", "left").fillna(0, ["n"]).groupBy("pattern_id", "pattern", "any").agg(F.sum("n").alias("n"))
     rare = rare.groupBy("pattern_id", "pattern").agg(F.min(F.struct("n", "any"))["any"].alias("any"))
     return rare.select("pattern_id", "pattern", F.explode(F.split("any", r"\|")).alias("token"))
 
 
-def judge_urls(pages: DataFrame, host_rules=None, pattern_rules=None, url: str = "url") -> DataFrame:
-    """pages with host, path, rule, verdict and pattern_id (of the pattern rule that decided).
+NEW = ["host", "path", "rule", "verdict", "pattern_id"]
+
+
+def judge_urls(pages: DataFrame, host_rules: DataFrame | None = None, pattern_rules: DataFrame | None = None, url: str = "url") -> DataFrame:
+    """pages with host, path, rule, verdict and pattern_id (of the pattern rule that decided, the smallest of several).
 
-    The longest host rule that fits decides; without one, a matching pattern rule blocks; all else is allowed.
-    A null url and one without '://' have an empty host and path. Repeated urls are judged once. Columns of
-    pages with the names of the new ones are replaced. An empty table gives an empty table.
+    host_rules: (rule_host, rule_path, rule_verdict); pattern_rules: (pattern_id, pattern, tokens). The longest host rule
+    that fits decides; without one, a matching pattern rule blocks; all else is allowed. A null url and one without
+    '://' have an empty host and path. Repeated rows stay, their url is judged once. A url of any length is judged whole.
+    Columns of pages with the names of the new ones are replaced. An empty table gives an empty table.
     """
+    return shielded(pages.drop(*NEW), (url,), lambda d: _judged(d, host_rules, pattern_rules, url), NEW)
+
+
+def _judged(pages: DataFrame, host_rules: DataFrame | None, pattern_rules: DataFrame | None, url: str) -> DataFrame:
     spark = pages.sparkSession
-    hosts = spark.createDataFrame(host_rules or HOST_RULES, "rule_host string, rule_path string, rule_verdict string")
-    rules = spark.createDataFrame(pattern_rules or PATTERN_RULES, "pattern_id string, pattern string, tokens array<string>")
+    hosts = as_table(spark, HOST_RULES, "rule_host string, rule_path string, rule_verdict string") if host_rules is None else host_rules
+    rules = pattern_table(spark, PATTERN_RULES) if pattern_rules is None else pattern_rules
     host, path = split_url(F.col("u"))
     urls = pages.select(F.col(url).alias("u")).where("u is not null").distinct().withColumns({"host": host, "path": path})
 
@@ -66,7 +134,7 @@ def judge_urls(pages: DataFrame, host_rules=None, pattern_rules=None, url: str =
     rule = F.concat("rule_host", "rule_path")
     by_host = fits.groupBy("u").agg(F.max(F.struct(F.length(rule).alias("n"), rule.alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("best"))
 
-    tokens = urls.select("u", F.explode(url_tokens(F.col("u"))).alias("token"))
+    tokens = urls.select("u", F.explode(F.array_append(url_tokens(F.col("u")), F.lit(ANY))).alias("token"))
     fetched = tokens.join(index_rules(tokens, rules), "token").where(F.expr("rlike(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), pattern)"))
     by_pattern = fetched.groupBy("u").agg(F.min("pattern_id").alias("pattern_id"))
 
@@ -75,10 +143,8 @@ def judge_urls(pages: DataFrame, host_rules=None, pattern_rules=None, url: str =
         F.coalesce(F.col("best.verdict"), F.when(F.col("pattern_id").isNotNull(), "block"), F.lit("allow")).alias("verdict"),
         F.when(F.col("best").isNull(), F.col("pattern_id")).alias("pattern_id"),
     )
-    new = ["host", "path", "rule", "verdict", "pattern_id"]
-    kept = pages.drop(*new)
-    return kept.join(decided, kept[url] == decided["u"], "left").select(
-        *[kept[c] for c in kept.columns], F.coalesce(decided["host"], F.lit("")).alias("host"), F.coalesce(decided["path"], F.lit("")).alias("path"),
+    return pages.join(decided, pages[url] == decided["u"], "left").select(
+        *[pages[c] for c in pages.columns], F.coalesce(decided["host"], F.lit("")).alias("host"), F.coalesce(decided["path"], F.lit("")).alias("path"),
         "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), "pattern_id",
     )
 
@@ -87,7 +153,7 @@ def oracle() -> str:
     """DuckDB SQL with the same rules, each evaluated on every url."""
     low = "translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     hosts = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in HOST_RULES)
-    patterns = " ".join(f"when regexp_matches({low}, '{p}') then '{i}'" for i, p, _ in sorted(PATTERN_RULES))
+    patterns = " ".join(f"when regexp_matches({low}, '{p}') then '{i}'" for i, p in sorted(PATTERN_RULES))
     return f"""
 with rest as (select row_number() over () as rid, page_id, url,
     case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
