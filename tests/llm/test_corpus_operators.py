@@ -282,7 +282,7 @@ def test_toxicity_of_repeated_ids_and_folds(spark):
     few = labels.where("doc_id % 5 = 0 and doc_id < 40")  # one fold by id would hold all
     assert toxicity.report(docs, few).count() == 303
     twice = docs.union(docs.where("doc_id < 50")).union(spark.createDataFrame([(7, prose(7, 30_000) + " vile1, you")], docs.schema))
-    assert toxicity.report(twice, labels.union(labels)).count() == 354
+    assert toxicity.report(twice, labels.union(labels)).count() == 355
     known = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
     sample = toxicity.labelled_words(twice, known, ["low_quality", "toxic"])
     assert sample.count() == sample.select("doc_id").distinct().count() == 200
