@@ -96,12 +96,52 @@ def prompt_box(b: Column, xmin: float, ymax: float, res: float) -> Column:
     return F.struct(((b["xmin"] - xmin) / res).alias("left"), ((ymax - b["ymax"]) / res).alias("top"), ((b["xmax"] - xmin) / res).alias("right"), ((ymax - b["ymin"]) / res).alias("bottom"))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once, also where use takes it into a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def cell_cover(g: Column, res: float = 1.0) -> Column:
-    """(cx, cy) of the cells of a grid whose centres lie inside."""
+    """(cx, cy) of the cells of a grid whose centres lie inside, by the even-odd rule.
+
+    Each row of cells is crossed once: the sorted places where edges meet its middle line bound the spans inside.
+    """
     b = bbox(g)
-    span = lambda lo, hi: F.sequence(F.floor(lo / res).cast("int"), F.greatest(F.floor(lo / res), F.ceil(hi / res) - 1).cast("int"))
-    cells = F.flatten(F.transform(span(b["xmin"], b["xmax"]), lambda cx: F.transform(span(b["ymin"], b["ymax"]), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
-    return F.filter(cells, lambda c: contains_point(g, (c["cx"] + 0.5) * res, (c["cy"] + 0.5) * res))
+    none = F.expr("cast(array() as array<struct<cx:int,cy:int>>)")
+
+    def span(crossings: Column, k: Column, cy: Column) -> Column:
+        first = F.ceil(F.get(crossings, 2 * k) / res - 0.5).cast("int")
+        last = F.ceil(F.get(crossings, 2 * k + 1) / res - 0.5).cast("int") - 1
+        return F.when(last >= first, F.transform(F.sequence(first, last), lambda cx: F.struct(cx.alias("cx"), cy.alias("cy")))).otherwise(none)
+
+    def row(lines: Column, cy: Column) -> Column:
+        y = (cy + 0.5) * res
+        met = F.filter(lines, lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
+        places = F.array_sort(F.transform(met, lambda e: (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]))
+        pairs = lambda c: F.transform(F.sequence(F.lit(0), F.floor(F.size(c) / 2 - 1).cast("int")), lambda k: span(c, k, cy))
+        return let(places, lambda c: F.when(F.size(c) > 1, F.flatten(pairs(c))).otherwise(none))
+
+    low = F.floor(b["ymin"] / res).cast("int")
+    rows = F.sequence(low, F.greatest(low, F.ceil(b["ymax"] / res).cast("int") - 1))
+    return let(F.flatten(F.transform(g, edges)), lambda lines: F.flatten(F.transform(rows, lambda cy: row(lines, cy))))
+
+
+def packed_cells(g: Column, res: float = 1.0) -> Column:
+    """The cell cover as one number for each cell, for set operations on arrays."""
+    return F.transform(cell_cover(g, res), lambda c: F.shiftleft(c["cx"].cast("long"), 32) + c["cy"])
+
+
+def touch(a: Column, b: Column) -> Column:
+    """Whether two closed segments (a, b) have a point in common."""
+    side = lambda s, p: (s["b"]["x"] - s["a"]["x"]) * (p["y"] - s["a"]["y"]) - (s["b"]["y"] - s["a"]["y"]) * (p["x"] - s["a"]["x"])
+    meet = lambda c: (F.least(a["a"][c], a["b"][c]) <= F.greatest(b["a"][c], b["b"][c])) & (F.least(b["a"][c], b["b"][c]) <= F.greatest(a["a"][c], a["b"][c]))
+    return meet("x") & meet("y") & (side(a, b["a"]) * side(a, b["b"]) <= 0) & (side(b, a["a"]) * side(b, a["b"]) <= 0)
+
+
+def intersects(p: Column, q: Column) -> Column:
+    """Whether two polygons have a point in common; a shared piece of boundary, even one point, counts."""
+    crossing = F.exists(F.flatten(F.transform(p, edges)), lambda e: F.exists(F.flatten(F.transform(q, edges)), lambda d: touch(e, d)))
+    return crossing | contains_point(p, q[0][0]["x"], q[0][0]["y"]) | contains_point(q, p[0][0]["x"], p[0][0]["y"])
 
 
 #: WGS 84, and the central meridian and scale of UTM zone 17.

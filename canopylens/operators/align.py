@@ -52,33 +52,69 @@ def align_vertical(pixels: DataFrame, ref: int, band: str = "h") -> DataFrame:
 
 
 def delta_offset(target: DataFrame, ref: DataFrame, band: str = "h") -> DataFrame:
-    """The median of the cell-wise difference."""
-    return raster.difference(ref, target, band).agg(F.round(F.median("delta"), 4).alias("offset"))
+    """The median of the cell-wise difference, from the counts of each difference."""
+    return raster.median_of(raster.difference(ref, target, band), "delta", []).select(F.round("median", 4).alias("offset"))
 
 
-def estimate_tie_points(windows: DataFrame, max_shift: int) -> DataFrame:
-    """(pair, grid, x_shift, y_shift, reliability) from windows (pair, grid, ref, tgt: arrays of equal square size).
+def cut_windows(pixels: DataFrame, band: str, spacing: int, size: int) -> DataFrame:
+    """(pair, grid_row, grid_col, side, cells: array of (at, v)): the windows of size x size cells at each grid point.
+
+    pixels: (pair, side, row_no, col, band), side 0 the reference and 1 the target. Grid points are spacing cells apart,
+    and a window begins at its point. A cell's windows are computed from its place. Cells without a value count as 0.
+    """
+    points = lambda c: F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - size) / spacing) + 1).cast("int"), F.floor(F.col(c) / spacing).cast("int"))
+    near = pixels.where(F.col(band).isNotNull()).withColumn("grid_row", F.explode(points("row_no"))).withColumn("grid_col", F.explode(points("col")))
+    at = (F.col("row_no") - F.col("grid_row") * spacing) * size + F.col("col") - F.col("grid_col") * spacing
+    return near.groupBy("pair", "grid_row", "grid_col", "side").agg(F.collect_list(F.struct(at.cast("int").alias("at"), F.col(band).cast("double").alias("v"))).alias("cells"))
+
+
+def one_window(pixels: DataFrame, band: str, row: int, col: int, size: int) -> DataFrame:
+    """The one window of each pair that begins at a chosen place, in the form of cut_windows()."""
+    at = (F.col("row_no") - row) * size + F.col("col") - col
+    inside = F.col("row_no").between(row, row + size - 1) & F.col("col").between(col, col + size - 1) & F.col(band).isNotNull()
+    cells = F.collect_list(F.struct(at.cast("int").alias("at"), F.col(band).cast("double").alias("v")))
+    return pixels.where(inside).groupBy("pair", F.lit(0).alias("grid_row"), F.lit(0).alias("grid_col"), "side").agg(cells.alias("cells"))
+
+
+def estimate_tie_points(windows: DataFrame, size: int, max_shift: int) -> DataFrame:
+    """(pair, grid_row, grid_col, x_shift, y_shift, reliability) from windows of two sides, in cells.
 
     Phase correlation: the peak of the normalised cross-power spectrum is the shift; its height above the next one,
-    in percent, is the reliability. Shifts beyond max_shift count as not found (reliability 0).
+    in percent, is the reliability. Shifts beyond max_shift count as not found (reliability 0). Windows that only one
+    side has are left out. A task holds one pair of windows at a time.
     """
 
     def correlate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def spectrum(cells: list) -> np.ndarray:
+            dense = np.zeros(size * size)
+            dense[[c["at"] for c in cells]] = [c["v"] for c in cells]
+            return np.fft.fft2((dense - dense.mean()).reshape(size, size))
+
         for pdf in frames:
             out = []
             for row in pdf.itertuples(index=False):
-                n = int(len(row.ref) ** 0.5)
-                a, b = np.fft.fft2(np.reshape(row.ref, (n, n))), np.fft.fft2(np.reshape(row.tgt, (n, n)))
-                cross = np.conj(a) * b
+                cross = np.conj(spectrum(row.ref)) * spectrum(row.tgt)
                 peak = np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-12)).real
                 top = np.unravel_index(int(peak.argmax()), peak.shape)
                 best, second = peak[top], np.partition(peak.ravel(), -2)[-2]
-                dy, dx = (int(v) - n if v > n // 2 else int(v) for v in top)
+                dy, dx = (int(v) - size if v > size // 2 else int(v) for v in top)
                 found = max(abs(dx), abs(dy)) <= max_shift and best > 0
-                out.append((row.pair, row.grid, float(dx), float(dy), float(100 * (1 - max(second, 0) / best)) if found else 0.0))
-            yield pd.DataFrame(out, columns=["pair", "grid", "x_shift", "y_shift", "reliability"])
-
-    return windows.select("pair", "grid", "ref", "tgt").mapInPandas(correlate, "pair int, grid int, x_shift double, y_shift double, reliability double")
+                out.append((row.pair, row.grid_row, row.grid_col, float(dx), float(dy), float(100 * (1 - max(second, 0) / best)) if found else 0.0))
+            yield pd.DataFrame(out, columns=["pair", "grid_row", "grid_col", "x_shift", "y_shift", "reliability"])
+
+    keys = ["pair", "grid_row", "grid_col"]
+    side = lambda k, n: windows.where(F.col("side") == k).select(*keys, F.col("cells").alias(n))
+    both = side(0, "ref").join(side(1, "tgt"), keys)
+    return both.mapInPandas(correlate, "pair int, grid_row int, grid_col int, x_shift double, y_shift double, reliability double")
+
+
+def on_the_map(points: DataFrame, spacing: int, size: int, res: float, left: float, top: float) -> DataFrame:
+    """points with X_MAP, Y_MAP, the middle of each window, and shifts and reliability under their table's names."""
+    middle = lambda c: F.col(c) * spacing + size / 2
+    return points.select(
+        "pair", "grid_row", "grid_col", (left + middle("grid_col") * res).alias("X_MAP"), (top - middle("grid_row") * res).alias("Y_MAP"),
+        (F.col("x_shift") * res).alias("X_SHIFT_M"), (-F.col("y_shift") * res).alias("Y_SHIFT_M"), F.col("reliability").alias("RELIABILITY"),
+    )
 
 
 def align_local(pixels: DataFrame, points: DataFrame, spacing: int, least: float = 30) -> DataFrame:

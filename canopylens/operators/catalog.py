@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from canopylens.functions import names
 
-#: Folders that a raw mission and a finished product should hold.
-RAW_FOLDERS = ("Images",)
-PRODUCT_FOLDERS = ("Cloudpoint", "DSM", "Orthophoto", "Report")
+#: Folders that a raw mission, and a finished product, may hold; each list by itself is right.
+RAW_FOLDERS = (("Images", "Images_extra"), ("Images", "Images_extra", "Videos"))
+PRODUCT_FOLDERS = (("Cloudpoint", "DSM", "Orthophoto", "Project"), ("Cloudpoint", "DSM", "Model", "Orthophoto", "Project"))
 
 
 def unmatched_pairs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -41,9 +41,10 @@ def names_by_kind(files: DataFrame) -> DataFrame:
     return files.groupBy("yr", "mission", "kind").agg(F.nullif(joined, F.lit("")).alias("names"))
 
 
-def folder_check(files: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
-    """(yr, mission, ok): whether a mission's folders are just the allowed ones."""
-    return files.groupBy("yr", "mission").agg((F.sort_array(F.collect_set("kind")) == F.array(*[F.lit(k) for k in sorted(allowed)])).alias("ok"))
+def folder_check(folders: DataFrame, allowed: tuple[tuple[str, ...], ...]) -> DataFrame:
+    """(yr, mission, ok): whether a mission's folders (yr, mission, folder) are just those of one of the allowed lists."""
+    lists = F.array(*[F.array(*[F.lit(k) for k in sorted(one)]) for one in allowed])
+    return folders.groupBy("yr", "mission").agg(F.sort_array(F.collect_set("folder")).alias("own")).select("yr", "mission", F.array_contains(lists, F.col("own")).alias("ok"))
 
 
 def image_check(missions: DataFrame, files: DataFrame) -> DataFrame:
@@ -60,15 +61,25 @@ def work_queue(missions: DataFrame, files: DataFrame) -> DataFrame:
     return missions.join(ortho, "mission", "left_anti").join(photos, "mission", "left_semi").select("yr", "mission")
 
 
-def mission_audit(missions: DataFrame, products: DataFrame, files: DataFrame) -> DataFrame:
-    """One row for each mission with every check and the verdict over all of them."""
-    kinds = files.groupBy("mission").agg(*[F.max(F.when(F.col("kind") == k, 1).otherwise(0)).alias(f"n_{k}") for k in (*RAW_FOLDERS, *PRODUCT_FOLDERS)])
-    done = products.select("mission", F.lit(True).alias("listed")).distinct()
-    has = lambda k: F.coalesce(F.col(f"n_{k}") > 0, F.lit(False))
-    checks = {"in_products": F.coalesce("listed", F.lit(False)), "has_images": has("Images"), "has_ortho": has("Orthophoto"), "has_dsm": has("DSM"), "has_cloud": has("Cloudpoint"), "has_report": has("Report")}
-    out = missions.join(done, "mission", "left").join(kinds, "mission", "left").select("yr", "mission", *[c.alias(k) for k, c in checks.items()])
-    product_ok = F.col("has_ortho") & F.col("has_dsm") & F.col("has_cloud") & F.col("has_report")
-    return out.withColumn("product_structure_ok", product_ok).withColumn("all_ok", F.col("in_products") & F.col("has_images") & product_ok)
+def mission_audit(missions: DataFrame, products: DataFrame, files: DataFrame, folders: DataFrame) -> DataFrame:
+    """One row for each mission with every check and the verdict over all of them.
+
+    folders: (yr, mission, part, folder), part raw or product. A mission without folders has no right structure, and a
+    file counts for its kind if it has the name that the mission's product should have.
+    """
+    done = products.select("mission", F.lit(True).alias("in_products")).distinct()
+    images = image_check(missions, files).select("mission", "has_images")
+    out = missions.join(done, "mission", "left").join(images, "mission", "left")
+    for part, allowed in (("raw", RAW_FOLDERS), ("product", PRODUCT_FOLDERS)):
+        right = folder_check(folders.where(F.col("part") == part), allowed).select("mission", F.col("ok").alias(f"{part}_structure_ok"))
+        out = out.join(right, "mission", "left")
+    for name, kind in (("ortho", "Orthophoto"), ("dsm", "DSM"), ("cloud", "Cloudpoint"), ("report", "Report")):
+        there = files.where(F.col("kind") == kind).select("mission", F.element_at(F.split("path", "/"), -1).alias("_file")).distinct()
+        wanted = missions.select("mission", names.expected_product(F.col("mission"), kind).alias("_file"))
+        out = out.join(wanted.join(there, ["mission", "_file"]).select("mission", F.lit(True).alias(f"has_{name}")).distinct(), "mission", "left")
+    checks = ["in_products", "raw_structure_ok", "has_images", "product_structure_ok", "has_ortho", "has_dsm", "has_cloud", "has_report"]
+    out = out.select("yr", "mission", *[F.coalesce(c, F.lit(False)).alias(c) for c in checks])
+    return out.withColumn("all_ok", F.expr(" and ".join(checks)))
 
 
 def year_verdict(audit: DataFrame) -> DataFrame:

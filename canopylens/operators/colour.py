@@ -55,26 +55,41 @@ def palette_score(pixels: DataFrame, colours: DataFrame, keys: list[str]) -> Dat
 
 
 def grey_histogram(pixels: DataFrame, keys: list[str], grey: str, bins: int = 256) -> DataFrame:
-    """(keys, bin, n, v): counts of each grey value that isn't 0, and the same between 0 and 1 over the zone's bins."""
+    """(keys, bin, n, v): counts of each grey value that isn't 0, and the same between 0 and 1 over all bins of the zone.
+
+    Bins without cells have no row; their n and v are 0.
+    """
     counts = pixels.where(F.col(grey) != 0).groupBy(*keys, F.col(grey).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    every = counts.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    full = every.join(counts, [*keys, "bin"], "left").fillna(0, ["n"])
     own = Window.partitionBy(*keys)
-    low, high = F.min("n").over(own), F.max("n").over(own)
-    return full.withColumn("v", F.try_divide(F.col("n") - low, high - low))
-
-
-def histogram_similarity(histograms: DataFrame, sample: DataFrame, keys: list[str]) -> DataFrame:
-    """Correlation, chi-square, intersection and Bhattacharyya distance of each histogram (bin, v) to the sample's."""
-    both = histograms.join(sample.select("bin", F.col("v").alias("s")), "bin")
-    return both.groupBy(*keys).agg(
-        F.round(F.corr("s", "v"), 4).alias("sim_correl"),
-        F.round(F.sum(F.when(F.col("s") > 0, (F.col("s") - F.col("v")) ** 2 / F.col("s"))), 4).alias("sim_chisq"),
-        F.round(F.sum(F.least("s", "v")), 4).alias("sim_intersect"),
-        F.round(F.sqrt(F.greatest(F.lit(0.0), 1 - F.try_divide(F.sum(F.sqrt(F.col("s") * F.col("v"))), F.sqrt(F.sum("s") * F.sum("v"))))), 4).alias("sim_bhatt"),
+    low, high = F.when(F.count("*").over(own) < bins, 0).otherwise(F.min("n").over(own)), F.max("n").over(own)
+    return counts.withColumn("v", F.try_divide(F.col("n") - low, high - low))
+
+
+def histogram_similarity(histograms: DataFrame, sample: DataFrame, keys: list[str], bins: int = 256) -> DataFrame:
+    """Correlation, chi-square, intersection and Bhattacharyya distance of each histogram (bin, v) to the sample's.
+
+    All four come from sums over the bins that have rows; bins without one are 0 on that side.
+    """
+    whole = sample.agg(F.sum("v").alias("ss"), F.sum(F.col("v") * F.col("v")).alias("ss2"))
+    both = histograms.join(sample.select("bin", F.col("v").alias("s")), "bin", "left").fillna(0.0, ["s"])
+    s, v = F.col("s"), F.col("v")
+    sums = both.groupBy(*keys).agg(
+        F.sum(v).alias("sv"), F.sum(v * v).alias("sv2"), F.sum(s * v).alias("ssv"), F.sum(F.when(s > 0, v * v / s - 2 * v)).alias("chi"), F.sum(F.least(s, v)).alias("inter"), F.sum(F.sqrt(s * v)).alias("root"),
+    ).crossJoin(F.broadcast(whole))  # whole is one row
+    spread = F.sqrt((bins * F.col("ss2") - F.col("ss") ** 2) * (bins * F.col("sv2") - F.col("sv") ** 2))
+    return sums.select(
+        *keys, F.round(F.try_divide(bins * F.col("ssv") - F.col("ss") * F.col("sv"), spread), 4).alias("sim_correl"), F.round(F.col("ss") + F.coalesce("chi", F.lit(0.0)), 4).alias("sim_chisq"),
+        F.round("inter", 4).alias("sim_intersect"), F.round(F.sqrt(F.greatest(F.lit(0.0), 1 - F.try_divide(F.col("root"), F.sqrt(F.col("ss") * F.col("sv"))))), 4).alias("sim_bhatt"),
     )
 
 
+def lightness(r: Column, g: Column, b: Column) -> Column:
+    """Lightness of a colour of 0 to 255 in each band, from 0 to 255: L* of CIE Lab for sRGB under D65."""
+    linear = lambda c: F.when(c / 255 <= 0.04045, c / 255 / 12.92).otherwise(((c / 255 + 0.055) / 1.055) ** 2.4)
+    y = 0.2126 * linear(r) + 0.7152 * linear(g) + 0.0722 * linear(b)
+    return F.when(y <= 216 / 24389, y * 24389 / 27).otherwise(116 * F.cbrt(y) - 16) * 2.55
+
+
 def contrast_normalise(pixels: DataFrame, keys: list[str], value: str, grid: int, extent: int, clip: float = 2.0, bins: int = 256) -> DataFrame:
     """pixels with normalised: local histogram equalisation of a lightness of 0 to 255 over a grid of blocks.
 

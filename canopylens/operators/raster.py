@@ -48,11 +48,22 @@ def crop_box(df: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float,
     return df.where((F.col("col") + 0.5).between(xmin - pad, xmax + pad) & (F.col("row_no") + 0.5).between(ymin - pad, ymax + pad))
 
 
-def resample(target: DataFrame, source: DataFrame, factor: float, bands: list[str]) -> DataFrame:
-    """target with the bands of the source cell that holds each target centre; null outside the source."""
-    at = {"_row": F.floor((F.col("row_no") + 0.5) / factor).cast("int"), "_col": F.floor((F.col("col") + 0.5) / factor).cast("int")}
-    given = source.select(F.col("row_no").alias("_row"), F.col("col").alias("_col"), *bands)
-    return target.withColumns(at).join(given, ["_row", "_col"], "left").drop("_row", "_col")
+#: A transform (a, b, c, d, e, f): x = a col + b row + c and y = d col + e row + f, for corners of cells.
+Affine = tuple[float, float, float, float, float, float]
+
+
+def resample(target: DataFrame, at: Affine, source: DataFrame, of: Affine, bands: list[str], keys: list[str] | None = None) -> DataFrame:
+    """target with the bands of the source cell that holds each target centre; null outside the source.
+
+    at, of: the transforms of target and source. Rows meet by the source's row and column, and by keys, such as the date.
+    """
+    col, row = F.col("col") + 0.5, F.col("row_no") + 0.5
+    x, y = at[0] * col + at[1] * row + at[2], at[3] * col + at[4] * row + at[5]
+    a, b, c, d, e, f = of
+    size = a * e - b * d
+    place = {"_col": F.floor((e * (x - c) - b * (y - f)) / size).cast("int"), "_row": F.floor((a * (y - f) - d * (x - c)) / size).cast("int")}
+    given = source.select(*(keys or []), F.col("row_no").alias("_row"), F.col("col").alias("_col"), *bands)
+    return target.withColumns(place).join(given, [*(keys or []), "_row", "_col"], "left").drop("_row", "_col")
 
 
 def canopy_height(df: DataFrame, surface: str, terrain: str, most: float = 150) -> DataFrame:
@@ -81,13 +92,19 @@ def tile_grid(spark, xmin: float, ymin: float, xmax: float, ymax: float, size: f
     return grid.select(F.col("id").alias("tile_id"), (xmin + F.col("i") * dx).alias("xmin"), (ymin + F.col("j") * dy).alias("ymin"), (xmin + (F.col("i") + 1) * dx).alias("xmax"), (ymin + (F.col("j") + 1) * dy).alias("ymax"))
 
 
-def cut_tiles(df: DataFrame, size: int, halo: int, n_tiles: int) -> DataFrame:
+def cut_tiles(df: DataFrame, size: int, halo: int, tile_rows: int, tile_cols: int) -> DataFrame:
     """df with tile_row and tile_col, a cell once for each tile that holds it or has it in its halo.
 
     The tiles of a cell are computed from its place, so that no join with the tiles is needed.
     """
-    span = lambda c: F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - halo) / size)).cast("int"), F.least(F.lit(n_tiles - 1), F.floor((F.col(c) + halo) / size)).cast("int"))
-    return df.withColumn("tile_row", F.explode(span("row_no"))).withColumn("tile_col", F.explode(span("col")))
+    span = lambda c, n: F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - halo) / size)).cast("int"), F.least(F.lit(n - 1), F.floor((F.col(c) + halo) / size)).cast("int"))
+    return df.withColumn("tile_row", F.explode(span("row_no", tile_rows))).withColumn("tile_col", F.explode(span("col", tile_cols)))
+
+
+def tiles_along(df: DataFrame, size: int) -> tuple[int, int]:
+    """How many rows and columns of tiles the cells of df reach over."""
+    most = df.agg(F.max("row_no").alias("r"), F.max("col").alias("c")).first()
+    return (most.r or 0) // size + 1, (most.c or 0) // size + 1
 
 
 def shift_transform(rasters: DataFrame, shifts: DataFrame, key: str) -> DataFrame:
@@ -113,7 +130,7 @@ def stretch(df: DataFrame, band: str, low: float = 0.05, high: float = 0.95) ->
     """band clipped to its date's percentiles and stretched over 0 to 255."""
     ends = df.groupBy("yr").agg(F.percentile(band, F.array(F.lit(low), F.lit(high))).alias("p"))
     lo, hi, v = F.col("p")[0], F.col("p")[1], F.col(band)
-    return df.join(F.broadcast(ends), "yr").withColumn("stretched", F.try_divide(F.greatest(lo, F.least(hi, v)) - lo, hi - lo) * 255).drop("p")
+    return df.join(ends, "yr").withColumn("stretched", F.try_divide(F.greatest(lo, F.least(hi, v)) - lo, hi - lo) * 255).drop("p")
 
 
 def grey(r: Column, g: Column, b: Column) -> Column:
@@ -121,28 +138,59 @@ def grey(r: Column, g: Column, b: Column) -> Column:
     return F.floor(0.114 * r + 0.587 * g + 0.299 * b + 0.5).cast("double")
 
 
-def median_of_band(df: DataFrame, band: str, keys: list[str]) -> DataFrame:
-    """Exact median of the values that are not 0, from the counts of each value: groups are never held whole."""
-    counts = df.where((F.col(band) != 0) & F.col(band).isNotNull()).groupBy(*keys, F.col(band).alias("v")).agg(F.count("*").alias("n"))
-    order = Window.partitionBy(*keys)
+def median_of(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """(keys, median): the exact median from the counts of each value, so that groups are never held whole."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     upto = counts.withColumns({"upto": F.sum("n").over(order.orderBy("v")), "total": F.sum("n").over(order)})
     inside = upto.where((F.col("upto") - F.col("n") <= F.floor(F.col("total") / 2)) & (F.col("upto") > F.floor((F.col("total") - 1) / 2)))
-    return inside.groupBy(*keys).agg((F.avg("v")).alias("median"))
+    return inside.groupBy(*keys).agg(F.avg("v").alias("median"))
+
+
+def median_of_band(df: DataFrame, band: str, keys: list[str]) -> DataFrame:
+    """Median of the values that are not 0."""
+    return median_of(df.where(F.col(band) != 0), band, keys)
 
 
 def total_bounds(df: DataFrame, keys: list[str], box: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(f"{box}.xmin").alias("xmin"), F.min(f"{box}.ymin").alias("ymin"), F.max(f"{box}.xmax").alias("xmax"), F.max(f"{box}.ymax").alias("ymax"))
 
 
-def crown_chips(crowns: DataFrame, pixels: DataFrame, pad: int, block: int = 16) -> DataFrame:
-    """(id, yr, row_no, col, bands): the cells around each crown, for pictures of it. crowns: (id, yr, bounds).
+def cells_near(crowns: DataFrame, pixels: DataFrame, pad: float = 0, block: int = 16) -> DataFrame:
+    """The cells of a crown's date in its bounds and pad around them, with all columns of both.
 
-    Crowns and cells meet by blocks of the grid, and only cells inside the padded bounds stay.
+    crowns: (id, yr, geom, ...). Crowns and cells meet by blocks of the grid, and only cells in the bounds stay.
     """
-    b = G.padded(F.col("bounds"), pad)
     span = lambda lo, hi: F.sequence(F.floor(lo / block).cast("int"), F.floor(hi / block).cast("int"))
-    wanted = crowns.select("id", "yr", b.alias("_in")).withColumn("br", F.explode(span(F.col("_in.ymin"), F.col("_in.ymax")))).withColumn("bc", F.explode(span(F.col("_in.xmin"), F.col("_in.xmax"))))
-    placed = pixels.withColumns({"br": F.floor(F.col("row_no") / block).cast("int"), "bc": F.floor(F.col("col") / block).cast("int")})
-    near = placed.join(wanted, ["yr", "br", "bc"])
+    wanted = crowns.withColumn("_in", G.padded(G.bbox(F.col("geom")), pad))
+    wanted = wanted.withColumn("_br", F.explode(span(F.col("_in.ymin"), F.col("_in.ymax")))).withColumn("_bc", F.explode(span(F.col("_in.xmin"), F.col("_in.xmax"))))
+    placed = pixels.withColumns({"_br": F.floor(F.col("row_no") / block).cast("int"), "_bc": F.floor(F.col("col") / block).cast("int")})
     x, y = F.col("col") + 0.5, F.col("row_no") + 0.5
-    return near.where(x.between(F.col("_in.xmin"), F.col("_in.xmax")) & y.between(F.col("_in.ymin"), F.col("_in.ymax"))).drop("_in", "br", "bc")
+    inside = x.between(F.col("_in.xmin"), F.col("_in.xmax")) & y.between(F.col("_in.ymin"), F.col("_in.ymax"))
+    return placed.join(wanted, ["yr", "_br", "_bc"]).where(inside).drop("_in", "_br", "_bc")
+
+
+def zonal_pixels(crowns: DataFrame, pixels: DataFrame) -> DataFrame:
+    """(id, yr, row_no, col, bands): the cells of each crown's date whose centres lie in the crown."""
+    near = cells_near(crowns.select("id", "yr", "geom"), pixels)
+    return near.where(G.contains_point(F.col("geom"), F.col("col") + 0.5, F.col("row_no") + 0.5)).drop("geom")
+
+
+def crown_chips(crowns: DataFrame, pixels: DataFrame, pad: int) -> DataFrame:
+    """The cells around each crown for pictures of it, with their place in the picture and the outline drawn in it.
+
+    (id, yr, row_no, col, bands, chip_row, chip_col, outline: an array of points in cells from the picture's corner).
+    """
+    near = cells_near(crowns.select("id", "yr", "geom"), pixels, pad)
+    corner = G.bbox(F.col("geom"))
+    left, top = F.floor(corner["xmin"]) - pad, F.floor(corner["ymin"]) - pad
+    outline = G.to_pixels(F.col("geom"), left, top, 1.0)[0]
+    return near.withColumns({"chip_row": (F.col("row_no") - top).cast("int"), "chip_col": (F.col("col") - left).cast("int"), "outline": outline}).drop("geom")
+
+
+def named_plot(pixels: DataFrame, plots: DataFrame, name: str) -> DataFrame:
+    """The cells in the plot (name, xmin, ymin, xmax, ymax) of that name; the one row is read first, so that scans skip."""
+    plot = plots.where(F.col("name") == name).first()
+    if plot is None:
+        raise ValueError(f"no plot is named {name}")
+    return crop_box(pixels, plot.xmin, plot.ymin, plot.xmax, plot.ymax)

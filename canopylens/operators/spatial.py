@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopylens.functions import geometry as G
+from canopylens.sources import files
 
 
 def blocks(b: Column, size: int) -> Column:
@@ -46,19 +47,35 @@ def crown_cells(crowns: DataFrame, keys: list[str], res: float = 1.0) -> DataFra
     return crowns.select(*keys, "id", F.explode(G.cell_cover(F.col("geom"), res)).alias("c")).select(*keys, "id", "c.cx", "c.cy")
 
 
-def shared_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, a, b, shared), a < b: how many cells two crowns have in common."""
-    a, b = cells.withColumnRenamed("id", "a"), cells.withColumnRenamed("id", "b")
-    return a.join(b, [*keys, "cx", "cy"]).where("a < b").groupBy(*keys, "a", "b").agg(F.count("*").alias("shared"))
+def shared_cells(crowns: DataFrame, keys: list[str], block: int = 16) -> DataFrame:
+    """(keys, a, b, shared), a < b: how many cells two crowns (keys, id, geom) have in common, if any.
 
+    Pairs are found by their bounds; then the two arrays of cells meet, so that no cell is a row of a join.
+    """
+    packed = crowns.select(*keys, "id", G.packed_cells(F.col("geom")).alias("cells"))
+    near = overlap_candidates(crowns, keys, block)
+    near = near.join(packed.withColumnsRenamed({"id": "a", "cells": "_a"}), [*keys, "a"]).join(packed.withColumnsRenamed({"id": "b", "cells": "_b"}), [*keys, "b"])
+    return near.select(*keys, "a", "b", F.size(F.array_intersect("_a", "_b")).cast("long").alias("shared")).where("shared > 0")
+
+
+def intersecting(crowns: DataFrame, keys: list[str], block: int = 16) -> DataFrame:
+    """(keys, a, b), a < b: crowns (keys, id, geom) that have a point in common; touching boundaries count."""
+    near = overlap_candidates(crowns, keys, block)
+    own = crowns.select(*keys, "id", "geom")
+    near = near.join(own.withColumnsRenamed({"id": "a", "geom": "_a"}), [*keys, "a"]).join(own.withColumnsRenamed({"id": "b", "geom": "_b"}), [*keys, "b"])
+    return near.where(G.intersects(F.col("_a"), F.col("_b"))).select(*keys, "a", "b")
 
-def crown_iou(new: DataFrame, ref: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, inter_area, union_area, iou) of crowns with the same keys; cells of both: (keys, cx, cy). 0 of 0 is 0."""
-    size = lambda df, n: df.groupBy(*keys).agg(F.count("*").alias(n))
-    inter = new.join(ref, [*keys, "cx", "cy"]).groupBy(*keys).agg(F.count("*").alias("inter_area"))
-    out = size(new, "_a").join(size(ref, "_b"), keys).join(inter, keys, "left").fillna(0, ["inter_area"])
-    union = F.col("_a") + F.col("_b") - F.col("inter_area")
-    return out.select(*keys, "inter_area", union.alias("union_area"), F.round(F.coalesce(F.try_divide("inter_area", union), F.lit(0.0)), 4).alias("iou"))
+
+def crown_iou(new: DataFrame, ref: DataFrame, keys: list[str], ref_keys: list[str] | None = None) -> DataFrame:
+    """new with inter_area, union_area and iou against the crown of ref with the same keys. 0 of 0 is 0.
+
+    new, ref: crowns with geom; the cells of the two meet as arrays. Crowns without one in ref are left out.
+    """
+    other = ref.select(*[F.col(r).alias(k) for k, r in zip(keys, ref_keys or keys, strict=True)], G.packed_cells(F.col("geom")).alias("_ref"))
+    both = new.withColumn("_new", G.packed_cells(F.col("geom"))).join(other, keys)
+    inter = F.size(F.array_intersect("_new", "_ref")).cast("long")
+    out = both.withColumn("inter_area", inter).withColumn("union_area", F.size("_new") + F.size("_ref") - F.col("inter_area"))
+    return out.withColumn("iou", F.round(F.coalesce(F.try_divide("inter_area", "union_area"), F.lit(0.0)), 4)).drop("_new", "_ref", "geom")
 
 
 def crown_avoid(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,7 +94,7 @@ def crown_avoid_rounds(cells: DataFrame, keys: list[str], max_iter: int = 10) ->
         fewer = crown_avoid(cells, keys)
         if not cells.exceptAll(fewer).limit(1).count():
             return cells
-        cells = fewer.checkpoint() if cells.sparkSession.sparkContext.getCheckpointDir() else fewer
+        cells = files.round_trip_parquet(fewer, [])  # a table in the shared folder, so that rounds don't nest
     return cells
 
 
@@ -121,9 +138,48 @@ def best_masks(masks: DataFrame) -> DataFrame:
     return masks.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def masks_to_crowns(masks: DataFrame, res: float) -> DataFrame:
-    """(id, score, area): the best mask's cells as an area on the ground."""
-    return best_masks(masks).select("id", "score", (F.col("cells") * res * res).alias("area"))
+def outline(cells: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Corners, in order, of the ring around connected cells; the longest ring if there are holes."""
+    after: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for x, y in cells:
+        for near, a, b in (((x, y - 1), (x, y), (x + 1, y)), ((x + 1, y), (x + 1, y), (x + 1, y + 1)), ((x, y + 1), (x + 1, y + 1), (x, y + 1)), ((x - 1, y), (x, y + 1), (x, y))):
+            if near not in cells:
+                after.setdefault(a, []).append(b)
+    rings: list[list[tuple[int, int]]] = []
+    while after:
+        start = at = min(after)
+        ring = [start]
+        while True:
+            nexts = after[at]
+            to = nexts.pop(0)
+            if not nexts:
+                del after[at]
+            if to == start:
+                break
+            ring.append(to)
+            at = to
+        n = len(ring)
+        straight = lambda i, r=ring, n=n: (r[i][0] - r[i - 1][0]) * (r[(i + 1) % n][1] - r[i][1]) == (r[i][1] - r[i - 1][1]) * (r[(i + 1) % n][0] - r[i][0])
+        rings.append([ring[i] for i in range(n) if not straight(i)])
+    return max(rings, key=lambda r: max(p[0] for p in r) - min(p[0] for p in r)) if rings else []
+
+
+def masks_to_crowns(masks: DataFrame, crowns: DataFrame, res: float, left: float, top: float) -> DataFrame:
+    """(id, tag, GlobalID, score, area, geom): each crown's best mask as a polygon on the ground.
+
+    masks: (id, k, score, cells: array of (cx, cy), rows counted downwards); crowns: (id, tag, GlobalID). Of the best
+    mask the largest part connected by sides is kept; its area is that of its cells, and geom its outline without holes.
+    """
+    best = best_masks(masks).select("id", "score", F.explode("cells").alias("c")).select("id", "score", "c.cx", "c.cy")
+    part = largest_component(best, [])
+
+    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
+        ring = outline(set(zip(pdf["cx"].tolist(), pdf["cy"].tolist(), strict=True)))
+        geom = [[{"x": left + x * res, "y": top - y * res} for x, y in ring]]
+        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "score": [pdf["score"].iloc[0]], "area": [len(pdf) * res * res], "geom": [geom]})
+
+    traced = part.groupBy("id").applyInPandas(trace, f"id long, score double, area double, geom {G.RINGS}")
+    return traced.join(crowns.select("id", "tag", "GlobalID"), "id")
 
 
 def exact_overlap(pairs: DataFrame) -> DataFrame:
@@ -170,10 +226,12 @@ def exact_overlap(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("inter_area", overlap("geom_a", "geom_b"))
 
 
-def track_crowns(cells: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, yr, inter_area, union_area, iou): each crown against itself on the date that its own is aligned to.
+def track_crowns(crowns: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, yr, prev_yr, direction, area, inter_area, union_area, iou): each crown against itself on the date before.
 
-    cells: (id, yr, cx, cy); pairs: (yr, reference). All dates are compared in one join.
+    crowns: (id, yr, geom); pairs: (yr, direction, reference), the reference being the neighbour towards the anchor. All
+    dates are compared in one join.
     """
-    ref = cells.withColumnRenamed("yr", "reference").join(F.broadcast(pairs.select("yr", "reference")), "reference").select("id", "yr", "cx", "cy")
-    return crown_iou(cells, ref, ["id", "yr"])
+    dated = crowns.select("id", "yr", "geom").join(pairs.select("yr", "direction", F.col("reference").alias("prev_yr")), "yr")
+    dated = dated.withColumn("area", G.area(F.col("geom")))
+    return crown_iou(dated, crowns, ["id", "prev_yr"], ["id", "yr"]).select("id", "yr", "prev_yr", "direction", "area", "inter_area", "union_area", "iou")

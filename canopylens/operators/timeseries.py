@@ -64,7 +64,7 @@ def most_frequent(df: DataFrame, column: str, k: int) -> DataFrame:
 def kth_species_largest(obs: DataFrame, k: int, n: int) -> DataFrame:
     """The n largest crowns of the k-th most frequent species."""
     rank = frequencies(obs, "latin").withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "latin")))
-    crowns = obs.join(F.broadcast(rank.where(F.col("rank") == k).select("latin")), "latin", "left_semi")
+    crowns = obs.join(F.broadcast(rank.where(F.col("rank") == k).select("latin").limit(1)), "latin", "left_semi")
     return crowns.orderBy(F.desc("area"), "tag", "yr").limit(n)
 
 
@@ -98,5 +98,5 @@ def area_band(obs: DataFrame) -> DataFrame:
     return obs.select("tag", "yr", "area", F.round(F.col("area") - spread, 4).alias("lower"), F.round(F.col("area") + spread, 4).alias("upper"))
 
 
-def with_attributes(obs: DataFrame, attributes: DataFrame, key: str, small: bool = False) -> DataFrame:
-    return obs.join(F.broadcast(attributes) if small else attributes, key, "left")
+def with_attributes(obs: DataFrame, attributes: DataFrame, key: str) -> DataFrame:
+    return obs.join(attributes, key, "left")

@@ -22,11 +22,21 @@ def registry(f):
 
 
 def audit(f):
-    return catalog.mission_audit(f.missions_raw, f.missions_product, f.files)
-
-
-HAS = "exists (select 1 from {{files}} x where x.mission = m.mission and x.kind = '{k}')"
-AUDIT = "select yr, mission, in_products, has_images, has_ortho, has_dsm, has_cloud, has_report, has_ortho and has_dsm and has_cloud and has_report as product_structure_ok, in_products and has_images and has_ortho and has_dsm and has_cloud and has_report as all_ok from (select yr, mission, mission in (select mission from {missions_product}) as in_products, " + ", ".join(f"mission in (select mission from {{files}} where kind = '{k}') as {n}" for k, n in (("Images", "has_images"), ("Orthophoto", "has_ortho"), ("DSM", "has_dsm"), ("Cloudpoint", "has_cloud"), ("Report", "has_report"))) + " from {missions_raw})"
+    return catalog.mission_audit(f.missions_raw, f.missions_product, f.files, f.folders)
+
+
+RAW_LISTS = "[['Images', 'Images_extra'], ['Images', 'Images_extra', 'Videos']]"
+PRODUCT_LISTS = "[['Cloudpoint', 'DSM', 'Orthophoto', 'Project'], ['Cloudpoint', 'DSM', 'Model', 'Orthophoto', 'Project']]"
+FOLDERS_OK = "select yr, mission, list_contains({lists}, list_sort(list_distinct(list(folder)))) as ok from {{folders}} where part = '{part}' group by yr, mission"
+RAW_OK, PRODUCT_OK = (FOLDERS_OK.format(lists=lists, part=part) for lists, part in ((RAW_LISTS, "raw"), (PRODUCT_LISTS, "product")))
+HAS = "mission in (select mission from {{files}} where kind = '{kind}') as {name}"
+KINDS = (("Images", "has_images"), ("Orthophoto", "has_ortho"), ("DSM", "has_dsm"), ("Cloudpoint", "has_cloud"), ("Report", "has_report"))
+AUDIT = (
+    "select *, in_products and raw_structure_ok and has_images and product_structure_ok and has_ortho and has_dsm and has_cloud and has_report as all_ok from ("
+    "select yr, mission, mission in (select mission from {missions_product}) as in_products, "
+    f"mission in (select mission from ({RAW_OK}) where ok) as raw_structure_ok, mission in (select mission from ({PRODUCT_OK}) where ok) as product_structure_ok, "
+    + ", ".join(HAS.format(kind=k, name=n) for k, n in KINDS) + " from {missions_raw})"
+)
 
 QUERIES = {
     "op_g8_registry": (registry, f"select r.tag, r.crown_area, r.crown, r.note, r.field_id, coalesce(s.mnemonic, r.mnemonic) as mnemonic, sp.latin, s.dbh, cast(s.exactdate as varchar) as dbh_date from {RAW} r left join {STEMS} s on r.tag = s.tag left join {{species}} sp on coalesce(s.mnemonic, r.mnemonic) = sp.spp"),
@@ -40,7 +50,8 @@ QUERIES = {
     "op_j12_missing_products": (lambda f: f.missions_raw.join(f.missions_product, "mission", "left_anti").select("mission"), "select mission from {missions_raw} where mission not in (select mission from {missions_product})"),
     **{f"op_j18_missing_{n}": (lambda f, k=k: catalog.missing_products(f.files, f.missions_raw, k), MISSING.format(word=w, kind=k)) for n, k, w in (("ortho", "Orthophoto", "orthomosaic.tif"), ("dsm", "DSM", "dsm.tif"), ("cloud", "Cloudpoint", "cloud.las"), ("report", "Report", "report.pdf"))},
     "op_f15_names_by_kind": (lambda f: catalog.names_by_kind(f.files), "select yr, mission, kind, nullif(string_agg(string_split(path, '/')[-1], ', ' order by string_split(path, '/')[-1]), '') as names from {files} group by yr, mission, kind"),
-    "op_f16_folder_check": (lambda f: catalog.folder_check(f.files, ("Images", *catalog.PRODUCT_FOLDERS)), "select yr, mission, list_sort(list_distinct(list(kind))) = ['Cloudpoint', 'DSM', 'Images', 'Orthophoto', 'Report'] as ok from {files} group by yr, mission"),
+    "op_f16_folder_check": (lambda f: catalog.folder_check(f.folders.where("part = 'product'"), catalog.PRODUCT_FOLDERS), PRODUCT_OK),
+    "op_f16_raw_folder_check": (lambda f: catalog.folder_check(f.folders.where("part = 'raw'"), catalog.RAW_FOLDERS), RAW_OK),
     "op_f17_image_check": (lambda f: catalog.image_check(f.missions_raw, f.files), "select m.yr, m.mission, count(x.path) as n_images, count(x.path) > 0 as has_images from {missions_raw} m left join (select * from {files} where kind = 'Images') x on m.mission = x.mission group by 1, 2"),
     "op_f18_year_verdict": (lambda f: catalog.year_verdict(audit(f)), f"select yr, bool_and(all_ok) as all_ok, count(*) as missions, count(*) filter (all_ok) as complete from ({AUDIT}) group by yr"),
     "op_g9_mission_audit": (audit, AUDIT),

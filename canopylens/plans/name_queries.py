@@ -31,7 +31,7 @@ QUERIES = {
     "op_s2_nodata": (lambda f: raster.mask_nodata(f.pixels, ["b"], 0).groupBy("yr").agg(F.count("b").alias("valid"), F.count("*").alias("cells")), "select yr, count(nullif(b, 0)) as valid, count(*) as cells from {pixels} group by yr"),
     "op_s3_vector_scan": (lambda f: S.read_geojson(S.as_geojson(f.shapes)).select("id", F.size(F.get("geom", F.lit(0))).alias("points"), F.array_min(F.transform(F.get("geom", F.lit(0)), lambda p: p["x"])).alias("xmin")), "select id, 6 as points, x0 * 1.0::double as xmin from {shapes}"),
     "op_s4_delimited": (lambda f: S.round_trip_csv(f.raw_crowns.select("field_id", "tag", "mnemonic"), "\t"), "select field_id, tag, mnemonic from {raw_crowns}"),
-    "op_s5_list_files": (lambda f: S.list_files(f.spark, f.sf_dir, ("part.parquet", "orders.parquet", "nation.parquet")), "select unnest(['part.parquet', 'orders.parquet', 'nation.parquet']) as name"),
+    "op_s5_list_files": (lambda f: S.named_like(f.files, "BCI_50ha_1997", (".tif", ".las")), "select * from {files} where starts_with(string_split(path, '/')[-1], 'BCI_50ha_1997') and (ends_with(path, '.tif') or ends_with(path, '.las'))"),
     "op_s6_write_raster": (lambda f: S.round_trip_parquet(f.pixels, ["yr"]).groupBy("yr").agg(F.count("*").alias("n"), F.sum("r").alias("r")), "select yr, count(*) as n, cast(sum(r) as bigint) as r from {pixels} group by yr"),
     "op_s7_write_vector": (lambda f: S.round_trip_parquet(f.shapes, []), "select * from {shapes}"),
     "op_s8_write_csv": (lambda f: S.round_trip_csv(f.crown_obs.select("tag", "yr", "latin"), ","), "select tag, yr, latin from {crown_obs}"),

@@ -30,7 +30,7 @@ def attempts(f: Inputs):
 QUERIES = {
     "op_u1_stack": (lambda f: T.stack({y: f.crown_obs.where(C("yr") == y).select("tag", "area") for y in (1996, 1997)}), "select tag, area, yr from {crown_obs} where yr in (1996, 1997)"),
     "op_w1_best": (lambda f: T.best_by(f.crown_obs, ["tag"], F.desc("area"), C("yr")).select("tag", "yr", "area"), "select tag, yr, area from (select *, row_number() over (partition by tag order by area desc, yr) n from {crown_obs}) where n = 1"),
-    "op_w2_best_score": (lambda f: T.best_by(f.masks, ["id"], F.desc("score"), C("k")), "select id, k, score, cells from (select *, row_number() over (partition by id order by score desc, k) n from {masks}) where n = 1"),
+    "op_w2_best_score": (lambda f: T.best_by(f.masks, ["id"], F.desc("score"), C("k")).select("id", "k", "score", "arm"), "select id, k, score, arm from (select *, row_number() over (partition by id order by score desc, k) n from {masks}) where n = 1"),
     "op_w3_outliers": (lambda f: T.flag_outliers(f.crown_obs, width=1.5), OUT.format(w=1.5)),
     "op_w4_replace_outliers": (lambda f: T.replace_outliers(flagged(f), ANCHOR).select("tag", "yr", "used", "outlier"), f"select tag, yr, outlier, case when outlier then coalesce(max(case when yr = {ANCHOR} then area end) over (partition by tag), area) else area end as used from ({OUT.format(w=1.5)})"),
     "op_w8_top_tie_points": (lambda f: T.top_by(f.tie_points, ["pair"], 10, F.desc("reliability"), C("event_id")).select("pair", "event_id", "rank"), "select pair, event_id, n as rank from (select pair, event_id, row_number() over (partition by pair order by reliability desc, event_id) n from {tie_points}) where n <= 10"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from uuid import uuid4
 
@@ -13,9 +14,14 @@ from canopylens.operators import raster
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all executors share; where none is named, in an own one."""
+    """A new path in the folder that all executors share, spark.checkpoint.dir.
+
+    Where that is unset, a local session (tests) makes one; on a cluster it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{label}-{uuid4().hex}"
@@ -69,9 +75,14 @@ def round_trip_parquet(df: DataFrame, partition: list[str]) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def list_files(spark: SparkSession, folder: str, endings: tuple[str, ...]) -> DataFrame:
-    """Names of the files and tables in a folder that end so; only the listing is read."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    names = spark.createDataFrame([(s.getPath().getName(),) for s in found], "name string")
-    return names.where(" or ".join(f"name like '%{e}'" for e in endings))
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length, modified) of all files under a folder; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return found.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def named_like(files: DataFrame, beginning: str = "", endings: tuple[str, ...] = ("",)) -> DataFrame:
+    """Files whose name, the last part of the path, begins and ends as asked."""
+    name = F.element_at(F.split("path", "/"), -1)
+    ends = [name.endswith(e) for e in endings]
+    return files.where(name.startswith(beginning) & F.array_contains(F.array(*ends), F.lit(True)))

@@ -5,28 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopylens.sources.files import shared_path
-
 
 def arriving(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A stream of the Parquet files of a table that are new since the last run."""
+    """A stream of the Parquet files of a table."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process all that has arrived and return what was written; a run after it takes up where it stopped.
+def run_once(stream: DataFrame, target: str, mode: str = "append") -> DataFrame:
+    """Process what has arrived since the last run with this target, and return all that has been written there.
 
-    Each batch is written under its number, so that one that is repeated after a failure replaces itself.
+    target: a folder that all executors share. It holds the state of the stream, so that a run after this one takes up
+    where it stopped; table, the rows; and audit, how many rows each batch wrote. A batch is written under its number, so
+    that one that is repeated after a failure replaces itself. With mode complete each batch replaces the one before.
     """
     spark = stream.sparkSession
-    out, state = shared_path(spark, "stream"), shared_path(spark, "state")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number if mode == 'append' else 0}")
+        place = f"batch={number if mode == 'append' else 0}"
+        batch.write.mode("overwrite").parquet(f"{target}/table/{place}")
+        written = spark.read.schema(batch.schema).parquet(f"{target}/table/{place}")
+        written.agg(F.count("*").alias("n_rows")).withColumn("arrived", F.current_timestamp()).write.mode("overwrite").parquet(f"{target}/audit/batch={number}")
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{target}/table").select(*stream.columns)
+
 
-    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
+def audit(spark: SparkSession, target: str) -> DataFrame:
+    """(batch, n_rows, arrived) of the batches that runs with this target have written."""
+    return spark.read.parquet(f"{target}/audit")
 
 
 def new_missions(stream: DataFrame) -> DataFrame:
@@ -39,6 +46,11 @@ def first_deliveries(stream: DataFrame, keys: list[str], late: str) -> DataFrame
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
+def delivery_times(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, first, last, n): when each key was delivered first and last, and how often; its state is one row a key."""
+    return stream.groupBy(*keys).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
+
+
 def area_statistics(stream: DataFrame, length: str) -> DataFrame:
     """Count, sum and mean of the values of each period, kept up as observations arrive."""
     out = stream.withWatermark("ts", "1 day").groupBy(F.window("ts", length).alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.round(F.avg("value"), 4).alias("mean"))
