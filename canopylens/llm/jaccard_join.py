@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopylens.llm.common import cut, n_words, sent_if_small, shielded
+from canopylens.llm.common import cut, forget, n_words, sent_if_small, shielded
 from canopylens.llm.components import components
 
 WORDS = 5
@@ -112,7 +112,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     kept tokens. A row of a text that the task has met before has no tokens."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.default_memory_pool().release_unused()
+        forget()
         seeds = [mix(np.array([k + 1], np.uint64))[0] for k in range(MIN_HASHES)]
         met: set[int] = set()
         for whole in batches:
@@ -152,6 +152,7 @@ def open_groups(members: DataFrame, asks: DataFrame, nodes: DataFrame, docs: Dat
     rows = cut(asked.unionByName(held).join(nodes.select("node", "k1", "k2"), "node"), "asked")
 
     def compare(t: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         query, names, a, b = t.column("query").to_pylist(), t.column("node").to_pylist(), [], []
         parent: dict[int, int] = {}
 
@@ -254,7 +255,7 @@ def matrix(grouped: DataFrame, signed: DataFrame, tokens: int) -> DataFrame:
     node_type = [("node", "<i8"), ("cluster", "<i8"), ("n", "<i8")]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.default_memory_pool().release_unused()
+        forget()
         done: set[int] = set()
         for number, whole in enumerate(b.slice(at, NODES) for b in batches for at in range(0, b.num_rows, NODES)):
             low, of = [], []

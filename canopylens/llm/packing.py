@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopylens.llm.common import cut
+from canopylens.llm.common import cut, keep
 
 CAPACITY = 2048
 #: Pieces that one task packs, and rounds of exchange.
@@ -37,10 +37,9 @@ class WordIds:
     """
 
     END_OF_WORD = "</w>"
-    MOST = 1_000_000
+    MOST = 800_000
     #: What may follow the letters of a word and then is a part of its own.
     TAIL = ".,;:!?*#$%&|()"
-    _known: dict[str, WordIds] = {}
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -59,10 +58,8 @@ class WordIds:
 
     @classmethod
     def of(cls, vocabulary: str) -> WordIds:
-        """One for each worker process."""
-        if vocabulary not in cls._known:
-            cls._known[vocabulary] = cls(vocabulary)
-        return cls._known[vocabulary]
+        """One for each worker process, while it packs."""
+        return keep(f"words of {vocabulary}", lambda: cls(vocabulary))
 
     def _encode(self, text: str, light: bool = False) -> np.ndarray:
         tokenizer = self.light if light else self.tokenizer

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from canopylens.llm.common import shielded
+from canopylens.llm.common import forget, shielded
 
 #: ASCII white space, characters that count as symbols, separators of menus, ends of sentences.
 SPACES = " \t\n\x0b\x0c\r"
@@ -84,6 +84,7 @@ def clean(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST) -> Da
     schema = T.StructType([*docs.schema, *MEASURES, T.StructField("clean_text", T.StringType())])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         types = [pa.int64()] * 8 + [pa.bool_()] * 2
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
