@@ -66,13 +66,17 @@ class EliasFano:
         before = self.ones_before if ones else self.zeros_before
         word = np.searchsorted(before, k, "right") - 1
         left = k - before[word]
-        bytes_ = self.high.reshape(-1, 8)[np.minimum(word, len(self.high) // 8 - 1)]
+        bits = self.high.view("<u8")[np.minimum(word, len(self.high) // 8 - 1)]
         if not ones:
-            bytes_ = ~bytes_
-        upto = np.cumsum(_ONES[bytes_], 1, dtype=np.int64)
-        at = np.minimum((upto <= left[:, None]).sum(1), 7)
-        each = np.arange(len(k))
-        return word * 64 + 8 * at + _SELECT[bytes_[each, at], np.minimum(left - np.where(at > 0, upto[each, at - 1], 0), 7)]
+            bits = ~bits
+        at = word * 64
+        for width in (32, 16, 8):  # the half that holds the bit
+            here = np.bitwise_count(bits & np.uint64((1 << width) - 1))
+            beyond = left >= here
+            left = left - np.where(beyond, here, 0)
+            step = beyond * np.uint8(width)
+            bits, at = bits >> step.astype(np.uint64), at + step
+        return at + _SELECT[(bits & np.uint64(255)).astype(np.uint8), np.minimum(left, 7)]
 
     def access(self, i: np.ndarray) -> np.ndarray:
         i = i.astype(np.int64)

@@ -6,6 +6,9 @@ count added. A context that begins a text is the start and what follows it. Coun
 are gathered over all training documents. Documents are handled in blocks: a block sends each of its distinct n-grams,
 with its training count, to the shard of the n-gram's context; the shard adds the counts, builds its trie, and answers
 the n-grams of every block from it. So neither counts nor trie ever need to fit one machine.
+
+A block's n-grams are in the order of their context's hash, and shards are ranges of hashes. So what a shard gets from a
+block is a run of that order, sent as differences of its contexts, and answers need no keys: they come back in order.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +34,8 @@ ORDER = 3
 #: Characters of a block and of the text whose n-grams make up a shard.
 BLOCK_CHARS = 4_000_000
 SHARD_CHARS = 8_000_000
+#: Bits that tell the contexts of one shard apart. A shard has about as many contexts at every size of the corpus.
+KEY_BITS = 40
 #: The end of a text is a token; its hash stands for no word. The start is a context only.
 END, START = 1, 2
 HELD_OUT = (5, 1)
@@ -62,25 +68,57 @@ class Block:
         begins = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         learnt = np.repeat(learn, self.lengths)
         self.token_n = np.bincount(self.token, learnt, len(order)).astype(np.int64)
-        #: Of each level from 2: the n-gram of each token, and of each n-gram the hash of its context and of its word, and its count.
+        #: Of each level from 2: the n-gram of each token, and of each n-gram the hash of its context and of its word, and
+        #: its count; n-grams in order of the contexts' hashes, then the words'.
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         shorter, names = self.token, self.hashes
-        for _ in range(length - 1):
+        for level in range(2, length + 1):
             before = np.concatenate([[0], shorter[:-1] + 1])
             before[begins] = 0
             gram, of = np.unique(before * len(order) + self.token, return_inverse=True)
-            context, word = np.concatenate([np.array([START], np.uint64), names])[gram // max(1, len(order))], self.hashes[gram % max(1, len(order))]
+            place, word = np.divmod(gram, max(1, len(order)))
+            context, word = np.concatenate([np.array([START], np.uint64), names])[place], self.hashes[word]
             self.levels.append((of, context, word, np.bincount(of, learnt, len(gram)).astype(np.int64)))
-            shorter, names = of, mix(context * np.uint64(0x9E3779B97F4A7C15) + word)
+            if level < length:
+                names = mix(context * np.uint64(0x9E3779B97F4A7C15) + word)
+                by_name = np.argsort(names, kind="stable")
+                at = np.empty(len(names), np.int64)
+                at[by_name] = np.arange(len(names))
+                shorter, names = at[of], names[by_name]
 
     def grams(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(level, context hashes, 32 bits of the words' hashes, training counts)."""
-        longer = [(k, context, (word & np.uint64(0xFFFFFFFF)).astype(np.uint32), n) for k, (_, context, word, n) in enumerate(self.levels, 2)]
+        """(level, context hashes in order, 32 bits of the words' hashes in order in each context, training counts)."""
+        longer = [(k, context, (word >> np.uint64(32)).astype(np.uint32), n) for k, (_, context, word, n) in enumerate(self.levels, 2)]
         return [(1, self.hashes, np.zeros(len(self.hashes), np.uint32), self.token_n), *longer]
 
 
-def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+def shard_and_key(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The whole part of hash * shards / 2**64, and KEY_BITS of the fraction; both grow with the hash."""
+    half, mask, n = np.uint64(32), np.uint64(0xFFFFFFFF), np.uint64(shards)
+    low = (hashes & mask) * n
+    high = (hashes >> half) * n + (low >> half)
+    return (high >> half).astype(np.int64), ((high & mask) << half | low & mask) >> np.uint64(64 - KEY_BITS)
+
+
+def shut(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed planes of their first, second, ... bytes."""
+    return zstandard.ZstdCompressor(level=1).compress(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes())
+
+
+def opened(blob: bytes, kind: type) -> np.ndarray:
+    """The numbers of shut()."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def starts(*columns: np.ndarray) -> np.ndarray:
+    """Where another value begins in any of the columns, and their end."""
+    n = len(columns[0])
+    new = np.zeros(n + 1, bool)
+    new[[0, n]] = True
+    for c in columns:
+        new[1:n] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
 
 def _texts(rows: pa.Table) -> tuple[list, list]:
@@ -119,49 +157,51 @@ def in_blocks(docs: DataFrame, blocks: int, doc_id: str, text: str) -> DataFrame
 
 
 def lookups(blocks: DataFrame, shards: int, discount: float, order: int) -> DataFrame:
-    """(block, level, shard, a, b): what the shards answer each block, one byte or number for each n-gram sent.
+    """(block, level, shard, a, b): what the shards answer each block, one byte or number for each n-gram sent, in order.
 
-    Level 1: a has the training counts of the words. From level 2: a and b have the codes of share and rest. Rows of block -1
+    Both are compressed. Level 1: a has the training counts of the words. From level 2: a and b have the codes of share and
+    rest. Rows of block -1
     have in total the training tokens of a shard and in kinds its distinct ones.
     """
-    sent = "block long, level int, shard long, contexts binary, words binary, counts binary"
+    sent = "block long, level int, shard long, contexts binary, runs binary, words binary, counts binary"
 
     def send(rows: pa.Table) -> pa.Table:
         ids, texts = _texts(rows)
         out = []
         for level, context, word, n in Block(texts, _learn(ids), order).grams():
-            to = shard_of(context, shards)
-            by_shard = np.argsort(to, kind="stable")
-            to, context, word, n = to[by_shard], context[by_shard], word[by_shard], n[by_shard]
-            edges = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])) if len(to) else []
+            to, key = shard_and_key(context, shards)
+            edges = starts(to)
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                out.append((rows.column("block")[0].as_py(), level, int(to[a]), context[a:b].tobytes(), word[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()))
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "level", "shard", "contexts", "words", "counts"])
+                first = starts(key[a:b])
+                keys = shut(np.diff(key[a:b][first[:-1]], prepend=np.uint64(0)))
+                runs, words = (shut(np.diff(first).astype(np.uint32)), word[a:b].tobytes()) if level > 1 else (b"", b"")
+                out.append((rows.column("block")[0].as_py(), level, int(to[a]), keys, runs, words, shut(n[a:b].astype(np.uint32))))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4)
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "level", "shard", "contexts", "runs", "words", "counts"])
 
     answered = "block long, level int, shard long, a binary, b binary, total long, kinds long"
 
     def answer(rows: pa.Table) -> pa.Table:
         level, shard = rows.column("level")[0].as_py(), rows.column("shard")[0].as_py()
-        asked = list(zip(*(rows.column(c).to_pylist() for c in ("block", "contexts", "words", "counts")), strict=True))
-        context = np.concatenate([np.frombuffer(c, np.uint64) for _, c, _, _ in asked])
-        word = np.concatenate([np.frombuffer(w, np.uint32) for _, _, w, _ in asked])
-        n = np.concatenate([np.frombuffer(c, np.uint32) for _, _, _, c in asked]).astype(np.int64)
-        order = np.lexsort((word, context)) if level > 1 else np.argsort(context, kind="stable")
-        c, w, m = context[order], word[order], n[order]
-        new = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])]))
-        times = np.diff(np.append(new, len(c)))
-        c, w, m = c[new], w[new], np.add.reduceat(m, new)
+        asking = rows.column("block").to_pylist()
+        counts = [opened(n, np.uint32) for n in rows.column("counts").to_pylist()]
+        names, of = np.unique(np.concatenate([np.cumsum(opened(c, np.uint64)) for c in rows.column("contexts").to_pylist()]), return_inverse=True)
+        if level > 1:
+            runs = np.concatenate([opened(r, np.uint32) for r in rows.column("runs").to_pylist()])
+            word = np.concatenate([np.frombuffer(w, np.uint32) for w in rows.column("words").to_pylist()])
+            gram, of = np.unique(np.repeat(of.astype(np.uint64) << np.uint64(32), runs) | word, return_inverse=True)
+        else:
+            gram = names
+        m = np.bincount(of, np.concatenate(counts), len(gram)).astype(np.int64)
         seen = m > 0
         if level == 1:
-            a, b = m, np.zeros(len(m), np.uint8)
+            a, b = m.astype(np.uint32), np.zeros(len(m), np.uint8)
         else:
-            a, b = Trie.load(Trie.of(c[seen], w[seen], m[seen], discount).save()).query(c, w)
-        of = np.empty(len(order), np.int64)
-        of[order] = np.repeat(np.arange(len(new)), times)
+            context, word = names[gram >> np.uint64(32)], (gram & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            a, b = Trie.load(Trie.of(context[seen], word[seen], m[seen], discount).save()).query(context, word)
         a, b, m = a[of], b[of], m[seen]
-        ends = np.cumsum([len(x[2]) // 4 for x in asked])
-        out = [(blk, level, shard, x.tobytes(), y.tobytes(), 0, 0) for (blk, *_), x, y in zip(asked, np.split(a, ends[:-1]), np.split(b, ends[:-1]), strict=True)]
+        ends = np.cumsum([len(n) for n in counts])[:-1]
+        out = [(k, level, shard, shut(x), shut(y), 0, 0) for k, x, y in zip(asking, np.split(a, ends), np.split(b, ends), strict=True)]
         out.append((-1, level, shard, b"", b"", int(m.sum()) if level == 1 else 0, len(m) if level == 1 else 0))
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
         return pa.table([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "level", "shard", "a", "b", "total", "kinds"])
@@ -187,16 +227,11 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", discount:
         ids, texts = _texts(rows)
         learn = _learn(ids)
         block = Block(texts, learn, order)
-        back = {(lv, s): (a, b) for lv, s, a, b in zip(*(got.column(c).to_pylist() for c in ("level", "shard", "a", "b")), strict=True)}
+        back = sorted(zip(*(got.column(c).to_pylist() for c in ("level", "shard", "a", "b")), strict=True))
         found = []
-        for level, context, _, _ in block.grams():
-            to = shard_of(context, shards)
-            a, b = np.zeros(len(to), np.int64 if level == 1 else np.uint8), np.zeros(len(to), np.uint8)
-            for s in np.unique(to):
-                ours = to == s
-                x, y = back[(level, int(s))]
-                a[ours], b[ours] = np.frombuffer(x, a.dtype), np.frombuffer(y, np.uint8)
-            found.append((a, b))
+        for level in range(1, order + 1):
+            ours = [(opened(x, np.uint32 if level == 1 else np.uint8), opened(y, np.uint8)) for lv, _, x, y in back if lv == level]
+            found.append(tuple(np.concatenate(c) for c in zip(*ours, strict=True)))
         count = found[0][0]
         unigram = (count + 0.5) / z
         p, of = unigram, block.token
