@@ -32,10 +32,11 @@ DISCOUNT = 0.75
 #: Words of the longest n-grams in production.
 ORDER = 3
 #: Characters of a block and of the text whose n-grams make up a shard.
-BLOCK_CHARS = 4_000_000
-SHARD_CHARS = 8_000_000
-#: Bits that tell the contexts of one shard apart. A shard has about as many contexts at every size of the corpus.
-KEY_BITS = 40
+BLOCK_CHARS = 8_000_000
+SHARD_CHARS = 16_000_000
+#: Bits that tell the contexts of one shard apart. A shard has a few million contexts at every size of the corpus, so
+#: that a context meets another one's key with a chance of about 1 in 20,000.
+KEY_BITS = 36
 #: The end of a text is a token; its hash stands for no word. The start is a context only.
 END, START = 1, 2
 HELD_OUT = (5, 1)
@@ -139,7 +140,7 @@ def in_blocks(docs: DataFrame, blocks: int, doc_id: str, text: str) -> DataFrame
     """(block, blob): documents of a task that share a block, compressed."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
         for batch in batches:
             block = batch.column("block").to_numpy()
             out = []
