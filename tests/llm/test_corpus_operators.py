@@ -181,6 +181,21 @@ def test_trie_is_mapped_from_a_file(tmp_path):
     assert (shares[[0, 3]] == trie.shares[[0, 2]]).all() and (shares[[1, 2]] == 255).all() and rests[2] == 0
 
 
+def test_shards_are_ranges_of_hashes_and_numbers_come_back():
+    r = np.random.default_rng(1)
+    hashes = np.sort(np.append(r.integers(0, 2**64, 5000, dtype=np.uint64), [np.uint64(0), np.uint64(2**64 - 1)]))
+    for shards in (1, 2, 21, 3750, 2**24):
+        shard, key = language_model.shard_and_key(hashes, shards)
+        want = [divmod(int(h) * shards, 2**64) for h in hashes]
+        assert shard.tolist() == [w for w, _ in want]
+        assert key.tolist() == [f >> (64 - language_model.KEY_BITS) for _, f in want]
+    for kind in (np.uint8, np.uint32, np.uint64):
+        for n in (0, 1, 1000):
+            numbers = r.integers(0, np.iinfo(kind).max, n, dtype=kind, endpoint=True)
+            assert (language_model.opened(language_model.shut(numbers), kind) == numbers).all()
+    assert language_model.starts(np.array([1, 1, 2, 2]), np.array([5, 6, 6, 6])).tolist() == [0, 1, 2, 4]
+
+
 def test_language_model(spark, docs, nothing, monkeypatch):
     monkeypatch.setattr(language_model, "BLOCK_CHARS", 9000)
     monkeypatch.setattr(language_model, "SHARD_CHARS", 7000)
