@@ -227,9 +227,25 @@ def test_language_model(spark, docs, nothing, monkeypatch):
     assert language_model.score(nothing).count() == 0
 
 
-def test_language_model_of_order_three(docs, nothing, monkeypatch):
+def test_split_contexts_are_dealt_by_the_whole_n_gram(docs):
+    context, word = np.array([3, 3, 5, 7, 7, 7], np.uint64), np.array([1, 2, 1, 1, 2, 3], np.uint64)
+    plain, mine, part, of = language_model.dealt(context, word, np.array([3, 7], np.uint64), 4)
+    assert plain.tolist() == [2] and sorted(mine) == [0, 1, 3, 4, 5] and (np.diff(part) >= 0).all() and part.max() < 4
+    assert (np.array([3, 7])[of] == context[mine]).all()
+    again = language_model.dealt(context[3:], word[3:], np.array([3, 7], np.uint64), 4)
+    assert {(int(w), int(p)) for w, p in zip(word[mine], part, strict=True)} >= {(int(word[3:][k]), int(p)) for k, p in zip(again[1], again[2], strict=True)}
+    none = language_model.dealt(context, word, np.zeros(0, np.uint64), 1)
+    assert none[0].tolist() == [0, 1, 2, 3, 4, 5] and not len(none[1])
+    found = language_model.split_contexts(language_model.in_blocks(docs, 1, "doc_id", "text", only=0), 1000, 3)
+    assert language_model.START in found[2][0] and (np.diff(found[2][0].astype(float)) > 0).all() and found[2][1] >= 1
+
+
+@pytest.mark.parametrize("share, least", [(1 / 8, 16), (0, 1), (1e9, 1)])
+def test_language_model_of_order_three(docs, nothing, monkeypatch, share, least):
     monkeypatch.setattr(language_model, "BLOCK_CHARS", 9000)
     monkeypatch.setattr(language_model, "SHARD_CHARS", 7000)
+    monkeypatch.setattr(language_model, "SPLIT_SHARE", share)
+    monkeypatch.setattr(language_model, "SPLIT_LEAST", least)
     monkeypatch.setattr(queries, "table", lambda spark, d, name: spark)
     docs = docs.where("text is null or length(text) < 50000")
     by = {r.doc_id: [*(r.text or "").encode().lower().split(), b"</s>"] for r in docs.collect()}
