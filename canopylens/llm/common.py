@@ -87,6 +87,25 @@ def sent_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Keys that get several tasks in a join: those with more than one in so many of all rows.
+HOT_SHARE = 200
+
+
+def hot_keys_split(rows: DataFrame, found: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """rows joined with found, a written table of one row for each key, which has in n how many of the rows have it.
+
+    Keys of more than 1 / HOT_SHARE of the rows, of which there are fewer than HOT_SHARE, are dealt to several tasks
+    each: those of rows by a hash of the whole row, and found's row goes to all of them. They alone are broadcast.
+    """
+    total = found.agg(F.sum(n)).first()[0] or 0
+    hot = found.where(F.col(n) * HOT_SHARE > total).select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.ceil(F.col(n) * HOT_SHARE / max(total, 1)).alias("_deal"))
+    same = lambda other: [F.col(k) == other[f"_hot_{k}"] for k in keys]
+    dealt = rows.join(F.broadcast(hot), same(hot), "left").withColumn("_to", F.pmod(F.xxhash64(*rows.columns), F.coalesce("_deal", F.lit(1)))).select(*rows.columns, "_to")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_deal", F.lit(1)) - 1))
+    spread = found.join(F.broadcast(hot), same(hot), "left").select(*keys, *[c for c in found.columns if c not in keys and c != n], copies.alias("_to"))
+    return dealt.join(spread, [*keys, "_to"]).drop("_to")
+
+
 def fenced(df: DataFrame) -> DataFrame:
     """df behind a column that is not deterministic: filters on df's columns stay above it.
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopylens.llm.common import fenced, shielded
+from canopylens.llm.common import cut, fenced, hot_keys_split, shielded
 
 #: One boundary in so many places; words of a line that is a chunk of its own, and of a window.
 DIVISOR = 2
@@ -73,29 +73,44 @@ def gone_runs(gone: DataFrame) -> DataFrame:
     return runs.groupBy(F.col("_row").alias("_g")).agg(F.sort_array(F.collect_list(F.struct("from", "to", "starts"))).alias("_runs"), F.sum("n").cast("int").alias("_n_gone"))
 
 
+def keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """docs with _row, a key of its own for each row: its id, the hash of its text, and a number where rows repeat.
+
+    Nothing in it depends on how docs are partitioned: rows that repeat are written once with their number, and any
+    other is known by what it holds, so that plans that compute it again find the same rows.
+    """
+    rows = docs.withColumn("_row", F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"), F.lit(-1).cast("long").alias("nth")))
+    again = cut(rows.groupBy("_row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("_row").alias("_again")), "dedup-again")
+    if again.isEmpty():
+        return rows
+    same = F.col("_row") == F.col("_again")
+    number = F.struct(F.col("_row.id").alias("id"), F.col("_row.hash").alias("hash"), F.monotonically_increasing_id().alias("nth"))
+    return rows.join(again, same, "left_anti").unionByName(cut(rows.join(again, same, "left_semi").withColumn("_row", number), "dedup-repeated"))
+
+
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with text without its repeated passages, and n_chunks, n_removed, removed (the texts taken out, in order).
 
-    Of equal passages the one of the smallest (doc_id, row, place) stays; a window that overlaps the first one goes but
+    Of equal passages the one of the smallest (doc_id, hash of the text, place) stays; a window that overlaps the first one goes but
     for that. So each line that goes has an equal one that stays. n_removed counts chunks; a run of windows around them
     is taken out with them, and one without a chunk is a text in removed too. Null texts stay null and empty ones empty;
     a document may come out empty. Blank chunks always stay. Repeated rows count as separate documents: all but the first lose their passages.
     Ties and copies of any number are settled by the same order. Columns of docs with these names are replaced.
     """
     new = ["n_chunks", "n_removed", "removed"]
-    rows = docs.drop(*new).withColumn("_row", F.monotonically_increasing_id())
+    rows = keyed(docs.drop(*new), text, doc_id)
     chunks = F.transform(F.filter("_chunks", lambda c: c["whole"]), lambda c: F.struct(c["from"].alias("from"), c["n"].alias("n"), c["hash"].alias("hash"), F.lit(True).alias("chunk")))
     wide = F.transform("_windows", lambda c: F.struct(c["from"].alias("from"), c["n"].alias("n"), c["hash"].alias("hash"), F.lit(False).alias("chunk")))
     seen = line_windows(chunk_lines(rows.select("_row", text), text)).select("_row", F.explode(F.concat(chunks, wide)).alias("c")).select("_row", "c.*")
-    again = seen.groupBy("hash", "chunk").agg(F.count("*").alias("n_seen")).where("n_seen > 1").select("hash", "chunk")
-    doubted = seen.join(again, ["hash", "chunk"]).groupBy(F.col("_row").alias("_r")).agg(F.collect_list(F.struct("from", "n", "chunk")).alias("_doubted"))
+    again = cut(seen.groupBy("hash", "chunk").agg(F.count("*").alias("n_seen")).where("n_seen > 1"), "dedup-seen")
+    doubted = hot_keys_split(seen, again, ["hash", "chunk"], "n_seen").groupBy(F.col("_row").alias("_r")).agg(F.collect_list(F.struct("from", "n", "chunk")).alias("_doubted"))
 
-    doubts = rows.select("_row", F.col(doc_id).alias("_id"), F.split(F.col(text), "\n", -1).alias("_lines")).join(doubted, F.col("_row") == F.col("_r"))
+    doubts = rows.select("_row", F.split(F.col(text), "\n", -1).alias("_lines")).join(doubted, F.col("_row") == F.col("_r"))
     digest = lambda c: F.unhex(F.sha2(F.array_join(F.slice("_lines", c["from"] + 1, c["n"]), "\n"), 256))
-    doubts = doubts.select("_row", "_id", F.explode(F.transform("_doubted", lambda c: F.struct(c["from"].alias("from"), c["n"].alias("n"), c["chunk"].alias("chunk"), digest(c).alias("digest")))).alias("c")).select("_row", "_id", "c.*")
-    doubts = doubts.select("_row", "from", "n", "chunk", "digest", F.struct(F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("from").alias("from")).alias("at"))
-    first = doubts.groupBy("digest", "chunk").agg(F.count("*").alias("n_same"), F.min("at").alias("first")).where("n_same > 1").select("digest", "chunk", "first")
-    gone = doubts.join(first, ["digest", "chunk"]).where(F.col("at") != F.col("first"))
+    doubts = doubts.select("_row", F.explode(F.transform("_doubted", lambda c: F.struct(c["from"].alias("from"), c["n"].alias("n"), c["chunk"].alias("chunk"), digest(c).alias("digest")))).alias("c")).select("_row", "c.*")
+    doubts = cut(doubts.select("_row", "from", "n", "chunk", "digest"), "dedup-doubts").withColumn("at", F.struct(F.col("_row").alias("row"), F.col("from").alias("from")))
+    first = cut(doubts.groupBy("digest", "chunk").agg(F.count("*").alias("n_same"), F.min("at").alias("first")).where("n_same > 1"), "dedup-first")
+    gone = hot_keys_split(doubts, first, ["digest", "chunk"], "n_same").where(F.col("at") != F.col("first"))
     begin = F.when(F.col("first.row") == F.col("_row"), F.greatest("from", F.col("first.from") + F.col("n"))).otherwise(F.col("from"))
     gone = gone_runs(gone.select("_row", begin.alias("from"), (F.col("from") + F.col("n")).alias("to"), "chunk"))
 

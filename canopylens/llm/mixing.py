@@ -10,6 +10,8 @@ each source's tokens meet the target.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +105,12 @@ def solve(cells: DataFrame, wanted: DataFrame, cap: float = CAP, steps: int = NE
     return state.select("source", "n_docs", "source_size", "target", "mean", "multiplier")
 
 
+def hashable(docs: DataFrame, name: str) -> Column:
+    """A column of docs, as JSON if there are maps or variants anywhere in it, which Spark doesn't hash."""
+    kind = docs.schema[name].dataType
+    return F.to_json(F.struct(F.col(name))) if re.search(r"\b(map<|variant\b)", kind.simpleString()) else F.col(name)
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, text: str = "text", source: str = "source") -> DataFrame:
     """docs with size, source_size, target, rate and copies (how often the mix takes the document, 0 to cap).
 
@@ -125,7 +133,7 @@ def _mixed(docs: DataFrame, weights, cap: float, text: str, source: str) -> Data
     sums = cells.groupBy("source").agg(F.sum("n").alias("n_docs"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
     plan = solve(cells, targets(sums, weights, cap), cap).withColumnsRenamed({"source": "_p_src", "n_docs": "_n_docs", "multiplier": "_mult", "mean": "_mean"})
 
-    row_hash = F.xxhash64(*[F.col(c) for c in docs.columns if docs.schema[c].dataType.typeName() not in ("map", "variant")])
+    row_hash = F.xxhash64(*[hashable(docs, c) for c in docs.columns])
     rated = sized.join(plan, sized["_src"].eqNullSafe(plan["_p_src"])).drop("_p_src")
     tilted = F.when(F.col("size") > 0, rate_of(F.col("_mult"), F.col("size") / F.col("_mean"), cap)).otherwise(1.0)
     rated = rated.withColumn("rate", F.when(F.col("target") > 0, tilted).otherwise(0.0)).drop("_mult", "_mean")

@@ -29,9 +29,9 @@ def beam_search(x: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarra
 
     graph: a row of neighbours for each vector, filled up with -1. Missing places are -1 at infinite distance.
     """
-    b, far = len(queries), np.float32(np.inf)
+    b, far = len(queries), x.dtype.type(np.inf)
     ids = np.full((b, beam), -1, np.int32)
-    dist = np.full((b, beam), far, np.float32)
+    dist = np.full((b, beam), far, x.dtype)
     ids[:, 0], dist[:, 0] = entry, ((queries - x[entry]) ** 2).sum(1)
     seen = np.zeros((b, beam), bool)
     live = np.arange(b)
@@ -109,8 +109,22 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
     return graph, entry
 
 
+def scaled(*parts: np.ndarray) -> list[np.ndarray]:
+    """parts, vectors in double precision, divided by the largest component of all; nearness stays the same.
+
+    In single precision, but where a vector is so much smaller that the squares of its components would be lost.
+    """
+    sizes = np.concatenate([np.abs(p).max(1, initial=0) for p in parts])
+    top = sizes.max(initial=0) or 1.0
+    kind = np.float32 if sizes.min(initial=top) > 1e-12 * top else np.float64
+    return [(p / top).astype(kind) for p in parts]
+
+
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, v) of the rows that take part: an id, and a vector of finite components that are not all zero."""
+    """(vec_id, v) of the rows that take part: an id, and a vector of finite components of any size that are not all zero.
+
+    Distances whose squares exceed double precision are infinite, and settled by the smaller id.
+    """
     v = F.col(embedding)
     whole = ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & v.isNotNull())
@@ -137,7 +151,7 @@ def build_index(rows: DataFrame, k: int = K, shard_vectors: int = SHARD_VECTORS)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ids", key=lambda s: s.map(lambda i: i[0]), ignore_index=True)
-        graph, entry = build_graph(np.stack(pdf["v"].to_list()).astype(np.float32))
+        graph, entry = build_graph(*scaled(np.stack(pdf["v"].to_list()).astype(np.float64)))
         return pdf.assign(place=np.arange(len(pdf)), near=[g[g >= 0].tolist() for g in graph], entry=entry)[["dim", "parts", "shard", "place", "entry", "v", "ids", "near"]]
 
     # shards are small in bytes and large in work: each gets a partition, which Spark doesn't put together again
@@ -165,14 +179,14 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM) -
         if len(nodes) and len(wanted):
             nodes = nodes.sort_values("place", ignore_index=True)
             exact = np.stack(nodes["v"].to_list()).astype(np.float64)
-            x = exact.astype(np.float32)
             near = nodes["near"].to_list()
-            graph = np.full((len(x), max(1, max(map(len, near)))), -1, np.int32)
+            graph = np.full((len(exact), max(1, max(map(len, near)))), -1, np.int32)
             for i, g in enumerate(near):
                 graph[i, : len(g)] = g
             ids, q = nodes["ids"].to_list(), np.stack(wanted["v"].to_list()).astype(np.float64)
+            x, asked_for = scaled(exact, q)
             for first in range(0, len(q), 256):
-                found, _ = beam_search(x, graph, int(nodes["entry"][0]), q[first : first + 256].astype(np.float32), beam)
+                found, _ = beam_search(x, graph, int(nodes["entry"][0]), asked_for[first : first + 256], beam)
                 for qid, qv, f in zip(wanted["vec_id"][first : first + 256], q[first : first + 256], found, strict=True):
                     f = f[f >= 0]
                     scores = np.sqrt(((exact[f] - qv) ** 2).sum(1))

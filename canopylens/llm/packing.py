@@ -78,11 +78,15 @@ class WordIds:
                 self.ids.update((w, self._encode(w).tobytes()) for w in some)
 
     def _split(self, word: str) -> tuple[str, str]:
-        """The letters of a word and the punctuation after them; none for words of another form."""
+        """The letters of a word and the punctuation after them; none for words of another form.
+
+        A letter whose lower case holds a mark is of another form: the tokenizer joins the mark with what follows.
+        """
         base = word.rstrip(self.TAIL)
         if base.isascii():
             return (base.lower(), word[len(base) :]) if base.isalpha() else ("", "")
-        return (base, word[len(base) :]) if base.isalpha() and is_normalized("NFC", base) else ("", "")
+        plain = base.isalpha() and is_normalized("NFC", base) and base.lower().isalpha()
+        return (base, word[len(base) :]) if plain else ("", "")
 
     def learn(self, words: set[str]) -> None:
         """Remember the ids of words; of those, words of letters are tokenised together."""

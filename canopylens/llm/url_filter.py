@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopylens.llm.common import ascii_lower, shielded
+from canopylens.llm.common import ascii_lower, cut, shielded
 
 #: Host rules: a host with all its subdomains, and a prefix of the path.
 HOST_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -25,8 +25,9 @@ PATTERN_RULES = [
     ("admin", r"/wp-admin/[a-z-]+\.php"),
     ("print", r"/print/[0-9]+\.html"),
 ]
-#: What a pattern is read as: a class or a group with the sign that may follow it, an escape, or one character.
-_PIECE = re.compile(r"(\[[^\]]*\]|\([^()]*\)|\\.|.)([?*+]|\{[^}]*\})?")
+#: What a pattern is read as: a class, a group, an escape or one character, with the sign of repetition that may follow
+#: it; a sign may be lazy or possessive, by a second one.
+_PIECE = re.compile(r"(\[[^\]]*\]|\([^()]*\)|\\.|.)((?:[?*+]|\{[^}]*\})[?+]?)?", re.DOTALL)
 
 
 def literal_tokens(pattern: str) -> list[str]:
@@ -34,9 +35,10 @@ def literal_tokens(pattern: str) -> list[str]:
 
     A token is a run of literal letters and digits, or a group of such runs, between two pieces that can't be letters or
     digits: other literals, classes without letters, digits and ranges, or a group of such. What may be missing or
-    repeated is no boundary. Patterns with | outside groups, with nested groups or with flags have no tokens.
+    repeated, lazily or not, is no boundary. Patterns with | outside groups, with nested or unusual groups and classes,
+    with quotes or with flags have no tokens.
     """
-    if re.search(r"\([^()]*\(|\(\?|[A-Z]", pattern) or "|" in re.sub(r"\([^()]*\)|\[[^\]]*\]|\\.", "", pattern):
+    if re.search(r"\([^()]*\(|\(\?|[A-Z]|\[\^?\]|\[[^\]]*(\[|&&)|\\[pkxucN]", pattern) or "|" in re.sub(r"\([^()]*\)|\[[^\]]*\]|\\.", "", pattern):
         return []
     kinds: list[tuple[str, str]] = []
     for piece, sign in _PIECE.findall(pattern):
@@ -90,17 +92,16 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(F.split(ascii_lower(url), "[^a-z0-9]+"), lambda t: t != ""))
 
 
-#: The token of all urls, under which rules without a token are listed.
-ANY = ""
+#: Rules without a token are listed under so many numbers instead, one of which each url gets by its hash.
+DEALS = 256
 
 
 def index_rules(url_token: DataFrame, rules: DataFrame) -> DataFrame:
     """Each pattern rule under that of its tokens which the fewest urls hold; ties go to the smaller token.
 
-    Alternatives count together, and the rule is listed under each of them. A rule without tokens is tried on all urls.
+    Alternatives count together, and the rule is listed under each of them. A rule without tokens is listed nowhere.
     """
-    known = F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit(ANY)))
-    of_rules = rules.select("pattern_id", "pattern", F.explode(known).alias("any")).withColumn("token", F.explode(F.split("any", r"\|")))
+    of_rules = rules.select("pattern_id", "pattern", F.explode("tokens").alias("any")).withColumn("token", F.explode(F.split("any", r"\|")))
     seen = url_token.join(of_rules.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     rare = of_rules.join(seen, "token", "left").fillna(0, ["n"]).groupBy("pattern_id", "pattern", "any").agg(F.sum("n").alias("n"))
     rare = rare.groupBy("pattern_id", "pattern").agg(F.min(F.struct("n", "any"))["any"].alias("any"))
@@ -134,15 +135,20 @@ def _judged(pages: DataFrame, host_rules: DataFrame | None, pattern_rules: DataF
     rule = F.concat("rule_host", "rule_path")
     by_host = fits.groupBy("u").agg(F.max(F.struct(F.length(rule).alias("n"), rule.alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("best"))
 
-    tokens = urls.select("u", F.explode(F.array_append(url_tokens(F.col("u")), F.lit(ANY))).alias("token"))
-    fetched = tokens.join(index_rules(tokens, rules), "token").where(F.expr("rlike(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), pattern)"))
+    tokens = urls.select("u", F.explode(url_tokens(F.col("u"))).alias("token"))
+    index = index_rules(tokens, rules)
+    others = rules.where(F.size("tokens") == 0).select("pattern_id", "pattern", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))).alias("deal"))
+    every = urls.select("u", F.pmod(F.xxhash64("u"), F.lit(DEALS)).alias("deal")).join(others, "deal")
+    fetched = tokens.join(index, "token").select("u", "pattern_id", "pattern").unionByName(every.select("u", "pattern_id", "pattern"))
+    fetched = fetched.where(F.expr("rlike(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), pattern)"))
     by_pattern = fetched.groupBy("u").agg(F.min("pattern_id").alias("pattern_id"))
 
-    decided = urls.join(by_host, "u", "left").join(by_pattern, "u", "left").select(
+    # written, so that the join back is one of two scans, whose hot urls Spark splits
+    decided = cut(urls.join(by_host, "u", "left").join(by_pattern, "u", "left").select(
         "u", "host", "path", F.col("best.rule").alias("rule"),
         F.coalesce(F.col("best.verdict"), F.when(F.col("pattern_id").isNotNull(), "block"), F.lit("allow")).alias("verdict"),
         F.when(F.col("best").isNull(), F.col("pattern_id")).alias("pattern_id"),
-    )
+    ), "judged-urls")
     return pages.join(decided, pages[url] == decided["u"], "left").select(
         *[pages[c] for c in pages.columns], F.coalesce(decided["host"], F.lit("")).alias("host"), F.coalesce(decided["path"], F.lit("")).alias("path"),
         "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), "pattern_id",
