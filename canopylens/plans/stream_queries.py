@@ -18,7 +18,7 @@ def events(f: Inputs):
 def taken_in(f: Inputs):
     """New events by kind, and how many the audit of the run counts."""
     target = shared_path(f.spark, "intake")
-    rows = intake.run_once(intake.new_missions(events(f)), target)
+    rows = intake.run_once(events(f), target, keys=["event_id"])
     audited = intake.audit(f.spark, target).agg(F.sum("n_rows").alias("audited"))
     return rows.groupBy("event_type").agg(F.count("*").alias("n")).crossJoin(audited)  # audited is one row
 

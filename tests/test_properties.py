@@ -91,18 +91,33 @@ def test_touching_polygons_intersect(spark):
 def test_intake_takes_up_where_it_stopped(spark, tmp_path):
     from canopylens.streaming import intake
 
-    def deliver(name, ids):
-        spark.createDataFrame([(i, f"2024-01-01 00:00:{i % 60:02d}") for i in ids], "event_id long, ts string").selectExpr("event_id", "cast(ts as timestamp) as ts").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/events.parquet")
+    def deliver(ids, day):
+        spark.createDataFrame([(i, f"2024-01-{day:02d} 00:00:{(i or 0) % 60:02d}") for i in ids], "event_id long, ts string").selectExpr("event_id", "cast(ts as timestamp) as ts").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/events.parquet")
 
     def run():
-        stream = spark.readStream.schema("event_id long, ts timestamp").parquet(f"{tmp_path}/in/events.parquet")
-        return sorted(r.event_id for r in intake.run_once(intake.new_missions(stream), f"{tmp_path}/out").collect())
+        stream = spark.readStream.schema("event_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/events.parquet")
+        return sorted(r.event_id for r in intake.run_once(stream, f"{tmp_path}/out", keys=["event_id"]).collect())
 
-    deliver("a", range(5))
+    def written():
+        return sum(r.n_rows for r in intake.audit(spark, f"{tmp_path}/out").collect())
+
+    deliver(range(5), 20)
     assert run() == list(range(5)) and run() == list(range(5))
-    deliver("b", [3, 4, 5, 6])
-    assert run() == list(range(7)) and run() == list(range(7))
-    assert sum(r.n_rows for r in intake.audit(spark, f"{tmp_path}/out").collect()) == 7
+    deliver([3, 4, 5, 6, 6], 21)
+    assert run() == list(range(7)) and run() == list(range(7)) and written() == 7
+    deliver([7, 8, 0], 10)  # ten days late, in a batch after a later time has passed
+    deliver([8, 9], 1)
+    assert run() == list(range(10)) and written() == 10
+
+
+def test_a_batch_that_failed_is_repeated_without_change(spark, tmp_path, monkeypatch):
+    from canopylens.streaming import intake
+
+    rows = spark.createDataFrame([(1, 10, "b"), (1, 5, "a"), (2, 7, "c")], "event_id long, ts long, v string")
+    for number, ids in ((0, [1]), (1, [1, 2]), (1, [1, 2]), (2, [2, 1])):  # batch 1 twice, as after a failure behind its write
+        intake.unseen(rows.where(F.col("event_id").isin(ids)), ["event_id"], f"{tmp_path}/table", number).write.mode("overwrite").parquet(f"{tmp_path}/table/batch={number}")
+    got = spark.read.schema("event_id long, ts long, v string, batch long").parquet(f"{tmp_path}/table").collect()
+    assert sorted(map(tuple, got)) == [(1, 5, "a", 0), (2, 7, "c", 1)]
 
 
 def test_listing_reads_no_contents(spark, tmp_path):
