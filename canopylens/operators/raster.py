@@ -1,11 +1,11 @@
-"""Map algebra on pixels: one row for each (raster, row, column), one column for each band."""
+"""Map algebra on pixels: one row for each (raster, row, column), one column for each band. Chunks are in chunks.py."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopylens.functions import geometry as G
+from canopylens.sources.tables import round_trip_parquet
 
 CELL = ["yr", "row_no", "col"]
 
@@ -14,19 +14,6 @@ def mask_nodata(df: DataFrame, bands: list[str], nodata: float) -> DataFrame:
     return df.withColumns({b: F.when(F.col(b) != nodata, F.col(b)) for b in bands})
 
 
-def to_chunks(pixels: DataFrame, bands: list[str], size: int) -> DataFrame:
-    """Storage form: one row for each chunk of size x size cells, with the cells of each band as one array."""
-    keys = ["yr", F.floor(F.col("row_no") / size).alias("chunk_row"), F.floor(F.col("col") / size).alias("chunk_col")]
-    cells = F.sort_array(F.collect_list(F.struct("row_no", "col", *bands)))
-    return pixels.groupBy(*keys).agg(cells.alias("c")).select("yr", "chunk_row", "chunk_col", F.size("c").alias("n"), *[F.col("c")[b].alias(b) for b in ("row_no", "col", *bands)])
-
-
-def from_chunks(chunks: DataFrame, bands: list[str]) -> DataFrame:
-    """Pixels of chunks; only the bands asked for are read."""
-    cells = F.arrays_zip("row_no", "col", *bands)
-    return chunks.select("yr", F.explode(cells).alias("c")).select("yr", "c.row_no", "c.col", *[f"c.{b}" for b in bands])
-
-
 def map_coordinates(df: DataFrame, a: float, c: float, e: float, f: float) -> DataFrame:
     """df with x and y of the cell centres under the transform (a, c; e, f)."""
     return df.withColumns({"x": c + a * (F.col("col") + 0.5), "y": f + e * (F.col("row_no") + 0.5)})
@@ -37,17 +24,6 @@ def cell_at(x: Column, y: Column, a: float, c: float, e: float, f: float) -> tup
     return F.floor((y - f) / e).cast("int"), F.floor((x - c) / a).cast("int")
 
 
-def crop_polygon(df: DataFrame, g: Column) -> DataFrame:
-    """Cells whose centre lies in a polygon; the bounds are compared first."""
-    x, y, b = F.col("col") + 0.5, F.col("row_no") + 0.5, G.bbox(g)
-    return df.where(x.between(b["xmin"], b["xmax"]) & y.between(b["ymin"], b["ymax"])).where(G.contains_point(g, x, y))
-
-
-def crop_box(df: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float, pad: float = 0) -> DataFrame:
-    """Cells whose centre lies in a padded box: a range of rows and columns, which scans can skip by."""
-    return df.where((F.col("col") + 0.5).between(xmin - pad, xmax + pad) & (F.col("row_no") + 0.5).between(ymin - pad, ymax + pad))
-
-
 #: A transform (a, b, c, d, e, f): x = a col + b row + c and y = d col + e row + f, for corners of cells.
 Affine = tuple[float, float, float, float, float, float]
 
@@ -92,21 +68,6 @@ def tile_grid(spark, xmin: float, ymin: float, xmax: float, ymax: float, size: f
     return grid.select(F.col("id").alias("tile_id"), (xmin + F.col("i") * dx).alias("xmin"), (ymin + F.col("j") * dy).alias("ymin"), (xmin + (F.col("i") + 1) * dx).alias("xmax"), (ymin + (F.col("j") + 1) * dy).alias("ymax"))
 
 
-def cut_tiles(df: DataFrame, size: int, halo: int, tile_rows: int, tile_cols: int) -> DataFrame:
-    """df with tile_row and tile_col, a cell once for each tile that holds it or has it in its halo.
-
-    The tiles of a cell are computed from its place, so that no join with the tiles is needed.
-    """
-    span = lambda c, n: F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - halo) / size)).cast("int"), F.least(F.lit(n - 1), F.floor((F.col(c) + halo) / size)).cast("int"))
-    return df.withColumn("tile_row", F.explode(span("row_no", tile_rows))).withColumn("tile_col", F.explode(span("col", tile_cols)))
-
-
-def tiles_along(df: DataFrame, size: int) -> tuple[int, int]:
-    """How many rows and columns of tiles the cells of df reach over."""
-    most = df.agg(F.max("row_no").alias("r"), F.max("col").alias("c")).first()
-    return (most.r or 0) // size + 1, (most.c or 0) // size + 1
-
-
 def shift_transform(rasters: DataFrame, shifts: DataFrame, key: str) -> DataFrame:
     """rasters (key, c, f) moved by (xs, ys): only the origin changes, no cell is read."""
     moved = rasters.join(shifts, key, "left")
@@ -138,13 +99,39 @@ def grey(r: Column, g: Column, b: Column) -> Column:
     return F.floor(0.114 * r + 0.587 * g + 0.299 * b + 0.5).cast("double")
 
 
+#: Ranges that values are counted in at a time, and values of a group that are sorted at once.
+RANGES, FEW = 1024, 4096
+
+
 def median_of(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """(keys, median): the exact median from the counts of each value, so that groups are never held whole."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    order = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    upto = counts.withColumns({"upto": F.sum("n").over(order.orderBy("v")), "total": F.sum("n").over(order)})
-    inside = upto.where((F.col("upto") - F.col("n") <= F.floor(F.col("total") / 2)) & (F.col("upto") > F.floor((F.col("total") - 1) / 2)))
-    return inside.groupBy(*keys).agg(F.avg("v").alias("median"))
+    """(keys, median): the exact median, by selection. Null and NaN don't count.
+
+    The values of each group are counted in ranges between its smallest and largest one; only the range that holds the
+    middle is looked at again, between the smallest and largest value in it, until it holds one value, or few that are
+    sorted. A window never has more than RANGES rows, whatever the number of values, and each round is one pass.
+    """
+    keyed = df.select(*keys, F.lit(0).alias("_all"), F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    values, names = round_trip_parquet(keyed, []), ["_all", *keys]
+    rank = {"_left": F.floor((F.col("_n") - 1) / 2), "_right": F.floor(F.col("_n") / 2)}
+    state = values.groupBy(*names).agg(F.count("*").alias("_n"), F.min("v").alias("_lo"), F.max("v").alias("_hi"))
+    state = round_trip_parquet(state.withColumns({**rank, "_below": F.lit(0).cast("long"), "_in": F.col("_n"), "median": F.when(F.col("_lo") == F.col("_hi"), F.col("_lo"))}), [])
+    within = lambda of: of.join(values.withColumnsRenamed({c: f"_v{c}" for c in names}), [F.col(c).eqNullSafe(F.col(f"_v{c}")) for c in names]).where(F.col("v").between(F.col("_lo"), F.col("_hi")))
+    is_open = F.col("median").isNull() & (F.col("_in") > FEW)
+    while not state.where(is_open).isEmpty():
+        place = F.least(F.floor((F.col("v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * RANGES), F.lit(RANGES - 1))
+        counts = within(state.where(is_open)).groupBy(*names, "_n", "_left", "_right", "_below", place.alias("_at")).agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
+        upto = F.col("_below") + F.sum("c").over(Window.partitionBy(*names).orderBy("_at"))
+        met = counts.withColumn("_upto", upto).where((F.col("_upto") > F.col("_left")) & (F.col("_upto") - F.col("c") <= F.col("_right")))
+        # the middle lies in one range, or between the largest value of one and the smallest of the next that isn't empty
+        one = met.groupBy(*names, "_n", "_left", "_right").agg(
+            F.count("*").alias("ranges"), F.min("least").alias("_lo"), F.max("most").alias("_hi"), F.min(F.col("_upto") - F.col("c")).alias("_below"), F.sum("c").alias("_in"),
+            F.min("most").alias("low_end"), F.max("least").alias("high_start"),
+        )
+        settled = F.when(F.col("ranges") == 2, (F.col("low_end") + F.col("high_start")) / 2).when(F.col("_lo") == F.col("_hi"), F.col("_lo"))
+        state = round_trip_parquet(state.where(~is_open).unionByName(one.withColumn("median", settled).select(*state.columns)), [])
+    last = within(state.where("median is null")).groupBy(*names, "_left", "_right", "_below").agg(F.sort_array(F.collect_list("v")).alias("vs"))  # at most FEW
+    middle = (F.get("vs", (F.col("_left") - F.col("_below")).cast("int")) + F.get("vs", (F.col("_right") - F.col("_below")).cast("int"))) / 2
+    return state.where("median is not null").select(*keys, "median").union(last.select(*keys, middle.alias("median")))
 
 
 def median_of_band(df: DataFrame, band: str, keys: list[str]) -> DataFrame:
@@ -154,43 +141,3 @@ def median_of_band(df: DataFrame, band: str, keys: list[str]) -> DataFrame:
 
 def total_bounds(df: DataFrame, keys: list[str], box: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(f"{box}.xmin").alias("xmin"), F.min(f"{box}.ymin").alias("ymin"), F.max(f"{box}.xmax").alias("xmax"), F.max(f"{box}.ymax").alias("ymax"))
-
-
-def cells_near(crowns: DataFrame, pixels: DataFrame, pad: float = 0, block: int = 16) -> DataFrame:
-    """The cells of a crown's date in its bounds and pad around them, with all columns of both.
-
-    crowns: (id, yr, geom, ...). Crowns and cells meet by blocks of the grid, and only cells in the bounds stay.
-    """
-    span = lambda lo, hi: F.sequence(F.floor(lo / block).cast("int"), F.floor(hi / block).cast("int"))
-    wanted = crowns.withColumn("_in", G.padded(G.bbox(F.col("geom")), pad))
-    wanted = wanted.withColumn("_br", F.explode(span(F.col("_in.ymin"), F.col("_in.ymax")))).withColumn("_bc", F.explode(span(F.col("_in.xmin"), F.col("_in.xmax"))))
-    placed = pixels.withColumns({"_br": F.floor(F.col("row_no") / block).cast("int"), "_bc": F.floor(F.col("col") / block).cast("int")})
-    x, y = F.col("col") + 0.5, F.col("row_no") + 0.5
-    inside = x.between(F.col("_in.xmin"), F.col("_in.xmax")) & y.between(F.col("_in.ymin"), F.col("_in.ymax"))
-    return placed.join(wanted, ["yr", "_br", "_bc"]).where(inside).drop("_in", "_br", "_bc")
-
-
-def zonal_pixels(crowns: DataFrame, pixels: DataFrame) -> DataFrame:
-    """(id, yr, row_no, col, bands): the cells of each crown's date whose centres lie in the crown."""
-    near = cells_near(crowns.select("id", "yr", "geom"), pixels)
-    return near.where(G.contains_point(F.col("geom"), F.col("col") + 0.5, F.col("row_no") + 0.5)).drop("geom")
-
-
-def crown_chips(crowns: DataFrame, pixels: DataFrame, pad: int) -> DataFrame:
-    """The cells around each crown for pictures of it, with their place in the picture and the outline drawn in it.
-
-    (id, yr, row_no, col, bands, chip_row, chip_col, outline: an array of points in cells from the picture's corner).
-    """
-    near = cells_near(crowns.select("id", "yr", "geom"), pixels, pad)
-    corner = G.bbox(F.col("geom"))
-    left, top = F.floor(corner["xmin"]) - pad, F.floor(corner["ymin"]) - pad
-    outline = G.to_pixels(F.col("geom"), left, top, 1.0)[0]
-    return near.withColumns({"chip_row": (F.col("row_no") - top).cast("int"), "chip_col": (F.col("col") - left).cast("int"), "outline": outline}).drop("geom")
-
-
-def named_plot(pixels: DataFrame, plots: DataFrame, name: str) -> DataFrame:
-    """The cells in the plot (name, xmin, ymin, xmax, ymax) of that name; the one row is read first, so that scans skip."""
-    plot = plots.where(F.col("name") == name).first()
-    if plot is None:
-        raise ValueError(f"no plot is named {name}")
-    return crop_box(pixels, plot.xmin, plot.ymin, plot.xmax, plot.ymax)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from canopylens.functions import names as N
-from canopylens.operators import catalog, raster, timeseries
+from canopylens.operators import catalog, chunks, timeseries
 from canopylens.sources import files as S
 
 C = F.col
@@ -28,7 +28,7 @@ QUERIES = {
     "op_c13_surrogate_id": (lambda f: catalog.surrogate_ids(f.crown_obs.select("tag", "yr"), ["tag", "yr"]), "select tag, yr, md5(concat(tag, '|', yr)) as \"GlobalID\" from {crown_obs}"),
     "op_c14_rename": (lambda f: f.raw_crowns.withColumnsRenamed({"mnemonic": "spp", "crown_area": "area"}).select("tag", "spp", "area"), "select tag, mnemonic as spp, crown_area as area from {raw_crowns}"),
     "op_s1_raster_scan": (lambda f: S.read_raster(S.raster_table(f.pixels, ["r", "g", "b"], 32), ["r"]), "select yr, row_no, col, r from {pixels}"),
-    "op_s2_nodata": (lambda f: raster.mask_nodata(f.pixels, ["b"], 0).groupBy("yr").agg(F.count("b").alias("valid"), F.count("*").alias("cells")), "select yr, count(nullif(b, 0)) as valid, count(*) as cells from {pixels} group by yr"),
+    "op_s2_nodata": (lambda f: chunks.mask_nodata(S.raster_table(f.pixels, ["b"]), ["b"], 0).groupBy("yr").agg(F.sum(chunks.values_in("b")).alias("valid"), F.sum("n").alias("cells")), "select yr, count(nullif(b, 0)) as valid, count(*) as cells from {pixels} group by yr"),
     "op_s3_vector_scan": (lambda f: S.read_geojson(S.as_geojson(f.shapes)).select("id", F.size(F.get("geom", F.lit(0))).alias("points"), F.array_min(F.transform(F.get("geom", F.lit(0)), lambda p: p["x"])).alias("xmin")), "select id, 6 as points, x0 * 1.0::double as xmin from {shapes}"),
     "op_s4_delimited": (lambda f: S.round_trip_csv(f.raw_crowns.select("field_id", "tag", "mnemonic"), "\t"), "select field_id, tag, mnemonic from {raw_crowns}"),
     "op_s5_list_files": (lambda f: S.named_like(f.files, "BCI_50ha_1997", (".tif", ".las")), "select * from {files} where starts_with(string_split(path, '/')[-1], 'BCI_50ha_1997') and (ends_with(path, '.tif') or ends_with(path, '.las'))"),

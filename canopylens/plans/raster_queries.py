@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from canopylens.functions import geometry as G
 from canopylens.functions.tables import register
-from canopylens.operators import align, colour, raster as R
+from canopylens.operators import align, chunks as K, colour, raster as R
 from canopylens.plans.fixtures import Inputs
+from canopylens.sources.files import raster_table, round_trip_parquet
 
 C = F.col
 EXTENT = "(select min(x0) as w, min(y0) as s, max(x0 + arm) as e, max(y0 + arm) as n, cast(ceil((max(x0 + arm) - min(x0)) / 100e0) as bigint) as nx, cast(ceil((max(y0 + arm) - min(y0)) / 100e0) as bigint) as ny from {shapes})"
@@ -15,7 +16,7 @@ GRID = f"select j * nx + i as tile_id, w + i * ((e - w) * 1e0 / nx) as xmin, s +
 TILE_OF = f"select tile_id, count(*) as n from {{shapes}} s join ({GRID}) t on s.x0 >= t.xmin and s.x0 < t.xmax and s.y0 >= t.ymin and s.y0 < t.ymax group by tile_id"
 #: The cells of each crown and date by the shape's rule, and their pixels.
 INSIDE = "(select id, yr, x0 + dx as col, y0 + dy as row_no from {shape_obs} s, lateral (select unnest(range(s.arm)) as dx) a, lateral (select unnest(range(s.arm)) as dy) b where dx < width or dy < width)"
-ZONE = ["id", "yr"]
+ZONE, RGB, BANDS = ["id", "yr"], ["r", "g", "b"], ["r", "g", "b", "h"]
 ZSQL = f"select z.id, x.* from {INSIDE} z join {{canopy}} x on z.yr = x.yr and z.col = x.col and z.row_no = x.row_no"
 MED = "select yr, median(h) as median from {pixels} where h <> 0 group by yr"
 ZGREY = f"(select *, floor(0.114::double * r + 0.587::double * g + 0.299::double * b + 0.5) as grey from ({ZSQL}))"
@@ -44,7 +45,7 @@ def observed(f: Inputs):
 
 def zones(f: Inputs):
     """The pixels of each crown of the same date."""
-    return R.zonal_pixels(observed(f), f.canopy)
+    return K.zonal_pixels(observed(f), raster_table(f.canopy, RGB), RGB)
 
 
 def with_terrain(f: Inputs, pixels=None):
@@ -67,19 +68,20 @@ def greys(f: Inputs):
     return f.pixels.withColumn("grey", R.grey(C("r"), C("g"), C("b")))
 
 
-def zone_greys(f: Inputs):
-    return zones(f).withColumn("grey", R.grey(C("r"), C("g"), C("b")))
+def zone_greys(f: Inputs, of=None):
+    return (zones(f) if of is None else of).withColumn("grey", R.grey(C("r"), C("g"), C("b")))
 
 
-def similarity(f: Inputs):
+def similarity(f: Inputs, of=None):
     """Each crown's histogram against that of all crowns' pixels of one date."""
-    own = zone_greys(f)
+    own = zone_greys(f, of)
     sample = colour.grey_histogram(own.where("yr = 1996"), [], "grey")
     return colour.histogram_similarity(colour.grey_histogram(own, ZONE, "grey"), sample, ZONE)
 
 
 def colour_scores(f: Inputs):
-    return colour.palette_score(zones(f), canopy_palette(f), ZONE).join(similarity(f), ZONE, "left")
+    own = round_trip_parquet(zones(f), [])  # written once, and grouped thrice
+    return colour.palette_score(own, canopy_palette(f), ZONE).join(similarity(f, own), ZONE, "left")
 
 
 def species_means(f: Inputs):
@@ -88,11 +90,18 @@ def species_means(f: Inputs):
 
 
 def chips(f: Inputs):
-    return R.crown_chips(observed(f), f.canopy, 5)
+    return K.crown_chips(observed(f), raster_table(f.canopy, RGB), RGB, 5)
+
+
+def tiled(f: Inputs):
+    table = raster_table(f.pixels, ["r"])
+    return K.cut_tiles(table, 25, 5, *K.tiles_along(table, 25))
 
 
 def tile_counts(f: Inputs):
-    return R.cut_tiles(f.pixels, 25, 5, *R.tiles_along(f.pixels, 25)).groupBy("tile_row", "tile_col", "yr").agg(F.count("*").alias("n"), F.sum("r").alias("r"))
+    """Cells and the sum of a band for each tile and date, added up chunk by chunk."""
+    each = tiled(f).select("tile_row", "tile_col", "yr", K.values_in("r").alias("n"), K.sum_of("r").alias("r")).where("n > 0")
+    return each.groupBy("tile_row", "tile_col", "yr").agg(F.sum("n").alias("n"), F.sum("r").cast("long").alias("r"))
 
 
 def neighbouring_tiles(f: Inputs):
@@ -125,8 +134,8 @@ CHIP = "select s.id, p.yr, p.row_no, p.col, r, p.row_no - y0 + 5 as chip_row, p.
 
 QUERIES = {
     "op_r1_coordinates": (lambda f: R.map_coordinates(f.pixels, 0.5, 100, -0.5, 900).select("yr", "row_no", "col", "x", "y"), "select yr, row_no, col, 100 + 0.5 * (col + 0.5) as x, 900 - 0.5 * (row_no + 0.5) as y from {pixels}"),
-    "op_r2_crop_polygon": (lambda f: R.crop_polygon(f.pixels, G.l_shape(F.lit(10), F.lit(10), F.lit(60), F.lit(20))), "select * from {pixels} where col >= 10 and col < 70 and row_no >= 10 and row_no < 70 and (col < 30 or row_no < 30)"),
-    "op_r3_crop_box": (lambda f: R.crop_box(f.pixels, 20, 20, 40, 40, 5), "select * from {pixels} where col between 15 and 44 and row_no between 15 and 44"),
+    "op_r2_crop_polygon": (lambda f: K.cells_of(K.crop_polygon(raster_table(f.pixels, BANDS), [[(10, 10), (70, 10), (70, 30), (30, 30), (30, 70), (10, 70)]]), BANDS), "select * from {pixels} where col >= 10 and col < 70 and row_no >= 10 and row_no < 70 and (col < 30 or row_no < 30)"),
+    "op_r3_crop_box": (lambda f: K.cells_of(K.crop_box(raster_table(f.pixels, BANDS), 20, 20, 40, 40, 5), BANDS), "select * from {pixels} where col between 15 and 44 and row_no between 15 and 44"),
     "op_r4_resample": (lambda f: with_terrain(f).select("yr", "row_no", "col", "t"), f"select p.yr, p.row_no, p.col, t {NEAREST}"),
     "op_r5_bands_and_surface": (with_surface, f"select p.yr, p.row_no, p.col, r, g, b, m.h from {{pixels}} p {SURFACE}"),
     "op_r6_five_bands": (lambda f: with_terrain(f, with_surface(f)), f"select p.yr, p.row_no, p.col, r, g, b, m.h, t {NEAREST} {SURFACE}"),
@@ -134,7 +143,7 @@ QUERIES = {
     "op_r8_mosaic": (lambda f: R.mosaic(R.mask_nodata(f.pixels, ["b"], 0), "yr", ["b"]), "select row_no, col, min_by(b, yr) filter (b <> 0) as b from {pixels} group by row_no, col"),
     "op_r9_tile_grid": (lambda f: grid(f).select("tile_id", *[F.round(c, 4).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")]), f"select tile_id, round(xmin, 4) as xmin, round(ymin, 4) as ymin, round(xmax, 4) as xmax, round(ymax, 4) as ymax from ({GRID})"),
     "op_x4_tiles_per_crown": (tiles_by_sql, TILE_OF),
-    "op_r10_cut_tiles": (lambda f: R.cut_tiles(f.pixels, 25, 5, *R.tiles_along(f.pixels, 25)).select("yr", "row_no", "col", "tile_row", "tile_col"), TILES),
+    "op_r10_cut_tiles": (lambda f: K.cells_of(tiled(f), ["r"], ("tile_row", "tile_col")).drop("r"), TILES),
     "op_r11_tiles_by_date": (tile_counts, f"select tile_row, tile_col, t.yr, count(*) as n, cast(sum(r) as bigint) as r from ({TILES}) t join {{pixels}} p on t.yr = p.yr and t.row_no = p.row_no and t.col = p.col group by 1, 2, 3"),
     "op_r12_shift": (lambda f: R.shift_transform(f.pixels.select("yr").distinct().select(C("yr").alias("pair"), F.lit(100.0).alias("c"), F.lit(900.0).alias("f")), align.mean_shift(f.tie_points).select((C("pair") + 1990).alias("pair"), "xs", "ys"), "pair"), "select y.yr as pair, 100 + coalesce(s.xs, 0) as c, 900 + coalesce(s.ys, 0) as f from (select distinct yr from {pixels}) y left join (select pair, round(avg(x_shift), 4) as xs, round(avg(y_shift), 4) as ys from (select *, row_number() over (partition by pair order by reliability desc, event_id) as n from {tie_points}) where n <= 10 group by pair) s on y.yr = s.pair + 1990"),
     "op_r13_add_offset": (lambda f: R.add_offset(f.pixels, f.pixels.select("yr").distinct().withColumn("offset", C("yr") - 1990.0), "h").select("yr", "row_no", "col", F.round("h", 3).alias("h")), "select yr, row_no, col, round(h + yr - 1990, 3) as h from {pixels}"),
@@ -144,7 +153,7 @@ QUERIES = {
     "op_r17_contrast": (lambda f: colour.contrast_normalise(chips(f).select("id", "yr", C("chip_row").alias("row_no"), C("chip_col").alias("col"), colour.lightness(C("r"), C("g"), C("b")).alias("light")), ZONE, "light", 2, 20), None),
     "op_r17_lightness": (lambda f: f.pixels.select("yr", "row_no", "col", F.round(colour.lightness(C("r"), C("g"), C("b")), 4).alias("light")), "select yr, row_no, col, round((case when y <= 216.0::double / 24389 then y * 24389 / 27 else 116 * cbrt(y) - 16 end) * 2.55::double, 4) as light from (select yr, row_no, col, 0.2126::double * case when r / 255 <= 0.04045 then r / 255 / 12.92::double else pow((r / 255 + 0.055::double) / 1.055::double, 2.4) end + 0.7152::double * case when g / 255 <= 0.04045 then g / 255 / 12.92::double else pow((g / 255 + 0.055::double) / 1.055::double, 2.4) end + 0.0722::double * case when b / 255 <= 0.04045 then b / 255 / 12.92::double else pow((b / 255 + 0.055::double) / 1.055::double, 2.4) end as y from {pixels})"),
     "op_s11_crown_chips": (lambda f: chips(f).select("id", "yr", "row_no", "col", "r", "chip_row", "chip_col", F.array_join(F.transform("outline", lambda p: F.concat_ws(" ", p["x"].cast("int"), p["y"].cast("int"))), ",").alias("outline")), CHIP),
-    "op_p6_named_plot": (lambda f: R.named_plot(f.pixels.select("yr", "row_no", "col", "h"), f.plots, "NATION_7"), "select yr, row_no, col, h from {pixels} p join {plots} q on name = 'NATION_7' and col >= xmin and col < xmax and row_no >= ymin and row_no < ymax"),
+    "op_p6_named_plot": (lambda f: K.cells_of(K.named_plot(raster_table(f.pixels, ["h"]), f.plots, "NATION_7"), ["h"]), "select yr, row_no, col, h from {pixels} p join {plots} q on name = 'NATION_7' and col >= xmin and col < xmax and row_no >= ymin and row_no < ymax"),
     "op_f2_median": (lambda f: R.median_of_band(f.pixels, "h", ["yr"]).select("yr", F.round("median", 4).alias("median")), f"select yr, round(median, 4) as median from ({MED})"),
     "op_f3_zonal_means": (lambda f: colour.zonal_means(zones(f), ZONE), f"select id, yr, round(avg(nullif(r, 0)), 4) as mean_r, round(avg(nullif(g, 0)), 4) as mean_g, round(avg(nullif(b, 0)), 4) as mean_b from ({ZSQL}) group by id, yr"),
     "op_f4_zonal_boxes": (lambda f: colour.zonal_boxes(zones(f), ZONE, "r"), f"select z.id, z.yr, min(r) filter (r between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)) as low, any_value(q1) as q1, any_value(q2) as median, any_value(q3) as q3, max(r) filter (r between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)) as high from ({ZSQL}) z join (select id, yr, quantile_cont(r, 0.25) q1, quantile_cont(r, 0.5) q2, quantile_cont(r, 0.75) q3 from ({ZSQL}) where r <> 0 group by 1, 2) q on z.id = q.id and z.yr = q.yr where r <> 0 group by 1, 2"),

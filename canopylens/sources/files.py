@@ -2,41 +2,31 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopylens.functions import geometry as G
-from canopylens.operators import raster
+from canopylens.operators import chunks
+from canopylens.sources.tables import round_trip_parquet, shared_path  # noqa: F401
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all executors share, spark.checkpoint.dir.
+def raster_table(pixels: DataFrame, bands: list[str], side: int = chunks.SIDE, per_file: int = 256) -> DataFrame:
+    """Write pixels in chunks, partitioned by date, and open what was written.
 
-    Where that is unset, a local session (tests) makes one; on a cluster it is an error.
+    Neighbouring chunks lie together, in files of at most per_file chunks, so that scans of a window skip files by the
+    bounds that their footers hold.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/{label}-{uuid4().hex}"
-
-
-def raster_table(pixels: DataFrame, bands: list[str], size: int) -> DataFrame:
-    """Write pixels in chunks, partitioned by date, and open what was written."""
     path = shared_path(pixels.sparkSession, "raster")
-    raster.to_chunks(pixels, bands, size).write.partitionBy("yr").parquet(path)
-    return pixels.sparkSession.read.parquet(path)
+    built = chunks.to_chunks(pixels, bands, side)
+    near = chunks.along_a_curve()
+    dealt = built.repartition("yr", F.floor(near / per_file)).sortWithinPartitions("yr", near)
+    dealt.write.option("maxRecordsPerFile", per_file).partitionBy("yr").parquet(path)
+    return pixels.sparkSession.read.schema(built.schema).parquet(path)
 
 
-def read_raster(chunks: DataFrame, bands: list[str]) -> DataFrame:
+def read_raster(table: DataFrame, bands: list[str]) -> DataFrame:
     """The pixels of some bands; the other bands' columns are not read."""
-    return raster.from_chunks(chunks, bands)
+    return chunks.cells_of(table, bands)
 
 
 def as_geojson(shapes: DataFrame) -> DataFrame:
@@ -69,12 +59,6 @@ def round_trip_csv(df: DataFrame, sep: str) -> DataFrame:
     return read_csv(df.sparkSession, path, df.schema, sep)
 
 
-def round_trip_parquet(df: DataFrame, partition: list[str]) -> DataFrame:
-    path = shared_path(df.sparkSession, "table")
-    df.write.partitionBy(*partition).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length, modified) of all files under a folder; contents are not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
