@@ -128,7 +128,17 @@ def cell_cover(g: Column, res: float = 1.0) -> Column:
 
 def packed_cells(g: Column, res: float = 1.0) -> Column:
     """The cell cover as one number for each cell, for set operations on arrays."""
-    return F.transform(cell_cover(g, res), lambda c: F.shiftleft(c["cx"].cast("long"), 32) + c["cy"])
+    return F.transform(cell_cover(g, res), lambda c: packed_cell(c["cx"], c["cy"]))
+
+
+def packed_cell(cx: Column, cy: Column) -> Column:
+    return F.shiftleft(cx.cast("long"), 32) + cy
+
+
+def unpacked(cell: Column) -> Column:
+    """(cx, cy) of a packed cell; negative places count too."""
+    cy = F.shiftright(F.shiftleft(cell, 32), 32)
+    return F.struct(F.shiftright(cell - cy, 32).cast("int").alias("cx"), cy.cast("int").alias("cy"))
 
 
 def touch(a: Column, b: Column) -> Column:

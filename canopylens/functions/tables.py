@@ -24,6 +24,19 @@ class TileGrid:
                 yield j * nx + i, xmin + i * dx, ymin + j * dy, xmin + (i + 1) * dx, ymin + (j + 1) * dy
 
 
+@udtf(returnType="tile_id: long")
+class TilesAt:
+    """The tiles of TileGrid that a box meets, a tile's lower edges being its own: by arithmetic, for a lateral call."""
+
+    def eval(self, xmin: float, ymin: float, xmax: float, ymax: float, left: float, bottom: float, right: float, top: float, size: float) -> Iterator[tuple]:
+        (nx, dx), (ny, dy) = tile_size(float(right - left), float(size)), tile_size(float(top - bottom), float(size))
+        place = lambda v, start, step, n: min(n - 1, int((v - start) // step))
+        for j in range(max(0, place(ymin, bottom, dy, ny)), place(ymax, bottom, dy, ny) + 1):
+            for i in range(max(0, place(xmin, left, dx, nx)), place(xmax, left, dx, nx) + 1):
+                yield (j * nx + i,)
+
+
 def register(spark: SparkSession) -> None:
-    """Make tile_grid(xmin, ymin, xmax, ymax, size) known to spark.sql."""
+    """Make tile_grid(xmin, ymin, xmax, ymax, size) and tiles_at(box, extent, size) known to spark.sql."""
     spark.udtf.register("tile_grid", TileGrid)
+    spark.udtf.register("tiles_at", TilesAt)

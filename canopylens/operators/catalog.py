@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopylens.functions import names
@@ -10,6 +10,7 @@ from canopylens.functions import names
 #: Folders that a raw mission, and a finished product, may hold; each list by itself is right.
 RAW_FOLDERS = (("Images", "Images_extra"), ("Images", "Images_extra", "Videos"))
 PRODUCT_FOLDERS = (("Cloudpoint", "DSM", "Orthophoto", "Project"), ("Cloudpoint", "DSM", "Model", "Orthophoto", "Project"))
+IMAGES = "[.](jpg|jpeg|tif)$"
 
 
 def unmatched_pairs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -49,7 +50,7 @@ def folder_check(folders: DataFrame, allowed: tuple[tuple[str, ...], ...]) -> Da
 
 def image_check(missions: DataFrame, files: DataFrame) -> DataFrame:
     """(yr, mission, n_images, has_images)."""
-    images = files.where("kind = 'Images' and lower(path) rlike '[.](jpg|jpeg|tif)$'").groupBy("mission").agg(F.count("*").alias("n"))
+    images = files.where((F.col("kind") == "Images") & F.lower("path").rlike(IMAGES)).groupBy("mission").agg(F.count("*").alias("n"))
     n = F.coalesce("n", F.lit(0))
     return missions.join(images, "mission", "left").select("yr", "mission", n.alias("n_images"), (n > 0).alias("has_images"))
 
@@ -62,23 +63,29 @@ def work_queue(missions: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def mission_audit(missions: DataFrame, products: DataFrame, files: DataFrame, folders: DataFrame) -> DataFrame:
-    """One row for each mission with every check and the verdict over all of them.
+    """One row for each mission with every check and the verdict over all of them, by one grouping of all that is told.
 
     folders: (yr, mission, part, folder), part raw or product. A mission without folders has no right structure, and a
     file counts for its kind if it has the name that the mission's product should have.
     """
-    done = products.select("mission", F.lit(True).alias("in_products")).distinct()
-    images = image_check(missions, files).select("mission", "has_images")
-    out = missions.join(done, "mission", "left").join(images, "mission", "left")
-    for part, allowed in (("raw", RAW_FOLDERS), ("product", PRODUCT_FOLDERS)):
-        right = folder_check(folders.where(F.col("part") == part), allowed).select("mission", F.col("ok").alias(f"{part}_structure_ok"))
-        out = out.join(right, "mission", "left")
-    for name, kind in (("ortho", "Orthophoto"), ("dsm", "DSM"), ("cloud", "Cloudpoint"), ("report", "Report")):
-        there = files.where(F.col("kind") == kind).select("mission", F.element_at(F.split("path", "/"), -1).alias("_file")).distinct()
-        wanted = missions.select("mission", names.expected_product(F.col("mission"), kind).alias("_file"))
-        out = out.join(wanted.join(there, ["mission", "_file"]).select("mission", F.lit(True).alias(f"has_{name}")).distinct(), "mission", "left")
-    checks = ["in_products", "raw_structure_ok", "has_images", "product_structure_ok", "has_ortho", "has_dsm", "has_cloud", "has_report"]
-    out = out.select("yr", "mission", *[F.coalesce(c, F.lit(False)).alias(c) for c in checks])
+    none, no_year = F.lit(None).cast("string"), F.lit(None).cast(missions.schema["yr"].dataType)
+
+    def told(df: DataFrame, what: str, name: Column = none, kind: Column = none, yr: Column = no_year) -> DataFrame:
+        return df.select("mission", F.lit(what).alias("what"), name.alias("name"), kind.alias("kind"), yr.alias("yr"))
+
+    rows = told(missions, "mission", yr=F.col("yr")).unionByName(told(products, "product"))
+    rows = rows.unionByName(told(files, "file", F.element_at(F.split("path", "/"), -1), F.col("kind"))).unionByName(told(folders, "folder", F.col("folder"), F.col("part")))
+    is_a = lambda what, kind=None: (F.col("what") == what) & (F.lit(True) if kind is None else F.col("kind") == kind)
+    folder_list = lambda part: F.sort_array(F.collect_set(F.when(is_a("folder", part), F.col("name"))))
+    is_list = lambda part, allowed: F.array_contains(F.array(*[F.array(*[F.lit(k) for k in sorted(one)]) for one in allowed]), folder_list(part))
+    any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    has = {f"has_{n}": any_of(is_a("file", k) & (F.col("name") == names.expected_product(F.col("mission"), k))) for n, k in (("ortho", "Orthophoto"), ("dsm", "DSM"), ("cloud", "Cloudpoint"), ("report", "Report"))}
+    checks = {
+        "in_products": any_of(is_a("product")), "raw_structure_ok": is_list("raw", RAW_FOLDERS), "has_images": any_of(is_a("file", "Images") & F.lower("name").rlike(IMAGES)),
+        "product_structure_ok": is_list("product", PRODUCT_FOLDERS), **has,
+    }
+    years = F.collect_set(F.when(is_a("mission"), F.struct("yr"))).alias("years")
+    out = rows.groupBy("mission").agg(years, *[c.alias(n) for n, c in checks.items()]).select(F.explode("years.yr").alias("yr"), "mission", *checks)
     return out.withColumn("all_ok", F.expr(" and ".join(checks)))
 
 

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RGB = ["r", "g", "b"]
 
@@ -90,31 +96,111 @@ def lightness(r: Column, g: Column, b: Column) -> Column:
     return F.when(y <= 216 / 24389, y * 24389 / 27).otherwise(116 * F.cbrt(y) - 16) * 2.55
 
 
-def contrast_normalise(pixels: DataFrame, keys: list[str], value: str, grid: int, extent: int, clip: float = 2.0, bins: int = 256) -> DataFrame:
-    """pixels with normalised: local histogram equalisation of a lightness of 0 to 255 over a grid of blocks.
+#: The sRGB primaries in XYZ, and the white point D65.
+SRGB = np.array([[0.4124564, 0.3575761, 0.1804375], [0.2126729, 0.7151522, 0.0721750], [0.0193339, 0.1191920, 0.9503041]])
+WHITE = SRGB.sum(1)
+KINK = 6 / 29
+
+
+def to_lab(rgb: np.ndarray) -> np.ndarray:
+    """L*, a* and b* of colours of 0 to 255 in the last axis."""
+    c = rgb / 255
+    xyz = np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4) @ SRGB.T / WHITE
+    f = np.where(xyz > KINK**3, np.cbrt(xyz), xyz / (3 * KINK**2) + 4 / 29)
+    return np.stack([116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], -1)
+
+
+def to_rgb(lab: np.ndarray) -> np.ndarray:
+    """Colours of 0 to 255 in each band of L*, a* and b*; what sRGB can't show is cut off at its ends."""
+    y = (lab[..., 0] + 16) / 116
+    f = np.stack([y + lab[..., 1] / 500, y, y - lab[..., 2] / 200], -1)
+    xyz = np.where(f > KINK, f**3, 3 * KINK**2 * (f - 4 / 29)) * WHITE
+    c = xyz @ np.linalg.inv(SRGB).T
+    return np.clip(np.where(c <= 0.0031308, c * 12.92, 1.055 * np.clip(c, 0, None) ** (1 / 2.4) - 0.055) * 255, 0, 255)
+
 
-    A block's histogram is clipped at clip times its mean, the excess is spread over all bins, and the running share is
-    the block's curve; a cell takes the curves of the four nearest blocks, weighted by its distance to their centres.
+def clipped_curve(counts: np.ndarray, clip: float = 2.0) -> np.ndarray:
+    """The curve of a histogram: its running share, from 0 to the last bin, after clipping.
+
+    What lies above clip times the mean count, at least 1, is spread evenly over all bins, and what then lies above it
+    again, until nothing does: every bin below the limit gets the same, so the level where that ends is computed.
+    """
+    n, bins = counts.astype(float), len(counts)
+    limit, down = max(1.0, clip * n.sum() / bins), np.sort(n)[::-1]
+    full = np.arange(bins)  # so many of the highest bins end at the limit
+    level = (np.concatenate([[0], np.cumsum(down)[:-1]]) - full * limit) / (bins - full)
+    at = int(np.argmax(down + level <= limit + 1e-9))
+    return np.cumsum(np.minimum(n + level[at], limit)) / n.sum() * (bins - 1)
+
+
+def equalised(light: np.ndarray, grid: int = 8, clip: float = 2.0, bins: int = 256) -> np.ndarray:
+    """light, a picture of 0 to bins - 1 with NaN for no cell, with local contrast: each cell by the curves of its blocks.
+
+    The picture is cut in grid x grid blocks, and a cell takes the curves of the four nearest, weighted by its distance
+    to their middles; blocks without cells don't count.
+    """
+    h, w = light.shape
+    full = ~np.isnan(light)
+    value = np.clip(np.nan_to_num(np.round(light)), 0, bins - 1).astype(int)
+    row_block, col_block = np.arange(h) * grid // h, np.arange(w) * grid // w
+    block = row_block[:, None] * grid + col_block
+    counts = np.bincount((block * bins + value)[full], minlength=grid * grid * bins).reshape(grid * grid, bins)
+    there = counts.sum(1) > 0
+    curves = np.zeros((grid * grid, bins))
+    for k in np.flatnonzero(there):
+        curves[k] = clipped_curve(counts[k], clip)
+    total, weights = np.zeros((h, w)), np.zeros((h, w))
+    y, x = (np.arange(h) + 0.5) * grid / h - 0.5, (np.arange(w) + 0.5) * grid / w - 0.5
+    for i in (0, 1):
+        for j in (0, 1):
+            r, c = np.clip(np.floor(y).astype(int) + i, 0, grid - 1), np.clip(np.floor(x).astype(int) + j, 0, grid - 1)
+            near_y, near_x = (1 - (y - np.floor(y))) if i == 0 else y - np.floor(y), (1 - (x - np.floor(x))) if j == 0 else x - np.floor(x)
+            k = r[:, None] * grid + c
+            weight = near_y[:, None] * near_x * there[k]
+            total += weight * curves[k, value]
+            weights += weight
+    return np.where(full & (weights > 0), total / np.where(weights > 0, weights, 1), np.where(full, light, np.nan))
+
+
+def normalise_contrast(pixels: DataFrame, keys: list[str], grid: int = 8, clip: float = 2.0) -> DataFrame:
+    """(keys, row_no, col, r, g, b): pictures with local contrast in lightness, their hues as they were.
+
+    pixels: cells of pictures, each picture with its own keys and of a size that one task holds, such as chips of crowns.
+    Colours go to CIE Lab and back; lightness is equalised in steps of a 255th. Cells that a picture lacks stay away.
     """
-    side = extent / grid
-    light = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.round(F.col(value)))).cast("int")
-    cells = pixels.withColumns({"_v": light, "_br": F.floor(F.col("row_no") / side).cast("int"), "_bc": F.floor(F.col("col") / side).cast("int")})
-    block = [*keys, "_br", "_bc"]
-    counts = cells.groupBy(*block, "_v").agg(F.count("*").alias("n"))
-    every = counts.select(*block).distinct().withColumn("_v", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    full = every.join(counts, [*block, "_v"], "left").fillna(0, ["n"])
-    own = Window.partitionBy(*block)
-    limit = F.greatest(F.lit(1.0), clip * F.sum("n").over(own) / bins)
-    clipped = full.withColumn("kept", F.least(F.col("n").cast("double"), limit)).withColumn("kept", F.col("kept") + (F.sum("n").over(own) - F.sum("kept").over(own)) / bins)
-    curve = clipped.withColumn("y", F.sum("kept").over(own.orderBy("_v")) / F.sum("kept").over(own) * (bins - 1)).select(*block, "_v", "y")
-
-    def sides(c: str) -> Column:
-        at = F.col(c) / side + 0.5 / side - 0.5
-        lo, part = F.floor(at).cast("int"), at - F.floor(at)
-        inside = lambda k: F.greatest(F.lit(0), F.least(F.lit(grid - 1), k))
-        return F.array(F.struct(inside(lo).alias("k"), (1 - part).alias("w")), F.struct(inside(lo + 1).alias("k"), part.alias("w")))
-
-    near = cells.withColumn("_r", F.explode(sides("row_no"))).withColumn("_c", F.explode(sides("col")))
-    near = near.withColumns({"_br": F.col("_r.k"), "_bc": F.col("_c.k"), "_w": F.col("_r.w") * F.col("_c.w")})
-    blended = near.join(curve, [*block, "_v"], "left").groupBy(*keys, "row_no", "col", value).agg(F.round(F.try_divide(F.sum(F.col("_w") * F.col("y")), F.sum(F.when(F.col("y").isNotNull(), F.col("_w")))), 4).alias("normalised"))
-    return blended
+    cell = F.struct(*[F.col(c).cast("double").alias(c) for c in ("row_no", "col", *RGB)])
+    pictures = pixels.groupBy(*keys).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    made = T.StructType([*[pictures.schema[k] for k in keys], *[T.StructField(c, T.IntegerType()) for c in ("row_no", "col", *RGB)]])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 200):
+                batch = whole.slice(first, 200)
+                column = batch.column("cells")
+                values = np.stack([c.to_numpy(zero_copy_only=False) for c in column.flatten().flatten()], 1)
+                lengths = column.value_lengths().to_numpy()
+                out = []
+                for cells in np.split(values, np.cumsum(lengths)[:-1]):
+                    at = (cells[:, :2] - cells[:, :2].min(0)).astype(int)
+                    lab = to_lab(cells[:, 2:])
+                    light = np.full(at.max(0) + 1, np.nan)
+                    light[at[:, 0], at[:, 1]] = lab[:, 0] * 2.55
+                    lab[:, 0] = equalised(light, grid, clip)[at[:, 0], at[:, 1]] / 2.55
+                    out.append(np.concatenate([cells[:, :2], np.floor(to_rgb(lab) + 0.5)], 1))
+                owner = pa.array(np.repeat(np.arange(len(lengths)), lengths))
+                rows = np.concatenate(out).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(owner) for k in keys], *[pa.array(c) for c in rows.T]], names=made.names)
+
+    return pictures.mapInArrow(work, made)
+
+
+def curves(values: DataFrame, keys: list[str], value: str, clip: float = 2.0, bins: int = 256) -> DataFrame:
+    """(keys, bin, y): the curve of each group taken as one block, from the counts of its values of 0 to bins - 1."""
+    counts = values.groupBy(*keys, F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.round(value))).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    schema = T.StructType([*[counts.schema[k] for k in keys], T.StructField("bin", T.IntegerType()), T.StructField("y", T.DoubleType())])
+
+    def curve(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = np.bincount(pdf["bin"], pdf["n"], bins)
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "bin": np.arange(bins, dtype=np.int32), "y": clipped_curve(n, clip)})
+
+    return counts.groupBy(*keys).applyInPandas(curve, schema)

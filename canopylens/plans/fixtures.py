@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+ALL_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 FIXTURES = {
@@ -27,6 +28,8 @@ FIXTURES = {
     # L-shaped crowns: corner, arm length and arm width; 2,000 of them to a plot of 1000 x 500, plots side by side
     "shapes": "select p_partkey as id, cast(p_partkey * 37 % 1000 + 1000 * floor(p_partkey / 2000) as int) as x0, cast(p_partkey * 91 % 500 as int) as y0, cast(3 + p_size % 7 as int) as arm, cast(1 + p_size % 3 as int) as width, p_brand as mnemonic from {part}",
     "shape_obs": "select s.id, o.yr, s.x0 + o.yr % 3 as x0, s.y0, s.arm, s.width from {shapes} s join (select distinct l_partkey, cast(year(l_shipdate) as int) as yr from {lineitem}) o on s.id = o.l_partkey",
+    # squares so close that each meets its neighbours, many of the same size
+    "crowd": "select p_partkey as id, cast(p_partkey % 40 * 3 as int) as x0, cast(floor(p_partkey / 40) * 3 as int) as y0, cast(4 + p_size % 3 as int) as arm, cast(4 + p_size % 3 as int) as width from {part}",
     "tie_points": "select cast(day(ts) as int) as pair, user_id as x_map, round(value - 245, 2) as x_shift, cast(event_id % 21 as int) - 10 as y_shift, cast(event_id % 101 as int) as reliability, event_id from {events}",
     "missions_raw": "select distinct cast(year(o_orderdate) as int) as yr, concat('BCI_50ha_', replace(substring(concat('', cast(o_orderdate as date)), 1, 10), '-', '_'), '_', case o_orderkey % 5 when 0 then 'P4P' when 1 then 'EBEE' when 2 then 'INSPIRE' when 3 then 'SOLO' else 'M3E' end) as mission from {orders}",
     "missions_product": "select distinct cast(year(o_orderdate) as int) as yr, concat('BCI_50ha_', replace(substring(concat('', cast(o_orderdate as date)), 1, 10), '-', '_'), '_', case o_orderkey % 5 when 0 then 'P4P' when 1 then 'EBEE' when 2 then 'INSPIRE' when 3 then 'SOLO' else 'M3E' end) as mission from {orders} where o_orderstatus = 'F'",

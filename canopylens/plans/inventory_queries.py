@@ -25,8 +25,7 @@ def audit(f):
     return catalog.mission_audit(f.missions_raw, f.missions_product, f.files, f.folders)
 
 
-RAW_LISTS = "[['Images', 'Images_extra'], ['Images', 'Images_extra', 'Videos']]"
-PRODUCT_LISTS = "[['Cloudpoint', 'DSM', 'Orthophoto', 'Project'], ['Cloudpoint', 'DSM', 'Model', 'Orthophoto', 'Project']]"
+RAW_LISTS, PRODUCT_LISTS = (str([sorted(one) for one in lists]) for lists in (catalog.RAW_FOLDERS, catalog.PRODUCT_FOLDERS))
 FOLDERS_OK = "select yr, mission, list_contains({lists}, list_sort(list_distinct(list(folder)))) as ok from {{folders}} where part = '{part}' group by yr, mission"
 RAW_OK, PRODUCT_OK = (FOLDERS_OK.format(lists=lists, part=part) for lists, part in ((RAW_LISTS, "raw"), (PRODUCT_LISTS, "product")))
 HAS = "mission in (select mission from {{files}} where kind = '{kind}') as {name}"

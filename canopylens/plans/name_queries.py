@@ -6,12 +6,21 @@ from pyspark.sql import functions as F
 
 from canopylens.functions import names as N
 from canopylens.operators import catalog, chunks, timeseries
+from canopylens.plans.fixtures import ALL_TABLES
 from canopylens.sources import files as S
 
 C = F.col
 DATE = "strptime(substring(mission, 10, 10), '%Y_%m_%d')::date"
 LABEL = "select concat(replace(p_name, ' ', '_'), '_', p_partkey, '_2024_', 1 + p_size % 12, '_', 1 + p_size % 28) as label from {part}"
 
+def leading_lines(f):
+    """Camera positions from text files, each with a line of the exporting program above its header."""
+    path = S.shared_path(f.spark, "exported")
+    rows = f.camera_ref.select(F.concat_ws("\t", "label", "x", "y").alias("value"))
+    rows.sortWithinPartitions("value").mapInArrow(S.with_lines_above(["# exported cameras, UTM 17N", "label\tx\ty"]), "value string").write.text(path)
+    return S.read_csv_after(f.spark, path, "label string, x double, y double", 1, "\t")
+
+
 QUERIES = {
     "op_c1_date_at": (lambda f: f.missions_raw.select("mission", N.date_at(C("mission")).cast("string").alias("date")), f"select mission, cast({DATE} as varchar) as date from {{missions_raw}}"),
     "op_c2_date_tokens": (lambda f: f.missions_raw.select("mission", N.date_tokens(C("mission")).alias("date")), "select mission, array_to_string(string_split(mission, '_')[3:5], '_') as date from {missions_raw}"),
@@ -31,6 +40,8 @@ QUERIES = {
     "op_s2_nodata": (lambda f: chunks.mask_nodata(S.raster_table(f.pixels, ["b"]), ["b"], 0).groupBy("yr").agg(F.sum(chunks.values_in("b")).alias("valid"), F.sum("n").alias("cells")), "select yr, count(nullif(b, 0)) as valid, count(*) as cells from {pixels} group by yr"),
     "op_s3_vector_scan": (lambda f: S.read_geojson(S.as_geojson(f.shapes)).select("id", F.size(F.get("geom", F.lit(0))).alias("points"), F.array_min(F.transform(F.get("geom", F.lit(0)), lambda p: p["x"])).alias("xmin")), "select id, 6 as points, x0 * 1.0::double as xmin from {shapes}"),
     "op_s4_delimited": (lambda f: S.round_trip_csv(f.raw_crowns.select("field_id", "tag", "mnemonic"), "\t"), "select field_id, tag, mnemonic from {raw_crowns}"),
+    "op_s4_leading_lines": (leading_lines, "select label, x, y from {camera_ref}"),
+    "op_s5_folder": (lambda f: (lambda name: S.list_files(f.spark, f.sf_dir).select(name.alias("name")).where(F.regexp_replace("name", "[.]parquet$", "").isin(*ALL_TABLES)))(F.regexp_extract("path", r"([^/]+[.]parquet)(/[^/]*)?$", 1)).groupBy("name").agg((F.count("*") > 0).alias("has_files")), "select unnest([" + ", ".join(f"'{t}.parquet'" for t in ALL_TABLES) + "]) as name, true as has_files"),
     "op_s5_list_files": (lambda f: S.named_like(f.files, "BCI_50ha_1997", (".tif", ".las")), "select * from {files} where starts_with(string_split(path, '/')[-1], 'BCI_50ha_1997') and (ends_with(path, '.tif') or ends_with(path, '.las'))"),
     "op_s6_write_raster": (lambda f: S.round_trip_parquet(f.pixels, ["yr"]).groupBy("yr").agg(F.count("*").alias("n"), F.sum("r").alias("r")), "select yr, count(*) as n, cast(sum(r) as bigint) as r from {pixels} group by yr"),
     "op_s7_write_vector": (lambda f: S.round_trip_parquet(f.shapes, []), "select * from {shapes}"),

@@ -121,10 +121,10 @@ def grid(f: Inputs):
 
 
 def tiles_by_sql(f: Inputs):
-    """Crown corners in each tile, with the tiles from the SQL table function."""
+    """Crown corners in each tile; each crown asks the SQL table function for the tiles that its corner lies in."""
     register(f.spark)
     x = extent(f)
-    return f.spark.sql(f"select tile_id, count(*) as n from tile_grid({x.w}, {x.s}, {x.e}, {x.n}, 100) t join {{shapes}} s on s.x0 >= t.xmin and s.x0 < t.xmax and s.y0 >= t.ymin and s.y0 < t.ymax group by tile_id", shapes=f.shapes)
+    return f.spark.sql(f"select tile_id, count(*) as n from {{shapes}} s, lateral tiles_at(s.x0, s.y0, s.x0, s.y0, {x.w}, {x.s}, {x.e}, {x.n}, 100) t group by tile_id", shapes=f.shapes)
 
 
 TILES = "select yr, row_no, col, tr as tile_row, tc as tile_col from {pixels}, (select unnest(range((select max(row_no) // 25 + 1 from {pixels}))) as tr) a, (select unnest(range((select max(col) // 25 + 1 from {pixels}))) as tc) b where row_no >= tr * 25 - 5 and row_no < tr * 25 + 25 + 5 and col >= tc * 25 - 5 and col < tc * 25 + 25 + 5"
@@ -132,6 +132,16 @@ TILE_N = f"select tile_row, tile_col, yr, count(*) as n from ({TILES}) group by
 MEANS = f"select z.id, z.yr, s.mnemonic, round(avg(nullif(r, 0)), 4) as mean_r from ({ZSQL}) z join {{shapes}} s on z.id = s.id group by 1, 2, 3"
 CHIP = "select s.id, p.yr, p.row_no, p.col, r, p.row_no - y0 + 5 as chip_row, p.col - x0 + 5 as chip_col, concat('5 5,', arm + 5, ' 5,', arm + 5, ' ', width + 5, ',', width + 5, ' ', width + 5, ',', width + 5, ' ', arm + 5, ',5 ', arm + 5) as outline from {shape_obs} s join {canopy} p on s.yr = p.yr and p.col + 0.5 between x0 - 5 and x0 + arm + 5 and p.row_no + 0.5 between y0 - 5 and y0 + arm + 5"
 
+LIGHT = "select yr, row_no, col, round((case when y <= 216.0::double / 24389 then y * 24389 / 27 else 116 * cbrt(y) - 16 end) * 2.55::double, 4) as light from (select yr, row_no, col, 0.2126::double * case when r / 255 <= 0.04045 then r / 255 / 12.92::double else pow((r / 255 + 0.055::double) / 1.055::double, 2.4) end + 0.7152::double * case when g / 255 <= 0.04045 then g / 255 / 12.92::double else pow((g / 255 + 0.055::double) / 1.055::double, 2.4) end + 0.0722::double * case when b / 255 <= 0.04045 then b / 255 / 12.92::double else pow((b / 255 + 0.055::double) / 1.055::double, 2.4) end as y from {pixels})"
+#: The curve of a date as one block: with c of the highest bins at the limit, all others get the same share of the excess.
+CURVE = (
+    f"with h as (select yr, cast(greatest(0, least(255, round(light))) as int) as bin, count(*) as n from ({LIGHT}) group by 1, 2),"
+    " a as (select y.yr, cast(b as int) as bin, coalesce(n, 0) as n, greatest(1, 2 * sum(coalesce(n, 0)) over (partition by y.yr) / 256.0::double) as lim, sum(coalesce(n, 0)) over (partition by y.yr) as total from (select distinct yr from h) y, (select unnest(range(256)) as b) left join h on h.yr = y.yr and h.bin = b),"
+    " k as (select *, row_number() over (partition by yr order by n desc, bin) - 1 as c, coalesce(sum(n) over (partition by yr order by n desc, bin rows between unbounded preceding and 1 preceding), 0) as above from a),"
+    " lev as (select yr, min_by((above - c * lim) / (256 - c), c) as level from k where n + (above - c * lim) / (256 - c) <= lim + 1e-9 group by yr)"
+    " select a.yr, bin, round(sum(least(n + level, lim)) over (partition by a.yr order by bin) / total * 255, 4) as y from a join lev on a.yr = lev.yr"
+)
+
 QUERIES = {
     "op_r1_coordinates": (lambda f: R.map_coordinates(f.pixels, 0.5, 100, -0.5, 900).select("yr", "row_no", "col", "x", "y"), "select yr, row_no, col, 100 + 0.5 * (col + 0.5) as x, 900 - 0.5 * (row_no + 0.5) as y from {pixels}"),
     "op_r2_crop_polygon": (lambda f: K.cells_of(K.crop_polygon(raster_table(f.pixels, BANDS), [[(10, 10), (70, 10), (70, 30), (30, 30), (30, 70), (10, 70)]]), BANDS), "select * from {pixels} where col >= 10 and col < 70 and row_no >= 10 and row_no < 70 and (col < 30 or row_no < 30)"),
@@ -150,8 +160,9 @@ QUERIES = {
     "op_r14_difference": (lambda f: R.fixed_bins(R.difference(f.pixels.where("yr = 1996"), f.pixels.where("yr = 1997"), "r"), "delta", 10), "select cast(floor((a.r - b.r) / 10) as bigint) as bin, count(*) as n from {pixels} a join {pixels} b on a.row_no = b.row_no and a.col = b.col where a.yr = 1996 and b.yr = 1997 group by 1"),
     "op_r15_stretch": (lambda f: R.stretch(f.pixels, "r").select("yr", "row_no", "col", F.round("stretched", 3).alias("stretched")), "select yr, row_no, col, round((greatest(lo, least(hi, r)) - lo) / nullif(hi - lo, 0) * 255, 3) as stretched from (select *, quantile_cont(r, 0.05) over (partition by yr) as lo, quantile_cont(r, 0.95) over (partition by yr) as hi from {pixels})"),
     "op_r16_grey": (lambda f: greys(f).select("yr", "row_no", "col", "grey"), f"select yr, row_no, col, grey from {GREYS}"),
-    "op_r17_contrast": (lambda f: colour.contrast_normalise(chips(f).select("id", "yr", C("chip_row").alias("row_no"), C("chip_col").alias("col"), colour.lightness(C("r"), C("g"), C("b")).alias("light")), ZONE, "light", 2, 20), None),
-    "op_r17_lightness": (lambda f: f.pixels.select("yr", "row_no", "col", F.round(colour.lightness(C("r"), C("g"), C("b")), 4).alias("light")), "select yr, row_no, col, round((case when y <= 216.0::double / 24389 then y * 24389 / 27 else 116 * cbrt(y) - 16 end) * 2.55::double, 4) as light from (select yr, row_no, col, 0.2126::double * case when r / 255 <= 0.04045 then r / 255 / 12.92::double else pow((r / 255 + 0.055::double) / 1.055::double, 2.4) end + 0.7152::double * case when g / 255 <= 0.04045 then g / 255 / 12.92::double else pow((g / 255 + 0.055::double) / 1.055::double, 2.4) end + 0.0722::double * case when b / 255 <= 0.04045 then b / 255 / 12.92::double else pow((b / 255 + 0.055::double) / 1.055::double, 2.4) end as y from {pixels})"),
+    "op_r17_contrast": (lambda f: colour.normalise_contrast(chips(f).select("id", "yr", C("chip_row").alias("row_no"), C("chip_col").alias("col"), *RGB), ZONE), None),
+    "op_r17_curve": (lambda f: colour.curves(f.pixels.withColumn("light", F.round(colour.lightness(C("r"), C("g"), C("b")), 4)), ["yr"], "light").select("yr", "bin", F.round("y", 4).alias("y")), CURVE),
+    "op_r17_lightness": (lambda f: f.pixels.select("yr", "row_no", "col", F.round(colour.lightness(C("r"), C("g"), C("b")), 4).alias("light")), LIGHT),
     "op_s11_crown_chips": (lambda f: chips(f).select("id", "yr", "row_no", "col", "r", "chip_row", "chip_col", F.array_join(F.transform("outline", lambda p: F.concat_ws(" ", p["x"].cast("int"), p["y"].cast("int"))), ",").alias("outline")), CHIP),
     "op_p6_named_plot": (lambda f: K.cells_of(K.named_plot(raster_table(f.pixels, ["h"]), f.plots, "NATION_7"), ["h"]), "select yr, row_no, col, h from {pixels} p join {plots} q on name = 'NATION_7' and col >= xmin and col < xmax and row_no >= ymin and row_no < ymax"),
     "op_f2_median": (lambda f: R.median_of_band(f.pixels, "h", ["yr"]).select("yr", F.round("median", 4).alias("median")), f"select yr, round(median, 4) as median from ({MED})"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from canopylens.functions import geometry as G
 from canopylens.operators import align, raster, spatial as P, timeseries
 from canopylens.plans.fixtures import Inputs
+from canopylens.sources.files import raster_table
 
 C = F.col
 CELLS = "(select id, x0 + dx as cx, y0 + dy as cy from {shapes} s, lateral (select unnest(range(s.arm)) as dx) a, lateral (select unnest(range(s.arm)) as dy) b where dx < width or dy < width)"
@@ -14,8 +15,17 @@ OBS = CELLS.replace("{shapes}", "{shape_obs}").replace("select id,", "select id,
 AREA = "(2 * arm * width - width * width)"
 IOU = "select a.id, a.yr, coalesce(i, 0) as inter_area, na + nb - coalesce(i, 0) as union_area, round(coalesce(i, 0) * 1.0 / (na + nb - coalesce(i, 0)), 4) as iou from (select id, yr, count(*) na from {new} group by 1, 2) a join (select id, yr, count(*) nb from {ref} group by 1, 2) b on a.id = b.id and a.yr = b.yr left join (select x.id, x.yr, count(*) i from {new} x join {ref} y on x.id = y.id and x.yr = y.yr and x.cx = y.cx and x.cy = y.cy group by 1, 2) c on a.id = c.id and a.yr = c.yr"
 SHARED = f"select a.id as a, b.id as b, count(*) as shared from {CELLS} a join {CELLS} b on a.cx = b.cx and a.cy = b.cy and a.id < b.id group by 1, 2"
-SIZED = f"(select *, count(*) over (partition by id) as n from {CELLS})"
-AVOID = f"(select id, cx, cy from (select *, min(n) over (partition by cx, cy) as least from {SIZED}) where n = least)"
+
+
+def avoided(cells: str) -> str:
+    """SQL of one round: of each cell only its smallest crowns stay."""
+    return f"(select id, cx, cy from (select *, min(n) over (partition by cx, cy) as least from (select *, count(*) over (partition by id) as n from {cells})) where n = least)"
+
+
+AVOID, CROWD = avoided(CELLS), CELLS.replace("{shapes}", "{crowd}")
+ROUNDS = CROWD
+for _ in range(10):
+    ROUNDS = avoided(ROUNDS)
 
 
 def geom(df):
@@ -64,6 +74,13 @@ def even_without_odd(f: Inputs):
     return c.where("id % 2 = 0").join(c.where("id % 2 = 1").select("cx", "cy").distinct(), ["cx", "cy"], "left_anti").select("id", "cx", "cy")
 
 
+def resolved(packed, resolve):
+    """Crowns before and after: areas, and the bounds of the polygon that is left."""
+    b = G.bbox(C("geom"))
+    out = P.avoid_report(packed, resolve(packed, []), [])
+    return out.select("id", "area_before", "area_left", "area_after", *[b[c].alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+
+
 def bow_ties(f: Inputs):
     """Outlines that cross themselves."""
     x, y = C("x0"), C("y0")
@@ -89,21 +106,26 @@ def mask_crowns(f: Inputs):
 SIZE, SPACING, RES = 64, 25, 0.5
 
 
+REACH = 10
+
+
 def moved_series(f: Inputs):
-    """Each date's raster, and the same one moved by a few cells, as reference and target."""
-    ref = f.pixels.select(C("yr").alias("pair"), F.lit(0).alias("side"), "row_no", "col", "r")
-    tgt = f.pixels.select(C("yr").alias("pair"), F.lit(1).alias("side"), (C("row_no") + C("yr") % 3).alias("row_no"), (C("col") + C("yr") % 5 - 2).alias("col"), "r")
-    return ref.unionByName(tgt)
+    """Each date's raster, and the same one moved by a few cells, as chunks: reference and target."""
+    moved = f.pixels.select("yr", (C("row_no") + C("yr") % 3).alias("row_no"), (C("col") + C("yr") % 5 - 2).alias("col"), "r")
+    return raster_table(f.pixels, ["r"]), raster_table(moved, ["r"])
 
 
 def tie_points(f: Inputs):
-    found = align.estimate_tie_points(align.cut_windows(moved_series(f), "r", SPACING, SIZE), SIZE, 10)
-    return align.on_the_map(found.where("grid_row < 2 and grid_col < 2"), SPACING, SIZE, RES, 100, 900).drop("RELIABILITY")
+    """Every window of the grid, on the map."""
+    found = align.estimate_tie_points(align.cut_windows(*moved_series(f), "r", SIZE, REACH, SPACING), SIZE, REACH, SPACING)
+    out = align.on_the_map(found, SPACING, SIZE, RES, 100, 900)
+    return out.withColumns({c: F.round(c, 3) + 0.0 for c in ("X_SHIFT_M", "Y_SHIFT_M", "RELIABILITY")})
 
 
 def single_window(f: Inputs):
-    found = align.estimate_tie_points(align.one_window(moved_series(f), "r", 10, 10, 80), 80, 20)
-    return found.select("pair", "x_shift", "y_shift")
+    at = (10, 10)
+    found = align.estimate_tie_points(align.cut_windows(*moved_series(f), "r", 80, 20, at=at), 80, 20, at=at)
+    return found.select("pair", F.round("x_shift", 3).alias("x_shift"), F.round("y_shift", 3).alias("y_shift"))
 
 
 def local_field(f: Inputs):
@@ -125,7 +147,15 @@ def _arms_meet(p: str, q: str) -> str:
 
 MEET = " or ".join(_arms_meet(p.format(s="a"), q.format(s="b")) for p in ARM for q in ARM)
 NEIGHBOUR = "abs(c.cx - r.cx) + abs(c.cy - r.cy) = 1"
-PARTS_OF = f"with recursive c as materialized (select * from {AVOID}), r(id, cx, cy, px, py) as (select id, cx, cy, cx, cy from c union select r.id, c.cx, c.cy, r.px, r.py from r join c on c.id = r.id and {NEIGHBOUR})"
+PARTS = "with recursive c as materialized (select * from {left}), r(id, cx, cy, px, py) as (select id, cx, cy, cx, cy from c union select r.id, c.cx, c.cy, r.px, r.py from r join c on c.id = r.id and " + NEIGHBOUR + ")"
+PARTS_OF = PARTS.replace("{left}", AVOID)
+#: Crowns before and after their overlaps are resolved, and the bounds of the largest part that is left.
+RESOLVED = (
+    PARTS + ", p as (select id, px, py, count(*) as n, min(cx)::double as xmin, min(cy)::double as ymin, max(cx) + 1::double as xmax, max(cy) + 1::double as ymax from r group by 1, 2, 3),"
+    " best as (select * from (select *, row_number() over (partition by id order by n desc, px, py) as k from p) where k = 1)"
+    " select a.id, a.n as area_before, coalesce(l.n, 0) as area_left, coalesce(b.n, 0) as area_after, xmin, ymin, xmax, ymax from (select id, count(*) as n from {before} group by id) a"
+    " left join (select id, count(*) as n from c group by id) l on a.id = l.id left join best b on a.id = b.id"
+)
 REFERENCE = f"select a.id, a.yr, coalesce(i, 0) as inter_area, na + nb - coalesce(i, 0) as union_area, round(coalesce(i, 0) * 1.0 / (na + nb - coalesce(i, 0)), 4) as iou from (select id, yr, count(*) na from {OBS} where yr <> 1996 group by 1, 2) a join (select id, count(*) nb from {OBS} where yr = 1996 group by 1) b on a.id = b.id left join (select x.id, x.yr, count(*) i from {OBS} x join {OBS} y on x.id = y.id and x.cx = y.cx and x.cy = y.cy where x.yr <> 1996 and y.yr = 1996 group by 1, 2) c on a.id = c.id and a.yr = c.yr"
 LINKED = "(select yr, case when yr < 1998 then yr + 1 else yr - 1 end as prev_yr, case when yr < 1998 then 'backward' else 'forward' end as direction from (select distinct yr from {shape_obs}) where yr <> 1998)"
 TRACK = f"select i.id, i.yr, l.prev_yr, l.direction, s.n::double as area, i.inter_area, i.union_area, i.iou from (" + IOU.format(new=OBS, ref=f"(select id, y.yr, cx, cy from {OBS} o join {LINKED} y on o.yr = y.prev_yr)") + f") i join {LINKED} l on i.yr = l.yr join (select id, {AREA} as n from {{shapes}}) s on i.id = s.id"
@@ -165,14 +195,14 @@ QUERIES = {
     "op_j2_candidates": (lambda f: P.overlap_candidates(crowns(f), [], 16), "select a.id as a, b.id as b from {shapes} a join {shapes} b on a.id < b.id and a.x0 <= b.x0 + b.arm and b.x0 <= a.x0 + a.arm and a.y0 <= b.y0 + b.arm and b.y0 <= a.y0 + a.arm"),
     "op_g1_iou": (overlap_with_reference, REFERENCE),
     "op_g2_best_per_crown": (lambda f: timeseries.best_by(overlap_with_reference(f).withColumn("piece", C("id") % 500), ["piece", "yr"], F.desc("iou"), C("id")).select("piece", "yr", "id", "iou"), f"select piece, yr, id, iou from (select *, row_number() over (partition by id % 500, yr order by iou desc, id) n, id % 500 as piece from ({REFERENCE})) where n = 1"),
-    "op_g3_crown_avoid": (lambda f: P.avoid_report(cells(f), P.crown_avoid(cells(f), []), []), f"select a.id, a.n as area_before, coalesce(b.n, 0) as area_after from (select id, count(*) n from {CELLS} group by id) a left join (select id, count(*) n from {AVOID} group by id) b on a.id = b.id"),
-    "op_g4_crown_avoid_rounds": (lambda f: P.avoid_report(cells(f), P.crown_avoid_rounds(cells(f), []), []), f"select a.id, a.n as area_before, coalesce(b.n, 0) as area_after from (select id, count(*) n from {CELLS} group by id) a left join (select id, count(*) n from {AVOID} group by id) b on a.id = b.id"),
-    "op_g5_largest_component": (lambda f: P.largest_component(P.crown_avoid(cells(f), []), []).groupBy("id").agg(F.count("*").alias("n")), f"{PARTS_OF} select id, max(n) as n from (select id, px, py, count(*) as n from r group by 1, 2, 3) group by id"),
+    "op_g3_crown_avoid": (lambda f: resolved(P.packed_crowns(crowns(f), []), P.crown_avoid), RESOLVED.replace("{left}", AVOID).replace("{before}", CELLS)),
+    "op_g4_crown_avoid_rounds": (lambda f: resolved(P.packed_crowns(geom(f.crowd), []), P.crown_avoid_rounds), RESOLVED.replace("{left}", ROUNDS).replace("{before}", CROWD)),
+    "op_g5_largest_component": (lambda f: P.largest_parts(P.crown_avoid(P.packed_crowns(crowns(f), []), []).select("id", "cells")).where(F.size("cells") > 0).select("id", F.size("cells").cast("long").alias("n")), f"{PARTS_OF} select id, max(n) as n from (select id, px, py, count(*) as n from r group by 1, 2, 3) group by id"),
     "op_g6_masks_to_crowns": (mask_crowns, "select id, lpad(cast(id as varchar), 6, '0') as tag, md5(cast(id as varchar)) as \"GlobalID\", score, (2 * arm * width - width * width) * 0.25::double as area, (2 * arm * width - width * width) * 0.25::double as outline_area, case when arm = width then 4 else 6 end as corners, 1000 + x0 * 0.5::double as xmin, 5000 - (y0 + arm) * 0.5::double as ymin, 1000 + (x0 + arm) * 0.5::double as xmax, 5000 - y0 * 0.5::double as ymax from (select *, row_number() over (partition by id order by score desc, k) n from {masks}) where n = 1"),
     "op_w5_best_mask": (lambda f: P.best_masks(mask_cells(f)).select("id", "k", "score", F.size("cells").alias("cells")), "select id, k, score, cast(2 * arm * width - width * width + 1 as int) as cells from (select *, row_number() over (partition by id order by score desc, k) n from {masks}) where n = 1"),
     "op_w7_largest_outline": (lambda f: (lambda p: p.select("id", G.area(C("part")).alias("area"), F.size(C("part")[0]).alias("points"), G.bbox(C("part"))["xmin"].alias("xmin")))(parts(f).where("parts is not null").select("id", G.largest_part(C("parts")).alias("part"))), f"select id, case when id % 5 = 0 then greatest(25, {AREA}) else {AREA} end::double as area, case when id % 5 = 0 and {AREA} < 25 then 5 else 6 end as points, (case when id % 5 = 0 and {AREA} < 25 then x0 + 100 else x0 end)::double as xmin from {{shapes}} where id % 97 <> 0"),
     "op_g7_track_crowns": (lambda f: P.track_crowns(observed(f), timeseries.adjacent(f.shape_obs.select("yr"), 1998)), TRACK),
-    "op_a5_tie_points": (tie_points, "select yr as pair, cast(i as int) as grid_row, cast(j as int) as grid_col, 100 + (j * 25 + 32) * 0.5::double as \"X_MAP\", 900 - (i * 25 + 32) * 0.5::double as \"Y_MAP\", (yr % 5 - 2) * 0.5::double as \"X_SHIFT_M\", -(yr % 3) * 0.5::double as \"Y_SHIFT_M\" from (select distinct yr from {pixels}), (select unnest(range(2)) as i) a, (select unnest(range(2)) as j) b"),
+    "op_a5_tie_points": (tie_points, "select distinct yr as pair, cast(i as int) as grid_row, cast(j as int) as grid_col, 100 + (j * 25 + 32) * 0.5::double as \"X_MAP\", 900 - (i * 25 + 32) * 0.5::double as \"Y_MAP\", (yr % 5 - 2) * 0.5::double as \"X_SHIFT_M\", -(yr % 3) * 0.5::double as \"Y_SHIFT_M\", 100::double as \"RELIABILITY\" from {pixels} p, lateral (select unnest(range(greatest(0, (p.row_no - 63 + 24) // 25), p.row_no // 25 + 1)) as i) a, lateral (select unnest(range(greatest(0, (p.col - 63 + 24) // 25), p.col // 25 + 1)) as j) b where r <> 0"),
     "op_a6_single_window": (single_window, "select distinct yr as pair, (yr % 5 - 2)::double as x_shift, (yr % 3)::double as y_shift from {pixels}"),
     "op_a7_align_local": (lambda f: align.align_local(f.pixels, local_field(f), 10), None),
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +56,38 @@ def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",") -> Dat
     return spark.read.schema(schema).csv(path, header=True, sep=sep)
 
 
+def with_lines_above(lines: list[str]):
+    """For mapInArrow, on rows of text: each file that a task writes begins with these lines."""
+
+    def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("value")], names=["value"])
+
+    return above
+
+
+def read_csv_after(spark: SparkSession, path: str, schema: str, skip: int, sep: str = ",") -> DataFrame:
+    """read_csv() of files whose header comes after some leading lines: these go by their place in each file.
+
+    A file's first split holds its beginning, in order, so that counting there is enough; no file is read twice. Rows
+    are single lines.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+
+    def after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        for batch in batches:
+            keep = []
+            for file, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
+                seen[file] = seen.get(file, 0) + 1
+                keep.append(start > 0 or seen[file] > skip + 1)
+            yield batch.select(["value"]).filter(pa.array(keep, pa.bool_()))
+
+    rows = lines.mapInArrow(after, "value string").where("trim(value) <> ''")
+    return rows.select(F.from_csv("value", schema, {"sep": sep}).alias("r")).select("r.*")
+
+
 def round_trip_csv(df: DataFrame, sep: str) -> DataFrame:
     path = shared_path(df.sparkSession, "csv")
     write_csv(df, path, sep)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from canopylens.functions import geometry as G
 from canopylens.functions import names as N
-from canopylens.operators import align, colour, raster, registry, spatial, timeseries
+from canopylens.operators import chunks, align, colour, raster, registry, spatial, timeseries
 from canopylens.plans import catalogue
 from canopylens.plans.fixtures import Inputs
 from canopylens.plans.spatial_queries import cells
@@ -45,17 +45,68 @@ def test_iou(spark):
     assert got == {1: 1.0, 2: 0.0, 3: 0.3333}
 
 
-def test_overlap_goes_to_the_smaller_crown(spark):
-    c = spark.createDataFrame([(1, x, 0) for x in range(5)] + [(2, x, 0) for x in range(4, 7)] + [(3, x, 0) for x in range(6, 9)], "id int, cx int, cy int")
-    left = {(r.id, r.cx) for r in spatial.crown_avoid(c, []).collect()}
-    assert left == {(1, x) for x in range(4)} | {(2, x) for x in range(4, 7)} | {(3, x) for x in range(6, 9)}
+def squares(spark, rows):
+    """Crowns (id, cells) of (id, x, y, side)."""
+    table = spark.createDataFrame(rows, "id int, x int, y int, side int")
+    return spatial.packed_crowns(table.select("id", G.box(F.col("x"), F.col("y"), F.col("x") + F.col("side"), F.col("y") + F.col("side")).alias("geom")), [])
+
+
+def plain_rounds(cells, rounds):
+    """{id: cells} after so many rounds: a crown loses what a crown that is smaller at the time holds too."""
+    for _ in range(rounds):
+        cells = {i: c - set().union(*(d for j, d in cells.items() if len(d) < len(c))) for i, c in cells.items()}
+    return cells
 
 
-def test_avoid_rounds_end_and_never_grow(spark):
-    c = cells(Inputs(spark, DIR)).where("id < 150")
-    once, again = spatial.crown_avoid(c, []), spatial.crown_avoid_rounds(c, [])
-    assert again.count() <= once.count() <= c.count()
-    assert again.exceptAll(spatial.crown_avoid(again, [])).count() == 0
+def test_overlap_goes_to_the_smaller_crown(spark):
+    rows = [(1, 0, 0, 5), (2, 3, 3, 4), (3, 6, 6, 3), (4, 100, -100, 2), (5, 101, -100, 2), (6, -5, -5, 3), (7, -4, -4, 2), (8, 60, 60, 1), (9, 60, 60, 1), (10, 59, 59, 3)]
+    cells = {i: {(x + k, y + m) for k in range(n) for m in range(n)} for i, x, y, n in rows}
+    packed = squares(spark, rows)
+    rows_of = lambda df: {r.id: {(c >> 32 if (c & spatial.LOW) < 1 << 31 else (c >> 32) + 1, (c & spatial.LOW) - (0 if (c & spatial.LOW) < 1 << 31 else 1 << 32)) for c in r.cells} for r in df.collect()}
+    once = spatial.crown_avoid(packed, [])
+    assert rows_of(packed) == cells and rows_of(once) == plain_rounds(cells, 1)
+    assert {r.id: r.lost for r in once.collect()} == {i: len(cells[i]) - len(c) for i, c in plain_rounds(cells, 1).items()}
+    report = {r.id: r for r in spatial.avoid_report(packed, once, []).collect()}
+    assert (report[10].area_before, report[10].area_left, report[10].area_after) == (9, 8, 8)
+    assert {(p.x, p.y) for p in report[1].geom[0]} == {(0, 0), (5, 0), (5, 3), (3, 3), (3, 5), (0, 5)}
+
+
+def test_a_second_round_matters(spark):
+    rows = [(1, 0, 0, 4), (2, 2, 0, 4), (3, -2, 0, 3)]  # 1 and 2 are equal until 3 has taken from 1
+    cells = {i: {(x + k, y + m) for k in range(n) for m in range(n)} for i, x, y, n in rows}
+    sizes = lambda df: {r.id: len(r.cells) for r in df.collect()}
+    packed = squares(spark, rows)
+    assert sizes(spatial.crown_avoid(packed, [])) == {1: 13, 2: 16, 3: 9} == {i: len(c) for i, c in plain_rounds(cells, 1).items()}
+    assert sizes(spatial.crown_avoid_rounds(packed, [])) == {1: 13, 2: 8, 3: 9} == {i: len(c) for i, c in plain_rounds(cells, 5).items()}
+    assert sizes(spatial.crown_avoid_rounds(packed, [], 1)) == {1: 13, 2: 16, 3: 9}
+    gone = spatial.avoid_report(packed, packed.withColumn("cells", F.expr("cast(array() as array<bigint>)")), []).first()
+    assert (gone.area_left, gone.area_after, gone.geom) == (0, 0, None)
+
+
+def test_rounds_on_the_crowd_end_and_never_grow(spark):
+    before = spatial.packed_crowns(Inputs(spark, DIR).crowd.withColumn("geom", G.l_shape(F.col("x0"), F.col("y0"), F.col("arm"), F.col("width"))), [])
+    once, last = spatial.crown_avoid(before, []), spatial.crown_avoid_rounds(before, [])
+    total = lambda df: df.agg(F.sum(F.size("cells"))).first()[0]
+    assert total(last) < total(once) < total(before)
+    assert spatial.crown_avoid(last, []).where("lost > 0").isEmpty()
+
+
+def test_largest_parts_of_random_cells():
+    r = np.random.default_rng(3)
+    for _ in range(40):
+        cells = {(int(x), int(y)) for x, y in r.integers(-6, 6, (45, 2))}
+        parts, todo = [], sorted(cells)
+        while todo:
+            part, grow = set(), [todo[0]]
+            while grow:
+                x, y = grow.pop()
+                if (x, y) in cells and (x, y) not in part:
+                    part.add((x, y))
+                    grow += [(x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)]
+            parts.append(part)
+            todo = [c for c in todo if c not in part]
+        packed = lambda some: sorted((x << 32) + y for x, y in some)
+        assert spatial.largest_part(np.array(packed(cells))).tolist() == packed(max(parts, key=len))
 
 
 def test_largest_component(spark):
@@ -64,15 +115,45 @@ def test_largest_component(spark):
     assert got == {(1, 5, 5), (1, 5, 6), (1, 6, 6), (2, 0, 0)}
 
 
-def test_tie_points_find_the_planted_shift(spark):
-    r = np.random.default_rng(0).integers(0, 255, (80, 80))
-    cells = [(1, side, i + 3 * side, j - 2 * side, int(r[i, j])) for side in (0, 1) for i in range(80) for j in range(80)] + [(2, 0, 0, 0, 9), (3, 0, 0, 0, 0), (3, 1, 0, 0, 0)]
-    px = spark.createDataFrame(cells, "pair int, side int, row_no int, col int, v int")
-    found = align.estimate_tie_points(align.cut_windows(px.where("col >= 0"), "v", 16, 32), 32, 10).where("pair = 1 and grid_row < 3 and grid_col < 3").collect()
-    assert len(found) == 9 and all((f.x_shift, f.y_shift) == (-2, 3) and f.reliability > 30 for f in found)
-    one = align.estimate_tie_points(align.one_window(px, "v", 8, 8, 48), 48, 10).where("pair = 1").first()
-    assert (one.x_shift, one.y_shift) == (-2, 3)
-    assert align.estimate_tie_points(align.one_window(px, "v", 8, 8, 48), 48, 2).where("pair = 1").first().reliability == 0
+def chunked(spark, rasters):
+    """Chunks of {pair: array}, NaN where there is no cell."""
+    rows = [(k, i, j, float(v)) for k, a in rasters.items() for (i, j), v in np.ndenumerate(a) if v == v]
+    return chunks.to_chunks(spark.createDataFrame(rows, "yr int, row_no int, col int, v double"), ["v"], 16)
+
+
+def test_tie_points_find_planted_shifts(spark):
+    """Whole and part cells, noise, partial overlap, and rasters that have nothing in common."""
+    r = np.random.default_rng(0)
+    fine = r.normal(100, 30, (400, 400))
+    smooth = sum(np.roll(fine, (i, j), (0, 1)) for i in range(5) for j in range(5)) / 25
+    ref = smooth[100:340:2, 100:340:2].copy()  # 120 x 120 cells
+    cut = lambda dy, dx: smooth[100 - dy : 340 - dy : 2, 100 - dx : 340 - dx : 2].copy()
+    part = cut(8, 12)
+    part[:, :50] = np.nan  # two windows of five columns have nothing left
+    rasters = {1: cut(6, -4), 2: cut(5, 3), 3: cut(-10, 14) + r.normal(0, 3, ref.shape), 4: part, 5: r.normal(100, 30, ref.shape), 6: cut(30, 0)}
+    found = align.estimate_tie_points(align.cut_windows(chunked(spark, dict.fromkeys(rasters, ref)), chunked(spark, rasters), "v", 32, 10, 22), 32, 10, 22)
+    got = {(f.pair, f.grid_row, f.grid_col): f for f in found.collect()}
+    assert len(got) == 6 * 36
+    inner = [(i, j) for i in range(4) for j in range(4)]
+    # a shift of half a cell is the hardest to tell: one window in eight may miss
+    for pair, x, y, near, least in ((1, -2, 3, 0.05, 16), (2, 1.5, 2.5, 0.35, 14), (3, 7, -5, 0.3, 16)):
+        assert sum(abs(got[pair, i, j].x_shift - x) <= near and abs(got[pair, i, j].y_shift - y) <= near and got[pair, i, j].reliability > 30 for i, j in inner) >= least, pair
+    assert all(abs(got[4, i, 3].x_shift - 6) <= 0.2 and abs(got[4, i, 3].y_shift - 4) <= 0.2 for i in range(4))
+    assert all(got[4, i, 0].reliability == 0 for i in range(6))
+    assert sum(got[5, i, j].reliability > 50 for i, j in inner) == 0
+    assert not any(abs(got[6, i, j].y_shift - 15) < 1 for i, j in inner)  # further than windows reach
+
+
+def test_one_window_and_empty_ones(spark):
+    r = np.random.default_rng(0).integers(0, 255, (80, 80)).astype(float)
+    moved = np.full((90, 90), np.nan)
+    moved[3:83, 2:82] = r
+    ref, tgt = chunked(spark, {1: r, 2: np.zeros((20, 20)), 3: np.full((4, 4), 7.0)}), chunked(spark, {1: moved, 2: np.zeros((20, 20)), 4: r})
+    at = (8, 8)
+    got = align.estimate_tie_points(align.cut_windows(ref, tgt, "v", 48, 10, at=at), 48, 10, at=at).collect()
+    assert [(g.pair, round(g.x_shift, 6), round(g.y_shift, 6)) for g in got] == [(1, 2, 3)] and got[0].reliability > 99
+    none = align.estimate_tie_points(align.cut_windows(ref, tgt, "v", 48, 2, at=at), 48, 2, at=at).collect()
+    assert [(g.pair, g.reliability) for g in none] == [(1, 0.0)]
 
 
 def test_cell_cover_is_the_even_odd_rule(spark):
@@ -144,12 +225,139 @@ def test_local_alignment_moves_by_the_field(spark):
     assert {r.h for r in align.align_local(px, field.withColumn("reliability", F.lit(1.0)), 10).collect()} == {float(i) for i in range(100)}
 
 
-def test_contrast_keeps_range_and_order(spark):
-    px = spark.createDataFrame([(1, r, c, float((r * 7 + c * 3) % 60)) for r in range(16) for c in range(16)], "yr int, row_no int, col int, v double")
-    rows = colour.contrast_normalise(px, ["yr"], "v", 1, 16).collect()
-    assert len(rows) == 256 and all(0 <= r.normalised <= 255 for r in rows)
-    by = sorted((r.v, r.normalised) for r in rows)
-    assert all(a[1] <= b[1] for a, b in zip(by, by[1:], strict=False))
+def test_local_alignment_across_holes_in_the_field(spark):
+    r = np.random.default_rng(4)
+    field = {(i, j): (int(r.integers(-3, 4)), int(r.integers(-3, 4)), 90.0) for i in range(9) for j in range(9)}
+    for i, j in field:
+        if 2 <= i <= 6 and 3 <= j <= 7 or (i, j) in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            field[i, j] = (9, 9, 10.0)  # more than two squares without a reliable corner
+    rows = [(1, i, j, float(x), float(y), w) for (i, j), (x, y, w) in field.items()] + [(2, 8, 8, 1.0, 0.0, 90.0), (3, 0, 0, 5.0, 5.0, 0.0)]
+    points = spark.createDataFrame(rows, "yr int, grid_row int, grid_col int, x_shift double, y_shift double, reliability double")
+    px = spark.createDataFrame([(yr, i, j, float(i * 100 + j)) for yr in (1, 2, 3) for i in range(40) for j in range(40)], "yr int, row_no int, col int, h double")
+    got = {(g.yr, g.row_no, g.col): g.h for g in align.align_local(px, points, 5).collect()}
+    good = {1: {(i, j): f[:2] for (i, j), f in field.items() if f[2] >= 30}, 2: {(8, 8): (1, 0)}, 3: {}}
+    assert len(got) == 4800
+    for (yr, i, j), h in got.items():
+        a, b, k, near = i // 5, j // 5, 0, []
+        while good[yr] and not near:
+            near = [p for p in good[yr] if max(a - p[0], p[0] - a - 1, b - p[1], p[1] - b - 1) == k]
+            k += 1
+        w = [1 / (1 + ((i - 5 * p) ** 2 + (j - 5 * q) ** 2) ** 0.5) for p, q in near]
+        x, y = (sum(u * good[yr][p][c] for u, p in zip(w, near, strict=True)) / sum(w) if near else 0.0 for c in (0, 1))
+        to = i + int(np.floor(abs(y) + 0.5) * np.sign(y)), j + int(np.floor(abs(x) + 0.5) * np.sign(x))
+        assert h == (float(to[0] * 100 + to[1]) if 0 <= to[0] < 40 and 0 <= to[1] < 40 else None), (yr, i, j, near)
+
+
+def plain_contrast(rgb, grid, clip):
+    """Local contrast of {(row, col): (r, g, b)} cell by cell, with the excess spread again and again."""
+    def linear(c):
+        return c / 12.92 if c <= 0.04045 else ((c + 0.055) / 1.055) ** 2.4
+
+    def bent(t):
+        return t ** (1 / 3) if t > (6 / 29) ** 3 else t / (3 * (6 / 29) ** 2) + 4 / 29
+
+    def straight(f):
+        return f**3 if f > 6 / 29 else 3 * (6 / 29) ** 2 * (f - 4 / 29)
+
+    m = colour.SRGB.tolist()
+    white = [sum(r) for r in m]
+    lab = {}
+    for at, c in rgb.items():
+        lin = [linear(v / 255) for v in c]
+        fx, fy, fz = (bent(sum(p * q for p, q in zip(r, lin, strict=True)) / w) for r, w in zip(m, white, strict=True))
+        lab[at] = (116 * fy - 16, 500 * (fx - fy), 200 * (fy - fz))
+    top, left = min(r for r, _ in rgb), min(c for _, c in rgb)
+    h, w = max(r for r, _ in rgb) - top + 1, max(c for _, c in rgb) - left + 1
+    value = {at: int(np.round(v[0] * 2.55)) for at, v in lab.items()}
+    curves = {}
+    for i in range(grid):
+        for j in range(grid):
+            n = [0.0] * 256
+            for (r, c), v in value.items():
+                if (r - top) * grid // h == i and (c - left) * grid // w == j:
+                    n[v] += 1
+            total = sum(n)
+            if total:
+                limit = max(1.0, clip * total / 256)
+                for _ in range(5000):
+                    excess = sum(max(0.0, v - limit) for v in n)
+                    n = [min(v, limit) + excess / 256 for v in n]
+                curves[i, j] = np.cumsum(n) / total * 255
+    out = {}
+    for (r, c), v in value.items():
+        y, x, top_sum, weight = (r - top + 0.5) * grid / h - 0.5, (c - left + 0.5) * grid / w - 0.5, 0.0, 0.0
+        for i in (math.floor(y), math.floor(y) + 1):
+            for j in (math.floor(x), math.floor(x) + 1):
+                near = min(max(i, 0), grid - 1), min(max(j, 0), grid - 1)
+                u = (1 - abs(y - i)) * (1 - abs(x - j))
+                if near in curves:
+                    top_sum, weight = top_sum + u * curves[near][v], weight + u
+        light, a, b = top_sum / weight / 2.55 if weight else lab[r, c][0], *lab[r, c][1:]
+        fy = (light + 16) / 116
+        xyz = [straight(f) * w for f, w in zip((fy + a / 500, fy, fy - b / 200), white, strict=True)]
+        lin = np.linalg.inv(colour.SRGB) @ xyz
+        out[r, c] = tuple(int(np.floor(np.clip((v * 12.92 if v <= 0.0031308 else 1.055 * v ** (1 / 2.4) - 0.055) * 255, 0, 255) + 0.5)) for v in lin)
+    return out
+
+
+def test_contrast_of_pictures(spark):
+    """Pictures of several sizes, with holes, of one colour, of one cell, against a plain version."""
+    r = np.random.default_rng(9)
+    pictures = {
+        1: {(i, j): tuple(int(v) for v in np.clip(r.normal(90 + 3 * i, 20, 3), 0, 255)) for i in range(20) for j in range(23) if r.random() > 0.2},
+        2: {(i + 5, j - 3): (i * 9, j * 20, 200) for i in range(9) for j in range(5)}, 3: {(i, j): (80, 80, 80) for i in range(12) for j in range(12)}, 4: {(7, 7): (1, 2, 3)},
+    }
+    rows = [("x", k, i, j, *c) for k, p in pictures.items() for (i, j), c in p.items()]
+    got = {}
+    for x in colour.normalise_contrast(spark.createDataFrame(rows, "id string, yr int, row_no int, col int, r int, g int, b int").repartition(3), ["id", "yr"]).collect():
+        got.setdefault(x.yr, {})[x.row_no, x.col] = (x.r, x.g, x.b)
+    assert got.keys() == pictures.keys()
+    for k, p in pictures.items():
+        want = plain_contrast(p, 8, 2.0)
+        assert got[k].keys() == want.keys() and all(max(abs(a - b) for a, b in zip(got[k][at], want[at], strict=True)) <= 1 for at in want), k
+    assert colour.normalise_contrast(spark.createDataFrame([], "id string, yr int, row_no int, col int, r int, g int, b int"), ["id", "yr"]).count() == 0
+
+
+def test_colours_come_back_from_lab():
+    rgb = np.stack(np.meshgrid(*[np.arange(0, 256, 51)] * 3), -1).reshape(-1, 3).astype(float)
+    assert np.abs(colour.to_rgb(colour.to_lab(rgb)) - rgb).max() < 1e-6
+    assert colour.to_lab(np.array([255.0, 255, 255])) == pytest.approx([100, 0, 0], abs=1e-6)
+
+
+def test_curves_rise_and_no_bin_is_over_the_limit():
+    r = np.random.default_rng(10)
+    for n in (r.integers(0, 50, 256), np.eye(256)[7] * 1000, np.ones(256), np.eye(256)[0]):
+        y = colour.clipped_curve(n)
+        steps = np.diff(np.concatenate([[0], y])) / 255 * n.sum()
+        assert (steps >= -1e-9).all() and steps.max() <= max(1.0, 2 * n.sum() / 256) + 1e-6 and y[-1] == pytest.approx(255)
+
+
+def test_leading_lines_go_by_place(spark, tmp_path):
+    from canopylens.sources import files
+
+    for k in range(3):
+        (tmp_path / f"f{k}.csv").write_text("".join(["# made by a program\n", "a;b\n", "label,x\n", *[f"r{k}{i},{i}.5\n" for i in range(4)], "label,x\n", "\n"]))
+    (tmp_path / "empty.csv").write_text("# made by a program\n")
+    got = files.read_csv_after(spark, str(tmp_path), "label string, x double", 2).collect()
+    assert sorted((r.label, r.x) for r in got if r.label != "label") == sorted((f"r{k}{i}", i + 0.5) for k in range(3) for i in range(4))
+    assert sum(r.label == "label" for r in got) == 3  # as rows, where they aren't in the header's place
+
+
+def test_tiles_that_a_box_meets(spark):
+    from canopylens.functions.tables import register
+
+    register(spark)
+    boxes = spark.createDataFrame([(k, float(x), float(y), float(x + w), float(y + w)) for k, (x, y, w) in enumerate([(0, 0, 0), (99, 49, 2), (250, 120, 0), (130, 10, 120), (-5, -5, 3)])], "k int, x0 double, y0 double, x1 double, y1 double")
+    got = spark.sql("select k, tile_id from {b}, lateral tiles_at(x0, y0, x1, y1, 0, 0, 250, 120, 100) t", b=boxes)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    tiles = spark.sql("select * from tile_grid(0, 0, 250, 120, 100)").collect()
+    want = set()
+    for b in boxes.collect():
+        for t in tiles:
+            last_x, last_y = t.xmax >= 250 - 1e-9, t.ymax >= 120 - 1e-9
+            if b.x0 < t.xmax + last_x and b.y0 < t.ymax + last_y and b.x1 >= t.xmin and b.y1 >= t.ymin:
+                want.add((b.k, t.tile_id))
+    assert set(map(tuple, got.collect())) == {(k, t) for k, t in want if k != 4}
 
 
 def test_vertical_alignment_gives_all_dates_one_median(spark):
@@ -180,6 +388,26 @@ def test_exact_overlap_equals_cells(spark):
     assert got == [pytest.approx(7.0), 0.0]
 
 
+def test_exact_overlap_of_shapes_with_holes(spark):
+    """Outlines and holes of whole numbers, running either way, far from the origin: the area is a count of cells."""
+    r = np.random.default_rng(6)
+    box = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    rows, shapes = [], []
+    for _ in range(60):
+        pair = []
+        for _ in range(2):
+            x, y = int(r.integers(0, 6)), int(r.integers(0, 6))
+            rings = [[(x, y), (x + 9, y), (x + 9, y + 4), (x + 4, y + 4), (x + 4, y + 9), (x, y + 9)] if r.random() < 0.5 else box(x, y, 10, 8)]
+            rings += [box(x + 1, y + 1, 2, 2), box(x + 5, y + 1, int(r.integers(1, 4)), 1)][: int(r.integers(0, 3))]
+            pair.append([ring[:: int(r.choice([-1, 1]))] for ring in rings])
+        shapes.append(pair)
+        rows.append(tuple([[{"x": 500_000.0 + a, "y": 1_000_000.0 + b} for a, b in ring] for ring in g] for g in pair))
+    rows.append((rows[0][0], []))
+    got = [x.inter_area for x in spatial.exact_overlap(spark.createDataFrame(rows, f"geom_a {G.RINGS}, geom_b {G.RINGS}")).collect()]
+    cells = lambda g: {(a, b) for a in range(20) for b in range(20) if sum(chunks.inside([np.array(ring, float)], np.array([b]), np.array([a]))[0, 0] for ring in g) % 2}
+    assert got == [pytest.approx(len(cells(p) & cells(q)), abs=1e-6) for p, q in shapes] + [0.0] and max(got) > 20
+
+
 def test_one_value_and_none_are_no_outliers(spark):
     df = spark.createDataFrame([(1, 5.0), (2, None), (2, 3.0)], "tag int, area double")
     assert not any(r.outlier for r in timeseries.flag_outliers(df).collect())
