@@ -106,6 +106,37 @@ def hot_keys_split(rows: DataFrame, found: DataFrame, keys: list[str], n: str) -
     return dealt.join(spread, [*keys, "_to"]).drop("_to")
 
 
+def hashable(docs: DataFrame, name: str) -> Column:
+    """A column of docs, as JSON if there are maps or variants anywhere in it, which Spark doesn't hash."""
+    kind = docs.schema[name].dataType
+    return F.to_json(F.struct(F.col(name))) if re.search(r"\b(map<|variant\b)", kind.simpleString()) else F.col(name)
+
+
+#: Copies of one row that a task makes at a time.
+COPIES = 1_000
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with _row, a hash of all columns and of a number: 0, or for rows that repeat 0, 1, 2, ..., one for each copy.
+
+    Copies are interchangeable, so that one of each is kept and made again as often as it was there, in loads of COPIES
+    that are dealt to tasks. So copies of a row are told apart, whatever partitions they come from, and no window counts
+    them. Only where rows repeat at all is more done than to count hashes.
+    """
+    columns = [hashable(rows, c) for c in rows.columns]
+    known = rows.withColumn("_key", F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b")))
+    again = cut(known.groupBy(F.col("_key").alias("_again")).agg(F.count("*").alias("_copies")).where("_copies > 1"), "repeated-rows")
+    named = lambda df: df.withColumn("_row", F.xxhash64("_key", "_nth")).drop("_key", "_nth")
+    if again.isEmpty():
+        return named(known.withColumn("_nth", F.lit(0).cast("long")))
+    same = F.col("_key") == F.col("_again")
+    once = known.join(again, same, "left_anti").withColumn("_nth", F.lit(0).cast("long"))
+    one = known.join(again, same).drop("_again").dropDuplicates(["_key"])
+    loads = one.withColumn("_load", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / COPIES)))).repartition("_key", "_load")
+    last = F.least(F.col("_copies"), (F.col("_load") + 1) * COPIES) - 1
+    return named(once.unionByName(loads.withColumn("_nth", F.explode(F.sequence(F.col("_load") * COPIES, last))).drop("_load", "_copies")))
+
+
 def fenced(df: DataFrame) -> DataFrame:
     """df behind a column that is not deterministic: filters on df's columns stay above it.
 

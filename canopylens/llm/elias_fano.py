@@ -6,7 +6,10 @@ whole arrays of queries at once.
 
 from __future__ import annotations
 
-import io
+import os
+from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import BinaryIO
 
 import numpy as np
 
@@ -181,19 +184,19 @@ class Trie:
         shares[both[at >= 0]] = self.shares[at[at >= 0]]
         return shares, rests
 
-    def save(self) -> bytes:
+    def save(self, out: BinaryIO) -> None:
+        """Write all levels, one after the other, each at a multiple of 8 bytes from the beginning."""
         parts = {k: v for name in self.LEVELS for k, v in self.levels[name].parts(name).items()} | {"shares": self.shares, "rests": self.rests}
         head = "\n".join(f"{k} {v.dtype.str} {len(v)}" for k, v in parts.items()).encode()
-        out = io.BytesIO()
-        out.write(len(head).to_bytes(8, "little") + head)
+        at = out.write(len(head).to_bytes(8, "little") + head)
         for v in parts.values():
-            out.write(b"\0" * (-out.tell() % 8) + v.tobytes())
-        return out.getvalue()
+            at += out.write(b"\0" * (-at % 8))
+            at += out.write(memoryview(np.ascontiguousarray(v)).cast("B")) if len(v) else 0
 
     @classmethod
     def load(cls, buffer) -> Trie:
-        """From the bytes of save(), or from np.memmap(path, np.uint8): the levels stay where they are."""
-        raw = np.frombuffer(buffer, np.uint8) if isinstance(buffer, (bytes, memoryview)) else buffer
+        """From what save() wrote, as np.memmap or as bytes: the levels stay where they are."""
+        raw = np.frombuffer(buffer, np.uint8) if isinstance(buffer, (bytes, memoryview)) else np.asarray(buffer)
         size = int.from_bytes(raw[:8].tobytes(), "little")
         at, parts = 8 + size, {}
         for line in raw[8 : 8 + size].tobytes().decode().split("\n"):
@@ -203,3 +206,14 @@ class Trie:
             parts[name] = raw[at:end].view(kind)
             at = end
         return cls({name: EliasFano.from_parts(parts, name) for name in cls.LEVELS}, parts["shares"], parts["rests"])
+
+
+@contextmanager
+def mapped(trie: Trie) -> Iterator[Trie]:
+    """trie as it is queried: its levels are written to a file in memory and mapped from there, and the arrays that it was
+    built from can go. The file has no place in any folder and ends with the task that made it.
+    """
+    with open(os.memfd_create("trie"), "w+b") as file:
+        trie.save(file)
+        file.flush()
+        yield Trie.load(np.memmap(file, np.uint8, "r"))

@@ -28,8 +28,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopylens.llm.common import cut
-from canopylens.llm.elias_fano import Trie, dequantise
+from canopylens.llm.common import cut, numbered
+from canopylens.llm.elias_fano import Trie, dequantise, mapped
 from canopylens.llm.jaccard_join import mix
 
 DISCOUNT = 0.75
@@ -155,8 +155,11 @@ def _learn(ids: list) -> np.ndarray:
     return np.array([i is None or zlib.crc32(str(i).encode()) % HELD_OUT[0] != HELD_OUT[1] for i in ids], bool)
 
 
-def in_blocks(docs: DataFrame, blocks: int, doc_id: str, text: str, only: int | None = None) -> DataFrame:
-    """(block, blob): documents of a task that share a block, compressed; of one block only, if that is given."""
+def in_blocks(docs: DataFrame, blocks: int, only: int | None = None) -> DataFrame:
+    """(block, blob): documents of a task that share a block, compressed; of one block only, if that is given.
+
+    docs: (doc_id, text, _row) of numbered(), so that rows that repeat are dealt to all blocks as others are.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
@@ -172,8 +175,7 @@ def in_blocks(docs: DataFrame, blocks: int, doc_id: str, text: str, only: int |
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(block), pa.int64()), pa.array(out, pa.binary())], names=["block", "blob"])
 
-    block = F.pmod(F.xxhash64(F.col(doc_id), F.length(text)), F.lit(blocks)).alias("block")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), block)
+    rows = docs.select("doc_id", "text", F.pmod("_row", F.lit(blocks)).alias("block"))
     return (rows if only is None else rows.where(F.col("block") == only)).mapInArrow(pack, "block long, blob binary")
 
 
@@ -248,7 +250,8 @@ def lookups(blocks: DataFrame, shards: int, discount: float, order: int, split:
             a, b = m.astype(np.uint32), np.zeros(len(m), np.uint8)
         else:
             context, word = names[gram >> np.uint64(32)], (gram & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            a, b = Trie.load(Trie.of(context[seen], word[seen], m[seen], discount).save()).query(context, word)
+            with mapped(Trie.of(context[seen], word[seen], m[seen], discount)) as trie:
+                a, b = trie.query(context, word)
         sums = []
         if level == 1:
             sums = [(0, int(m.sum()), int(seen.sum()))]
@@ -276,8 +279,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", discount:
     """
     chars = docs.agg(F.sum(F.length(text) + 1)).first()[0] or 0
     blocks, shards = max(1, math.ceil(chars / BLOCK_CHARS)), max(1, math.ceil(chars / SHARD_CHARS))
-    packed = in_blocks(docs, blocks, doc_id, text)
-    split = split_contexts(in_blocks(docs, blocks, doc_id, text, only=0), shards, order)
+    rows = numbered(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    packed = in_blocks(rows, blocks)
+    split = split_contexts(in_blocks(rows, blocks, only=0), shards, order)
     answers = cut(lookups(packed, shards, discount, order, split), "lm-answers")
     sums = answers.where("block = -1").groupBy("level", "context").agg(F.sum("total").alias("n"), F.sum("kinds").alias("v"))
     known = sums.where("level = 1").agg(F.max("n").alias("n"), F.max("v").alias("v")).first()

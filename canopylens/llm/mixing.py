@@ -10,12 +10,10 @@ each source's tokens meet the target.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopylens.llm.common import cut, n_words, shielded
+from canopylens.llm.common import cut, n_words, numbered, shielded
 
 CAP = 3.0
 WEIGHTS = (1, 2, 3)
@@ -105,12 +103,6 @@ def solve(cells: DataFrame, wanted: DataFrame, cap: float = CAP, steps: int = NE
     return state.select("source", "n_docs", "source_size", "target", "mean", "multiplier")
 
 
-def hashable(docs: DataFrame, name: str) -> Column:
-    """A column of docs, as JSON if there are maps or variants anywhere in it, which Spark doesn't hash."""
-    kind = docs.schema[name].dataType
-    return F.to_json(F.struct(F.col(name))) if re.search(r"\b(map<|variant\b)", kind.simpleString()) else F.col(name)
-
-
 def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, text: str = "text", source: str = "source") -> DataFrame:
     """docs with size, source_size, target, rate and copies (how often the mix takes the document, 0 to cap).
 
@@ -119,7 +111,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, text: str = "text",
     these names are replaced; others may have any name but _user_0 and so on. An empty table gives an empty table.
 
     Rounding: inside buckets of some 2,000 documents, ordered by size, every document's copies are the step of
-    the running sum of rates. What a source then lacks or has too much is made good on its smallest documents, found
+    the running sum of rates; copies of a row are numbered, and so in buckets of their own. What a source then lacks or has too much is made good on its smallest documents, found
     from the counts of each size. All choices come from hashes of the rows, so that reruns agree.
     """
     new = ["size", "source_size", "target", "rate", "copies"]
@@ -133,11 +125,11 @@ def _mixed(docs: DataFrame, weights, cap: float, text: str, source: str) -> Data
     sums = cells.groupBy("source").agg(F.sum("n").alias("n_docs"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
     plan = solve(cells, targets(sums, weights, cap), cap).withColumnsRenamed({"source": "_p_src", "n_docs": "_n_docs", "multiplier": "_mult", "mean": "_mean"})
 
-    row_hash = F.xxhash64(*[hashable(docs, c) for c in docs.columns])
+    sized = numbered(docs).withColumn("size", n_words(F.col(text))).withColumn("_src", F.col(source))
     rated = sized.join(plan, sized["_src"].eqNullSafe(plan["_p_src"])).drop("_p_src")
     tilted = F.when(F.col("size") > 0, rate_of(F.col("_mult"), F.col("size") / F.col("_mean"), cap)).otherwise(1.0)
     rated = rated.withColumn("rate", F.when(F.col("target") > 0, tilted).otherwise(0.0)).drop("_mult", "_mean")
-    rated = rated.withColumn("_row", row_hash).withColumn("_bucket", F.pmod(F.xxhash64("_row", F.lit(7)), F.ceil(F.col("_n_docs") / BUCKET_ROWS)))
+    rated = rated.withColumn("_bucket", F.pmod(F.xxhash64("_row", F.lit(7)), F.ceil(F.col("_n_docs") / BUCKET_ROWS)))
     part = F.col("rate") - F.floor("rate")
     order = Window.partitionBy("_src", "_bucket").orderBy(F.desc("size"), "_row").rowsBetween(Window.unboundedPreceding, 0)
     run = F.sum(part).over(order) + F.pmod(F.xxhash64("_src", "_bucket"), F.lit(1000)) / 1000

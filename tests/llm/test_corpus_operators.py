@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from canopylens.llm import components, jaccard_join, language_model, neighbours, queries, toxicity
-from canopylens.llm.common import table
-from canopylens.llm.elias_fano import EliasFano, Trie
+from canopylens.llm.common import numbered, table
+from canopylens.llm.elias_fano import EliasFano, Trie, mapped
 
 DIR = "/root/testdata/sf0.001"
 
@@ -175,9 +175,15 @@ def test_elias_fano():
 def test_trie_is_mapped_from_a_file(tmp_path):
     context, word, n = np.array([3, 3, 9], np.uint64), np.array([1, 5, 5], np.uint32), np.array([4, 1, 2])
     trie = Trie.of(context, word, n, 0.75)
-    (tmp_path / "trie").write_bytes(trie.save())
-    mapped = Trie.load(np.memmap(tmp_path / "trie", np.uint8, "r"))
-    shares, rests = mapped.query(np.array([3, 3, 4, 9], np.uint64), np.array([1, 9, 1, 5], np.uint32))
+    with open(tmp_path / "trie", "wb") as file:
+        trie.save(file)
+    asked = np.array([3, 3, 4, 9], np.uint64), np.array([1, 9, 1, 5], np.uint32)
+    shares, rests = Trie.load(np.memmap(tmp_path / "trie", np.uint8, "r")).query(*asked)
+    with mapped(trie) as other:
+        assert all((x == y).all() for x, y in zip(other.query(*asked), (shares, rests), strict=True))
+        assert not other.shares.flags.owndata and not other.levels["contexts"].low.flags.writeable
+    with mapped(Trie.of(context[:0], word[:0], n[:0], 0.75)) as none:
+        assert (none.query(*asked)[0] == 255).all()
     assert (shares[[0, 3]] == trie.shares[[0, 2]]).all() and (shares[[1, 2]] == 255).all() and rests[2] == 0
 
 
@@ -236,7 +242,7 @@ def test_split_contexts_are_dealt_by_the_whole_n_gram(docs):
     assert {(int(w), int(p)) for w, p in zip(word[mine], part, strict=True)} >= {(int(word[3:][k]), int(p)) for k, p in zip(again[1], again[2], strict=True)}
     none = language_model.dealt(context, word, np.zeros(0, np.uint64), 1)
     assert none[0].tolist() == [0, 1, 2, 3, 4, 5] and not len(none[1])
-    found = language_model.split_contexts(language_model.in_blocks(docs, 1, "doc_id", "text", only=0), 1000, 3)
+    found = language_model.split_contexts(language_model.in_blocks(numbered(docs.select("doc_id", "text")), 1, only=0), 1000, 3)
     assert language_model.START in found[2][0] and (np.diff(found[2][0].astype(float)) > 0).all() and found[2][1] >= 1
 
 

@@ -10,7 +10,7 @@ import pytest
 from conftest import prose
 from pyspark.sql import functions as F
 
-from canopylens.llm import line_dedup, mixing, neighbours, packing, url_filter
+from canopylens.llm import common, line_dedup, mixing, neighbours, packing, url_filter
 from canopylens.llm.common import cut, hot_keys_split
 from test_text_operators import VOCABULARY
 
@@ -141,3 +141,25 @@ def test_mixing_of_nested_maps(spark, docs):
     odd = docs.withColumns({"m": F.array(F.create_map(F.lit("k"), "doc_id")), "s": F.struct(F.create_map(F.lit("k"), F.col("lang"))), "t": F.create_map(F.lit(1), F.lit(2))})
     first, second = (Counter((r.doc_id, r.copies) for r in mixing.mix(odd).select("doc_id", "copies").collect()) for _ in range(2))
     assert first == second and sum(first.values()) == docs.count() and mixing.stage(odd).columns == odd.columns
+
+
+def test_rows_that_repeat_are_numbered(spark, docs, monkeypatch):
+    monkeypatch.setattr(common, "COPIES", 7)
+    many = docs.where("doc_id < 4").withColumn("m", F.create_map("lang", "doc_id"))
+    table = many.unionByName(many.where("doc_id = 1").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(40)))).drop("k")).repartition(5)
+    got = common.numbered(table).collect()
+    assert Counter(r.doc_id for r in got) == {0: 1, 1: 41, 2: 1, 3: 2} and len({r["_row"] for r in got}) == len(got)
+    assert sorted((r.doc_id, r["_row"]) for r in got) == sorted((r.doc_id, r["_row"]) for r in common.numbered(table.repartition(3)).collect())
+    assert all(r.m == {r.lang: r.doc_id} for r in got) and common.numbered(table.where("false")).count() == 0
+
+
+def test_mixing_of_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 100)
+    rows = spark.range(3000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("one two three four").alias("text"), F.lit("a").alias("source"))
+    rows = rows.unionByName(spark.range(500).select("id", F.concat(F.lit("w "), F.repeat(F.lit("x "), (F.col("id") % 50).cast("int"))), F.lit("b")).toDF("doc_id", "text", "source"))
+    first, second = (mixing.mix(rows).groupBy("source", "size", "copies").count().orderBy("source", "size", "copies").collect() for _ in range(2))
+    assert first == second
+    for s in "ab":
+        taken = sum(r["size"] * r.copies * r["count"] for r in first if r.source == s)
+        target = mixing.mix(rows).where(F.col("source") == s).first().target
+        assert taken == pytest.approx(target, rel=0.01)
