@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -49,7 +50,10 @@ NAMES = set(
 )
 OUTSIDE_NAMES = {"header", "masthead", "topbar"}
 COMMENTS = {"comment", "comments", "disqus", "reply", "replies", "respond", "related", "recommended"}
-#: Siblings of these kinds in a row are one node of a tree, however many they are.
+#: Elements nested deeper are kept as blocks of the one at this depth.
+DEEP = 150
+#: Siblings of one kind in a row are one node of a tree: of these tags however many they are, of others from MANY on.
+MANY = 12
 REPEATED = {"p", "li", "tr", "td", "th", "dt", "dd", "option", "blockquote", "pre", *HEADINGS}
 
 #: Pages that must agree before a constant text counts as template, and the share of a host's pages that must have it.
@@ -66,10 +70,10 @@ _NAMED = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'
 class Node:
     """An element of a page: its tag, its names, and its children in order, texts among them."""
 
-    __slots__ = ("tag", "names", "kids")
+    __slots__ = ("tag", "names", "kids", "dropped")
 
-    def __init__(self, tag: str, names: frozenset[str] = frozenset()):
-        self.tag, self.names, self.kids = tag, names, []
+    def __init__(self, tag: str, names: frozenset[str] = frozenset(), kids: list | None = None, dropped: bool = False):
+        self.tag, self.names, self.kids, self.dropped = tag, names, [] if kids is None else kids, dropped
 
     @property
     def kind(self) -> str:
@@ -89,7 +93,10 @@ def names_of(attributes: str) -> frozenset[str]:
 
 
 def parse(html: str | None) -> Node:
-    """The tree of a page's block elements. Inline elements leave their text where they stand; scripts leave nothing."""
+    """The tree of a page's block elements. Inline elements leave their text where they stand; scripts leave nothing.
+
+    Beyond DEEP levels an element is a break in its parent and adds its blocks to it, unless it is no part of an article.
+    """
     html = html or ""
     root = Node("html")
     open_nodes, links, at = [root], 0, 0
@@ -97,6 +104,8 @@ def parse(html: str | None) -> Node:
     def end(tags: set[str], stops: set[str] = frozenset()) -> None:
         for k in range(len(open_nodes) - 1, 0, -1):
             if open_nodes[k].tag in tags:
+                if k >= DEEP:
+                    open_nodes[k - 1].kids.append(Node("hr"))
                 del open_nodes[k:]
                 return
             if open_nodes[k].tag in stops:
@@ -135,8 +144,15 @@ def parse(html: str | None) -> Node:
                 end(*ENDED_BY[tag])
             if tag == "body" or (tag not in ("head", "noscript", "template") and open_nodes[-1].tag == "head"):
                 end({"head"})
-            new = Node(tag, names_of(m[3] or m[6] or ""))
-            open_nodes[-1].kids.append(new)
+            new, parent = Node(tag, names_of(m[3] or m[6] or "")), open_nodes[-1]
+            if len(open_nodes) < DEEP:
+                parent.kids.append(new)
+            elif not parent.dropped and foreign(tag, new.names, True):
+                new.dropped = True
+                parent.kids.append(new)
+            else:
+                parent.kids.append(Node("hr"))
+                new = Node(tag, new.names, parent.kids, parent.dropped)
             if not (m[3] or "").endswith("/") or tag not in ("svg", "object"):
                 open_nodes.append(new)
     add(html[at:])
@@ -156,14 +172,14 @@ KIND, PAGES, LEAST, MOST, CHARS, KIDS = range(6)
 
 def groups_of(node: Node) -> list[list[Node]]:
     """The child elements of a node, repeated paragraphs, rows and the like in a row together."""
-    groups: list[list[Node]] = []
+    runs: list[list[Node]] = []
     for k in node.kids:
-        if isinstance(k, Node):
-            if groups and k.tag in REPEATED and groups[-1][-1].kind == k.kind:
-                groups[-1].append(k)
+        if isinstance(k, Node) and k.tag != "hr":
+            if runs and runs[-1][-1].kind == k.kind:
+                runs[-1].append(k)
             else:
-                groups.append([k])
-    return groups
+                runs.append([k])
+    return [g for run in runs for g in ([run] if run[0].tag in REPEATED or len(run) >= MANY else [[k] for k in run])]
 
 
 def tree_of(page: Node) -> list:
@@ -198,7 +214,11 @@ def matching(a: list, b: list, known: dict) -> int:
         return 0
     key = (id(a), id(b))
     if key not in known:
-        known[key] = 1 + (table_of(a[KIDS], b[KIDS], known)[-1][-1] if a[KIDS] and b[KIDS] else 0)
+        if len(a[KIDS]) * len(b[KIDS]) > COMPARED:
+            below = sum(matching(a[KIDS][i], b[KIDS][j], known) for i, j in in_both_orders(a[KIDS], b[KIDS]))
+        else:
+            below = table_of(a[KIDS], b[KIDS], known)[-1][-1] if a[KIDS] and b[KIDS] else 0
+        known[key] = 1 + below
     return known[key]
 
 
@@ -213,10 +233,19 @@ def table_of(left: list, right: list, known: dict) -> list[list[int]]:
     return best
 
 
+#: Pairs of children that are compared one by one.
+COMPARED = 100_000
+
+
 def pairs(left: list, right: list, known: dict) -> list[tuple[int, int]]:
-    """(i, j) of the children that simple tree matching pairs, in order."""
+    """(i, j) of the children that simple tree matching pairs, in order.
+
+    Of very many children, those of one kind that come at the same time are paired, by the longest run in both orders.
+    """
     if [x[KIND] for x in left] == [x[KIND] for x in right]:
         return [(i, i) for i in range(len(left))]
+    if len(left) * len(right) > COMPARED:
+        return in_both_orders(left, right)
     best, i, j, out = table_of(left, right, known), len(left), len(right), []
     while i and j:
         if best[i][j] == best[i - 1][j]:
@@ -229,6 +258,32 @@ def pairs(left: list, right: list, known: dict) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def in_both_orders(left: list, right: list) -> list[tuple[int, int]]:
+    """The longest increasing run of pairs of the n-th children of one kind."""
+    def nth(kids: list) -> list[tuple[str, int]]:
+        seen: dict[str, int] = {}
+        out = []
+        for k in kids:
+            seen[k[KIND]] = seen.get(k[KIND], 0) + 1
+            out.append((k[KIND], seen[k[KIND]]))
+        return out
+
+    at = {name: j for j, name in enumerate(nth(right))}
+    both = [(i, at[name]) for i, name in enumerate(nth(left)) if name in at]
+    ends: list[int] = []
+    places: list[int] = []
+    before: list[int] = []
+    for k, (_, j) in enumerate(both):
+        n = bisect_left(ends, j)
+        before.append(places[n - 1] if n else -1)
+        ends[n : n + 1], places[n : n + 1] = [j], [k]
+    out, k = [], places[-1] if places else -1
+    while k >= 0:
+        out.append(both[k])
+        k = before[k]
+    return out[::-1]
+
+
 def merged(a: list, b: list, known: dict | None = None) -> list:
     """The wrapper of two wrappers of one kind: matched nodes together, others kept in their order."""
     known = {} if known is None else known

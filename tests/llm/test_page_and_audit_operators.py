@@ -77,6 +77,19 @@ def test_single_pages(page, text):
     assert html_extract.main_text(page) == text
 
 
+def test_very_deep_and_very_wide_pages():
+    deep = "<article>" + "".join(f"<div>a{k}" for k in range(3000)) + "<nav>no<nav>no</nav></nav>" + "</div>" * 3000 + "end</article><footer>no</footer>"
+    assert html_extract.main_text(deep) == "\n\n".join([*(f"a{k}" for k in range(3000)), "end"])
+    wide = [f"<body><div class=x{k}>Article {k} {prose(k, 9)}</div>" + "".join(f"<div class=c{(j * (1 + k)) % 900}>menu</div><p>{k} {j}</p>" for j in range(900)) for k in range(5)]
+    trees = [html_extract.tree_of(html_extract.parse(w)) for w in (deep, *wide)]
+    whole = html_extract.merge_all(trees[1:])
+    assert whole[1] == 5 and html_extract.merged(trees[0], trees[0])[1] == 2
+    assert html_extract.main_text(wide[0], html_extract.finish(whole)).count("\n\n") == 900
+    left, right = ([["k" + "abc"[(i * m) % 3], 1, 0, 0, 0, []] for i in range(400)] for m in (1, 2))
+    both = html_extract.in_both_orders(left, right)
+    assert all(a < c and b < d for (a, b), (c, d) in zip(both, both[1:], strict=False)) and all(left[i][0] == right[j][0] for i, j in both) and len(both) > 100
+
+
 def test_pages_of_one_article_and_odd_tables(spark):
     same = "<html><body><div><p>The one article there is.</p></div></body></html>"
     data = [(i, "http://one.example.org/x", same, "clash") for i in range(9)] + [(20, None, same, None), (21, "no host", same, None), (22, "http://n.example.org/", None, None), (0, "http://one.example.org/x", same, "clash")]
