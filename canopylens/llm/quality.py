@@ -17,11 +17,25 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = ("|", "»", " > ", " · ")
 ENDINGS = (".", "!", "?", ":", ";", '"', "'", ")", "”", "»", "…")
-#: Phrases of lines that belong to a site and not to its text.
-BOILERPLATE = re.compile(
-    "all rights reserved|accept (all )?cookies|cookie policy|privacy policy|terms of (use|service)|enable javascript|lorem ipsum"
-    "|click here|subscribe to our|sign up for|log in to|licensed under|released under|share on (facebook|twitter)"
-)
+#: Phrases of lines that belong to a site and not to its text, by language.
+BOILERPLATE_PHRASES = {
+    "en": (
+        "all rights reserved", "accept (all )?cookies", "cookie policy", "privacy policy", "terms of (use|service)", "enable javascript", "lorem ipsum",
+        "click here", "subscribe to our", "sign up for", "log in to", "licensed under", "released under", "share on (facebook|twitter)",
+    ),
+    "de": ("alle rechte vorbehalten", "cookies (akzeptieren|zulassen)", "cookie-richtlinie", "datenschutzerklärung", "nutzungsbedingungen", "javascript aktivieren", "hier klicken", "newsletter abonnieren", "lizenziert unter"),
+    "fr": ("tous droits réservés", "accepter (tous )?les cookies", "politique de confidentialité", "conditions d.utilisation", "activer javascript", "cliquez ici", "abonnez-vous à", "partager sur (facebook|twitter)", "mentions légales"),
+    "es": ("todos los derechos reservados", "aceptar (todas )?las cookies", "política de (cookies|privacidad)", "(términos|condiciones) de uso", "(active|habilite) javascript", "haga clic aquí", "suscríbase a", "compartir en (facebook|twitter)", "aviso legal"),
+}
+#: Phrases of lines that lead elsewhere, where a line has few words.
+NAVIGATION_PHRASES = {
+    "en": ("skip to (main )?content", "back to top", "read more", "(next|previous) page", "main menu", "site map"),
+    "de": ("zum (inhalt|hauptmenü)", "nach oben", "weiterlesen", "(nächste|vorherige) seite", "hauptmenü", "startseite"),
+    "fr": ("aller au contenu", "haut de page", "lire la suite", "page (suivante|précédente)", "menu principal", "plan du site"),
+    "es": ("(ir|saltar) al contenido", "volver arriba", "(leer|seguir) (más|leyendo)", "página (siguiente|anterior)", "menú principal", "mapa del sitio"),
+}
+BOILERPLATE, NAVIGATION = (re.compile("|".join(p for own in phrases.values() for p in own)) for phrases in (BOILERPLATE_PHRASES, NAVIGATION_PHRASES))
+NAVIGATION_WORDS = 6
 #: A line fails with more than this many symbols for each word; unpunctuated, with fewer words than this; as a menu, with so many separators.
 SYMBOLS_A_WORD = 0.2
 SHORT_LINE = 4
@@ -42,7 +56,10 @@ def line_fails(line: str, words: int) -> bool:
         return True
     if words < SHORT_LINE and not line.rstrip(SPACES).endswith(ENDINGS):
         return True
-    return sum(line.count(s) for s in SEPARATORS) >= MENU_SEPARATORS or BOILERPLATE.search(line.lower()) is not None
+    if sum(line.count(s) for s in SEPARATORS) >= MENU_SEPARATORS:
+        return True
+    lower = line.lower()
+    return BOILERPLATE.search(lower) is not None or words <= NAVIGATION_WORDS and NAVIGATION.search(lower) is not None
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -134,7 +151,8 @@ f as (select rid, line, k, k > 0 and ({symbols.format('line')} > {SYMBOLS_A_WORD
     or ({count('!!')}) * 2 > k or (k >= {SHORT_LINE} and regexp_matches(line, '\\p{{Lu}}') and not regexp_matches(line, '\\p{{Ll}}'))
     or (k < {SHORT_LINE} and not ({ends}))
     or ({' + '.join(count(s) for s in SEPARATORS)}) >= {MENU_SEPARATORS}
-    or regexp_matches(lower(line), '{BOILERPLATE.pattern}')) as bad from n),
+    or regexp_matches(lower(line), '{BOILERPLATE.pattern}')
+    or (k <= {NAVIGATION_WORDS} and regexp_matches(lower(line), '{NAVIGATION.pattern}'))) as bad from n),
 g as (select rid, (count(*) filter (k > 0)) - count(distinct case when k > 0 then line end) as n_dup_lines, coalesce(sum(k) filter (bad), 0) as lost from f group by rid),
 m as (select doc_id, len(words) as n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) as word_chars, {symbols.format('text')} as n_symbols,
     coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(lost, 0) as lost

@@ -43,6 +43,7 @@ def test_quality_stage(steps):
         return n > 0 and (
             5 * sum(line.count(c) for c in "#*$%&|<>") > n or 2 * line.count("!!") > n or (n >= 4 and regex.search(r"\p{Lu}", line) is not None and not regex.search(r"\p{Ll}", line))
             or (n < 4 and not tail.endswith(quality.ENDINGS)) or sum(line.count(s) for s in ("|", "»", " > ", " · ")) >= 3 or regex.search(quality.BOILERPLATE.pattern, line.lower()) is not None
+            or (n <= 6 and regex.search(quality.NAVIGATION.pattern, line.lower()) is not None)
         )
 
     want = Counter()

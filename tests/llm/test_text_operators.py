@@ -7,8 +7,10 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
+from compare import TABLES
 from compare import rows as plain_rows
 from conftest import prose
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ DIR = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_rows_as_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in TABLES:
         c.sql(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     got, want = queries.queries()[name](spark, DIR).toPandas(), c.sql(queries.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and plain_rows(got) == plain_rows(want)
@@ -53,6 +55,19 @@ def test_quality_lines(spark):
 
 
 
+def test_quality_lines_in_four_languages_as_in_sql(spark):
+    good = prose(1, 80, 4)
+    bad = ["Alle Rechte vorbehalten.", "Zum Inhalt springen.", "Tous droits réservés, 2020.", "Lire la suite de cet article.", "Aceptar las cookies de este sitio.", "PÁGINA siguiente, por favor.", "Read more about this."]
+    fine = ["We read more and more books in the long winter evenings.", "Er will weiterlesen, bis ihm spät in der Nacht die Augen zufallen.", "Elle a lu la suite de son livre."]
+    rows = [(k, f"{good}\n{line}") for k, line in enumerate(bad + fine)] + [(100, "\n".join(bad * 10)), (101, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.clean_text for r in quality.clean(table).collect()}
+    assert all(got[k] == (good if k < len(bad) else f"{good}\n{(bad + fine)[k]}") for k in range(len(bad + fine))) and got[100] == ""
+    c = duckdb.connect()
+    c.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert plain_rows(c.sql(quality.oracle()).df()) == plain_rows(quality.verdicts(table).toPandas())
+
+
 def test_line_dedup_removes_what_is_repeated(spark, nothing):
     shared = "\n".join(prose(500 + i, 20) for i in range(12))
     long_line = prose(7, 70)
