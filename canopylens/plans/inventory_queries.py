@@ -8,9 +8,16 @@ from canopylens.functions import names as N
 from canopylens.operators import catalog, registry as R
 
 C = F.col
-STEMS = "(select * from (select *, row_number() over (partition by tag order by tag nulls first, stem_tag nulls first, mnemonic nulls first, dbh nulls first, exactdate nulls first, l_orderkey, l_extendedprice, l_discount, l_suppkey) as n from {oldtree} where try_cast(stem_tag as double) is null or try_cast(stem_tag as double) = 1) where n = 1)"
+STEMS = (
+    "(select * from (select *, row_number() over (partition by tag order by tag nulls first, stem_tag nulls first, mnemonic nulls "
+    "first, dbh nulls first, exactdate nulls first, l_orderkey, l_extendedprice, l_discount, l_suppkey) as n from {oldtree} where "
+    "try_cast(stem_tag as double) is null or try_cast(stem_tag as double) = 1) where n = 1)"
+)
 RAW = "(select lpad(coalesce(tag, '0'), 6, '0') as tag, crown_area, crown, note, mnemonic, field_id from {raw_crowns})"
-MISSING = "select yr, m.mission, substring(m.mission, 1, 20) || '{word}' as expected from {{missions_raw}} m where m.mission not in (select mission from {{files}} where kind = '{kind}')"
+MISSING = (
+    "select yr, m.mission, substring(m.mission, 1, 20) || '{word}' as expected from {{missions_raw}} m where m.mission not in (select "
+    "mission from {{files}} where kind = '{kind}')"
+)
 
 
 def tagged(f):
@@ -26,7 +33,10 @@ def audit(f):
 
 
 RAW_LISTS, PRODUCT_LISTS = (str([sorted(one) for one in lists]) for lists in (catalog.RAW_FOLDERS, catalog.PRODUCT_FOLDERS))
-FOLDERS_OK = "select yr, mission, list_contains({lists}, list_sort(list_distinct(list(folder)))) as ok from {{folders}} where part = '{part}' group by yr, mission"
+FOLDERS_OK = (
+    "select yr, mission, list_contains({lists}, list_sort(list_distinct(list(folder)))) as ok from {{folders}} where part = '{part}' "
+    "group by yr, mission"
+)
 RAW_OK, PRODUCT_OK = (FOLDERS_OK.format(lists=lists, part=part) for lists, part in ((RAW_LISTS, "raw"), (PRODUCT_LISTS, "product")))
 HAS = "mission in (select mission from {{files}} where kind = '{kind}') as {name}"
 KINDS = (("Images", "has_images"), ("Orthophoto", "has_ortho"), ("DSM", "has_dsm"), ("Cloudpoint", "has_cloud"), ("Report", "has_report"))
@@ -38,25 +48,86 @@ AUDIT = (
 )
 
 QUERIES = {
-    "op_g8_registry": (registry, f"select r.tag, r.crown_area, r.crown, r.note, r.field_id, coalesce(s.mnemonic, r.mnemonic) as mnemonic, sp.latin, s.dbh, cast(s.exactdate as varchar) as dbh_date from {RAW} r left join {STEMS} s on r.tag = s.tag left join {{species}} sp on coalesce(s.mnemonic, r.mnemonic) = sp.spp"),
-    "op_w6_first_stems": (lambda f: R.first_stems(f.oldtree).select("tag", "stem_tag", "mnemonic", "dbh", C("exactdate").cast("string").alias("exactdate")), f"select tag, stem_tag, mnemonic, dbh, cast(exactdate as varchar) as exactdate from {STEMS}"),
-    "op_j6_registry_mnemonic": (lambda f: R.registry_mnemonic(tagged(f), R.first_stems(f.oldtree)).select("field_id", "mnemonic"), f"select field_id, coalesce(s.mnemonic, r.mnemonic) as mnemonic from {RAW} r left join {STEMS} s on r.tag = s.tag"),
-    "op_j7_latin": (lambda f: R.add_latin(f.raw_crowns, f.species).select("field_id", "latin"), "select field_id, latin from {raw_crowns} left join {species} on mnemonic = spp"),
-    "op_j8_diameter": (lambda f: R.add_diameter(tagged(f), R.first_stems(f.oldtree)).select("field_id", "dbh", C("dbh_date").cast("string").alias("dbh_date")), f"select field_id, dbh, cast(exactdate as varchar) as dbh_date from {RAW} r left join {STEMS} s on r.tag = s.tag"),
+    "op_g8_registry": (
+    registry, (
+
+    f"select r.tag, r.crown_area, r.crown, r.note, r.field_id, coalesce(s.mnemonic, r.mnemonic) as mnemonic, sp.latin, s.dbh, "
+        f"cast(s.exactdate as varchar) as dbh_date from {RAW} r left join {STEMS} s on r.tag = s.tag left join {{species}} sp on "
+        f"coalesce(s.mnemonic, r.mnemonic) = sp.spp"
+    ),
+    ),
+    "op_w6_first_stems": (
+    lambda f: R.first_stems(f.oldtree).select("tag", "stem_tag", "mnemonic", "dbh", C("exactdate").cast("string").alias("exactdate")),
+    f"select tag, stem_tag, mnemonic, dbh, cast(exactdate as varchar) as exactdate from {STEMS}",
+    ),
+    "op_j6_registry_mnemonic": (
+    lambda f: R.registry_mnemonic(tagged(f), R.first_stems(f.oldtree)).select("field_id", "mnemonic"),
+    f"select field_id, coalesce(s.mnemonic, r.mnemonic) as mnemonic from {RAW} r left join {STEMS} s on r.tag = s.tag",
+    ),
+    "op_j7_latin": (
+    lambda f: R.add_latin(f.raw_crowns, f.species).select("field_id", "latin"),
+    "select field_id, latin from {raw_crowns} left join {species} on mnemonic = spp",
+    ),
+    "op_j8_diameter": (
+    lambda f: R.add_diameter(tagged(f), R.first_stems(f.oldtree)).select("field_id", "dbh", C("dbh_date").cast("string").alias("dbh_date")),
+    f"select field_id, dbh, cast(exactdate as varchar) as dbh_date from {RAW} r left join {STEMS} s on r.tag = s.tag",
+    ),
     "op_p4_without_mnemonic": (lambda f: R.without_mnemonic(f.raw_crowns), "select * from {raw_crowns} where mnemonic is null"),
-    "op_j9_cameras": (lambda f: catalog.corrected_cameras(f.camera_ref, f.ppk_ref), "select label, p.x, p.y, p.z, yaw from {camera_ref} c left join {ppk_ref} p using (label)"),
-    "op_j9_cameras_fallback": (lambda f: catalog.corrected_cameras(f.camera_ref, f.ppk_ref, True), "select label, coalesce(p.x, c.x) as x, coalesce(p.y, c.y) as y, coalesce(p.z, c.z) as z, yaw from {camera_ref} c left join {ppk_ref} p using (label)"),
-    "op_j12_missing_products": (lambda f: f.missions_raw.join(f.missions_product, "mission", "left_anti").select("mission"), "select mission from {missions_raw} where mission not in (select mission from {missions_product})"),
+    "op_j9_cameras": (
+    lambda f: catalog.corrected_cameras(f.camera_ref, f.ppk_ref),
+    "select label, p.x, p.y, p.z, yaw from {camera_ref} c left join {ppk_ref} p using (label)",
+    ),
+    "op_j9_cameras_fallback": (
+    lambda f: catalog.corrected_cameras(f.camera_ref, f.ppk_ref, True), (
+
+    "select label, coalesce(p.x, c.x) as x, coalesce(p.y, c.y) as y, coalesce(p.z, c.z) as z, yaw from {camera_ref} c left join "
+        "{ppk_ref} p using (label)"
+    ),
+    ),
+    "op_j12_missing_products": (
+    lambda f: f.missions_raw.join(f.missions_product, "mission", "left_anti").select("mission"),
+    "select mission from {missions_raw} where mission not in (select mission from {missions_product})",
+    ),
     **{f"op_j18_missing_{n}": (lambda f, k=k: catalog.missing_products(f.files, f.missions_raw, k), MISSING.format(word=w, kind=k)) for n, k, w in (("ortho", "Orthophoto", "orthomosaic.tif"), ("dsm", "DSM", "dsm.tif"), ("cloud", "Cloudpoint", "cloud.las"), ("report", "Report", "report.pdf"))},
-    "op_f15_names_by_kind": (lambda f: catalog.names_by_kind(f.files), "select yr, mission, kind, nullif(string_agg(string_split(path, '/')[-1], ', ' order by string_split(path, '/')[-1]), '') as names from {files} group by yr, mission, kind"),
+    "op_f15_names_by_kind": (
+    lambda f: catalog.names_by_kind(f.files), (
+
+    "select yr, mission, kind, nullif(string_agg(string_split(path, '/')[-1], ', ' order by string_split(path, '/')[-1]), '') as names "
+        "from {files} group by yr, mission, kind"
+    ),
+    ),
     "op_f16_folder_check": (lambda f: catalog.folder_check(f.folders.where("part = 'product'"), catalog.PRODUCT_FOLDERS), PRODUCT_OK),
     "op_f16_raw_folder_check": (lambda f: catalog.folder_check(f.folders.where("part = 'raw'"), catalog.RAW_FOLDERS), RAW_OK),
-    "op_f17_image_check": (lambda f: catalog.image_check(f.missions_raw, f.files), "select m.yr, m.mission, count(x.path) as n_images, count(x.path) > 0 as has_images from {missions_raw} m left join (select * from {files} where kind = 'Images') x on m.mission = x.mission group by 1, 2"),
-    "op_f18_year_verdict": (lambda f: catalog.year_verdict(audit(f)), f"select yr, bool_and(all_ok) as all_ok, count(*) as missions, count(*) filter (all_ok) as complete from ({AUDIT}) group by yr"),
+    "op_f17_image_check": (
+    lambda f: catalog.image_check(f.missions_raw, f.files), (
+
+    "select m.yr, m.mission, count(x.path) as n_images, count(x.path) > 0 as has_images from {missions_raw} m left join (select * from "
+        "{files} where kind = 'Images') x on m.mission = x.mission group by 1, 2"
+    ),
+    ),
+    "op_f18_year_verdict": (
+    lambda f: catalog.year_verdict(audit(f)),
+    f"select yr, bool_and(all_ok) as all_ok, count(*) as missions, count(*) filter (all_ok) as complete from ({AUDIT}) group by yr",
+    ),
     "op_g9_mission_audit": (audit, AUDIT),
-    "op_p1_inventory_filter": (lambda f: f.files.where("yr = 1997 and kind = 'DSM'").select("mission", "path"), "select mission, path from {files} where yr = 1997 and kind = 'DSM'"),
-    "op_p5_work_queue": (lambda f: catalog.work_queue(f.missions_raw, f.files), "select yr, mission from {missions_raw} where mission not in (select mission from {files} where kind = 'Orthophoto') and mission in (select mission from {files} where kind = 'Images')"),
-    "op_u3_intersect": (lambda f: f.missions_raw.select("mission").intersect(f.missions_product.select("mission")), "select mission from {missions_raw} intersect select mission from {missions_product}"),
-    "op_j17_in_both": (lambda f: f.files.where("kind = 'DSM'").select("mission").join(f.files.where("kind = 'Report'").select("mission"), "mission"), "select a.mission from {files} a join {files} b on a.mission = b.mission where a.kind = 'DSM' and b.kind = 'Report'"),
+    "op_p1_inventory_filter": (
+    lambda f: f.files.where("yr = 1997 and kind = 'DSM'").select("mission", "path"),
+    "select mission, path from {files} where yr = 1997 and kind = 'DSM'",
+    ),
+    "op_p5_work_queue": (
+    lambda f: catalog.work_queue(f.missions_raw, f.files), (
+
+    "select yr, mission from {missions_raw} where mission not in (select mission from {files} where kind = 'Orthophoto') and mission "
+        "in (select mission from {files} where kind = 'Images')"
+    ),
+    ),
+    "op_u3_intersect": (
+    lambda f: f.missions_raw.select("mission").intersect(f.missions_product.select("mission")),
+    "select mission from {missions_raw} intersect select mission from {missions_product}",
+    ),
+    "op_j17_in_both": (
+    lambda f: f.files.where("kind = 'DSM'").select("mission").join(f.files.where("kind = 'Report'").select("mission"), "mission"),
+    "select a.mission from {files} a join {files} b on a.mission = b.mission where a.kind = 'DSM' and b.kind = 'Report'",
+    ),
     "op_u4_distinct": (lambda f: f.files.select("yr", "kind").distinct(), "select distinct yr, kind from {files}"),
 }

@@ -22,30 +22,127 @@ def leading_lines(f):
 
 
 QUERIES = {
-    "op_c1_date_at": (lambda f: f.missions_raw.select("mission", N.date_at(C("mission")).cast("string").alias("date")), f"select mission, cast({DATE} as varchar) as date from {{missions_raw}}"),
-    "op_c2_date_tokens": (lambda f: f.missions_raw.select("mission", N.date_tokens(C("mission")).alias("date")), "select mission, array_to_string(string_split(mission, '_')[3:5], '_') as date from {missions_raw}"),
-    "op_c3_site": (lambda f: f.missions_raw.groupBy(N.site_of(C("mission")).alias("site")).agg(F.count("*").alias("n")), "select array_to_string(string_split(mission, '_')[1:2], '_') as site, count(*) as n from {missions_raw} group by 1"),
-    "op_c4_expected_product": (lambda f: f.missions_raw.select("mission", *[N.expected_product(C("mission"), k).alias(k.lower()) for k in N.PRODUCTS]), "select mission, substring(mission, 1, 20) || 'orthomosaic.tif' as orthophoto, substring(mission, 1, 20) || 'dsm.tif' as dsm, substring(mission, 1, 20) || 'cloud.las' as cloudpoint, substring(mission, 1, 20) || 'report.pdf' as report from {missions_raw}"),
-    "op_c5_stage_path": (lambda f: f.files.select("path", N.stage_path(C("path"), {"orthomosaic.tif": "aligned_global.tif", "Orthophoto": "Product_global"}).alias("next_path")), "select path, replace(replace(path, 'orthomosaic.tif', 'aligned_global.tif'), 'Orthophoto', 'Product_global') as next_path from {files}"),
-    "op_c6_genus_species": (lambda f: f.part.select("p_partkey", N.genus(C("p_name")).alias("genus"), N.species(C("p_name")).alias("species"), N.species(F.when(C("p_partkey") % 3 == 0, C("p_type"))).alias("short")), "select p_partkey, string_split(p_name, ' ')[1] as genus, coalesce(string_split(p_name, ' ')[2], 'unknown') as species, coalesce(case when p_partkey % 3 = 0 then string_split(p_type, ' ')[2] end, 'unknown') as short from {part}"),
-    "op_c7_crown_label": (lambda f: f.part.select("p_partkey", N.crown_label(C("p_name"), N.normal_tag(F.when(C("p_partkey") % 50 != 0, C("p_partkey").cast("string"))), F.concat(F.lit("id"), C("p_partkey").cast("string"))).alias("label")), "select p_partkey, concat(string_split(p_name, ' ')[1], '_', coalesce(string_split(p_name, ' ')[2], 'unknown'), '_', case when p_partkey % 50 = 0 then concat('id', p_partkey) else lpad(cast(p_partkey as varchar), 6, '0') end) as label from {part}"),
-    "op_c8_parse_label": (lambda f: (lambda d: d.select("label", *[c.cast("string").alias(n) for n, c in N.parse_label(C("label")).items()]))(f.part.select(F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), "p_partkey", F.lit("_2024_"), 1 + C("p_size") % 12, F.lit("_"), 1 + C("p_size") % 28).alias("label"))), f"select label, t[1] as genus, t[2] as species, t[3] as crown_id, cast(make_date(2024, t[-2]::int, t[-1]::int) as varchar) as date from (select label, string_split(label, '_') as t from ({LABEL}))"),
-    "op_c9_normal_tag": (lambda f: f.raw_crowns.select("field_id", N.normal_tag(C("tag")).alias("tag")), "select field_id, lpad(coalesce(tag, '0'), 6, '0') as tag from {raw_crowns}"),
-    "op_c10_companion_bands": (lambda f: f.missions_raw.select(F.explode(N.companion_bands(F.concat("mission", F.lit("_D.JPG")))).alias("file")), "select concat(mission, '_', e) as file from {missions_raw}, (select unnest(['D.JPG', 'MS_G.TIF', 'MS_R.TIF', 'MS_NIR.TIF', 'MS_RE.TIF']) as e)"),
-    "op_c11_file_class": (lambda f: f.missions_raw.select(F.concat("mission", F.element_at(F.array(*[F.lit(e) for e in (".JPG", ".TIF", ".MRK", ".nav", ".jpg")]), (F.length("mission") % 5 + 1).cast("int"))).alias("file")).select("file", N.file_class(C("file")).alias("kind")), "select concat(mission, e) as file, case e when '.JPG' then 'RGB' when '.TIF' then 'Multispectral' when '.jpg' then null else 'Georeference' end as kind from (select mission, ['.JPG', '.TIF', '.MRK', '.nav', '.jpg'][length(mission) % 5 + 1] as e from {missions_raw})"),
-    "op_c12_unmatched": (lambda f: catalog.unmatched_pairs(f.missions_raw, f.files.where("kind = 'DSM'"), "mission"), "select mission, case when mission in (select mission from {files} where kind = 'DSM') then 'right' else 'left' end as only_in from (select mission from {missions_raw} except select mission from {files} where kind = 'DSM')"),
-    "op_c13_surrogate_id": (lambda f: catalog.surrogate_ids(f.crown_obs.select("tag", "yr"), ["tag", "yr"]), "select tag, yr, md5(concat(tag, '|', yr)) as \"GlobalID\" from {crown_obs}"),
-    "op_c14_rename": (lambda f: f.raw_crowns.withColumnsRenamed({"mnemonic": "spp", "crown_area": "area"}).select("tag", "spp", "area"), "select tag, mnemonic as spp, crown_area as area from {raw_crowns}"),
+    "op_c1_date_at": (
+        lambda f: f.missions_raw.select("mission", N.date_at(C("mission")).cast("string").alias("date")),
+        f"select mission, cast({DATE} as varchar) as date from {{missions_raw}}",
+    ),
+    "op_c2_date_tokens": (
+        lambda f: f.missions_raw.select("mission", N.date_tokens(C("mission")).alias("date")),
+        "select mission, array_to_string(string_split(mission, '_')[3:5], '_') as date from {missions_raw}",
+    ),
+    "op_c3_site": (
+        lambda f: f.missions_raw.groupBy(N.site_of(C("mission")).alias("site")).agg(F.count("*").alias("n")),
+        "select array_to_string(string_split(mission, '_')[1:2], '_') as site, count(*) as n from {missions_raw} group by 1",
+    ),
+    "op_c4_expected_product": (
+        lambda f: f.missions_raw.select("mission", *[N.expected_product(C("mission"), k).alias(k.lower()) for k in N.PRODUCTS]), (
+
+        "select mission, substring(mission, 1, 20) || 'orthomosaic.tif' as orthophoto, substring(mission, 1, 20) || 'dsm.tif' as dsm, "
+            "substring(mission, 1, 20) || 'cloud.las' as cloudpoint, substring(mission, 1, 20) || 'report.pdf' as report from {missions_raw}"
+        ),
+    ),
+    "op_c5_stage_path": (
+        lambda f: f.files.select("path", N.stage_path(C("path"), {"orthomosaic.tif": "aligned_global.tif", "Orthophoto": "Product_global"}).alias("next_path")), (
+
+        "select path, replace(replace(path, 'orthomosaic.tif', 'aligned_global.tif'), 'Orthophoto', 'Product_global') as next_path from "
+            "{files}"
+        ),
+    ),
+    "op_c6_genus_species": (
+        lambda f: f.part.select("p_partkey", N.genus(C("p_name")).alias("genus"), N.species(C("p_name")).alias("species"), N.species(F.when(C("p_partkey") % 3 == 0, C("p_type"))).alias("short")), (
+
+        "select p_partkey, string_split(p_name, ' ')[1] as genus, coalesce(string_split(p_name, ' ')[2], 'unknown') as species, "
+            "coalesce(case when p_partkey % 3 = 0 then string_split(p_type, ' ')[2] end, 'unknown') as short from {part}"
+        ),
+    ),
+    "op_c7_crown_label": (
+        lambda f: f.part.select("p_partkey", N.crown_label(C("p_name"), N.normal_tag(F.when(C("p_partkey") % 50 != 0, C("p_partkey").cast("string"))), F.concat(F.lit("id"), C("p_partkey").cast("string"))).alias("label")), (
+
+        "select p_partkey, concat(string_split(p_name, ' ')[1], '_', coalesce(string_split(p_name, ' ')[2], 'unknown'), '_', case when "
+            "p_partkey % 50 = 0 then concat('id', p_partkey) else lpad(cast(p_partkey as varchar), 6, '0') end) as label from {part}"
+        ),
+    ),
+    "op_c8_parse_label": (
+        lambda f: (lambda d: d.select("label", *[c.cast("string").alias(n) for n, c in N.parse_label(C("label")).items()]))(f.part.select(F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), "p_partkey", F.lit("_2024_"), 1 + C("p_size") % 12, F.lit("_"), 1 + C("p_size") % 28).alias("label"))), (
+
+        f"select label, t[1] as genus, t[2] as species, t[3] as crown_id, cast(make_date(2024, t[-2]::int, t[-1]::int) as varchar) as date "
+            f"from (select label, string_split(label, '_') as t from ({LABEL}))"
+        ),
+    ),
+    "op_c9_normal_tag": (
+        lambda f: f.raw_crowns.select("field_id", N.normal_tag(C("tag")).alias("tag")),
+        "select field_id, lpad(coalesce(tag, '0'), 6, '0') as tag from {raw_crowns}",
+    ),
+    "op_c10_companion_bands": (
+        lambda f: f.missions_raw.select(F.explode(N.companion_bands(F.concat("mission", F.lit("_D.JPG")))).alias("file")), (
+
+        "select concat(mission, '_', e) as file from {missions_raw}, (select unnest(['D.JPG', 'MS_G.TIF', 'MS_R.TIF', 'MS_NIR.TIF', "
+            "'MS_RE.TIF']) as e)"
+        ),
+    ),
+    "op_c11_file_class": (
+        lambda f: f.missions_raw.select(F.concat("mission", F.element_at(F.array(*[F.lit(e) for e in (".JPG", ".TIF", ".MRK", ".nav", ".jpg")]), (F.length("mission") % 5 + 1).cast("int"))).alias("file")).select("file", N.file_class(C("file")).alias("kind")), (
+
+        "select concat(mission, e) as file, case e when '.JPG' then 'RGB' when '.TIF' then 'Multispectral' when '.jpg' then null else "
+            "'Georeference' end as kind from (select mission, ['.JPG', '.TIF', '.MRK', '.nav', '.jpg'][length(mission) % 5 + 1] as e from "
+            "{missions_raw})"
+        ),
+    ),
+    "op_c12_unmatched": (
+        lambda f: catalog.unmatched_pairs(f.missions_raw, f.files.where("kind = 'DSM'"), "mission"), (
+
+        "select mission, case when mission in (select mission from {files} where kind = 'DSM') then 'right' else 'left' end as only_in "
+            "from (select mission from {missions_raw} except select mission from {files} where kind = 'DSM')"
+        ),
+    ),
+    "op_c13_surrogate_id": (
+        lambda f: catalog.surrogate_ids(f.crown_obs.select("tag", "yr"), ["tag", "yr"]),
+        "select tag, yr, md5(concat(tag, '|', yr)) as \"GlobalID\" from {crown_obs}",
+    ),
+    "op_c14_rename": (
+        lambda f: f.raw_crowns.withColumnsRenamed({"mnemonic": "spp", "crown_area": "area"}).select("tag", "spp", "area"),
+        "select tag, mnemonic as spp, crown_area as area from {raw_crowns}",
+    ),
     "op_s1_raster_scan": (lambda f: S.read_raster(S.raster_table(f.pixels, ["r", "g", "b"], 32), ["r"]), "select yr, row_no, col, r from {pixels}"),
-    "op_s2_nodata": (lambda f: chunks.mask_nodata(S.raster_table(f.pixels, ["b"]), ["b"], 0).groupBy("yr").agg(F.sum(chunks.values_in("b")).alias("valid"), F.sum("n").alias("cells")), "select yr, count(nullif(b, 0)) as valid, count(*) as cells from {pixels} group by yr"),
-    "op_s3_vector_scan": (lambda f: S.read_geojson(S.as_geojson(f.shapes)).select("id", F.size(F.get("geom", F.lit(0))).alias("points"), F.array_min(F.transform(F.get("geom", F.lit(0)), lambda p: p["x"])).alias("xmin")), "select id, 6 as points, x0 * 1.0::double as xmin from {shapes}"),
-    "op_s4_delimited": (lambda f: S.round_trip_csv(f.raw_crowns.select("field_id", "tag", "mnemonic"), "\t"), "select field_id, tag, mnemonic from {raw_crowns}"),
+    "op_s2_nodata": (
+        lambda f: chunks.mask_nodata(S.raster_table(f.pixels, ["b"]), ["b"], 0).groupBy("yr").agg(F.sum(chunks.values_in("b")).alias("valid"), F.sum("n").alias("cells")),
+        "select yr, count(nullif(b, 0)) as valid, count(*) as cells from {pixels} group by yr",
+    ),
+    "op_s3_vector_scan": (
+        lambda f: S.read_geojson(S.as_geojson(f.shapes)).select("id", F.size(F.get("geom", F.lit(0))).alias("points"), F.array_min(F.transform(F.get("geom", F.lit(0)), lambda p: p["x"])).alias("xmin")),
+        "select id, 6 as points, x0 * 1.0::double as xmin from {shapes}",
+    ),
+    "op_s4_delimited": (
+        lambda f: S.round_trip_csv(f.raw_crowns.select("field_id", "tag", "mnemonic"), "\t"),
+        "select field_id, tag, mnemonic from {raw_crowns}",
+    ),
     "op_s4_leading_lines": (leading_lines, "select label, x, y from {camera_ref}"),
-    "op_s5_folder": (lambda f: (lambda name: S.list_files(f.spark, f.sf_dir).select(name.alias("name")).where(F.regexp_replace("name", "[.]parquet$", "").isin(*ALL_TABLES)))(F.regexp_extract("path", r"([^/]+[.]parquet)(/[^/]*)?$", 1)).groupBy("name").agg((F.count("*") > 0).alias("has_files")), "select unnest([" + ", ".join(f"'{t}.parquet'" for t in ALL_TABLES) + "]) as name, true as has_files"),
-    "op_s5_list_files": (lambda f: S.named_like(f.files, "BCI_50ha_1997", (".tif", ".las")), "select * from {files} where starts_with(string_split(path, '/')[-1], 'BCI_50ha_1997') and (ends_with(path, '.tif') or ends_with(path, '.las'))"),
-    "op_s6_write_raster": (lambda f: S.round_trip_parquet(f.pixels, ["yr"]).groupBy("yr").agg(F.count("*").alias("n"), F.sum("r").alias("r")), "select yr, count(*) as n, cast(sum(r) as bigint) as r from {pixels} group by yr"),
+    "op_s5_folder": (
+        lambda f: (lambda name: S.list_files(f.spark, f.sf_dir).select(name.alias("name")).where(F.regexp_replace("name", "[.]parquet$", "").isin(*ALL_TABLES)))(F.regexp_extract("path", r"([^/]+[.]parquet)(/[^/]*)?$", 1)).groupBy("name").agg((F.count("*") > 0).alias("has_files")),
+        "select unnest([" + ", ".join(f"'{t}.parquet'" for t in ALL_TABLES) + "]) as name, true as has_files",
+    ),
+    "op_s5_list_files": (
+        lambda f: S.named_like(f.files, "BCI_50ha_1997", (".tif", ".las")), (
+
+        "select * from {files} where starts_with(string_split(path, '/')[-1], 'BCI_50ha_1997') and (ends_with(path, '.tif') or "
+            "ends_with(path, '.las'))"
+        ),
+    ),
+    "op_s6_write_raster": (
+        lambda f: S.round_trip_parquet(f.pixels, ["yr"]).groupBy("yr").agg(F.count("*").alias("n"), F.sum("r").alias("r")),
+        "select yr, count(*) as n, cast(sum(r) as bigint) as r from {pixels} group by yr",
+    ),
     "op_s7_write_vector": (lambda f: S.round_trip_parquet(f.shapes, []), "select * from {shapes}"),
     "op_s8_write_csv": (lambda f: S.round_trip_csv(f.crown_obs.select("tag", "yr", "latin"), ","), "select tag, yr, latin from {crown_obs}"),
-    "op_s9_pending": (lambda f: catalog.pending(f.missions_raw, f.missions_product, ["mission"]), "select yr, mission from {missions_raw} where mission not in (select mission from {missions_product})"),
-    "op_s10_keep_anchor": (lambda f: (lambda o: timeseries.stack({1998: o.where("yr = 1998").select("tag", "area"), 1999: o.where("yr = 1999").select("tag", (C("area") * 2).alias("area"))}))(f.crown_obs), "select tag, area, 1998 as yr from {crown_obs} where yr = 1998 union all select tag, area * 2, 1999 from {crown_obs} where yr = 1999"),
+    "op_s9_pending": (
+        lambda f: catalog.pending(f.missions_raw, f.missions_product, ["mission"]),
+        "select yr, mission from {missions_raw} where mission not in (select mission from {missions_product})",
+    ),
+    "op_s10_keep_anchor": (
+        lambda f: (lambda o: timeseries.stack({1998: o.where("yr = 1998").select("tag", "area"), 1999: o.where("yr = 1999").select("tag", (C("area") * 2).alias("area"))}))(f.crown_obs), (
+
+        "select tag, area, 1998 as yr from {crown_obs} where yr = 1998 union all select tag, area * 2, 1999 from {crown_obs} where yr = "
+            "1999"
+        ),
+    ),
 }

@@ -34,7 +34,25 @@ def periods(f: Inputs):
 
 
 QUERIES = {
-    "op_t1_intake": (taken_in, "select event_type, count(distinct event_id) as n, (select count(distinct event_id) from events) as audited from events group by event_type"),
-    "op_t2_first_delivery": (deliveries, "select user_id, event_type, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as last, count(*) as n from events group by 1, 2"),
-    "op_t3_period_statistics": (periods, "select cast(date '1970-01-01' + cast(30 * floor(date_diff('day', date '1970-01-01', cast(ts as date)) / 30.0) as int) as varchar) as start, count(*) as n, round(sum(value), 2) as total, round(avg(value), 4) as mean from events group by 1"),
+    "op_t1_intake": (
+        taken_in, (
+
+        "select event_type, count(distinct event_id) as n, (select count(distinct event_id) from events) as audited from events group by "
+            "event_type"
+        ),
+    ),
+    "op_t2_first_delivery": (
+        deliveries, (
+
+        "select user_id, event_type, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as last, "
+            "count(*) as n from events group by 1, 2"
+        ),
+    ),
+    "op_t3_period_statistics": (
+        periods, (
+
+        "select cast(date '1970-01-01' + cast(30 * floor(date_diff('day', date '1970-01-01', cast(ts as date)) / 30.0) as int) as varchar) "
+            "as start, count(*) as n, round(sum(value), 2) as total, round(avg(value), 4) as mean from events group by 1"
+        ),
+    ),
 }
