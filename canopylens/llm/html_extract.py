@@ -46,10 +46,12 @@ OUTSIDE = {"header"}
 NAMES = set(
     "nav navbar navigation navi menu menubar sidebar aside complementary footer contentinfo ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner "
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments "
-    "disqus reply replies respond related recommended breadcrumb breadcrumbs pagination pager paging toolbar form search widget widgets skip sitemap".split()
+    "disqus reply replies respond related recommended breadcrumb breadcrumbs pagination pager paging toolbar form search widget widgets skip sitemap "
+    "adbox adslot adunit adbanner textad cookiebar cookiebanner cookienotice commentlist commentform usercomments mainmenu topmenu submenu mainnav topnav sidenav subnav "
+    "sitenav sitefooter pagefooter sharebar sharebuttons socialbar relatedposts relatedarticles searchbox searchform loginform leftbar rightbar".split()
 )
 OUTSIDE_NAMES = {"header", "masthead", "topbar"}
-COMMENTS = {"comment", "comments", "disqus", "reply", "replies", "respond", "related", "recommended"}
+COMMENTS = {"comment", "comments", "commentlist", "usercomments", "disqus", "reply", "replies", "respond", "related", "relatedposts", "relatedarticles", "recommended"}
 #: Elements nested deeper are kept as blocks of the one at this depth.
 DEEP = 150
 #: Siblings of one kind in a row are one node of a tree: of these tags however many they are, of others from MANY on.

@@ -338,6 +338,54 @@ def test_toxicity_against_plain_evaluation(spark):
         assert [r.p_low_quality, r.p_toxic] == pytest.approx(earlier, abs=1e-4) and r.toxic == (r.p_toxic >= model["chain"][1]["threshold"])
 
 
+def plain_chain(rows, n_words, folds, categories):
+    """(words, weights of each category) by counting and by gradient descent, in plain steps and double precision."""
+    chosen, total = [], len(rows)
+    for c in range(categories):
+        hits, rate = sum(y[c] for _, _, y in rows), sum(y[c] for _, _, y in rows) / total
+        if not 0 < hits < total:
+            continue
+        n, own = Counter(w for _, words, _ in rows for w in words), Counter(w for _, words, y in rows for w in words if y[c])
+        best = sorted((-((own[w] - n[w] * rate) ** 2) / (n[w] * rate * (1 - rate)), w) for w in n if n[w] >= 4)[:n_words]
+        chosen += [w for _, w in best if w not in chosen]
+
+    def descend(x, y):
+        x = np.hstack([x, np.ones((len(x), 1))])
+        share = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3)) / len(x)
+        w, last = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+        rate, keep = 2 / (0.25 * (x**2).sum(1).mean() + 1e-3), np.append(np.full(x.shape[1] - 1, 1e-3), 0)
+        for k in range(200):
+            v = w + (k - 1) / (k + 2) * (w - last) if k else w
+            last, w = w, v - rate * (((1 / (1 + np.exp(-np.clip(x @ v, -30, 30))) - y) * share) @ x + keep * v)
+        return w
+
+    x, weights = np.array([[float(w in words) for w in chosen] for _, words, _ in rows]), []
+    fold = np.array([zlib.crc32(str(i).encode()) % folds for i, _, _ in rows])
+    for c in range(categories):
+        y, p = np.array([float(y[c]) for _, _, y in rows]), np.zeros(total)
+        for f in range(folds):
+            w = descend(x[fold != f], y[fold != f])
+            p[fold == f] = 1 / (1 + np.exp(-(np.hstack([x[fold == f], np.ones(((fold == f).sum(), 1))]) @ w)))
+        weights.append(descend(x, y))
+        x = np.hstack([x, p[:, None]])
+    return chosen, weights
+
+
+def test_toxicity_training_against_a_plain_chain(spark):
+    docs, labels = toxic_docs(spark)
+    model = toxicity.train(docs, labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic"), ["low_quality", "toxic"])
+    texts, rows = {r.doc_id: r.text or "" for r in docs.collect()}, []
+    for r in labels.orderBy("doc_id").collect():
+        if r.doc_id in texts and r.quality is not None and r.toxic is not None:
+            rows.append((r.doc_id, {w.strip(toxicity.PUNCTUATION) for w in texts[r.doc_id].lower().split()} - {""}, (1 - r.quality, r.toxic)))
+    words, weights = plain_chain(rows, toxicity.WORDS, toxicity.FOLDS, 2)
+    assert sorted(words) == sorted(model["words"])
+    for m, w in zip(model["chain"], weights, strict=True):
+        ours = dict(zip([*model["words"], *range(len(m["weights"]) - len(words))], m["weights"], strict=True))
+        theirs = dict(zip([*words, *range(len(w) - len(words))], w, strict=True))
+        assert max(abs(ours[k] - theirs[k]) for k in ours) < 0.02
+
+
 def test_pipeline_stages(spark):
     docs = table(spark, DIR, "documents")
     columns, before = docs.columns, docs
