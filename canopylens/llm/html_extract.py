@@ -51,6 +51,8 @@ NAMES = set(
     "sitenav sitefooter pagefooter sharebar sharebuttons socialbar relatedposts relatedarticles searchbox searchform loginform leftbar rightbar".split()
 )
 OUTSIDE_NAMES = {"header", "masthead", "topbar"}
+#: With more than this share of a page's text an element isn't judged by its name.
+MOSTLY = 0.6
 COMMENTS = {"comment", "comments", "commentlist", "usercomments", "disqus", "reply", "replies", "respond", "related", "relatedposts", "relatedarticles", "recommended"}
 #: Elements nested deeper are kept as blocks of the one at this depth.
 DEEP = 150
@@ -161,11 +163,17 @@ def parse(html: str | None) -> Node:
     return root
 
 
-def foreign(tag: str, names: frozenset[str] | set[str], inside: bool) -> bool:
-    """Whether an element is no part of an article, by its tag and names; inside: it lies in the article."""
+def foreign(tag: str, names: frozenset[str] | set[str], inside: bool, share: float = 0.0) -> bool:
+    """Whether an element is no part of an article, by its tag and names; inside: it lies in the article.
+
+    share: what it holds of the page's text outside links. An element with most of it is named after its layout, such as
+    a page with a sidebar, unless it is named as comments are.
+    """
     if tag in NEVER or (not inside and tag in OUTSIDE):
         return True
-    return tag not in ("html", "body", "main", *HEADINGS) and bool(names & NAMES or (not inside and names & OUTSIDE_NAMES))
+    if tag in ("html", "body", "main", *HEADINGS) or (share > MOSTLY and not names & COMMENTS):
+        return False
+    return bool(names & NAMES or (not inside and names & OUTSIDE_NAMES))
 
 
 # A wrapper's node is a list: kind, pages, smallest and largest hash of its text, characters outside links, children.
@@ -318,12 +326,15 @@ def constant(tree: list, pages: int) -> bool:
     return tree[LEAST] == tree[MOST] and tree[PAGES] >= max(MIN_PAGES, MIN_SHARE * pages)
 
 
-def varying(tree: list, pages: int) -> int:
-    """Characters below a node that vary between pages, links and what is no part of an article left out."""
+def varying(tree: list, pages: int, whole: int) -> int:
+    """Characters below a node that vary between pages, links and what is no part of an article left out.
+
+    whole: the characters of all of the tree.
+    """
     tag, *names = tree[KIND].split(" ")
-    if foreign(tag, set(names), False) or constant(tree, pages):
+    if foreign(tag, set(names), False, tree[CHARS] / max(1, whole)) or constant(tree, pages):
         return 0
-    return tree[CHARS] - sum(k[CHARS] for k in tree[KIDS]) + sum(varying(k, pages) for k in tree[KIDS])
+    return tree[CHARS] - sum(k[CHARS] for k in tree[KIDS]) + sum(varying(k, pages, whole) for k in tree[KIDS])
 
 
 def finish(tree: list) -> list:
@@ -346,8 +357,8 @@ def finish(tree: list) -> list:
             below = [k for k in at[KIDS] if k[KIND].split(" ")[0] not in REPEATED]
             if any(k[KIND].split(" ")[0] == "h1" and not constant(k, pages) for k in at[KIDS]) or not below:
                 break
-            lead = max(below, key=lambda k: varying(k, pages))
-            if varying(lead, pages) < LEADS * max(1, varying(at, pages)):
+            lead = max(below, key=lambda k: varying(k, pages, tree[CHARS]))
+            if varying(lead, pages, tree[CHARS]) < LEADS * max(1, varying(at, pages, tree[CHARS])):
                 break
             at = lead
         slots = [at]
@@ -432,6 +443,13 @@ def main_text(html: str | None, wrapper: list | None = None) -> str:
     else:
         slots(page)
     blocks: list[str] = []
+    chars: dict[int, int] = {}
+
+    def count(n: Node) -> int:
+        chars[id(n)] = sum(count(k) if isinstance(k, Node) else 0 if isinstance(k, Link) else len(k) for k in n.kids)
+        return chars[id(n)]
+
+    whole = max(1, count(page)) if not found else 1
 
     def walk(n: Node, inside: bool) -> None:
         parts: list[str] = []
@@ -442,7 +460,7 @@ def main_text(html: str | None, wrapper: list | None = None) -> str:
             if text := " ".join("".join(parts).split()):
                 blocks.append(text)
             parts = []
-            if k is not None and roles.get(id(k)) != "constant" and not foreign(k.tag, k.names, inside):
+            if k is not None and roles.get(id(k)) != "constant" and not foreign(k.tag, k.names, inside, chars.get(id(k), 0) / whole):
                 walk(k, inside)
 
     for root in roots or [page]:

@@ -55,6 +55,8 @@ def test_slots_of_pages_without_telling_names(spark):
     ("<nav>no</nav><header>no</header><div id='cookie-notice'>no</div><p>yes &lt;b&gt; &#233;</p><footer>no</footer>", "yes <b> é"),
     ("<article><p>a<script>var x='</p>'</script> b<style>p{}</style><!-- c --> d</p><ul><li>e<li>f</ul><table><tr><td>g<td>h</table>", "a b d\n\ne\n\nf\n\ng\n\nh"),
     ("<article><p>a < b and 3 &am", "a < b and 3 &am"), ("<article><p>cut off</artic", "cut off"), ("<article><p>a</p><script>never ends", "a"),
+    ("<body><div class='page with-sidebar'><div class=menu><a>no</a> no</div><p>A text that is most of what this page holds, and more.</p></div><div class=footer>no</div>", "A text that is most of what this page holds, and more."),
+    ("<p>A text.</p><div class=comments><p>A very long comment that is longer than the text, by far, and goes on and on.</p></div>", "A text."),
     ("<section class=comments><article class=comment>no</article></section><article><p title='a > b'>yes</p></article>", "yes"),
     ("<article>" + "<div>" * 150 + "deep" + "</div>" * 150 + "</article>", "deep"), ("<article><p>" + "word " * 100_000, ("word " * 100_000).strip()),
 ])
