@@ -216,4 +216,5 @@ def mapped(trie: Trie) -> Iterator[Trie]:
     with open(os.memfd_create("trie"), "w+b") as file:
         trie.save(file)
         file.flush()
+        del trie
         yield Trie.load(np.memmap(file, np.uint8, "r"))
