@@ -30,7 +30,13 @@ class TilesAt:
 
     def eval(self, xmin: float, ymin: float, xmax: float, ymax: float, left: float, bottom: float, right: float, top: float, size: float) -> Iterator[tuple]:
         (nx, dx), (ny, dy) = tile_size(float(right - left), float(size)), tile_size(float(top - bottom), float(size))
-        place = lambda v, start, step, n: min(n - 1, int((v - start) // step))
+
+        def place(v: float, start: float, step: float, n: int) -> int:
+            """The tile that holds v, by the edges that TileGrid gives; the division may be one off."""
+            k = int((v - start) // step)
+            k += (start + (k + 1) * step <= v) - (start + k * step > v)
+            return min(n - 1, k)
+
         for j in range(max(0, place(ymin, bottom, dy, ny)), place(ymax, bottom, dy, ny) + 1):
             for i in range(max(0, place(xmin, left, dx, nx)), place(xmax, left, dx, nx) + 1):
                 yield (j * nx + i,)
