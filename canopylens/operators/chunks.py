@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from canopylens.functions import geometry as G
 
-SIDE = 32
+SIDE = 64
 KEYS = ["yr", "chunk_row", "chunk_col"]
 BOUNDS = ["row0", "row1", "col0", "col1"]
 #: Crowns that meet a copy of their chunk together.
