@@ -29,8 +29,9 @@ def deliveries(f: Inputs):
 
 
 def periods(f: Inputs):
-    out = intake.run_once(intake.area_statistics(events(f), "30 days"), shared_path(f.spark, "periods"), "complete")
-    return out.withColumn("start", C("start").cast("date").cast("string"))
+    """Statistics of each day and of each period of 30 days."""
+    out = intake.run_once(intake.area_statistics(events(f), [1, 30]), shared_path(f.spark, "periods"), "complete")
+    return out.withColumn("start", C("start").cast("string"))
 
 
 QUERIES = {
@@ -51,8 +52,10 @@ QUERIES = {
     "op_t3_period_statistics": (
         periods, (
 
-        "select cast(date '1970-01-01' + cast(30 * floor(date_diff('day', date '1970-01-01', cast(ts as date)) / 30.0) as int) as varchar) "
-            "as start, count(*) as n, round(sum(value), 2) as total, round(avg(value), 4) as mean from events group by 1"
+        "select 1 as days, cast(cast(ts as date) as varchar) as start, count(*) as n, round(sum(value), 2) as total, round(avg(value), 4) as "
+            "mean from events group by 2 union all "
+        "select 30 as days, cast(date '1970-01-01' + cast(30 * floor(date_diff('day', date '1970-01-01', cast(ts as date)) / 30.0) as int) "
+            "as varchar) as start, count(*) as n, round(sum(value), 2) as total, round(avg(value), 4) as mean from events group by 2"
         ),
     ),
 }

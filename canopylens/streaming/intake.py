@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def arriving(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A stream of the Parquet files of a table."""
+    """A stream of the Parquet files of a table, which is one file or a folder of files."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    # as a pattern, since a stream's plain path can't be a file
+    return spark.readStream.schema(schema).parquet(f"{folder}/{{{name}}}").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def run_once(stream: DataFrame, target: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
@@ -65,7 +66,13 @@ def delivery_times(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.groupBy(*keys).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
 
 
-def area_statistics(stream: DataFrame, length: str) -> DataFrame:
-    """Count, sum and mean of the values of each period, kept up as observations arrive."""
-    out = stream.withWatermark("ts", "1 day").groupBy(F.window("ts", length).alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.round(F.avg("value"), 4).alias("mean"))
-    return out.select(F.col("w.start").alias("start"), "n", "total", "mean")
+def area_statistics(stream: DataFrame, lengths: list[int]) -> DataFrame:
+    """(days, start, n, total, mean): count, sum and mean of the values of each period, kept up as observations arrive.
+
+    lengths: days of a period; each length has periods of its own, counted from 1970-01-01. The date is that of the
+    session's time zone; observations without a time are one period, with no start. For mode complete; its state is one
+    row a period.
+    """
+    rows = stream.select("value", F.unix_date(F.col("ts").cast("date")).alias("day"), F.explode(F.array(*map(F.lit, lengths))).alias("days"))
+    start = F.date_from_unix_date(F.col("day") - F.pmod("day", "days")).alias("start")
+    return rows.groupBy("days", start).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.round(F.avg("value"), 4).alias("mean"))

@@ -1,6 +1,7 @@
 """Hand-made cases and properties of operators that SQL can't express, and of nulls, ties and empty tables."""
 
 import math
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
@@ -201,6 +202,65 @@ def test_a_batch_that_failed_is_repeated_without_change(spark, tmp_path, monkeyp
     assert sorted(map(tuple, got)) == [(1, 5, "a", 0), (2, 7, "c", 1)]
 
 
+EVENTS = [
+    ("2024-01-30 23:59:59", 2.0), ("2024-01-31 00:00:00", 4.0), ("2024-01-31 12:00:00", None), ("2024-03-01 00:00:00", 8.0), (None, 16.0), (None, 0.5),
+    ("1969-12-31 23:00:00", 1.0), ("1969-12-01 00:00:00", 3.0), ("1970-01-01 00:00:00", 5.0), ("1970-01-30 23:59:59", 7.0), ("1970-01-31 00:00:00", None),
+]
+
+
+def by_period(events, lengths):
+    """(days, start, n, total, mean) of each period, in plain Python."""
+    values = {}
+    for ts, value in events:
+        for days in lengths:
+            start = ts and date.fromisoformat(ts[:10])
+            start = start and start - timedelta(days=(start - date(1970, 1, 1)).days % days)
+            values.setdefault((days, start and str(start)), []).append(value)
+    known = {k: [v for v in vs if v is not None] for k, vs in values.items()}
+    return sorted(((*k, len(vs), sum(known[k]) if known[k] else None, round(sum(known[k]) / len(known[k]), 4) if known[k] else None) for k, vs in values.items()), key=repr)
+
+
+def write_events(spark, events, folder, files):
+    rows = spark.createDataFrame(events, "ts string, value double").selectExpr("cast(ts as timestamp_ntz) as ts", "value")
+    rows.repartition(files).write.parquet(f"{folder}/parts")
+    if files > 1:
+        (folder / "parts").rename(folder / "events.parquet")
+    else:
+        next((folder / "parts").glob("part-*")).rename(folder / "events.parquet")
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_periods_are_days_and_30_days_of_all_events(spark, tmp_path, files):
+    """A table of one file or a folder of files, times that are missing or before 1970, in another time zone too."""
+    import duckdb
+
+    write_events(spark, EVENTS, tmp_path, files)
+    want = by_period(EVENTS, [1, 30])
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    for other in (zone, "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", other)
+        try:
+            got = catalogue.queries()["op_t3_period_statistics"](spark, str(tmp_path)).select("days", "start", "n", "total", "mean").collect()
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", zone)
+        assert sorted(map(tuple, got), key=repr) == want
+    duck = duckdb.connect()
+    duck.sql(f"create view events as select * from read_parquet('{tmp_path}/events.parquet{'' if files == 1 else '/*.parquet'}')")
+    sql = duck.sql(f"select days, start, n, total, mean from ({catalogue.oracle_sql()['op_t3_period_statistics']})").fetchall()
+    assert sorted(sql, key=repr) == want
+
+
+def test_periods_are_kept_up_as_events_arrive(spark, tmp_path):
+    from canopylens.streaming import intake
+
+    for k in range(0, len(EVENTS), 4):
+        rows = spark.createDataFrame(EVENTS[k : k + 4], "ts string, value double").selectExpr("cast(ts as timestamp_ntz) as ts", "value")
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/events.parquet")
+        stream = intake.area_statistics(intake.arriving(spark, f"{tmp_path}/in", "events.parquet"), [1, 30])
+        got = intake.run_once(stream, f"{tmp_path}/out", "complete").withColumn("start", F.col("start").cast("string")).collect()
+        assert sorted(map(tuple, got), key=repr) == by_period(EVENTS[: k + 4], [1, 30])
+
+
 def test_listing_reads_no_contents(spark, tmp_path):
     from canopylens.sources import files
 
