@@ -19,7 +19,7 @@ def folder(tmp_path_factory):
     return str(out)
 
 
-@pytest.mark.parametrize("name", ["op_c7_crown_label", "op_c9_normal_tag", "op_j6_registry_mnemonic", "op_j8_diameter"])
+@pytest.mark.parametrize("name", ["op_c7_crown_label", "op_c9_normal_tag", "op_j6_registry_mnemonic", "op_j8_diameter", "op_g8_registry"])
 def test_same_rows_with_long_tags(spark, folder, name):
     with duckdb.connect() as duck:
         for table in ("part", "lineitem"):
