@@ -236,15 +236,3 @@ def zonal_pixels(crowns: DataFrame, chunks: DataFrame, bands: list[str], pad: fl
                 yield pa.RecordBatch.from_arrays([c.filter(full) for c in columns], names=schema.names)
 
     return met.mapInArrow(pick, schema)
-
-
-def crown_chips(crowns: DataFrame, chunks: DataFrame, bands: list[str], pad: int) -> DataFrame:
-    """The cells around each crown for pictures of it, with their place in the picture and the outline drawn in it.
-
-    (id, yr, row_no, col, bands, chip_row, chip_col, outline: an array of points in cells from the picture's corner).
-    """
-    corner = G.bbox(F.col("geom"))
-    framed = crowns.select("id", "yr", (F.floor(corner["xmin"]) - pad).alias("_left"), (F.floor(corner["ymin"]) - pad).alias("_top"), "geom")
-    framed = framed.withColumn("outline", G.to_pixels(F.col("geom"), F.col("_left"), F.col("_top"), 1.0)[0]).drop("geom")
-    cells = zonal_pixels(crowns, chunks, bands, pad)
-    return cells.join(framed, ["id", "yr"]).withColumns({"chip_row": (F.col("row_no") - F.col("_top")).cast("int"), "chip_col": (F.col("col") - F.col("_left")).cast("int")}).drop("_left", "_top")

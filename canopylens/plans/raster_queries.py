@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from canopylens.functions import geometry as G
 from canopylens.functions.tables import register
-from canopylens.operators import align, chunks as K, colour, raster as R
+from canopylens.operators import align, chunks as K, colour, raster as R, zones as Z
 from canopylens.plans.fixtures import Inputs
 from canopylens.sources.files import raster_table, round_trip_parquet
 
@@ -78,7 +78,7 @@ def observed(f: Inputs):
 
 def zones(f: Inputs):
     """The pixels of each crown of the same date."""
-    return K.zonal_pixels(observed(f), raster_table(f.canopy, RGB), RGB)
+    return Z.zonal_cells(observed(f), f.canopy, RGB)
 
 
 def with_terrain(f: Inputs, pixels=None):
@@ -122,8 +122,12 @@ def species_means(f: Inputs):
     return colour.zonal_means(zones(f), ZONE).join(f.shapes.select("id", "mnemonic"), "id")
 
 
-def chips(f: Inputs):
-    return K.crown_chips(observed(f), raster_table(f.canopy, RGB), RGB, 5)
+def chips(f: Inputs, **draw):
+    return Z.crown_chips(observed(f), f.canopy, RGB, 5, **draw)
+
+
+def as_text(outline):
+    return F.array_join(F.transform(outline, lambda p: F.concat_ws(" ", p["x"].cast("int"), p["y"].cast("int"))), ",")
 
 
 def tiled(f: Inputs):
@@ -267,7 +271,7 @@ QUERIES = {
     ),
     "op_r17_lightness": (lambda f: f.pixels.select("yr", "row_no", "col", F.round(colour.lightness(C("r"), C("g"), C("b")), 4).alias("light")), LIGHT),
     "op_s11_crown_chips": (
-    lambda f: chips(f).select("id", "yr", "row_no", "col", "r", "chip_row", "chip_col", F.array_join(F.transform("outline", lambda p: F.concat_ws(" ", p["x"].cast("int"), p["y"].cast("int"))), ",").alias("outline")),
+    lambda f: chips(f, draw=as_text).select("id", "yr", "row_no", "col", "r", "chip_row", "chip_col", "outline"),
     CHIP,
     ),
     "op_p6_named_plot": (
