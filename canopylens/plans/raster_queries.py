@@ -107,9 +107,9 @@ def zone_greys(f: Inputs, of=None):
 
 def similarity(f: Inputs, of=None):
     """Each crown's histogram against that of all crowns' pixels of one date."""
-    own = zone_greys(f, of)
-    sample = colour.grey_histogram(own.where("yr = 1996"), [], "grey")
-    return colour.histogram_similarity(colour.grey_histogram(own, ZONE, "grey"), sample, ZONE)
+    counts = round_trip_parquet(colour.grey_counts(zone_greys(f, of), ZONE, "grey"), [])  # written once; the sample is a sum of them
+    sample = colour.scaled(counts.where("yr = 1996").groupBy("bin").agg(F.sum("n").alias("n")), [])
+    return colour.histogram_similarity(colour.scaled(counts, ZONE), sample, ZONE)
 
 
 def colour_scores(f: Inputs):

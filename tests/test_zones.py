@@ -100,3 +100,10 @@ def test_contrast_of_many_pictures_at_once():
                         total[n], weight[n] = total[n] + u * curves[near][v[n]], weight[n] + u
         want = np.where(weight > 0, total / np.where(weight > 0, weight, 1), light[own])
         assert np.abs(got[own] - want).max() < 1e-8, k
+
+
+def test_similarity_counts_pixels_once(spark):
+    """The plan starts at the written counts, and histograms aren't dealt by their few bins."""
+    plan = catalogue.queries()["op_f10_similarity"](spark, DIR)._jdf.queryExecution()
+    assert "Relation [l_orderkey" not in plan.optimizedPlan().toString()
+    assert "SortMergeJoin" not in plan.executedPlan().toString()
